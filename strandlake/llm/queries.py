@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import jaccard, langid, lmscore, packing, quality, toxicity
+from strandlake.llm import decontam, jaccard, jpeg, langid, lmscore, packing, pii, quality, sentences, toxicity
 from strandlake.llm._store import table
 
 
@@ -15,6 +16,20 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(spark, docs, pii.train(docs))
+
+
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences, with the indices of these; what stays is in sentences.dedup()."""
+    return sentences.removed(spark, table(spark, sf_dir, "documents")).select("doc_id", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +46,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(spark, table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.store_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
