@@ -41,17 +41,20 @@ def templated(df: DataFrame, key: str) -> DataFrame:
 
 
 def windows(size: int) -> Column:
-    """Hashes of all windows of `size` words; of windows without two literal words, null."""
-    one = f"slice(words, i, {size})"
-    literal = f"size(filter({one}, w -> w NOT RLIKE '^[{NUMBER}{NAME}{UNIT}]+$')) >= 2"
-    return F.expr(f"CASE WHEN size(words) >= {size} THEN transform(sequence(1, size(words) - {size - 1}), i -> CASE WHEN {literal} THEN xxhash64({one}) END) ELSE CAST(array() AS array<bigint>) END")
+    """Hashes of all windows of `size` words."""
+    return F.expr(f"CASE WHEN size(words) >= {size} THEN transform(sequence(1, size(words) - {size - 1}), i -> xxhash64(slice(words, i, {size}))) ELSE CAST(array() AS array<bigint>) END")
+
+
+def literal(size: int) -> Column:
+    """For the same windows: whether two words or more are no placeholders."""
+    return F.expr(f"CASE WHEN size(words) >= {size} THEN transform(sequence(1, size(words) - {size - 1}), i -> size(filter(slice(words, i, {size}), w -> w NOT RLIKE '^[{NUMBER}{NAME}{UNIT}]+$')) >= 2) ELSE CAST(array() AS array<boolean>) END")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, size, pos, h, n): each window of each item; an item of 3 or 4 words is one window. Shorter items and null ids have none."""
+    """(item_id, size, h, n): each window of each item with two literal words; an item of 3 or 4 words is one window. Shorter items and null ids have none."""
     made = templated(items.where("item_id IS NOT NULL"), "item_id").where(F.size("words") >= SHORTEST)
-    sized = [made.where(F.size("words") >= size if size == WINDOW else F.size("words") == size).select("item_id", F.lit(size).alias("size"), F.posexplode(windows(size)).alias("pos", "h")) for size in range(SHORTEST, WINDOW + 1)]
-    rows = sized[0].union(sized[1]).union(sized[2]).where("h IS NOT NULL")
+    sized = [made.where(F.size("words") >= size if size == WINDOW else F.size("words") == size).select("item_id", F.lit(size).alias("size"), F.explode(F.arrays_zip(windows(size).alias("h"), literal(size).alias("ok"))).alias("w")) for size in range(SHORTEST, WINDOW + 1)]
+    rows = sized[0].union(sized[1]).union(sized[2]).where("w.ok").select("item_id", "size", "w.h")
     return rows.join(rows.groupBy("item_id").agg(F.countDistinct("h").alias("n")), "item_id")
 
 
@@ -65,7 +68,7 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame
     made = templated(docs, "doc_id")
     found = None
     for size in sizes:
-        own = made.select("doc_id", F.explode(windows(size)).alias("h")).where("h IS NOT NULL").join(sought.where(F.col("size") == size), "h")
+        own = made.select("doc_id", F.explode(windows(size)).alias("h")).join(sought.where(F.col("size") == size), "h")
         found = own if found is None else found.unionByName(own)
     if found is None:
         return wanted.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "item_id", "size", F.lit(0).cast("long").alias("matched"), "n").limit(0)
