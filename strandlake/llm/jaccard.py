@@ -15,9 +15,13 @@ from strandlake.llm._text import STEP_BYTES, Step, mix, record_batch, steps, wor
 #: Counters of the sketch of shingle frequencies: what is broadcast has this many longs, however large the input is.
 SKETCH = 1 << 17
 #: Shared prefix tokens that a document may ask for.
-MATCHES = (1, 2, 3, 4, 6, 8)
-#: What reading one posting costs against verifying one candidate.
-POSTING_COST, VERIFY_COST = 1.0, 40.0
+MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
+#: Star rounds before the pairs that are left are listed: they save work and change no result.
+ROUNDS = 3
+#: Pairs of ids (16 bytes each) up to which they are broadcast.
+BROADCAST_PAIRS = 200_000
+#: What verifying one candidate (two whole texts) costs, in postings read or written.
+VERIFY_COST = 300.0
 
 
 def shingles(step: Step, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +71,8 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 def choose_matches(frequency: np.ndarray, size: int, base: int) -> int:
     """The number of shared prefix tokens l, of MATCHES, with the least estimated cost.
 
-    frequency: estimated postings of the tokens in global order; base: the tokens before the l-th. A candidate shares l of the
-    prefix's tokens, so that at most postings / l documents come to verification.
+    frequency: estimated other documents with each token, in global order; base: the tokens before the l-th. A candidate shares l
+    of the prefix's tokens, so that at most a sum of frequencies / l documents come to verification.
     """
     most = max(1, size - base)
     best, cost = 1, np.inf
@@ -76,8 +80,8 @@ def choose_matches(frequency: np.ndarray, size: int, base: int) -> int:
     for m in MATCHES:
         if m > most:
             break
-        postings = float(total[min(base + m, len(total)) - 1])
-        now = POSTING_COST * postings + VERIFY_COST * postings / m
+        others = float(total[min(base + m, len(total)) - 1])
+        now = base + m + others + VERIFY_COST * others / m
         if now < cost * 0.95:
             best, cost = m, now
     return best
@@ -111,12 +115,12 @@ def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -
                 matches, prefixes = np.ones(len(n), np.int32), []
                 order = np.lexsort((key, count, np.repeat(np.arange(len(n)), n)))
                 key, count = key[order], count[order]
-                expected = np.maximum(1.0, count - usual)
+                others = np.maximum(0.0, count - usual - 2 * np.sqrt(usual))  # what chance alone does not bring to a class
                 for i, size in enumerate(n.tolist()):
                     base = size - -(-percent * size // 100)
                     own = slice(at[i], at[i + 1])
                     if size:
-                        matches[i] = choose_matches(expected[own], size, base)
+                        matches[i] = choose_matches(others[own], size, base)
                     prefixes.append(key[own][: base + matches[i]].view(np.int64) if size else np.zeros(0, np.int64))
                 yield record_batch(schema, [ids.slice(s.first, len(n)), n.astype(np.int32), sig1.view(np.int64), sig2.view(np.int64), matches, prefixes])
 
@@ -149,45 +153,58 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 i += n
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    left = pairs.join(texts.toDF("a", "text_a"), "a")
-    return left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of pairs are shuffled
+        few = F.broadcast(pairs)
+        both = texts.toDF("a", "text_a").join(few, "a").join(texts.toDF("b", "text_b").join(few, "b"), ["a", "b"])
+    else:
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row, repeated rows included.
 
-    Equal sets make one node, its smallest id. Nodes that share a prefix token are first linked to the smallest node of the
-    token's group, then, where groups still hold several components, pairs across these are compared: no pairs come from
-    within a component. An empty, null or wordless text has 0 shingles and itself as component; a null id stays null and
+    Equal sets make one node, its smallest id. Nodes that share a prefix token are first compared with one lead of the
+    token's group, in a few rounds; then, where groups still hold several components, all pairs across these are compared:
+    no pairs come from within a component. An empty, null or wordless text has 0 shingles and itself as component; a null id stays null and
     links with nothing. Rows that repeat an id are one node for each text.
     """
     made = signatures(spark, docs, width, percent)
     usable = made.where("n > 0 AND doc_id IS NOT NULL")
     nodes = usable.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node"))
     first = usable.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "sig1", "sig2"], "left_semi").dropDuplicates(["doc_id", "n", "sig1", "sig2"])
-    postings = first.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"), "n", "matches")
-    groups = postings.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("token", "lead")
-    shared = save(spark, postings.join(groups, "token"), "postings")
-    sizes = first.select(F.col("doc_id").alias("lead"), F.col("n").alias("n_lead"))
-    # One candidate for each node: the lead with which it shares most tokens.
-    stars = (
-        shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"), F.min("n").alias("n")).join(sizes, "lead")
-        .where(f"100 * least(n, n_lead) >= {percent} * greatest(n, n_lead)")
-        .groupBy("node").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
-    )
+    postings = first.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("node"), "n", "matches")
+    groups = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    open_ = save(spark, postings.join(groups, "token", "left_semi").withColumn("component", F.col("node")), "postings")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    star_links = save(spark, verified(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")), texts, width, percent), "links")
-    known = connected_components(spark, star_links)
-    labelled = shared.join(known, "node", "left").select("token", "node", "n", "matches", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = save(spark, labelled.join(mixed, "token", "left_semi"), "open")
-    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "matches", "component"))) for s in "ab")
-    candidates = (
-        a.join(b, (a["token"] == b["token"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-        .groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.min(F.least("matches_a", "matches_b")).alias("need"))
-        .where("c >= need").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    similar_size = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    links = None
+    for turn in range(ROUNDS):
+        # One candidate for each node: of the leads of its groups, another in every round, the one with which it shares most tokens.
+        lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component", "n")).alias("lead")).select("token", F.col("lead.node").alias("a"), F.col("lead.component").alias("component_a"), F.col("lead.n").alias("n_a"))
+        near = open_.join(lead, "token").where("component <> component_a").withColumn("n_b", F.col("n")).where(similar_size).groupBy("node", "a").agg(F.count("*").alias("c"))
+        stars = save(spark, near.groupBy("node").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b")), "stars")
+        new = save(spark, verified(stars, texts, width, percent), "links")
+        links = new if links is None else links.union(new)
+        known = connected_components(spark, links)
+        labelled = open_.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        open_ = save(spark, labelled.join(mixed, "token", "left_semi"), "open")
+    # What is left: pairs across components, each listed at the first of its shared prefix tokens. With both sizes known, a
+    # pair needs `must` common tokens: the first one leaves enough to follow, and the prefixes may be shorter.
+    whole = open_.join(first.select(F.col("doc_id").alias("node"), "prefix"), "node")
+    a, b = (whole.select(*(F.col(c).alias(f"{c}_{s}") for c in ("token", "pos", "node", "n", "matches", "component", "prefix"))) for s in "ab")
+    must = f"CAST(ceil({percent} * (n_a + n_b) / {100.0 + percent}D - 1e-9D) AS int)"
+    least = "least(matches_a, matches_b)"
+    rules = (
+        "token_a = token_b AND node_a < node_b AND component_a <> component_b",
+        f"pos_a <= n_a - {must} AND pos_b <= n_b - {must}",
+        "array_intersect(prefix_a, prefix_b)[0] = token_a",
+        f"size(array_intersect(slice(prefix_a, 1, n_a - {must} + {least}), slice(prefix_b, 1, n_b - {must} + {least}))) >= {least}",
     )
-    links = star_links.union(verified(candidates, texts, width, percent))
+    pairs = a.join(b, F.expr(" AND ".join(rules)) & similar_size)
+    candidates = save(spark, pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+    links = links.union(verified(candidates, texts, width, percent))
     final = connected_components(spark, links)
     of_node = nodes.join(final, "node", "left").select("n", "sig1", "sig2", F.coalesce("component", "node").alias("component_id"))
     out = made.join(of_node, ["n", "sig1", "sig2"], "left")
