@@ -5,11 +5,147 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions.stats import adjusted, wilson
+from strandlake.operators import intervals, matching, pairs, ranking
+from strandlake.plans import sql
+from strandlake.plans.base import sites, table
+
+_KEYS = ["entity", "mark"]
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.islands(sites(spark, sf_dir), _KEYS, "pos", 24, 3)
+
+
+def consensus_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.consensus(sites(spark, sf_dir), _KEYS, "pos", (12, 18, 24), 24, 3)
+
+
+def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.close_pairs(sites(spark, sf_dir), _KEYS, "pos", 10)
+
+
+def per_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sites(spark, sf_dir)
+    return pairs.effects(found, found, "entity", "mark", "pos", 10)
+
+
+def wilson_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = per_protein(spark, sf_dir).groupBy("mark").agg(F.count_if(F.col("effect") > 0).alias("k"), F.count("*").alias("n"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    return made.select("mark", "k", "n", F.round(low, 9).alias("ci_low"), F.round(high, 9).alias("ci_high"))
+
+
+def holm_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("family"), (F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / F.lit(10007.0)).alias("p"))
+    return adjusted(p, "p", "id", ["family"]).select("id", F.round("holm", 9).alias("holm"), F.round("bh", 9).alias("bh"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).alias("score"))
+    return docs.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL"), "doc_id")
+
+
+def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.auroc(_scored(spark, sf_dir), "quality", "score")
+
+
+def auroc_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.auroc(_scored(spark, sf_dir), "quality", "score", ["lang"])
+
+
+def avg_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.average_precision(_scored(spark, sf_dir), "quality", "score")
+
+
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("k"), "c_acctbal", "c_mktsegment")
+    return matching.greedy_match(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"), "g", "k", ["c_acctbal"])
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.bootstrap_mean(table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("v")), "v")
+
+
+def stable_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.concat_ws("|", F.lit("analysis"), F.col("c_name"))
+    seed = F.pmod(F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") + 42, F.lit(1 << 32))
+    return table(spark, sf_dir, "customer").select("c_custkey", seed.alias("seed"))
+
+
+def md5_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(5))
+    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", fold.alias("fold"))
+
+
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """51 symbols around each centre 26, 36 ... of texts of at least 51."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en' AND length(text) >= 51")
+    made = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(26), F.length("text") - 25, F.lit(10))).alias("center"))
+    window = F.substr("text", F.col("center") - 25, F.lit(51))
+    share = (2 * F.length(window) - F.length(F.translate(window, "s", "")) - F.length(F.translate(window, "t", ""))) / F.lit(51.0)
+    return made.groupBy("doc_id").agg(F.count("*").alias("tiles"), F.round(F.sum(share), 6).alias("st_sum"))
+
+
+def spatial_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one label whose first three coordinates are near: cells of the radius's width, each joined with the 27 around it."""
+    radius = 0.02
+    points = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    cell = [F.floor(F.col(c) / radius).cast("long") for c in "xyz"]
+    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    a = points.select("*", *(c.alias(f"c{i}") for i, c in enumerate(cell)))
+    b = points.select("*", *(c.alias(f"d{i}") for i, c in enumerate(cell)))
+    for i in range(3):
+        b = b.withColumn(f"s{i}", F.explode(near)).withColumn(f"c{i}", F.col(f"d{i}") + F.col(f"s{i}"))
+    b = b.select("label", "c0", "c1", "c2", *(F.col(c).alias(f"{c}2") for c in ("vec_id", "x", "y", "z")))
+    close = a.join(b, ["label", "c0", "c1", "c2"]).where("vec_id < vec_id2 AND (x - x2) * (x - x2) + (y - y2) * (y - y2) + (z - z2) * (z - z2) <= 0.0004D")
+    return close.groupBy("label").agg(F.count("*").alias("n"))
+
+
+_CTES = {k: sql.duck_query(v) for k, v in {"sites": sql._SITES, "chain": sql._CHAIN, "eff": sql._FRACTIONS, "scored": sql._SCORED}.items()}
+_EFFECTS = f"""WITH {_CTES['sites']}, near AS (SELECT entity, mark, count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites),
+s AS (SELECT entity, mark, count(*)::DOUBLE AS k, floor(sum(d) / 2) AS edges FROM near GROUP BY ALL HAVING count(*) >= 3),
+pool AS (SELECT DISTINCT entity, pos FROM sites), pn AS (SELECT entity, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM pool),
+u AS (SELECT entity, count(*)::DOUBLE AS n, floor(sum(d) / 2) AS e, floor(sum(d * (d - 1)) / 2) AS adj FROM pn GROUP BY ALL),
+j AS (SELECT s.entity, mark, k, n, edges, e, adj, k * (k - 1) / 2 AS possible, coalesce(k * (k - 1) / nullif(n * (n - 1), 0), 0) AS p2, coalesce(k * (k - 1) * (k - 2) / nullif(n * (n - 1) * (n - 2), 0), 0) AS p3, coalesce(k * (k - 1) * (k - 2) * (k - 3) / nullif(n * (n - 1) * (n - 2) * (n - 3), 0), 0) AS p4 FROM s JOIN u ON s.entity = u.entity),
+eff AS (SELECT entity, mark, 10 AS radius, k::BIGINT AS n_sites, n::BIGINT AS n_eligible, edges::BIGINT AS observed_pairs, round(edges / possible, 9) AS observed, round(e * p2 / possible, 9) AS expected, round(edges / possible - e * p2 / possible, 9) AS effect,
+round(greatest(e * p2 + 2 * adj * p3 + 2 * (e * (e - 1) / 2 - adj) * p4 - e * p2 * e * p2, 0) / (possible * possible), 9) AS null_variance FROM j)"""
+_STEPS = f"WITH {_CTES['scored']}, ranked AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY lang_key, score) - 1) / 2.0 AS r FROM (SELECT *, {{key}} AS lang_key FROM scored) t WINDOW w AS (PARTITION BY lang_key ORDER BY score))"
+_AUROC = "sum(label)::BIGINT AS positives, (count(*) - sum(label))::BIGINT AS negatives, round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 9) AS auroc FROM ranked"
+
+#: Operators written with DataFrames, each with SQL of its own.
+_OWN: dict[Callable, str | None] = {
+    islands: f"WITH {_CTES['chain']} SELECT entity, mark, s AS start, e AS \"end\", n AS valence FROM islands",
+    consensus_regions: f"""WITH {_CTES['sites']}, f1 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, mark ORDER BY pos) <= 12 THEN 0 ELSE 1 END AS f FROM sites), k1 AS (SELECT *, sum(f) OVER (PARTITION BY entity, mark ORDER BY pos) AS k FROM f1),
+c AS (SELECT entity, mark, pos FROM (SELECT *, count(*) OVER (PARTITION BY entity, mark, k) AS n FROM k1) t WHERE n >= 3), f2 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, mark ORDER BY pos) <= 24 THEN 0 ELSE 1 END AS f FROM c), k2 AS (SELECT *, sum(f) OVER (PARTITION BY entity, mark ORDER BY pos) AS k FROM f2)
+SELECT entity, mark, min(pos) AS start, max(pos) AS "end", count(*) AS valence FROM k2 GROUP BY entity, mark, k HAVING count(*) >= 3""",
+    close_pairs: f"WITH {_CTES['sites']}, d AS (SELECT a.entity, a.mark, a.pos, count(*) - 1 AS d FROM sites a JOIN sites b ON a.entity = b.entity AND a.mark = b.mark AND b.pos BETWEEN a.pos - 10 AND a.pos + 10 GROUP BY ALL) SELECT entity, mark, count(*) AS n, (sum(d) / 2)::BIGINT AS edges, (sum(d * (d - 1)) / 2)::BIGINT AS adjacent FROM d GROUP BY ALL",
+    per_protein: _EFFECTS + " SELECT * FROM eff",
+    wilson_breadth: _EFFECTS + ", c AS (SELECT mark, count(*) FILTER (WHERE effect > 0) AS k, count(*) AS n FROM eff GROUP BY mark) SELECT mark, k, n, round((k / n + 1.959963984540054^2 / (2 * n)) / (1 + 1.959963984540054^2 / n) - 1.959963984540054 / (1 + 1.959963984540054^2 / n) * sqrt(k / n * (1 - k / n) / n + 1.959963984540054^2 / (4 * n * n)), 9) AS ci_low, round((k / n + 1.959963984540054^2 / (2 * n)) / (1 + 1.959963984540054^2 / n) + 1.959963984540054 / (1 + 1.959963984540054^2 / n) * sqrt(k / n * (1 - k / n) / n + 1.959963984540054^2 / (4 * n * n)), 9) AS ci_high FROM c",
+    holm_bh: "WITH t AS (SELECT p_partkey AS id, p_brand AS family, (p_partkey * 7919 % 10007) / 10007.0::DOUBLE AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS i, count(*) OVER (PARTITION BY family) AS m FROM t) SELECT id, round(least(max(p * (m - i + 1)) OVER (PARTITION BY family ORDER BY i), 1), 9) AS holm, round(least(min(p * m / i) OVER (PARTITION BY family ORDER BY i DESC), 1), 9) AS bh FROM r",
+    auroc: _STEPS.format(key="1") + f" SELECT {_AUROC}",
+    auroc_by_entity: _STEPS.format(key="lang") + f" SELECT lang, {_AUROC} GROUP BY lang HAVING sum(label) > 0 AND sum(label) < count(*)",
+    avg_precision: f"WITH {_CTES['scored']}, s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen FROM s) SELECT round(sum(p * tp / seen) / sum(p), 9) AS ap FROM c",
+    greedy_match: None,
+    bootstrap_ci: None,
+    spatial_contacts: "WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT a.label, count(*) AS n FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0004 GROUP BY a.label",
+    stable_seed: "SELECT c_custkey, (('0x' || substr(sha256('analysis|' || c_name), 1, 8))::BIGINT + 42) % 4294967296 AS seed FROM customer",
+    md5_folds: "SELECT DISTINCT user_id, ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 5 AS fold FROM events",
+    content_digest: "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents",
+    tiles: "WITH t AS (SELECT doc_id, substr(text, c - 25, 51) AS w FROM (SELECT doc_id, text, unnest(range(26, length(text) - 24, 10)) AS c FROM documents WHERE lang = 'en' AND length(text) >= 51) z) SELECT doc_id, count(*) AS tiles, round(sum((102 - length(replace(w, 's', '')) - length(replace(w, 't', ''))) / 51e0), 6) AS st_sum FROM t GROUP BY doc_id",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _OWN} | {k: sql.spark_query(v) for k, v in sql.SHARED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: v for f, v in _OWN.items() if v} | {k: sql.duck_query(v) for k, v in sql.SHARED.items()}
