@@ -17,7 +17,9 @@ SKETCH = 1 << 17
 #: Shared prefix tokens that a document may ask for.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
 #: Star rounds before the pairs that are left are listed: they save work and change no result.
-ROUNDS = 3
+ROUNDS = 2
+#: Documents with a token from which on pairs are compared by their prefixes before they are listed.
+HOT = 16
 #: Pairs of ids (16 bytes each) up to which they are broadcast.
 BROADCAST_PAIRS = 200_000
 #: What verifying one candidate (two whole texts) costs, in postings read or written.
@@ -188,22 +190,26 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
         links = new if links is None else links.union(new)
         known = connected_components(spark, links)
         labelled = open_.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        open_ = save(spark, labelled.join(mixed, "token", "left_semi"), "open")
-    # What is left: pairs across components, each listed at the first of its shared prefix tokens. With both sizes known, a
-    # pair needs `must` common tokens: the first one leaves enough to follow, and the prefixes may be shorter.
-    whole = open_.join(first.select(F.col("doc_id").alias("node"), "prefix"), "node")
-    a, b = (whole.select(*(F.col(c).alias(f"{c}_{s}") for c in ("token", "pos", "node", "n", "matches", "component", "prefix"))) for s in "ab")
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
+        open_ = save(spark, labelled.drop("size").join(mixed, "token"), "open")
+    # What is left: pairs across components. With both sizes known, a pair needs `must` common tokens, so that the first one
+    # leaves enough to follow. In hot groups a pair is listed at its first common token only, and only if the prefixes,
+    # which may be shorter for the two, have `matches` tokens in common; a first token that is not hot lists it as well.
     must = f"CAST(ceil({percent} * (n_a + n_b) / {100.0 + percent}D - 1e-9D) AS int)"
     least = "least(matches_a, matches_b)"
-    rules = (
-        "token_a = token_b AND node_a < node_b AND component_a <> component_b",
-        f"pos_a <= n_a - {must} AND pos_b <= n_b - {must}",
-        "array_intersect(prefix_a, prefix_b)[0] = token_a",
-        f"size(array_intersect(slice(prefix_a, 1, n_a - {must} + {least}), slice(prefix_b, 1, n_b - {must} + {least}))) >= {least}",
+    across = f"token_a = token_b AND node_a < node_b AND component_a <> component_b AND pos_a <= n_a - {must} AND pos_b <= n_b - {must}"
+    first_common = (
+        "array_intersect(prefix_a, prefix_b)[0] = token_a"
+        f" AND size(array_intersect(slice(prefix_a, 1, n_a - {must} + {least}), slice(prefix_b, 1, n_b - {must} + {least}))) >= {least}"
     )
-    pairs = a.join(b, F.expr(" AND ".join(rules)) & similar_size)
-    candidates = save(spark, pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+
+    def listed(rows: DataFrame, rule: str) -> DataFrame:
+        a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab")
+        return a.join(b, F.expr(rule) & similar_size).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    plain = open_.select("token", "pos", "node", "n", "matches", "component", "size")
+    hot = plain.where(f"size > {HOT}").drop("size").join(first.select(F.col("doc_id").alias("node"), "prefix"), "node")
+    candidates = save(spark, listed(plain.where(f"size <= {HOT}").drop("size"), across).distinct().union(listed(hot, f"{across} AND {first_common}")).distinct(), "pairs")
     links = links.union(verified(candidates, texts, width, percent))
     final = connected_components(spark, links)
     of_node = nodes.join(final, "node", "left").select("n", "sig1", "sig2", F.coalesce("component", "node").alias("component_id"))
