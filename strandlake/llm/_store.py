@@ -18,6 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch between the JVM and a Python worker: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keep Arrow batches small for this session's queries."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
@@ -26,6 +35,7 @@ def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
