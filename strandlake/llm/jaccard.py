@@ -64,7 +64,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield record_batch(schema, [some.astype(np.int32), total[some]])
 
-    got = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     sketch = np.zeros(SKETCH, np.int64)
     sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
     return sketch

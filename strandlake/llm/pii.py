@@ -239,7 +239,7 @@ def fit(docs: list[Tokens], rounds: int = 200, rate: float = 0.3, l2: float = 1e
 def train(docs: DataFrame, max_docs: int = 3000, max_chars: int = 20_000) -> Field:
     """Fit on at most max_docs documents with a digit or an at sign, the first in order of a hash, of each at most max_chars."""
     some = docs.select("text").where(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, max_chars).alias("text"), F.xxhash64("text").alias("h"))
-    got = some.orderBy("h", "text").limit(max_docs).toPandas()
+    got = some.orderBy("h", "text").limit(max_docs).toArrow().to_pandas()
     made = [tokens(t, base_spans(t)) for t in got["text"]]
     return fit([t for t in made if t.key])
 

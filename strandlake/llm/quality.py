@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label: str
             for s in steps(b.column("text")):
                 yield record_batch(schema, [y[s.first : s.last], list(statistics(s))])
 
-    got = sample.select("text", "label").mapInArrow(features, "label int, x array<double>").toPandas()
+    got = sample.select("text", "label").mapInArrow(features, "label int, x array<double>").toArrow().to_pandas()
     if not len(got):
         return fit(np.zeros((0, 1)), np.zeros(0))
     x, y = np.stack(got["x"].to_numpy()), got["label"].to_numpy().astype(float)

@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
                 cut = [(bucket[i:j].astype(np.int32), (sentence[i:j] - (sentence[i] if j > i else 0)).astype(np.int32)) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield record_batch(schema, [ids[s.first : s.last], y[s.first : s.last], [x.tobytes() for x, _ in cut], [x.tobytes() for _, x in cut]])
 
-    got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(read, "doc_id long, label int, bucket binary, sentence binary").toPandas().sort_values(["doc_id", "bucket"], ignore_index=True)
+    got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(read, "doc_id long, label int, bucket binary, sentence binary").toArrow().to_pandas().sort_values(["doc_id", "bucket"], ignore_index=True)
     if not len(got):
         return fit(*[np.zeros(0, np.int64)] * 3, np.zeros(0))
     bucket, sentence, doc, base = [], [], [], 0
