@@ -14,6 +14,8 @@ from strandlake.llm._store import remainder
 from strandlake.llm._text import LOWER, Hasher, Step, ranges, record_batch, steps
 
 BUCKETS = 1 << 18
+#: Features that a step of the fit looks at.
+BLOCK = 1 << 21
 #: Words are runs of letters, digits and bytes over 127.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -59,69 +61,122 @@ class Model:
         return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(step)))
 
 
-def fit(bucket: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, l2: float = 2e-6, min_docs: int = 5, max_features: int = 20_000) -> Model:
-    """Adam on the noisy-or log-likelihood. Only buckets in min_docs documents or more have a weight, the max_features whose shares of toxic and other documents differ most."""
-    n, prior = len(y), float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.5))
-    bias, weight = float(np.log(prior / 20)), np.zeros(BUCKETS)
-    if not len(bucket) or y.min() == y.max():
-        return Model(bias, weight)
-    key = np.unique(doc[sentence] * np.int64(BUCKETS) + bucket)
-    of_doc, of_bucket = key // BUCKETS, key % BUCKETS
-    seen = np.bincount(of_bucket, minlength=BUCKETS)
-    toxic = np.bincount(of_bucket, y[of_doc], BUCKETS)
-    a, b = (toxic + 0.5) / (y.sum() + 1), (seen - toxic + 0.5) / (n - y.sum() + 1)
+def choose(seen: np.ndarray, toxic: np.ndarray, n: int, positives: int, min_docs: int = 5, max_features: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that get a weight, and the weights to begin with: of those in min_docs documents or more the max_features (65,536 at most) whose shares of toxic and other documents differ most."""
+    a, b = (toxic + 0.5) / (positives + 1), (seen - toxic + 0.5) / (n - positives + 1)
     worth = np.where(seen >= min_docs, np.abs(np.log(a / b)) * np.sqrt(seen), -1)
     kept = np.sort(np.lexsort((np.arange(BUCKETS), -worth))[:max_features])
     kept = kept[worth[kept] > 0]
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    use = place[bucket] >= 0
-    f, s = place[bucket[use]], sentence[use]
-    # A sentence's words count once each, however often they occur.
-    pair = np.unique(s * np.int64(len(kept) + 1) + f)
-    s, f = pair // (len(kept) + 1), pair % (len(kept) + 1)
-    v = np.clip(np.log(a / b)[kept], 0, 3) * 0.5
-    theta = np.append(v, bias)
+    return kept, np.clip(np.log(a / b)[kept], 0, 3) * 0.5
+
+
+@dataclass
+class Bags:
+    """Documents as bags of sentences: kept features (distinct in each sentence, sentence by sentence), how many each sentence has, sentences of each document, labels."""
+
+    feature: np.ndarray
+    size: np.ndarray
+    per_doc: np.ndarray
+    y: np.ndarray
+
+    def blocks(self) -> list[tuple[slice, slice, slice]]:
+        """Documents, sentences and features of parts with about BLOCK features each, so that a step of the fit holds little at once."""
+        sentences = np.concatenate([[0], np.cumsum(self.per_doc)])
+        features = np.concatenate([[0], np.cumsum(self.size)])[sentences]
+        made, i = [], 0
+        while i < len(self.y):
+            j = max(i + 1, int(np.searchsorted(features, features[i] + BLOCK, "right")) - 1)
+            made.append((slice(i, j), slice(sentences[i], sentences[j]), slice(features[i], features[j])))
+            i = j
+        return made
+
+
+def fit(bags: Bags, start: np.ndarray, rounds: int = 150, rate: float = 0.15, l2: float = 2e-6) -> np.ndarray:
+    """The weights and the bias, by Adam on the noisy-or log-likelihood."""
+    y, k = bags.y, len(start)
+    theta = np.append(start, np.log(np.clip(y.mean(), 1e-3, 0.5) / 20))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    blocks = bags.blocks()
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(s, theta[f], len(doc))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
-        some = np.maximum(-np.expm1(log_none), 1e-9)
-        # d log-likelihood / dz: -p for a clean document, p (1 - P) / P for a toxic one.
-        pull = np.where(y > 0, (1 - some) / some, -1.0)[doc] * p
-        grad = np.append(np.bincount(f, pull[s], len(kept)), pull.sum()) / n
+        grad = np.zeros_like(theta)
+        for docs, sentences, features in blocks:
+            f, size, per_doc = bags.feature[features].astype(np.intp), bags.size[sentences], bags.per_doc[docs]
+            z = np.zeros(len(size))
+            some = size > 0
+            if some.any():
+                z[some] = np.add.reduceat(theta[f], (np.cumsum(size) - size)[some])
+            p = 1 / (1 + np.exp(-np.clip(z + theta[-1], -30, 30)))
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)
+            any_toxic = np.maximum(-np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(per_doc))), 1e-9)
+            # d log-likelihood / dz: -p for a clean document, p (1 - P) / P for a toxic one.
+            pull = np.where(y[docs] > 0, (1 - any_toxic) / any_toxic, -1.0)[doc] * p
+            grad[:-1] += np.bincount(f, np.repeat(pull, size), k)
+            grad[-1] += pull.sum()
+        grad /= len(y)
         grad[:-1] -= l2 * np.sign(theta[:-1]) + l2 * theta[:-1]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-    weight[kept] = theta[:-1]
-    return Model(float(theta[-1]), weight)
+    return theta
+
+
+def counted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Documents and toxic documents with each bucket, and of all."""
+    schema = pa.schema([("bucket", pa.int32()), ("seen", pa.int64()), ("toxic", pa.int64())])
+
+    def run(batches):
+        total = np.zeros((2, BUCKETS + 1), np.int64)
+        for b in batches:
+            y = b.column("label").to_numpy(zero_copy_only=False) > 0
+            for s in steps(b.column("text")):
+                bucket, sentence, doc = bags(s)
+                of = y[s.first : s.last]
+                key = np.unique(doc[sentence] * np.int64(BUCKETS) + bucket)
+                for i, chosen in enumerate((key, key[of[key // BUCKETS]])):
+                    total[i, :BUCKETS] += np.bincount(chosen % BUCKETS, minlength=BUCKETS)
+                total[:, BUCKETS] += len(of), int(of.sum())
+        some = np.flatnonzero(total[0])
+        yield record_batch(schema, [some.astype(np.int32), total[0, some], total[1, some]])
+
+    got = sample.select("text", "label").mapInArrow(run, "bucket int, seen long, toxic long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow().to_pandas()
+    total = np.zeros((2, BUCKETS + 1), np.int64)
+    total[:, got["bucket"].to_numpy()] = got["seen"].to_numpy(), got["toxic"].to_numpy()
+    return total[0, :BUCKETS], total[1, :BUCKETS], int(total[0, BUCKETS]), int(total[1, BUCKETS])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
-    """Learn from at most max_rows labelled rows whose crc32 remainder by 3 is not 1; words are bucketed on the executors."""
+    """Learn from at most max_rows labelled rows whose crc32 remainder by 3 is not 1.
+
+    One pass counts the documents with each bucket, which chooses the features; a second brings these, two bytes each, to the
+    driver. With labels of one kind only, or none, every sentence has the same low score.
+    """
     sample = labelled_sample(docs, labels, "toxic", 3, lambda r: r != 1, max_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bucket", pa.binary()), ("sentence", pa.binary())])
+    seen, toxic, n, positives = counted(sample)
+    weight = np.zeros(BUCKETS)
+    if not 0 < positives < n:
+        return Model(float(np.log(np.clip(positives / max(n, 1), 1e-3, 0.5) / 20)), weight)
+    kept, start = choose(seen, toxic, n, positives)
+    place = np.full(BUCKETS, -1)
+    place[kept] = np.arange(len(kept))
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("feature", pa.binary()), ("size", pa.binary())])
 
     def read(batches):
         for b in batches:
             ids, y = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False)
             for s in steps(b.column("text")):
                 bucket, sentence, doc = bags(s)
-                at = np.searchsorted(doc[sentence] if len(doc) else np.zeros(0), np.arange(len(s) + 1))
-                cut = [(bucket[i:j].astype(np.int32), (sentence[i:j] - (sentence[i] if j > i else 0)).astype(np.int32)) for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield record_batch(schema, [ids[s.first : s.last], y[s.first : s.last], [x.tobytes() for x, _ in cut], [x.tobytes() for _, x in cut]])
-
-    got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(read, "doc_id long, label int, bucket binary, sentence binary").toArrow().to_pandas().sort_values(["doc_id", "bucket"], ignore_index=True)
-    if not len(got):
-        return fit(*[np.zeros(0, np.int64)] * 3, np.zeros(0))
-    bucket, sentence, doc, base = [], [], [], 0
-    for i, (b, s) in enumerate(zip(got["bucket"], got["sentence"], strict=True)):
-        s = np.frombuffer(s, np.int32).astype(np.int64)
-        n = int(s[-1]) + 1 if len(s) else 0
-        bucket.append(np.frombuffer(b, np.int32)), sentence.append(s + base), doc.append(np.full(n, i))
-        base += n
-    return fit(np.concatenate(bucket).astype(np.int64), np.concatenate(sentence), np.concatenate(doc), got["label"].to_numpy().astype(float))
+                use = place[bucket] >= 0
+                # A sentence's features count once each, however often they occur.
+                pair = np.unique(sentence[use] * np.int64(len(kept) + 1) + place[bucket[use]])
+                feature, size = (pair % (len(kept) + 1)).astype(np.uint16), np.bincount(pair // (len(kept) + 1), minlength=len(doc)).astype(np.int32)
+                at = np.searchsorted(doc, np.arange(len(s) + 1))
+                cut = np.concatenate([[0], np.cumsum(size)])[at]
+                yield record_batch(schema, [ids[s.first : s.last], y[s.first : s.last], *([x[i:j].tobytes() for i, j in zip(e[:-1], e[1:], strict=True)] for x, e in ((feature, cut), (size, at)))])
+
+    got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(read, "doc_id long, label int, feature binary, size binary").toArrow().to_pandas().sort_values(["doc_id", "feature", "size"], ignore_index=True)
+    joined = Bags(np.frombuffer(b"".join(got["feature"]), np.uint16), np.frombuffer(b"".join(got["size"]), np.int32), got["size"].str.len().to_numpy() // 4, (got["label"].to_numpy() > 0).astype(float))
+    theta = fit(joined, start)
+    weight[kept] = theta[:-1]
+    return Model(float(theta[-1]), weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
