@@ -101,9 +101,12 @@ def fit(texts: dict[str, str], max_bytes: int = 60_000) -> Model:
 
 def train(docs: DataFrame, docs_per_lang: int = 300, max_chars: int = 20_000) -> Model:
     """Learn from rows with a lang whose crc32 remainder by 5 is not 0: of each language the docs_per_lang first in order of a hash of the id, of each at most max_chars."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    got = known.withColumn("place", place).where(F.col("place") <= docs_per_lang).select("lang", "place", F.substring("text", 1, max_chars).alias("text")).toArrow().to_pandas()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
+    known = rows.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(64)).alias("share"))
+    # First within the shares of a language, then among what is left of them: no task meets more than 64 * docs_per_lang rows at last.
+    order = ["h", "doc_id", F.xxhash64("text")]
+    few = known.withColumn("place", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("place") <= docs_per_lang)
+    got = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("place") <= docs_per_lang).select("lang", "place", "text").toArrow().to_pandas()
     got = got.sort_values(["lang", "place"])
     return fit({str(k): "\n".join(v["text"]) for k, v in got.groupby("lang")})
 
