@@ -38,6 +38,12 @@ def wilson_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("mark", "k", "n", F.round(low, 9).alias("ci_low"), F.round(high, 9).alias("ci_high"))
 
 
+def exact_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean effect over its exact standard error under sampling, for each mark."""
+    z = F.avg("effect") / F.nullif(F.sqrt(F.sum("null_variance")) / F.count("*"), F.lit(0.0))
+    return per_protein(spark, sf_dir).groupBy("mark").agg(F.count("*").alias("n"), F.round(z, 5).alias("z"))
+
+
 def holm_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("family"), (F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / F.lit(10007.0)).alias("p"))
     return adjusted(p, "p", "id", ["family"]).select("id", F.round("holm", 9).alias("holm"), F.round("bh", 9).alias("bh"))
@@ -129,6 +135,7 @@ SELECT entity, mark, min(pos) AS start, max(pos) AS "end", count(*) AS valence F
     close_pairs: f"WITH {_CTES['sites']}, d AS (SELECT a.entity, a.mark, a.pos, count(*) - 1 AS d FROM sites a JOIN sites b ON a.entity = b.entity AND a.mark = b.mark AND b.pos BETWEEN a.pos - 10 AND a.pos + 10 GROUP BY ALL) SELECT entity, mark, count(*) AS n, (sum(d) / 2)::BIGINT AS edges, (sum(d * (d - 1)) / 2)::BIGINT AS adjacent FROM d GROUP BY ALL",
     per_protein: _EFFECTS + " SELECT * FROM eff",
     wilson_breadth: _EFFECTS + ", c AS (SELECT mark, count(*) FILTER (WHERE effect > 0) AS k, count(*) AS n FROM eff GROUP BY mark) SELECT mark, k, n, round((k / n + 1.959963984540054^2 / (2 * n)) / (1 + 1.959963984540054^2 / n) - 1.959963984540054 / (1 + 1.959963984540054^2 / n) * sqrt(k / n * (1 - k / n) / n + 1.959963984540054^2 / (4 * n * n)), 9) AS ci_low, round((k / n + 1.959963984540054^2 / (2 * n)) / (1 + 1.959963984540054^2 / n) + 1.959963984540054 / (1 + 1.959963984540054^2 / n) * sqrt(k / n * (1 - k / n) / n + 1.959963984540054^2 / (4 * n * n)), 9) AS ci_high FROM c",
+    exact_z: _EFFECTS + " SELECT mark, count(*) AS n, round(avg(effect) / nullif(sqrt(sum(null_variance)) / count(*), 0), 5) AS z FROM eff GROUP BY mark",
     holm_bh: "WITH t AS (SELECT p_partkey AS id, p_brand AS family, (p_partkey * 7919 % 10007) / 10007.0::DOUBLE AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS i, count(*) OVER (PARTITION BY family) AS m FROM t) SELECT id, round(least(max(p * (m - i + 1)) OVER (PARTITION BY family ORDER BY i), 1), 9) AS holm, round(least(min(p * m / i) OVER (PARTITION BY family ORDER BY i DESC), 1), 9) AS bh FROM r",
     auroc: _STEPS.format(key="1") + f" SELECT {_AUROC}",
     auroc_by_entity: _STEPS.format(key="lang") + f" SELECT lang, {_AUROC} GROUP BY lang HAVING sum(label) > 0 AND sum(label) < count(*)",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.plans import sequences
 from strandlake.plans.base import ORIGIN, hours, table
 
 #: The events in DuckDB; Spark has them from base.hours.
@@ -89,7 +90,16 @@ SHARED: dict[str, str] = {
     "direct_contrasts": "WITH " + _FRACTIONS + " SELECT b.mark AS control, count(*) AS n, round(avg((a.obs - a.nul) - (b.obs - b.nul)), 9) AS mean_difference FROM eff a JOIN eff b ON a.entity = b.entity WHERE a.mark = 'purchase' AND b.mark <> 'purchase' GROUP BY b.mark",
     "audit_check": "WITH o AS (SELECT event_type AS k, count(*) AS observed FROM events GROUP BY event_type), e AS (SELECT event_type AS k, sum(1e0) AS expected FROM events GROUP BY event_type) SELECT o.k, abs(observed - expected) <= greatest(1e-10, abs(expected) * 1e-9) AS passed FROM o JOIN e ON o.k = e.k",
     "result_ledger": "WITH " + _FRACTIONS + " SELECT concat('fold:', mark) AS claim_id, round(avg(obs) / avg(nul), 9) AS value, 'ratio' AS unit FROM eff GROUP BY mark UNION ALL SELECT concat('n:', mark) AS claim_id, CAST(count(*) AS DOUBLE) AS value, 'entities' AS unit FROM eff GROUP BY mark",
+    "evidence_restricted": "WITH ev AS (SELECT entity, mark, pos, count(DISTINCT CAST(floor(value / 50) AS BIGINT)) AS k FROM {hours} h GROUP BY entity, mark, pos), tiers AS (SELECT 'all' AS tier, entity, mark, pos FROM ev UNION ALL SELECT 'two_sources' AS tier, entity, mark, pos FROM ev WHERE k >= 2), near AS (SELECT tier, entity, mark, count(*) OVER (PARTITION BY tier, entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM tiers) SELECT tier, entity, mark, count(*) AS n, sum(d) AS twice_pairs FROM near GROUP BY tier, entity, mark",
+    "stratified_null": "WITH " + _SITES + ", seen AS (SELECT entity, pos, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites WHERE mark = 'purchase'), obs AS (SELECT entity, count(*) AS k, sum(d) AS o FROM seen GROUP BY entity HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), reps AS (SELECT event_id AS rep FROM events WHERE event_id BETWEEN 1 AND 50), drawn AS (SELECT rep, p.entity, p.pos, k, row_number() OVER (PARTITION BY rep, p.entity ORDER BY md5(concat(CAST(p.entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)), ':', CAST(p.pos AS VARCHAR(20))))) AS r FROM pool p JOIN obs ON p.entity = obs.entity CROSS JOIN reps), near AS (SELECT rep, entity, count(*) OVER (PARTITION BY rep, entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM drawn WHERE r <= k), nul AS (SELECT rep, entity, sum(d) AS e FROM near GROUP BY rep, entity) SELECT n.entity, max(o) AS observed_twice, round((1 + sum(CASE WHEN e >= o THEN 1 ELSE 0 END)) / 51e0, 9) AS p, round(avg(e), 9) AS null_mean, round(stddev_samp(e), 6) AS null_sd FROM nul n JOIN obs ON n.entity = obs.entity GROUP BY n.entity",
+    "region_recall": "WITH " + _CHAIN + " SELECT count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM sites p WHERE p.mark = 'view' AND p.entity = a.entity AND p.pos >= a.s - 15 AND p.pos <= a.e + 15) THEN 1 ELSE 0 END) AS found FROM islands a WHERE a.mark = 'purchase'",
+    "arm_ratio": "SELECT mark, round(avg(CASE WHEN pos < 360 THEN value END) / avg(CASE WHEN pos >= 360 THEN value END), 6) AS ratio FROM {hours} h GROUP BY mark",
+    "local_covariates": "WITH v AS (SELECT entity, pos, avg(value) AS value FROM {hours} h GROUP BY entity, pos) SELECT entity, pos, round(avg(value) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING), 6) AS local_mean FROM v",
+    "caliper_candidates": "WITH s AS (SELECT avg(c_acctbal) AS m, coalesce(nullif(stddev_pop(c_acctbal), 0), 1) AS d FROM customer), z AS (SELECT c_custkey, c_nationkey, c_mktsegment, (c_acctbal - m) / d AS z FROM customer CROSS JOIN s) SELECT a.c_custkey AS case_key, count(*) AS candidates, round(min(abs(a.z - b.z)), 9) AS nearest FROM z a JOIN z b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment <> 'BUILDING' AND abs(a.z - b.z) <= 0.5e0 GROUP BY a.c_custkey",
+    "scaled_distance": "WITH s AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS d1, avg(quality) AS m2, stddev_pop(quality) AS d2 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT d.doc_id, round(coalesce(pow((n_chars - m1) / (d1 + 1e-9), 2), 0) + coalesce(pow((quality - m2) / (d2 + 1e-9), 2), 0), 6) AS distance FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN s",
 }
+SHARED["deletion_summary"] = f"SELECT count(*) AS points, min(CASE WHEN group_fold < 1 THEN removed END) AS first_below, {', '.join(f'max(CASE WHEN pct = {p} THEN group_fold END) AS fold_at_{p}' for p in (0, 10, 25, 50, 75, 80))} FROM ({SHARED['adversarial_curve']}) c"
+SHARED |= sequences.SHARED
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -101,11 +111,13 @@ def spark_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
         frames = {t: table(spark, sf_dir, t) for t in used}
         if "{hours}" in text:
             frames["hours"] = hours(table(spark, sf_dir, "events"))
-        marked = re.sub(rf"(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", text)
+        if "{symbols}" in text:
+            frames["symbols"] = sequences.symbols(table(spark, sf_dir, "documents"))
+        marked = re.sub(rf"(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", text).replace("EACH((", "explode(sequence(")
         return spark.sql(marked.replace("VARCHAR(20)", "STRING"), **frames)
 
     return run
 
 
 def duck_query(text: str) -> str:
-    return text.replace("{hours} h", DUCK_HOURS + " h")
+    return text.replace("{hours} h", DUCK_HOURS + " h").replace("{symbols} s", sequences.DUCK_SYMBOLS + " s").replace("EACH((", "unnest(generate_series(")
