@@ -42,3 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)), F.lit(0))
+
+
+def lowest(column: str, wanted: int, total):
+    """Whether a 64-bit hash is among the lowest `wanted` of `total`, about: a sample that no task has to sort out of all rows."""
+    return F.col(column) / F.lit(2.0**64) + 0.5 <= wanted / total

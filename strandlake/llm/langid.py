@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm._store import remainder
+from strandlake.llm._store import lowest, remainder
 from strandlake.llm._text import ranges, hash_ranges, record_batch, steps
 
 #: Letters: ASCII ones and all bytes of longer UTF-8 characters. What stands between words is one separator, byte 32.
@@ -100,13 +100,17 @@ def fit(texts: dict[str, str], max_bytes: int = 60_000) -> Model:
 
 
 def train(docs: DataFrame, docs_per_lang: int = 300, max_chars: int = 20_000) -> Model:
-    """Learn from rows with a lang whose crc32 remainder by 5 is not 0: of each language the docs_per_lang first in order of a hash of the id, of each at most max_chars."""
+    """Learn from rows with a lang whose crc32 remainder by 5 is not 0: of each language the docs_per_lang first in order of a hash of the id, of each at most max_chars.
+
+    Only rows among the lowest hashes, about 4 * docs_per_lang of a language, are sorted. Where ids repeat, there may be fewer than docs_per_lang.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
-    known = rows.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(64)).alias("share"))
-    # First within the shares of a language, then among what is left of them: no task meets more than 64 * docs_per_lang rows at last.
-    order = ["h", "doc_id", F.xxhash64("text")]
-    few = known.withColumn("place", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("place") <= docs_per_lang)
-    got = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("place") <= docs_per_lang).select("lang", "place", "text").toArrow().to_pandas()
+    known = rows.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("doc_id").alias("h"))
+    # One count a language, as the model has one automaton a language.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    near = known.join(F.broadcast(counts), "lang").where(lowest("h", 4 * docs_per_lang, F.col("n")))
+    order = W.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    got = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_lang).select("lang", "place", "text").toArrow().to_pandas()
     got = got.sort_values(["lang", "place"])
     return fit({str(k): "\n".join(v["text"]) for k, v in got.groupby("lang")})
 

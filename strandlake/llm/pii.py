@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm._store import lowest
 from strandlake.llm._text import record_batch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -237,9 +238,14 @@ def fit(docs: list[Tokens], rounds: int = 200, rate: float = 0.3, l2: float = 1e
 
 
 def train(docs: DataFrame, max_docs: int = 3000, max_chars: int = 20_000) -> Field:
-    """Fit on at most max_docs documents with a digit or an at sign, the first in order of a hash, of each at most max_chars."""
+    """Fit on at most max_docs distinct documents with a digit or an at sign, the first in order of a hash, of each at most max_chars.
+
+    Only those among the lowest hashes, about 4 * max_docs, are sorted; copies count once.
+    """
     some = docs.select("text").where(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, max_chars).alias("text"), F.xxhash64("text").alias("h"))
-    got = some.orderBy("h", "text").limit(max_docs).toArrow().to_pandas()
+    total = max(some.count(), 1)
+    near = some.where(lowest("h", 4 * max_docs, F.lit(total))).groupBy("h").agg(F.min("text").alias("text"))
+    got = near.orderBy("h").limit(max_docs).toArrow().to_pandas()
     made = [tokens(t, base_spans(t)) for t in got["text"]]
     return fit([t for t in made if t.key])
 
