@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, wilson
-from strandlake.operators import intervals, matching, pairs, ranking
+from strandlake.operators import intervals, matching, pairs, ranking, regression, resampling
 from strandlake.plans import sql
-from strandlake.plans.base import sites, table
+from strandlake.plans.base import hours, sites, table
 
 _KEYS = ["entity", "mark"]
 
@@ -115,6 +115,79 @@ def spatial_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def null_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity and mark: mean and deviation of the close pairs under sampling, in pairs."""
+    made = per_protein(spark, sf_dir)
+    possible = F.col("n_sites") * (F.col("n_sites") - 1) / 2
+    return made.select("entity", "mark", F.round(F.col("expected") * possible, 4).alias("mean"), F.round(F.sqrt("null_variance") * possible, 3).alias("sd"))
+
+
+def list_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sites(spark, sf_dir).groupBy(*_KEYS).agg(F.array_join(F.array_sort(F.collect_list("pos")), ";").alias("positions"))
+    numbers = F.transform(F.split("positions", ";"), lambda x: x.cast("long"))
+    return coded.select(*_KEYS, "positions", F.size(numbers).cast("long").alias("n"), F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def exposure_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of an entity by the islands that cover them: how many are eligible, and how many have the focal mark."""
+    found = sites(spark, sf_dir)
+    spans = intervals.islands(found, _KEYS, "pos", 24, 3).select("entity", F.col("mark").alias("span_mark"), "start", "end")
+    pool = found.groupBy("entity", "pos").agg(F.max((F.col("mark") == "purchase").cast("int")).alias("focal"))
+    covered = pool.join(spans, "entity").where(F.col("pos").between(F.col("start"), F.col("end"))).select("entity", "pos", F.concat_ws(":", "span_mark", F.col("start").cast("string")).alias("span"))
+    signature = covered.groupBy("entity", "pos").agg(F.array_join(F.array_sort(F.collect_set("span")), "|").alias("signature"))
+    strata = pool.join(signature, ["entity", "pos"], "left").withColumn("signature", F.coalesce("signature", F.lit("uncovered")))
+    return strata.groupBy("entity", "signature").agg(F.count("*").alias("n_eligible"), F.sum("focal").cast("long").alias("n_observed"))
+
+
+def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector and the next: Pearson (null without variance), cosine, and 1 - Jensen-Shannon of the components' sizes."""
+    flat = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
+    flat = flat.join(flat.groupBy("vec_id").agg(F.sum(F.abs("x")).alias("t")), "vec_id").withColumn("p", F.try_divide(F.abs("x"), F.col("t")))
+    other = flat.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("x").alias("y"), F.col("p").alias("q"))
+    m = (F.col("p") + F.col("q")) / 2
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
+    both = flat.join(other, ["vec_id", "i"])
+    return both.groupBy("vec_id").agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))), 6).alias("cosine"), F.round(1 - F.sum(part("p") + part("q")) / 2, 6).alias("js"))
+
+
+def ols_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regression.ols_clustered(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
+
+
+def logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _scored(spark, sf_dir).withColumn("log_score", F.log10(F.col("score") + 1))
+    return regression.logit(made, "quality", ["log_score"])
+
+
+def hypergeom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper tail for labels of both kinds together; four counts go to the driver."""
+    both = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    r = both.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("toxic") == 1).alias("b"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("k")).first()
+    return spark.createDataFrame([(r["k"], r["n"], r["a"], r["b"], resampling.hypergeometric_tail(r["k"], r["n"], r["a"], r["b"]))], "k long, population long, marked long, drawn long, p double")
+
+
+def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.sign_flip(per_protein(spark, sf_dir).where("mark = 'purchase'"), "entity", "effect")
+
+
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", "value")
+
+
+def publication_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each island's sites with evidence buckets of their own."""
+    found = hours(table(spark, sf_dir, "events")).select("entity", "mark", "pos", F.floor(F.col("value") / 50).cast("long").alias("source"))
+    spans = islands(spark, sf_dir).select("entity", "mark", "start", "end")
+    return matching.maximum_matching(found.join(spans, _KEYS).where(F.col("pos").between(F.col("start"), F.col("end"))), ["entity", "mark", "start"], "pos", "source")
+
+
+def caliper_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 3000).alias("z"), (F.col("c_mktsegment") == "BUILDING").alias("is_case"))
+    other = c.where("NOT is_case").select("g", F.col("k").alias("control"), F.col("z").alias("z2"))
+    near = c.where("is_case").join(other, "g").where(F.abs(F.col("z") - F.col("z2")) <= 0.5).withColumn("distance", (F.col("z") - F.col("z2")) ** 2)
+    return matching.calliper_match(near.withColumnRenamed("k", "case_id"), ["g"], "case_id", "control", "z", "distance")
+
+
 _CTES = {k: sql.duck_query(v) for k, v in {"sites": sql._SITES, "chain": sql._CHAIN, "eff": sql._FRACTIONS, "scored": sql._SCORED}.items()}
 _EFFECTS = f"""WITH {_CTES['sites']}, near AS (SELECT entity, mark, count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites),
 s AS (SELECT entity, mark, count(*)::DOUBLE AS k, floor(sum(d) / 2) AS edges FROM near GROUP BY ALL HAVING count(*) >= 3),
@@ -140,6 +213,18 @@ SELECT entity, mark, min(pos) AS start, max(pos) AS "end", count(*) AS valence F
     auroc: _STEPS.format(key="1") + f" SELECT {_AUROC}",
     auroc_by_entity: _STEPS.format(key="lang") + f" SELECT lang, {_AUROC} GROUP BY lang HAVING sum(label) > 0 AND sum(label) < count(*)",
     avg_precision: f"WITH {_CTES['scored']}, s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen FROM s) SELECT round(sum(p * tp / seen) / sum(p), 9) AS ap FROM c",
+    null_moments: _EFFECTS + " SELECT entity, mark, round(expected * n_sites * (n_sites - 1) / 2, 4) AS mean, round(sqrt(null_variance) * n_sites * (n_sites - 1) / 2, 3) AS sd FROM eff",
+    list_codec: f"WITH {_CTES['sites']} SELECT entity, mark, string_agg(pos::VARCHAR, ';' ORDER BY pos) AS positions, count(*) AS n, sum(pos)::BIGINT AS total FROM sites GROUP BY entity, mark",
+    exposure_strata: f"""WITH {_CTES['chain']}, pool AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal FROM sites GROUP BY ALL), sig AS (SELECT p.entity, p.pos, any_value(focal) AS focal, coalesce(string_agg(i.mark || ':' || i.s, '|' ORDER BY i.mark || ':' || i.s), 'uncovered') AS signature FROM pool p LEFT JOIN islands i ON p.entity = i.entity AND p.pos BETWEEN i.s AND i.e GROUP BY p.entity, p.pos)
+SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observed FROM sig GROUP BY entity, signature""",
+    vector_similarity: "WITH f AS (SELECT vec_id, i, x::DOUBLE AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) t), p AS (SELECT *, abs(x) / nullif(sum(abs(x)) OVER (PARTITION BY vec_id), 0) AS p FROM f), j AS (SELECT a.vec_id, a.x, b.x AS y, a.p, b.p AS q, (a.p + b.p) / 2 AS m FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.i = b.i) SELECT vec_id, round(corr(x, y), 6) AS pearson, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine, round(1 - sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2, 6) AS js FROM j GROUP BY vec_id",
+    ols_cluster: None,
+    logit: None,
+    hypergeom: None,
+    sign_flip: None,
+    cluster_bootstrap: None,
+    publication_matching: None,
+    caliper_match: None,
     greedy_match: None,
     bootstrap_ci: None,
     spatial_contacts: "WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT a.label, count(*) AS n FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0004 GROUP BY a.label",

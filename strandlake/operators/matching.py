@@ -56,3 +56,58 @@ def bootstrap_mean(df: DataFrame, value: str, draws: int = 1000, seed: int = 42)
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high")).crossJoin(rows.agg(F.round(F.avg("v"), 9).alias("mean")))
+
+
+def maximum_matching(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """(keys, matched): for each group, the most left items that can have a right item of their own, by augmenting paths.
+
+    A group is one island of sites, which a chain of gaps bounds; its distinct edges go to one task.
+    """
+    schema = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys) + ", matched long"
+
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        near = {a: list(g) for a, g in rows.groupby(left)[right]}
+        owner: dict = {}
+        matched = 0
+        for start in near:
+            # Breadth first, so that long alternating paths need no deep recursion.
+            came, queue, end = {}, [start], None
+            for a in queue:
+                for b in near[a]:
+                    if b not in came:
+                        came[b] = a
+                        if b not in owner:
+                            end = b
+                            break
+                        queue.append(owner[b])
+                if end is not None:
+                    break
+            if end is None:
+                continue
+            matched += 1
+            mine = {a: b for b, a in owner.items()}
+            while end is not None:
+                a = came[end]
+                owner[end], end = a, mine.get(a)
+        return pd.DataFrame([(*k, matched)], columns=[*keys, "matched"])
+
+    return edges.select(*keys, left, right).dropna().distinct().groupBy(*keys).applyInPandas(one, schema)
+
+
+def calliper_match(candidates: DataFrame, keys: list[str], case: str, control: str, order: str, distance: str, most: int = 3) -> DataFrame:
+    """(keys, case, control): each case, by order descending, takes up to `most` nearest controls still free; ties go to the lower id.
+
+    Within each group of keys only; candidates are the pairs within the calliper.
+    """
+    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in [*keys, case, control])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        made = []
+        for _, mine in rows.sort_values([order, case, distance, control], ascending=[False, True, True, True]).groupby(case, sort=False):
+            free = mine[~mine[control].isin(used)].head(most)
+            used.update(free[control])
+            made.append(free)
+        return pd.concat(made)[[*keys, case, control]] if made else rows.head(0)[[*keys, case, control]]
+
+    return candidates.groupBy(*keys).applyInPandas(one, schema)
