@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm._store import remainder, save
-from strandlake.llm._text import Step, record_batch, steps, words
+from strandlake.llm._text import Step, mix, record_batch, steps, words
 
 #: Bytes of context of the longest kind.
 ORDER = 5
@@ -21,6 +16,10 @@ ORDER = 5
 MARK = 255
 #: Documents to a block: what one group of the scoring step holds.
 BLOCK_DOCS = 4096
+#: Bytes of context by whose hash counts are dealt: a longer context is in its ending's shard. Shorter ones are counted over all texts and broadcast.
+SHARED = 2
+#: Shards for each block of documents.
+SHARDS = 8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,11 +47,18 @@ class Trie:
     ones, a longer context's symbols all occur in the shorter: what is excluded at a level is known from the context above.
     """
 
-    def __init__(self, key: np.ndarray, count: np.ndarray) -> None:
+    def __init__(self, key: np.ndarray, count: np.ndarray, longest: int = ORDER, shared: list[dict] | None = None) -> None:
+        """shared: the levels of SHARED bytes of context and fewer, where key has only one shard of all numbers."""
         self.levels = []
         k, c = key.astype(np.uint64), count.astype(np.int64)
         below: tuple | None = None
-        for width in range(ORDER, -1, -1):
+        for width in range(longest, -1, -1):
+            if shared is not None and width == SHARED:
+                longer, longer_where, n_longer = below
+                at = np.searchsorted(shared[0]["key"], longer & self.mask(width))
+                self.levels[-1]["excluded"] = np.bincount(longer_where, shared[0]["count"][at], n_longer)
+                self.levels += shared
+                break
             context, where = np.unique(k >> np.uint64(8), return_inverse=True)
             if below:  # the sum, at this level, of the counts of each longer context's symbols
                 longer, longer_where, n_longer = below
@@ -111,107 +117,110 @@ class Trie:
             out[miss] = self.walk(kinds)[inverse]
         return out
 
-    def score(self, step: Step) -> np.ndarray:
-        g, at = grams(step)
-        return np.add.reduceat(self.logs(g), at[:-1])
-
 
 def merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key, inverse = np.unique(key, return_inverse=True)
     return key, np.bincount(inverse, count, len(key)).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def built(leaves: Leaves) -> Trie:
-    return Trie(leaves.key, leaves.count)
-
-
-@dataclass(frozen=True, eq=False)
-class Leaves:
-    """What is broadcast: the trie's leaves (16 bytes each). Each worker builds the levels above them once."""
-
-    name: str
-    key: np.ndarray
-    count: np.ndarray
-
-    def __hash__(self) -> int:
-        return hash(self.name)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Leaves) and self.name == other.name
-
-
-def train(docs: DataFrame, max_nodes: int = 1 << 20) -> Leaves:
-    """Counts over all whole training texts (crc32 remainder by 10 is not 0); the trie keeps the max_nodes most frequent leaves, ties by their bytes."""
+def short_contexts(docs: DataFrame) -> list[dict]:
+    """The levels of SHARED bytes of context and fewer, over all whole training texts (crc32 remainder by 10 is not 0)."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             for s in steps(b.column("text")):
-                k, c = np.unique(grams(s)[0], return_counts=True)
+                k, c = np.unique(grams(s)[0] & Trie.mask(SHARED), return_counts=True)
                 key, count = merged(np.concatenate([key, k]), np.concatenate([count, c]))
-                if len(key) > 1 << 21:
-                    yield record_batch(schema, [key.astype(np.int64), count])
-                    key, count = key[:0], count[:0]
         yield record_batch(schema, [key.astype(np.int64), count])
 
     seen = docs.where(remainder("doc_id", 10) != 0).select("text").mapInArrow(run, "gram long, n long")
-    got = seen.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(max_nodes).toArrow().to_pandas()
-    order = np.argsort(got["gram"].to_numpy())
-    return Leaves(uuid.uuid4().hex, got["gram"].to_numpy().astype(np.uint64)[order], got["n"].to_numpy().astype(np.int64)[order])
+    got = seen.groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    return Trie(got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy(), SHARED).levels
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    n = max(1, -(-docs.count() // BLOCK_DOCS))
+def blocks(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", (remainder("doc_id", 10) != 0).alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
-def word_counts(spark: SparkSession, parts: DataFrame) -> DataFrame:
-    """(block, word, c): how often each word of a block occurs in all training texts. Words go by 64-bit hashes; words of a block are counted before the shuffle by word."""
-    schema = pa.schema([("block", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
+def known(spark: SparkSession, docs: DataFrame, parts: DataFrame, n_shards: int) -> DataFrame:
+    """(block, long, key, n, value, kind) of each block's distinct words and numbers of bytes (long), with n in its training texts.
+
+    value: how often the word occurs in all training texts, or log10 of the number's probability in the trie of all of them.
+    kind: 1 at one row of each word that occurs there. Words go by 64-bit hashes.
+    """
+    counts = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("long", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+    values = pa.schema([("block", pa.int32()), ("long", pa.bool_()), ("key", pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("kind", pa.int64())])
+    shared = spark.sparkContext.broadcast(short_contexts(docs))
 
-    def run(key, table):
+    def count(block, table):
         train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
-        word, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found = {long: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for long in (False, True)}
         for s in steps(table.column("text")):
-            w = words(s)
-            k, inverse = np.unique(w.hash, return_inverse=True)
-            c = np.bincount(inverse, train[s.first : s.last][w.doc], len(k)).astype(np.int64)
-            word, count = merged(np.concatenate([word, k]), np.concatenate([count, c]))
-        return pa.table([pa.array(np.full(len(word), key[0].as_py(), np.int32)), pa.array(word.view(np.int64)), pa.array(count)], schema=schema)
-
-    per_block = parts.groupBy("block").applyInArrow(run, "block int, word long, n long")
-    return save(spark, per_block.withColumn("c", F.sum("n").over(W.partitionBy("word"))), "words")
-
-
-def score(spark: SparkSession, docs: DataFrame, max_nodes: int = 1 << 20) -> DataFrame:
+            w, (g, at) = words(s), grams(s)
+            learn = train[s.first : s.last]
+            for long, keys, seen in ((False, w.hash, learn[w.doc]), (True, g, np.repeat(learn, np.diff(at)))):
+                k, inverse = np.unique(keys, return_inverse=True)
+                c = np.bincount(inverse, seen, len(k)).astype(np.int64)
+                found[long] = merged(np.concatenate([found[long][0], k]), np.concatenate([found[long][1], c]))
+        made = []
+        for long, (k, c) in found.items():
+            end = (k >> np.uint64(8)) & np.uint64((1 << 8 * (SHARED + 1)) - 1) if long else k
+            made.append(record_batch(counts, [np.full(len(k), block[0].as_py(), np.int32), (mix(end) % np.uint64(n_shards)).astype(np.int32), np.full(len(k), long), k.view(np.int64), c]))
+        return pa.Table.from_batches(made, schema=counts)
+
+    def values_of(_, table):
+        block, key, n = (table.column(c).combine_chunks().to_numpy() for c in ("block", "key", "n"))
+        is_long = table.column("long").combine_chunks().to_numpy(zero_copy_only=False)
+        made = []
+        for long in (False, True):
+            here = is_long == long
+            k, first, inverse = np.unique(key[here].view(np.uint64), return_index=True, return_inverse=True)
+            c = np.bincount(inverse, n[here], len(k)).astype(np.int64)
+            kind = np.zeros(len(inverse), np.int64)
+            if long:
+                value = Trie(k[c > 0], c[c > 0], shared=shared.value).logs(k)
+            else:
+                value, kind[first] = c.astype(np.float64), c > 0
+            made.append(record_batch(values, [block[here], np.full(len(inverse), long), key[here], n[here], value[inverse], kind]))
+        return pa.Table.from_batches(made, schema=values)
+
+    per_block = parts.groupBy("block").applyInArrow(count, "block int, shard int, long boolean, key long, n long")
+    return save(spark, per_block.groupBy("shard").applyInArrow(values_of, "block int, long boolean, key long, n long, value double, kind long"), "known")
+
+
+def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row, repeated rows included.
 
     A null text is empty: one token, its end, and the model's probability of ending at once. A null id counts as held out.
     Without training rows N and V are 0.
     """
-    parts = blocks(docs)
-    model = spark.sparkContext.broadcast(train(docs, max_nodes))
-    counted = word_counts(spark, parts)
+    n_blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    parts = blocks(docs, n_blocks)
+    found = known(spark, docs, parts, SHARDS * n_blocks)
     ends = docs.where(remainder("doc_id", 10) != 0).count()
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + ends
-    kinds = counted.where("c > 0").select("word").distinct().count() + (ends > 0)
+    sums = found.where("not long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("kind"), F.lit(0)).alias("kinds")).first()
+    total, kinds = sums["n"] + ends, sums["kinds"] + (ends > 0)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(_, table, dictionary):
-        word, c = dictionary.column("word").to_numpy().view(np.uint64), dictionary.column("c").to_numpy()
+        key, value = dictionary.column("key").to_numpy().view(np.uint64), dictionary.column("value").to_numpy()
+        long = dictionary.column("long").combine_chunks().to_numpy(zero_copy_only=False)
+        word, c, gram, of_gram = key[~long], value[~long], key[long], value[long]
         order = np.argsort(word)
         word, c = word[order], c[order]
+        order = np.argsort(gram)
+        gram, of_gram = gram[order], of_gram[order]
         log = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
         end = float(np.log10((ends + 0.1) / (total + 0.1 * (kinds + 1))))
         ids, made = table.column("doc_id").combine_chunks(), []
         for s in steps(table.column("text")):
-            w = words(s)
+            w, (g, first) = words(s), grams(s)
             at = np.searchsorted(word, w.hash)
             n = len(s)
-            made.append(record_batch(schema, [ids.slice(s.first, n), w.per_doc + 1, np.bincount(w.doc, c[at] > 0, n).astype(np.int64) + (ends > 0), np.bincount(w.doc, log[at], n) + end, built(model.value).score(s)]))
+            made.append(record_batch(schema, [ids.slice(s.first, n), w.per_doc + 1, np.bincount(w.doc, c[at] > 0, n).astype(np.int64) + (ends > 0), np.bincount(w.doc, log[at], n) + end, np.add.reduceat(of_gram[np.searchsorted(gram, g)], first[:-1])]))
         return pa.Table.from_batches(made, schema=schema)
 
-    out = parts.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = parts.groupBy("block").cogroup(found.select("block", "long", "key", "value").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -147,6 +147,23 @@ def test_lm(spark, docs):
         assert abs(r["base_score"] - sum(np.log10((train.count(w) + 0.1) / (n + 0.1 * (v + 1))) for w in words)) < 1e-6
 
 
+def test_lm_keeps_every_leaf(spark):
+    """More distinct leaves than 2^20; the scores are those of one trie over all of them."""
+    rng = np.random.default_rng(4)
+    texts = {i: bytes(rng.integers(97, 123, 250_000, dtype=np.uint8)).decode() for i in range(5)} | {10: "abc abd", 11: None, 12: ""}
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    texts[held] = texts[0][1000:1200] + "zz 日本 q"
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    key, count = np.unique(np.concatenate([lmscore.grams(s)[0] for s in steps(pa.array(train))]), return_counts=True)
+    assert len(key) > 1 << 20
+    trie = lmscore.Trie(key, count)
+    got = lmscore.score(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = sum(trie.logs(lmscore.grams(s)[0]).sum() for s in steps(pa.array([texts[r["doc_id"]]], pa.string())))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
 def test_packing(spark, docs):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     tok = packing.coder(path).tok
