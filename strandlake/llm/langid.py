@@ -48,12 +48,28 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """All languages' automata in one table: next[state, class of byte], -1 where there is no move; root[k] starts language k."""
+    """All languages' automata in one table; root[k] starts language k, -1 is where there is no move.
+
+    A state's first move is only[state] (class of byte) to only_to[state]; states with more moves have rows of their own in more[row[state], class].
+    """
 
     langs: list[str]
     byte_class: np.ndarray
-    next: np.ndarray
+    only: np.ndarray
+    only_to: np.ndarray
+    row: np.ndarray
+    more: np.ndarray
     root: np.ndarray
+    size: np.ndarray
+
+    @property
+    def weight(self) -> np.ndarray:
+        """What a phrase of each language costs: a place in its text or one of 256 bytes has to be named. 1 for the longest text."""
+        bits = np.log(self.size + 256.0)
+        return bits / bits.max() if len(bits) else bits
+
+    def move(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.where(self.only[state] == c, self.only_to[state], self.more[self.row[state], c])
 
     def phrases(self, padded: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each row of bytes; rows come longest first. A symbol that no match begins with is a phrase."""
@@ -63,49 +79,60 @@ class Model:
             live = int(np.searchsorted(-size, -j, "left"))
             c = self.byte_class[padded[:live, j]][:, None]
             now = state[:live]
-            to = self.next[now, c]
+            to = self.move(now, c)
             stuck = to < 0
             count[:live] += stuck & (now != self.root)
-            again = np.where(stuck, self.next[np.broadcast_to(self.root, now.shape), c], to)
+            again = np.where(stuck, self.move(np.broadcast_to(self.root, now.shape), c), to)
             lost = again < 0
             count[:live] += lost
             state[:live] = np.where(lost, self.root, again)
         return count + (state != self.root)
 
 
-def fit(texts: dict[str, str], max_bytes: int = 60_000) -> Model:
-    """One automaton per language over its words, lower-cased and parted by single separators.
+def fit(texts: dict[str, str], max_bytes: int | None = None) -> Model:
+    """One automaton per language over its words, lower-cased and parted by single separators; max_bytes of it where that is given.
 
-    Every language gets the same number of bytes, that of the one with least text and max_bytes at most: with more text, matches would be longer.
+    As words are parsed one by one, no match crosses a separator, and each distinct word is needed only once. With more text
+    matches are longer, which Model.weight makes up for.
     """
     joined = {}
     for lang in sorted(texts):
         data = np.frombuffer(texts[lang].lower().encode(), np.uint8)
         start, end = ranges(_LETTER[data], np.array([0, len(data)]))
         if len(start):
-            joined[lang] = b" " + b" ".join(data[a:b].tobytes() for a, b in zip(start, end, strict=True)) + b" "
-    least = min([max_bytes, *map(len, joined.values())])
+            found = dict.fromkeys(data[a:b].tobytes() for a, b in zip(start, end, strict=True))
+            joined[lang] = (b" " + b" ".join(found) + b" ")[:max_bytes]
     seen = sorted(set().union(*joined.values())) if joined else []
     byte_class = np.full(256, len(seen), np.int64)
     byte_class[seen] = np.arange(len(seen))
-    tables, root = [], []
+    only, only_to, row, more, root = [], [], [], [np.full((1, len(seen) + 1), -1, np.int32)], []
+    base, rows = 0, 1
     for lang in joined:
-        moves = suffix_automaton(joined[lang][:least])
-        base = sum(map(len, tables))
-        t = np.full((len(moves), len(seen) + 1), -1, np.int32)
+        moves = suffix_automaton(joined[lang])
+        first = np.full((2, len(moves)), -1, np.int32)
+        own = np.zeros(len(moves), np.int32)
+        many = [i for i, m in enumerate(moves) if len(m) > 1]
+        t = np.full((len(many), len(seen) + 1), -1, np.int32)
         for i, m in enumerate(moves):
-            t[i, byte_class[list(m)]] = np.array(list(m.values()), np.int32) + base
-        tables.append(t), root.append(base)
-    return Model(list(joined), byte_class, np.concatenate(tables) if tables else np.zeros((0, 1), np.int32), np.array(root, np.int32))
+            if m:
+                c, to = next(iter(m.items()))
+                first[:, i] = byte_class[c], to + base
+        for r, i in enumerate(many):
+            t[r, byte_class[list(moves[i])]] = np.array(list(moves[i].values()), np.int32) + base
+            own[i] = rows + r
+        only.append(first[0]), only_to.append(first[1]), row.append(own), more.append(t), root.append(base)
+        base, rows = base + len(moves), rows + len(many)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (only, only_to, row)]
+    return Model(list(joined), byte_class, *flat, np.concatenate(more), np.array(root, np.int32), np.array([len(x) for x in joined.values()], np.int64))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 300, max_chars: int = 20_000) -> Model:
-    """Learn from rows with a lang whose crc32 remainder by 5 is not 0: of each language the docs_per_lang first in order of a hash of the id, of each at most max_chars.
+def train(docs: DataFrame, docs_per_lang: int = 300) -> Model:
+    """Learn from rows with a lang whose crc32 remainder by 5 is not 0: of each language the docs_per_lang first in order of a hash of the id, with their whole texts.
 
     Only rows among the lowest hashes, about 4 * docs_per_lang of a language, are sorted. Where ids repeat, there may be fewer than docs_per_lang.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
-    known = rows.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("doc_id").alias("h"))
+    known = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
     # One count a language, as the model has one automaton a language.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     near = known.join(F.broadcast(counts), "lang").where(lowest("h", 4 * docs_per_lang, F.col("n")))
@@ -118,8 +145,8 @@ def train(docs: DataFrame, docs_per_lang: int = 300, max_chars: int = 20_000) ->
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, phrases_per_byte) for each row, repeated rows included.
 
-    Words are parsed one by one, with a separator on each side; ties go to the first language by name. The score is the
-    winner's share of exp(-phrases). und and score 0: a null text, one without a letter, or no language learnt.
+    Words are parsed one by one, with a separator on each side; a phrase counts as much as its language's weight, and ties go to the
+    first language by name. The score is the winner's share of exp(-weighted phrases). und and score 0: a null text, one without a letter, or no language learnt.
     """
     shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrases_per_byte", pa.float64())])
@@ -145,9 +172,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                     inside = (np.arange(width) >= 1) & (np.arange(width) <= size[part][:, None])
                     count[part] = m.phrases(np.where(inside, s.data[np.clip(at, 0, len(s.data) - 1)], 32), length)
                 total = np.column_stack([np.bincount(doc, count[same, k], n) for k in range(n_lang)]) if n_lang else np.zeros((n, 1))
-                best = total.argmin(1)
+                cost = total * m.weight if n_lang else total
+                best = cost.argmin(1)
                 low = total[np.arange(n), best]
-                share = 1 / np.exp(np.maximum(low[:, None] - total, -700)).sum(1)
+                share = 1 / np.exp(np.maximum(cost.min(1)[:, None] - cost, -700)).sum(1)
                 ok = letter[s.first : s.last] & (n_lang > 0)
                 bytes_read = np.maximum(np.bincount(doc, end - start + 1, n), 1)
                 names = np.where(ok, np.array(m.langs or ["und"], object)[best], "und")

@@ -205,6 +205,17 @@ def test_language(spark, docs):
     assert count[0, 0] < count[0, 1] and count[1, 1] < count[1, 0]
 
 
+def test_language_of_few_bytes(spark):
+    """A language with one short row leaves the others as they are, and words far into a long text are learnt."""
+    en = "the house stands near the river where children play every morning before school"
+    de = "das haus steht nahe am fluss wo kinder jeden morgen vor der schule spielen"
+    rows = [(i, f"{t} ", k) for i, (t, k) in enumerate([(en, "en"), (de, "de")] * 20)]
+    rows += [(1000 + i, "ok", "xx") for i in range(2)] + [(2000, "word " * 20_000 + "zebra giraffe okapi", "en"), (2001, "zebra giraffe okapi", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert zlib.crc32(b"2000") % 5 and any(zlib.crc32(str(1000 + i).encode()) % 5 for i in range(2))
+    assert all(got[i] == k for i, _, k in rows if i < 1000) and got[2001] == "en"
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     for f in (jaccard.components, sentences.removed, lmscore.score, langid.identify, jpeg.store_texts):
