@@ -7,39 +7,61 @@ from pyspark.sql import functions as F
 
 from strandlake.llm._store import save
 
-#: Sentences of a run, and the words that it has at least.
-RUN, MIN_WORDS = 3, 8
+#: Sentences of a run and the words that it has at least; sentences with LONG_WORDS are a run even if they are fewer.
+RUN, MIN_WORDS, LONG_WORDS = 3, 8, 20
+#: Scripts without spaces between words: two characters count as a word.
+_UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def with_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id and its sentences: a text is parted after . ! or ? before white space, and at line ends; blank pieces go."""
-    parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|[\n\r]+")
+    """doc_id and its sentences: a text is parted after . ! or ? before white space, after their full-width forms, and at line ends; blank pieces go."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*|[\n\r]+")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "").alias("sentences"))
 
 
-def runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at, key, tag, again): each run of `run` sentences with min_words words or more, by a 96-bit hash.
+def n_words(s):
+    """Words of a sentence, which has single spaces."""
+    spaces = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    unspaced = F.when(F.octet_length(s) != F.length(s), F.floor(F.length(F.regexp_replace(s, _UNSPACED, "")) / 2)).otherwise(0)
+    return (spaces + 1 + unspaced).cast("int")
 
-    A document's last run may be the whole document, where it has fewer sentences. again: an earlier run of the document is the same.
+
+def runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, at, size, key, tag): runs of sentences by a 96-bit hash. From each sentence on, the shortest run of `run` sentences
+    or more with min_words words, and the shortest of fewer sentences with long_words.
+
+    A document with fewer sentences is a run as a whole, if it has min_words.
     """
-    text = F.array_join(F.slice("sentences", F.col("i") + 1, run), "\n")
-    made = with_sentences(docs).where(F.size("sentences") > 0).select("doc_id", F.col("sentences"))
-    each = F.expr(f"""transform(sequence(0, greatest(0, size(sentences) - {run})), i -> named_struct('at', i, 'run', array_join(slice(sentences, i + 1, {run}), '\\n')))""")
-    rows = made.select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.at", "r.run")
-    return rows.where(F.size(F.split("run", r"\s")) >= min_words).select("doc_id", "at", F.xxhash64("run").alias("key"), F.hash("run").alias("tag"))
+
+    def words(k):
+        return "+".join(f"get(words, i + {j})" for j in range(k))  # null beyond the end
+
+    # Each sentence has a word, so that a run ends after min_words sentences.
+    full = " ".join(f"WHEN {words(k)} >= {min_words} THEN {k}" for k in range(run, max(run, min_words) + 1))
+    whole = " ".join(f"WHEN i = 0 AND size(words) = {k} AND {words(k)} >= {min_words} THEN {k}" for k in range(1, run))
+    few = " ".join(f"WHEN {words(k)} >= {long_words} THEN {k}" for k in range(1, run))
+    few = f"CASE {few} END" if few else "CAST(NULL AS INT)"
+    made = with_sentences(docs).where(F.size("sentences") > 0).withColumn("words", F.transform("sentences", n_words))
+    at = made.select("doc_id", "sentences", F.expr(f"transform(sequence(0, size(words) - 1), i -> named_struct('at', i, 'full', CASE {full} {whole} END, 'few', {few}))").alias("at"))
+    each = F.expr("""transform(
+        concat(transform(filter(at, x -> x.full IS NOT NULL), x -> named_struct('at', x.at, 'size', x.full)),
+               transform(filter(at, x -> x.few IS NOT NULL AND NOT x.few <=> x.full), x -> named_struct('at', x.at, 'size', x.few))),
+        x -> named_struct('at', x.at, 'size', x.size, 'run', array_join(slice(sentences, x.at + 1, x.size), '\\n')))""")
+    rows = at.select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.at", "r.size", "r.run")
+    return rows.select("doc_id", "at", "size", F.xxhash64("run").alias("key"), F.hash("run").alias("tag"))
 
 
 def repeated(spark: SparkSession, docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at) of each run that is not the first of its kind. First is the one with the smallest doc_id, and within it the smallest place; a null id comes last.
+    """(doc_id, at, size) of each run that is not the first of its kind. First is the one with the smallest doc_id, and within it the smallest place; a null id comes last.
 
     Counts are made by partial aggregation before the shuffle, so that a run in a third of all documents is one row for each task.
     """
     all_runs = runs(docs, run, min_words).withColumn("id", F.coalesce("doc_id", F.lit(9223372036854775807)))
     known = all_runs.groupBy("key", "tag").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "tag", "first")
-    hits = save(spark, all_runs.join(known, ["key", "tag"]).select("doc_id", "id", "at", "key", "tag", "first"), "runs")
+    hits = save(spark, all_runs.join(known, ["key", "tag"]).select("doc_id", "id", "at", "size", "key", "tag", "first"), "runs")
     own = hits.where("id = first").groupBy("key", "tag").agg(F.min("at").alias("first_at"))
-    later = hits.where("id > first").select("doc_id", "at")
-    return later.union(hits.where("id = first").join(own, ["key", "tag"]).where("at > first_at").select("doc_id", "at"))
+    later = hits.where("id > first").select("doc_id", "at", "size")
+    return later.union(hits.where("id = first").join(own, ["key", "tag"]).where("at > first_at").select("doc_id", "at", "size"))
 
 
 def removed(spark: SparkSession, docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -47,7 +69,7 @@ def removed(spark: SparkSession, docs: DataFrame, run: int = RUN, min_words: int
 
     Null and empty texts have no sentences. Rows that repeat an id are taken together, as one document's runs.
     """
-    covered = repeated(spark, docs, run, min_words).select("doc_id", F.explode(F.sequence("at", F.col("at") + run - 1)).alias("sentence")).distinct()
+    covered = repeated(spark, docs, run, min_words).select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("sentence")).distinct()
     return covered.groupBy("doc_id").agg(F.array_sort(F.collect_list("sentence")).alias("removed"))
 
 

@@ -104,6 +104,15 @@ def test_sentences(spark):
     assert got[2]["text"] == "Other start here.\nOther end here."
 
 
+def test_sentences_of_any_length(spark):
+    long = " ".join(f"w{i}" for i in range(30)) + "."
+    short = "\n".join("one two three four five six seven eight nine ten".split())
+    han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u3002\u4ed6\u4eec\u5728\u5bb6\u91cc\u8bfb\u4e66\u5199\u5b57\u3002\u660e\u5929\u5927\u5bb6\u4e00\u8d77\u53bb\u4e0a\u5b66\u3002"
+    rows = [(1, f"Own. {long} End one."), (2, f"Other start. {long} End two."), (3, f"{short}\nx"), (4, f"{short}\ny"), (5, han), (6, han), (7, "Too short"), (8, "Too short")]
+    got = {r["doc_id"]: r["removed"] for r in sentences.removed(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [1], 4: list(range(10)), 6: [0, 1, 2]}
+
+
 def test_jpeg(spark, docs, monkeypatch):
     rng = np.random.default_rng(2)
     for n in (576, 576 * 13):
