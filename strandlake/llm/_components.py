@@ -27,3 +27,15 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if counts["n"] == counts["k"] and new.join(new.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return new.toDF("node", "component").union(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         now = new
+
+
+def roots(spark: SparkSession, parents: DataFrame) -> DataFrame:
+    """(node, component): where the chain of parents (node, parent) ends, for each node. Chains have no circle.
+
+    Each round doubles how far a row sees, and is written to the shared folder.
+    """
+    now = save(spark, parents.select("node", F.col("parent").alias("component"), F.lit(True).alias("open")), "roots")
+    while not now.where("open").isEmpty():
+        above = now.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        now = save(spark, now.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("open")), "roots")
+    return now.select("node", "component")

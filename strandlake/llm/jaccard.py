@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm._components import connected_components
+from strandlake.llm._components import connected_components, roots
 from strandlake.llm._store import save
 from strandlake.llm._text import STEP_BYTES, Step, mix, record_batch, steps, words
 
@@ -16,11 +16,7 @@ from strandlake.llm._text import STEP_BYTES, Step, mix, record_batch, steps, wor
 SKETCH = 1 << 17
 #: Shared prefix tokens that a document may ask for.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
-#: Star rounds before the pairs that are left are listed: they save work and change no result.
-ROUNDS = 2
-#: Documents with a token from which on pairs are compared by their prefixes before they are listed.
-HOT = 16
-#: Pairs of ids (16 bytes each) up to which they are broadcast.
+#: Pairs of nodes (32 bytes each), or ids of dropped rows, up to which they are broadcast.
 BROADCAST_PAIRS = 200_000
 #: What verifying one candidate (two whole texts) costs, in postings read or written.
 VERIFY_COST = 300.0
@@ -89,21 +85,25 @@ def choose_matches(frequency: np.ndarray, size: int, base: int) -> int:
     return best
 
 
+#: What a token says of itself: a node is a set of shingles, named by the smallest (id, hash of the text) that has it.
+NODE = "struct<doc_id: bigint, h: bigint>"
+
+
 def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig1, sig2, matches, prefix) for each row: the set's size, a 128-bit sum of its shingles, and its prefix.
+    """(doc_id, h, n, sig1, sig2, matches, rank, prefix) for each row: the text's hash, the set's size, a 128-bit sum of its shingles, and its prefix.
 
     Tokens stand in global order: rare ones (by the sketch) first, ties by hash. A document of n shingles shares at least
     ceil(percent * n / 100) with a partner, so that both have `matches` common tokens among the first
-    n - ceil(percent * n / 100) + matches.
+    n - ceil(percent * n / 100) + matches. rank: low where even the rarest tokens are frequent, as in the middle of a group of near copies.
     """
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, width))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("matches", pa.int32()), ("rank", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         seen = sketch.value
         usual = float(seen.mean())
         for b in batches:
-            ids = b.column("doc_id")
+            ids, h = b.column("doc_id"), b.column("h")
             for s in steps(b.column("text")):
                 key, at = shingles(s, width)
                 count = seen[(key % np.uint64(SKETCH)).astype(np.int64)]
@@ -114,7 +114,7 @@ def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -
                     sig2 = np.where(n > 0, np.add.reduceat(mix(key, 12), some), np.uint64(0))
                 else:
                     sig1 = sig2 = np.zeros(len(n), np.uint64)
-                matches, prefixes = np.ones(len(n), np.int32), []
+                matches, rank, prefixes = np.ones(len(n), np.int32), np.zeros(len(n), np.int32), []
                 order = np.lexsort((key, count, np.repeat(np.arange(len(n)), n)))
                 key, count = key[order], count[order]
                 others = np.maximum(0.0, count - usual - 2 * np.sqrt(usual))  # what chance alone does not bring to a class
@@ -123,101 +123,154 @@ def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -
                     own = slice(at[i], at[i + 1])
                     if size:
                         matches[i] = choose_matches(others[own], size, base)
+                        rank[i] = -100 * np.log2(1 + others[own][: base + 1]).mean()
                     prefixes.append(key[own][: base + matches[i]].view(np.int64) if size else np.zeros(0, np.int64))
-                yield record_batch(schema, [ids.slice(s.first, len(n)), n.astype(np.int32), sig1.view(np.int64), sig2.view(np.int64), matches, prefixes])
+                yield record_batch(schema, [ids.slice(s.first, len(n)), h.slice(s.first, len(n)), n.astype(np.int32), sig1.view(np.int64), sig2.view(np.int64), matches, rank, prefixes])
 
-    return save(spark, docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, sig1 long, sig2 long, matches int, prefix array<long>"), "signatures")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    return save(spark, rows.mapInArrow(run, "doc_id long, h long, n int, sig1 long, sig2 long, matches int, rank int, prefix array<long>"), "signatures")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union, by their whole texts."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The rows of pairs (nodes a and b, and more columns) whose sets have 100 * intersection >= percent * union, by their whole texts."""
 
     def run(batches):
         for b in batches:
-            ids = [b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]
             texts = [pc.fill_null(b.column(c).cast(pa.large_string()), "") for c in ("text_a", "text_b")]
+            rest = b.select([c for c in b.schema.names if c not in ("text_a", "text_b")])
             ends = np.cumsum(sum(pc.binary_length(t).to_numpy(zero_copy_only=False) for t in texts))
             i = 0
             while i < b.num_rows:
                 n = max(1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP_BYTES, "right")) - i)
-                part = [t.slice(i, n) for t in texts]
                 kept = np.zeros(n, bool)
-                for s in steps(pa.chunked_array(part).combine_chunks(), 1 << 62):
+                for s in steps(pa.chunked_array([t.slice(i, n) for t in texts]).combine_chunks(), 1 << 62):
                     key, at = shingles(s, width)
                     for k in range(n):
-                        x, y = key[at[k] : at[k + 1]], key[at[n + k] : at[n + k + 1]]
-                        both = np.concatenate([x, y])
+                        both = np.concatenate([key[at[k] : at[k + 1]], key[at[n + k] : at[n + k + 1]]])
                         both.sort()
                         common = int((both[1:] == both[:-1]).sum())
-                        kept[k] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield record_batch(schema, [ids[0][i : i + n][kept], ids[1][i : i + n][kept]])
+                        kept[k] = 100 * common >= percent * (len(both) - common)
+                yield rest.slice(i, n).filter(pa.array(kept))
                 i += n
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = docs.where("doc_id IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("node"), "text")
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    one = lambda *columns: [F.any_value(c).alias(c) for c in columns]  # noqa: E731  a repeated row is the same node and has the same text
     if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of pairs are shuffled
-        few = F.broadcast(pairs)
-        both = texts.toDF("a", "text_a").join(few, "a").join(texts.toDF("b", "text_b").join(few, "b"), ["a", "b"])
+        of_a = texts.toDF("a", "text_a").join(F.broadcast(pairs), "a").groupBy("a", "b").agg(*one(*rest, "text_a"))
+        both = of_a.join(texts.toDF("b", "text_b").join(F.broadcast(pairs.select("a", "b")), "b").groupBy("a", "b").agg(*one("text_b")), ["a", "b"])
     else:
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(*one("text"))
+        both = pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a")
+    schema = pairs.schema
+    return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(run, schema)
+
+
+def must(percent: int, a: str, b: str) -> str:
+    """Common tokens that sets of a and b tokens need, rounded up."""
+    return f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}"
+
+
+class Joined:
+    """Components as they grow: (node, component) of each node that has been linked to another; others are their own component."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.known = None
+
+    def merge(self, moved: DataFrame) -> None:
+        """moved: (node, component) of components, named by a node, that go into another one."""
+        if self.known is not None:
+            new = moved.toDF("component", "root")
+            moved = self.known.join(new, "component", "left").select("node", F.coalesce("root", "component").alias("component")).union(moved)
+        self.known = save(self.spark, moved, "known")
+
+
+def narrowed(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
+    """Postings that can still bring a new link: their token's group has several components, and a partner small enough for their place."""
+    groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"), F.count("*").alias("size")).where("lo < hi").drop("lo", "hi")
+    partner = f"greatest(least_n, ({percent} * n + 99) div 100)"
+    return save(spark, rows.drop("size").join(groups, "token").where(f"pos < n - {must(percent, 'n', partner)} + matches").drop("least_n"), "open")
 
 
 def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row, repeated rows included.
+    """(doc_id, h, n_shingles, component_id, component_h) for each row, repeated rows included; h is a hash of the text.
+
+    Equal sets make one node. First come rounds in which each component has one candidate: a lead of one of its tokens, the one
+    with which it shares most. So a group of near copies gathers around its middle, and pairs within it need no comparison. When a round
+    brings nothing or little is left, all pairs across components that have enough of their prefixes in common are verified.
+    Every candidate, also in the rounds, shares the number of prefix tokens that the two ask for.
 
-    Equal sets make one node, its smallest id. Nodes that share a prefix token are first compared with one lead of the
-    token's group, in a few rounds; then, where groups still hold several components, all pairs across these are compared:
-    no pairs come from within a component. An empty, null or wordless text has 0 shingles and itself as component; a null id stays null and
-    links with nothing. Rows that repeat an id are one node for each text.
+    An empty, null or wordless text has 0 shingles and itself as component; a null id stays null and links with nothing. Rows
+    that repeat an id are judged each by its own text. component_id and component_h are those of the component's first row, with the smallest id and,
+    where rows repeat that, the smallest hash.
     """
     made = signatures(spark, docs, width, percent)
     usable = made.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = usable.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node"))
-    first = usable.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "sig1", "sig2"], "left_semi").dropDuplicates(["doc_id", "n", "sig1", "sig2"])
-    postings = first.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("node"), "n", "matches")
-    groups = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    open_ = save(spark, postings.join(groups, "token", "left_semi").withColumn("component", F.col("node")), "postings")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    nodes = save(spark, usable.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "h")).alias("node"), F.any_value("matches").alias("matches"), F.any_value("rank").alias("rank"), F.any_value("prefix").alias("prefix")), "nodes")
+    postings = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "matches", "rank", F.col("node").alias("component"))
+    open_ = narrowed(spark, postings, percent)
+    texts = docs.select("doc_id", "text")
     similar_size = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    links = None
-    for turn in range(ROUNDS):
-        # One candidate for each node: of the leads of its groups, another in every round, the one with which it shares most tokens.
-        lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component", "n")).alias("lead")).select("token", F.col("lead.node").alias("a"), F.col("lead.component").alias("component_a"), F.col("lead.n").alias("n_a"))
-        near = open_.join(lead, "token").where("component <> component_a").withColumn("n_b", F.col("n")).where(similar_size).groupBy("node", "a").agg(F.count("*").alias("c"))
-        stars = save(spark, near.groupBy("node").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b")), "stars")
-        new = save(spark, verified(stars, texts, width, percent), "links")
-        links = new if links is None else links.union(new)
-        known = connected_components(spark, links)
-        labelled = open_.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
-        open_ = save(spark, labelled.drop("size").join(mixed, "token"), "open")
-    # What is left: pairs across components. With both sizes known, a pair needs `must` common tokens, so that the first one
-    # leaves enough to follow. In hot groups a pair is listed at its first common token only, and only if the prefixes,
-    # which may be shorter for the two, have `matches` tokens in common; a first token that is not hot lists it as well.
-    must = f"CAST(ceil({percent} * (n_a + n_b) / {100.0 + percent}D - 1e-9D) AS int)"
-    least = "least(matches_a, matches_b)"
-    across = f"token_a = token_b AND node_a < node_b AND component_a <> component_b AND pos_a <= n_a - {must} AND pos_b <= n_b - {must}"
-    first_common = (
-        "array_intersect(prefix_a, prefix_b)[0] = token_a"
-        f" AND size(array_intersect(slice(prefix_a, 1, n_a - {must} + {least}), slice(prefix_b, 1, n_b - {must} + {least}))) >= {least}"
-    )
-
-    def listed(rows: DataFrame, rule: str) -> DataFrame:
-        a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab")
-        return a.join(b, F.expr(rule) & similar_size).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-    plain = open_.select("token", "pos", "node", "n", "matches", "component", "size")
-    hot = plain.where(f"size > {HOT}").drop("size").join(first.select(F.col("doc_id").alias("node"), "prefix"), "node")
-    candidates = save(spark, listed(plain.where(f"size <= {HOT}").drop("size"), across).distinct().union(listed(hot, f"{across} AND {first_common}")).distinct(), "pairs")
-    links = links.union(verified(candidates, texts, width, percent))
-    final = connected_components(spark, links)
-    of_node = nodes.join(final, "node", "left").select("n", "sig1", "sig2", F.coalesce("component", "node").alias("component_id"))
-    out = made.join(of_node, ["n", "sig1", "sig2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    common, enough = must(percent, "n_a", "n_b"), "least(matches_a, matches_b)"
+    grown, turn = Joined(spark), 0
+    while True:
+        left = open_.agg(F.count("*").alias("rows"), F.sum("size").alias("comparisons")).first()
+        if not left["rows"] or turn and left["comparisons"] <= 4 * left["rows"]:
+            break
+        # Leads are the first of their tokens' groups in one order of components, another in each round: links go down in it and make no circle.
+        first = F.col("rank").cast("long") if turn == 0 else F.xxhash64("component", F.lit(turn))
+        by = open_.withColumn("place", F.struct(first.alias("first"), "component"))
+        lead = by.groupBy("token").agg(F.min(F.struct("place", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "matches")).alias("lead"))
+        lead = lead.select("token", F.col("lead.place.component").alias("component_a"), F.col("lead.node").alias("a"), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "pos", "matches")))
+        near = open_.select("token", "component", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "pos", "matches"))).join(lead, "token").where("component <> component_a").where(similar_size)
+        near = near.where(f"pos_a < n_a - {common} + {enough} AND pos_b < n_b - {common} + {enough}").groupBy("component", "component_a", "a", "b", "matches_a", "matches_b").agg(F.count("*").alias("c")).where(f"c >= {enough}")
+        best = near.groupBy("component").agg(F.max(F.struct("c", "a", "b", "component_a")).alias("best")).select("component", "best.component_a", "best.a", "best.b")
+        moved = save(spark, verified(save(spark, best, "stars"), texts, width, percent).select(F.col("component").alias("node"), F.col("component_a").alias("parent")), "moved")
+        n_moved = moved.count()
+        if n_moved:
+            to = roots(spark, moved)
+            grown.merge(to)
+            open_ = narrowed(spark, open_.join(to.toDF("component", "root"), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), percent)
+        turn += 1
+        if n_moved * left["comparisons"] < left["rows"] ** 2:  # a further round would read more rows than it saves comparisons
+            break
+    # What is left: pairs across components. With both sizes known, their first common token leaves room for `common` - 1 to follow.
+    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "node", "n", "matches", "component"))) for s in "ab")
+    across = a.join(b, "token").where(f"node_a < node_b AND component_a <> component_b AND pos_a <= n_a - {common} AND pos_b <= n_b - {common}").where(similar_size)
+    pairs = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "matches_a", "matches_b", "component_a", "component_b").distinct()
+    of_a, of_b = (nodes.select(F.col("node").alias(s), F.col("prefix").alias(f"prefix_{s}")) for s in "ab")
+    shared = f"size(array_intersect(slice(prefix_a, 1, n_a - {common} + {enough}), slice(prefix_b, 1, n_b - {common} + {enough}))) >= {enough}"
+    pairs = save(spark, save(spark, pairs, "listed").join(of_a, "a").join(of_b, "b").where(shared).select("a", "b", "component_a", "component_b"), "pairs")
+    edges = verified(pairs, texts, width, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    edges = save(spark, edges, "links")
+    if not edges.isEmpty():
+        grown.merge(connected_components(spark, edges).where("node <> component"))
+    of_node = nodes.select("n", "sig1", "sig2", "node")
+    if grown.known is None:
+        of_node = of_node.withColumn("first", F.col("node"))
+    else:
+        ids = grown.known.groupBy("component").agg(F.least(F.min("node"), F.col("component")).alias("first"))
+        linked = grown.known.join(ids, "component").select("node", "first").union(ids.select("component", "first"))
+        of_node = of_node.join(linked, "node", "left").withColumn("first", F.coalesce("first", "node"))
+    out = usable.join(of_node.drop("node"), ["n", "sig1", "sig2"], "left").select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("component_h"))
+    return out.union(made.where("n = 0 OR doc_id IS NULL").select("doc_id", "h", F.col("n").cast("long"), F.col("doc_id").alias("component_id"), F.col("h").alias("component_h")))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id stays; rows with a null id stay."""
-    kept = components(spark, docs, width, percent).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents without near copies, with all their columns: of each component one row with the smallest id stays.
+
+    Where rows repeat that id, the one with the smallest hash of its text stays, and of equal rows one. Rows without words or with a null id all stay.
+    """
+    found = components(spark, docs, width, percent).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    judged = save(spark, found.groupBy("doc_id", "h", ((F.col("doc_id") != F.col("component_id")) | (F.col("h") != F.col("component_h"))).alias("goes")).agg(F.count("*").alias("rows")), "judged")
+    goes, again = judged.where("goes").select("doc_id", "h"), judged.where("NOT goes AND rows > 1").select("doc_id", "h")
+
+    def rows_of(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_PAIRS else keys
+        return df.join(keys, (df["doc_id"].cast("long") == keys["doc_id"]) & (F.xxhash64(df["text"]) == keys["h"]), how)
+
+    left = rows_of(docs, goes, "left_anti")
+    if again.isEmpty():
+        return left
+    return rows_of(left, again, "left_anti").union(rows_of(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))

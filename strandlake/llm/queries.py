@@ -43,7 +43,7 @@ def op6_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(spark, table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard.components(spark, table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
