@@ -85,19 +85,20 @@ def choose_matches(frequency: np.ndarray, size: int, base: int) -> int:
     return best
 
 
-#: What a token says of itself: a node is a set of shingles, named by the smallest (id, hash of the text) that has it.
-NODE = "struct<doc_id: bigint, h: bigint>"
+#: Classes of shingle hashes whose sizes bound how many shingles two sets can share.
+CLASSES = 256
 
 
 def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, h, n, sig1, sig2, matches, rank, prefix) for each row: the text's hash, the set's size, a 128-bit sum of its shingles, and its prefix.
+    """(doc_id, h, n, sig1, sig2, matches, rank, prefix, classes) for each row: the text's hash, the set's size, a 128-bit sum of its shingles, its prefix, and a byte for each class of shingles.
 
     Tokens stand in global order: rare ones (by the sketch) first, ties by hash. A document of n shingles shares at least
     ceil(percent * n / 100) with a partner, so that both have `matches` common tokens among the first
     n - ceil(percent * n / 100) + matches. rank: low where even the rarest tokens are frequent, as in the middle of a group of near copies.
+    classes: how many shingles fall into each class; 255 stands for more as well.
     """
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, width))
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("matches", pa.int32()), ("rank", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("matches", pa.int32()), ("rank", pa.int32()), ("prefix", pa.list_(pa.int64())), ("classes", pa.binary())])
 
     def run(batches):
         seen = sketch.value
@@ -108,14 +109,16 @@ def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -
                 key, at = shingles(s, width)
                 count = seen[(key % np.uint64(SKETCH)).astype(np.int64)]
                 n = np.diff(at)
+                doc = np.repeat(np.arange(len(n)), n)
                 if len(key):
                     some = np.minimum(at[:-1], len(key) - 1)
                     sig1 = np.where(n > 0, np.add.reduceat(mix(key, 11), some), np.uint64(0))
                     sig2 = np.where(n > 0, np.add.reduceat(mix(key, 12), some), np.uint64(0))
                 else:
                     sig1 = sig2 = np.zeros(len(n), np.uint64)
+                classes = np.minimum(np.bincount(doc * CLASSES + (mix(key, 13) % np.uint64(CLASSES)).astype(np.int64), minlength=len(n) * CLASSES), 255).astype(np.uint8).reshape(len(n), CLASSES)
                 matches, rank, prefixes = np.ones(len(n), np.int32), np.zeros(len(n), np.int32), []
-                order = np.lexsort((key, count, np.repeat(np.arange(len(n)), n)))
+                order = np.lexsort((key, count, doc))
                 key, count = key[order], count[order]
                 others = np.maximum(0.0, count - usual - 2 * np.sqrt(usual))  # what chance alone does not bring to a class
                 for i, size in enumerate(n.tolist()):
@@ -125,14 +128,30 @@ def signatures(spark: SparkSession, docs: DataFrame, width: int, percent: int) -
                         matches[i] = choose_matches(others[own], size, base)
                         rank[i] = -100 * np.log2(1 + others[own][: base + 1]).mean()
                     prefixes.append(key[own][: base + matches[i]].view(np.int64) if size else np.zeros(0, np.int64))
-                yield record_batch(schema, [ids.slice(s.first, len(n)), h.slice(s.first, len(n)), n.astype(np.int32), sig1.view(np.int64), sig2.view(np.int64), matches, rank, prefixes])
+                yield record_batch(schema, [ids.slice(s.first, len(n)), h.slice(s.first, len(n)), n.astype(np.int32), sig1.view(np.int64), sig2.view(np.int64), matches, rank, prefixes, [c.tobytes() for c in classes]])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    return save(spark, rows.mapInArrow(run, "doc_id long, h long, n int, sig1 long, sig2 long, matches int, rank int, prefix array<long>"), "signatures")
+    return save(spark, rows.mapInArrow(run, "doc_id long, h long, n int, sig1 long, sig2 long, matches int, rank int, prefix array<long>, classes binary"), "signatures")
+
+
+def possible(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows whose two sets (n_a, n_b, classes_a, classes_b) can share enough shingles: no more than the smaller count of each class. The classes go."""
+    left = rows.drop("classes_a", "classes_b")
+    columns = left.columns
+
+    def run(batches):
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(b.column(f"classes_{s}").to_pylist()), np.uint8).reshape(-1, CLASSES) for s in "ab")
+            n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            most = np.minimum(a, c)
+            kept = ((100 + percent) * most.sum(1, dtype=np.int64) >= percent * n) | (most == 255).any(1)
+            yield b.select(columns).filter(pa.array(kept))
+
+    return rows.mapInArrow(run, left.schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows of pairs (nodes a and b, and more columns) whose sets have 100 * intersection >= percent * union, by their whole texts."""
+    """The rows of pairs (key_a and key_b, each a doc_id and its text's hash, and more columns) whose sets have 100 * intersection >= percent * union, by their whole texts."""
 
     def run(batches):
         for b in batches:
@@ -153,17 +172,16 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 yield rest.slice(i, n).filter(pa.array(kept))
                 i += n
 
-    texts = docs.where("doc_id IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("node"), "text")
-    rest = [c for c in pairs.columns if c not in ("a", "b")]
-    one = lambda *columns: [F.any_value(c).alias(c) for c in columns]  # noqa: E731  a repeated row is the same node and has the same text
+    texts = docs.where("doc_id IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("key"), "text")
+    rest = [c for c in pairs.columns if c not in ("key_a", "key_b")]
+    one = lambda *columns: [F.any_value(c).alias(c) for c in columns]  # noqa: E731  a repeated row has the same key and text
     if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of pairs are shuffled
-        of_a = texts.toDF("a", "text_a").join(F.broadcast(pairs), "a").groupBy("a", "b").agg(*one(*rest, "text_a"))
-        both = of_a.join(texts.toDF("b", "text_b").join(F.broadcast(pairs.select("a", "b")), "b").groupBy("a", "b").agg(*one("text_b")), ["a", "b"])
+        of_a = texts.toDF("key_a", "text_a").join(F.broadcast(pairs), "key_a").groupBy("key_a", "key_b").agg(*one(*rest, "text_a"))
+        both = of_a.join(texts.toDF("key_b", "text_b").join(F.broadcast(pairs.select("key_a", "key_b")), "key_b").groupBy("key_a", "key_b").agg(*one("text_b")), ["key_a", "key_b"])
     else:
-        needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(*one("text"))
-        both = pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a")
-    schema = pairs.schema
-    return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(run, schema)
+        needed = texts.join(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct(), "key", "left_semi").groupBy("key").agg(*one("text"))
+        both = pairs.join(needed.toDF("key_b", "text_b"), "key_b").join(needed.toDF("key_a", "text_a"), "key_a")
+    return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(run, pairs.schema)
 
 
 def must(percent: int, a: str, b: str) -> str:
@@ -207,12 +225,23 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
     """
     made = signatures(spark, docs, width, percent)
     usable = made.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = save(spark, usable.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "h")).alias("node"), F.any_value("matches").alias("matches"), F.any_value("rank").alias("rank"), F.any_value("prefix").alias("prefix")), "nodes")
-    postings = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "matches", "rank", F.col("node").alias("component"))
-    open_ = narrowed(spark, postings, percent)
+    first_row = usable.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "h")).alias("key"), *(F.any_value(c).alias(c) for c in ("matches", "rank", "prefix", "classes")))
+    nodes = save(spark, first_row.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Most tokens are in one document only: these are counted away before postings are shuffled.
+    shared = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    postings = nodes.select("node", F.posexplode("prefix").alias("pos", "token"), "n", "matches", "rank").join(shared, "token", "left_semi")
+    open_ = narrowed(spark, postings.withColumn("component", F.col("node")), percent)
     texts = docs.select("doc_id", "text")
     similar_size = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     common, enough = must(percent, "n_a", "n_b"), "least(matches_a, matches_b)"
+    of_a, of_b = (nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "matches", "prefix", "classes"))) for s in "ab")
+    both = ["key_a", "key_b", "component_a", "component_b"]
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """(component_a, component_b) of the pairs (a, b) whose texts are similar."""
+        seen = pairs.join(of_a.drop("prefix_a", "matches_a"), "a").join(of_b.drop("prefix_b", "matches_b"), "b").select(*both, "n_a", "n_b", "classes_a", "classes_b")
+        return save(spark, verified(save(spark, possible(seen, percent).select(both), "pairs"), texts, width, percent).select("component_a", "component_b"), "links")
+
     grown, turn = Joined(spark), 0
     while True:
         left = open_.agg(F.count("*").alias("rows"), F.sum("size").alias("comparisons")).first()
@@ -220,13 +249,12 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
             break
         # Leads are the first of their tokens' groups in one order of components, another in each round: links go down in it and make no circle.
         first = F.col("rank").cast("long") if turn == 0 else F.xxhash64("component", F.lit(turn))
-        by = open_.withColumn("place", F.struct(first.alias("first"), "component"))
-        lead = by.groupBy("token").agg(F.min(F.struct("place", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "matches")).alias("lead"))
-        lead = lead.select("token", F.col("lead.place.component").alias("component_a"), F.col("lead.node").alias("a"), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "pos", "matches")))
-        near = open_.select("token", "component", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "pos", "matches"))).join(lead, "token").where("component <> component_a").where(similar_size)
-        near = near.where(f"pos_a < n_a - {common} + {enough} AND pos_b < n_b - {common} + {enough}").groupBy("component", "component_a", "a", "b", "matches_a", "matches_b").agg(F.count("*").alias("c")).where(f"c >= {enough}")
-        best = near.groupBy("component").agg(F.max(F.struct("c", "a", "b", "component_a")).alias("best")).select("component", "best.component_a", "best.a", "best.b")
-        moved = save(spark, verified(save(spark, best, "stars"), texts, width, percent).select(F.col("component").alias("node"), F.col("component_a").alias("parent")), "moved")
+        lead = open_.groupBy("token").agg(F.min(F.struct(first.alias("first"), "component", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "matches")).alias("lead"))
+        lead = lead.select("token", F.col("lead.component").alias("component_a"), F.col("lead.node").alias("a"), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "pos", "matches")))
+        near = open_.select("token", F.col("component").alias("component_b"), F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "pos", "matches"))).join(lead, "token").where("component_b <> component_a").where(similar_size)
+        near = near.where(f"pos_a < n_a - {common} + {enough} AND pos_b < n_b - {common} + {enough}").groupBy("component_b", "component_a", "a", "b", "matches_a", "matches_b").agg(F.count("*").alias("c")).where(f"c >= {enough}")
+        stars = near.groupBy("component_b").agg(F.max(F.struct("c", "a", "b", "component_a")).alias("best")).select("component_b", "best.component_a", "best.a", "best.b")
+        moved = links(save(spark, stars, "stars")).select(F.col("component_b").alias("node"), F.col("component_a").alias("parent"))
         n_moved = moved.count()
         if n_moved:
             to = roots(spark, moved)
@@ -236,23 +264,20 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
         if n_moved * left["comparisons"] < left["rows"] ** 2:  # a further round would read more rows than it saves comparisons
             break
     # What is left: pairs across components. With both sizes known, their first common token leaves room for `common` - 1 to follow.
-    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "node", "n", "matches", "component"))) for s in "ab")
-    across = a.join(b, "token").where(f"node_a < node_b AND component_a <> component_b AND pos_a <= n_a - {common} AND pos_b <= n_b - {common}").where(similar_size)
-    pairs = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "matches_a", "matches_b", "component_a", "component_b").distinct()
-    of_a, of_b = (nodes.select(F.col("node").alias(s), F.col("prefix").alias(f"prefix_{s}")) for s in "ab")
-    shared = f"size(array_intersect(slice(prefix_a, 1, n_a - {common} + {enough}), slice(prefix_b, 1, n_b - {common} + {enough}))) >= {enough}"
-    pairs = save(spark, save(spark, pairs, "listed").join(of_a, "a").join(of_b, "b").where(shared).select("a", "b", "component_a", "component_b"), "pairs")
-    edges = verified(pairs, texts, width, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
-    edges = save(spark, edges, "links")
+    a, b = (open_.select("token", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "component"))) for s in "ab")
+    across = a.join(b, "token").where(f"a < b AND component_a <> component_b AND pos_a <= n_a - {common} AND pos_b <= n_b - {common}").where(similar_size)
+    listed = save(spark, across.select("a", "b", "component_a", "component_b").distinct(), "listed")
+    prefixes = listed.join(of_a.drop("key_a", "classes_a"), "a").join(of_b.drop("key_b", "classes_b"), "b")
+    sharing = prefixes.where(f"size(array_intersect(slice(prefix_a, 1, n_a - {common} + {enough}), slice(prefix_b, 1, n_b - {common} + {enough}))) >= {enough}")
+    edges = links(sharing.select(listed.columns)).toDF("a", "b")
     if not edges.isEmpty():
         grown.merge(connected_components(spark, edges).where("node <> component"))
-    of_node = nodes.select("n", "sig1", "sig2", "node")
-    if grown.known is None:
-        of_node = of_node.withColumn("first", F.col("node"))
-    else:
-        ids = grown.known.groupBy("component").agg(F.least(F.min("node"), F.col("component")).alias("first"))
-        linked = grown.known.join(ids, "component").select("node", "first").union(ids.select("component", "first"))
-        of_node = of_node.join(linked, "node", "left").withColumn("first", F.coalesce("first", "node"))
+    of_node = nodes.select("n", "sig1", "sig2", "node", F.col("key").alias("first"))
+    if grown.known is not None:
+        linked = grown.known.union(grown.known.select(F.col("component").alias("node"), "component").distinct())
+        linked = save(spark, linked.join(nodes.select("node", "key"), "node"), "linked")
+        ids = linked.groupBy("component").agg(F.min("key").alias("least"))
+        of_node = of_node.join(linked.join(ids, "component").select("node", "least"), "node", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
     out = usable.join(of_node.drop("node"), ["n", "sig1", "sig2"], "left").select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("component_h"))
     return out.union(made.where("n = 0 OR doc_id IS NULL").select("doc_id", "h", F.col("n").cast("long"), F.col("doc_id").alias("component_id"), F.col("h").alias("component_h")))
 
