@@ -15,9 +15,9 @@ _HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H
 
 _ROWS = f"sy AS (SELECT doc_id, pos, c, CASE WHEN c = ' ' THEN 1 ELSE 0 END AS gap, CASE WHEN c IN ('S', 'T') THEN 1 ELSE 0 END AS st FROM {{symbols}} s), o AS (SELECT doc_id - 1 AS doc_id, pos, c AS oc, gap AS ogap, max(st) {_W[:-1]} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_st, max(gap) {_W[:-1]} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near_gap FROM sy)"
 _WEIGHT = " + ".join(f"coalesce((({k + 3} * 7 + ascii({'c' if not k else f'{'lead' if k > 0 else 'lag'}(c, {abs(k)}) {_W}'}) * 13) % 17 - 8) / 4e0, 0e0)" for k in range(-3, 4))
-_COUNTS = ", ".join(["length(w) - " + _share("ST", "w") + " AS size", *(f"length(w) - length(replace(w, '{x}', '')) AS n_{x}" for x in _OTHERS)])
+_COUNTS = ", ".join([_share(_OTHERS, "w") + " AS size", *(f"length(w) - length(replace(w, '{x}', '')) AS n_{x}" for x in _OTHERS)])
 # Hydropathy is summed in tenths: whole numbers have the same sum in any order.
-_PROFILE = ", ".join([*(f"round(n_{x} / nullif(1e0 * size, 0), 9) AS {x.lower()}" for x in _OTHERS), f"round(({' + '.join(f'{round(10 * v)} * n_{x}' for x, v in _HYDROPATHY.items())}) / nullif(1e1 * size, 0), 9) AS hydropathy"])
+_PROFILE = ", ".join([*(f"round(n_{x} / (1e0 * greatest(size, 1)), 9) AS {x.lower()}" for x in _OTHERS), f"round(({' + '.join(f'{round(10 * v)} * n_{x}' for x, v in _HYDROPATHY.items())}) / (1e1 * greatest(size, 1)), 9) AS hydropathy"])
 _SEGMENTS = " UNION ALL ".join(f"SELECT doc_id, CAST(center AS BIGINT) AS center, CAST({r} AS BIGINT) AS radius, {_window(r)} AS w FROM ({_CENTERS}) c" for r in (10, 20, 40))
 
 
@@ -27,8 +27,8 @@ SHARED: dict[str, str] = {
     # Changes away from letters that don't bind, no gap within three columns: gain where the new letter binds.
     "substitutions": f"WITH {_ROWS} SELECT sy.doc_id, count(*) AS n_changes, CAST(sum(CASE WHEN oc IN ({_STICKY}) THEN 1 ELSE 0 END) AS BIGINT) AS n_gain FROM sy JOIN o ON sy.doc_id = o.doc_id AND sy.pos = o.pos WHERE gap = 0 AND near_gap = 0 AND c <> oc AND c NOT IN ({_STICKY}) GROUP BY sy.doc_id",
     "category_identity": f"WITH {_ROWS} SELECT sy.doc_id, " + ", ".join(f"round(avg(CASE WHEN c IN ({', '.join(repr(x) for x in letters)}) THEN CASE WHEN c = oc THEN 1e0 ELSE 0e0 END END), 9) AS {name}" for name, letters in _CATEGORIES.items()) + " FROM sy JOIN o ON sy.doc_id = o.doc_id AND sy.pos = o.pos WHERE gap = 0 AND ogap = 0 GROUP BY sy.doc_id",
-    # All places, overlapping ones too, of each item's piece of 12 symbols: a hash join on windows, not a search by item.
-    "substring_spans": f"WITH w AS (SELECT doc_id, pos, concat(c, {', '.join(f'lead(c, {k}) {_W}' for k in range(1, 12))}) AS w FROM {{symbols}} s) SELECT item_id, doc_id, pos AS span_start, pos + 11 AS span_end FROM w JOIN (SELECT item_id, translate(substr(text, 9, 12), '{_SMALL}', '{_LARGE}') AS piece FROM benchmark WHERE length(text) >= 20) b ON w = piece",
+    # Occurrences, overlapping ones too, of a peptide (three symbols of its own entity's text) that contain a site: a start is at most two symbols before it.
+    "substring_spans": f"SELECT entity, site, CAST(site - k AS BIGINT) AS span_start, CAST(site - k + 2 AS BIGINT) AS span_end FROM (SELECT DISTINCT h.entity, h.pos + 1 AS site, translate(d.text, '{_SMALL}', '{_LARGE}') AS t FROM {{hours}} h JOIN documents d ON d.doc_id = h.entity WHERE length(d.text) > h.pos) s CROSS JOIN (SELECT EACH((0, 2)) AS k) g WHERE site > k AND substr(t, CAST(site - k AS INTEGER), 3) = substr(t, 11, 3) AND length(t) >= 13",
     # A matrix by rule scores the seven symbols around each S or T; percentiles come from the few distinct scores.
     "pssm_score": f"WITH w AS (SELECT doc_id, c, {_WEIGHT} AS score FROM {{symbols}} s), k AS (SELECT doc_id, score FROM w WHERE c IN ('S', 'T')), n AS (SELECT score, count(*) AS n FROM k GROUP BY score), p AS (SELECT score, 100e0 * sum(n) OVER (ORDER BY score) / sum(n) OVER () AS percentile FROM n) SELECT doc_id, count(*) AS n_sites, CAST(sum(CASE WHEN percentile > 90 THEN 1 ELSE 0 END) AS BIGINT) AS n_high, round(max(percentile), 6) AS best FROM k JOIN p ON k.score = p.score GROUP BY doc_id",
     "nonst_composition": f"SELECT doc_id, center, radius, {_PROFILE} FROM (SELECT doc_id, center, radius, {_COUNTS} FROM ({_SEGMENTS}) w) k",

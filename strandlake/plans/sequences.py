@@ -36,6 +36,8 @@ def _share(letters: str, segment: str = "seg") -> str:
 
 #: The letters that each feature of a window counts.
 _FEATURES = {"st": "ST", "acidic": "DE", "aromatic": "FWY", "alanine": "A", "proline": "P", "qn": "QN", "disordered": "PESQKRGDN"}
+#: The letters whose shares make a composition, beside the net charge of K and R over D and E.
+_COMPOSITION = {"acidic": "DE", "alanine": "A", "aromatic": "FWY", "proline": "P", "qn": "QN", "aliphatic": "AVILM"}
 _CENTERS = f"SELECT doc_id, t, EACH((11, length(t) - 10, 10)) AS center FROM (SELECT doc_id, translate(text, '{_SMALL}', '{_LARGE}') AS t FROM documents WHERE length(text) >= 21) x"
 
 

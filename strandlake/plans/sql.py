@@ -23,16 +23,24 @@ pool AS (SELECT DISTINCT entity, pos FROM sites),
 near_pool AS (SELECT entity, pos, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM pool),
 expected AS (SELECT entity, count(*) AS n_all, sum(d) / 2e0 AS e_all FROM near_pool GROUP BY entity),
 eff AS (SELECT s.entity, s.mark, s.n, s.e / (s.n * (s.n - 1) / 2e0) AS obs, x.e_all / (x.n_all * (x.n_all - 1) / 2e0) AS nul FROM seen s JOIN expected x ON s.entity = x.entity)"""
-_RANKED = _FRACTIONS + """, base AS (SELECT entity, obs, nul, obs - nul AS effect, row_number() OVER (ORDER BY obs - nul DESC, entity) AS r, count(*) OVER () AS total FROM eff WHERE mark = 'purchase')"""
+# Ranks over all entities by buckets of the effect, which lies between -1 and 1: a window runs within a bucket, and offsets come from
+# the few buckets' sums, so that no task gets all rows. o_below and x_below: sums over the entities of lower rank.
+_DOWN = "OVER (PARTITION BY bucket ORDER BY obs - nul, entity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_RANKED = _FRACTIONS + f""", bucketed AS (SELECT entity, obs, nul, CAST(floor((obs - nul) * 512e0) AS BIGINT) AS bucket FROM eff WHERE mark = 'purchase'),
+buckets AS (SELECT bucket, count(*) AS n, sum(obs) AS o, sum(nul) AS x FROM bucketed GROUP BY bucket),
+offsets AS (SELECT bucket, sum(n) OVER () AS total, coalesce(sum(n) OVER (ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, coalesce(sum(o) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS o_lower, coalesce(sum(x) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS x_lower FROM buckets),
+base AS (SELECT entity, obs, nul, obs - nul AS effect, CAST(above + row_number() OVER (PARTITION BY b.bucket ORDER BY obs - nul DESC, entity) AS BIGINT) AS r, CAST(total AS BIGINT) AS total, o_lower + coalesce(sum(obs) {_DOWN.replace('bucket', 'b.bucket')}, 0e0) AS o_below, x_lower + coalesce(sum(nul) {_DOWN.replace('bucket', 'b.bucket')}, 0e0) AS x_below FROM bucketed b JOIN offsets f ON b.bucket = f.bucket)"""
 _SCORED = "scored AS (SELECT d.doc_id, d.lang, l.quality AS label, length(d.text) - length(replace(d.text, ' ', '')) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL)"
-_TILES = "docs AS (SELECT doc_id, text, length(text) AS len FROM documents WHERE n_chars BETWEEN 51 AND 2000 AND lang = 'en')"
+#: Radii at which an entity has to be positive, each as (entity, mark, effect).
+_RADII = (5, 10, 25)
+_SCALES = _SITES + ", near AS (SELECT entity, mark" + "".join(f", count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1 AS d{r}" for r in _RADII) + " FROM sites), seen AS (SELECT entity, mark, count(*) AS n" + "".join(f", sum(d{r}) / 2e0 AS e{r}" for r in _RADII) + " FROM near GROUP BY entity, mark HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), near_pool AS (SELECT entity" + "".join(f", count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1 AS d{r}" for r in _RADII) + " FROM pool), expected AS (SELECT entity, count(*) AS n_all" + "".join(f", sum(d{r}) / 2e0 AS x{r}" for r in _RADII) + " FROM near_pool GROUP BY entity), wide AS (SELECT s.entity, s.mark" + "".join(f", e{r} / (n * (n - 1) / 2e0) - x{r} / (n_all * (n_all - 1) / 2e0) AS f{r}" for r in _RADII) + " FROM seen s JOIN expected x ON s.entity = x.entity), scales AS (" + " UNION ALL ".join(f"SELECT entity, mark, f{r} AS effect FROM wide" for r in _RADII) + ")"
 
 SHARED: dict[str, str] = {
     "scan_project": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderstatus = 'F'",
     "filter_in": "SELECT mark, count(*) AS n, round(avg(value), 6) AS mean_value FROM {hours} h WHERE mark IN ('purchase', 'view') AND value >= 10 GROUP BY mark",
     "distinct_sites": "SELECT DISTINCT entity, mark, pos FROM {hours} h",
-    "coerce_cast": "SELECT doc_id, CAST(floor(x) AS BIGINT) AS pos FROM (SELECT doc_id, try_cast(substr(text, 1, 3) AS DOUBLE) AS x FROM documents) t WHERE x IS NOT NULL",
-    "validate_sites": "SELECT doc_id, k * 7 AS pos, substr(text, CAST(k * 7 AS INTEGER), 1) AS symbol FROM (SELECT doc_id, text, length(text) AS len FROM documents) d CROSS JOIN (SELECT event_id + 1 AS k FROM events WHERE event_id < 20) g WHERE k * 7 <= len AND substr(text, CAST(k * 7 AS INTEGER), 1) IN ('s', 't')",
+    "coerce_cast": "SELECT page_id, CAST(floor(x) AS BIGINT) AS number FROM (SELECT page_id, try_cast(last AS DOUBLE) AS x FROM (SELECT page_id, regexp_replace(url, '^.*/', '') AS last FROM pages) u) t WHERE x IS NOT NULL",
+    "validate_sites": "WITH " + _SITES + " SELECT s.entity, s.mark, s.pos, substr(d.text, CAST(s.pos + 1 AS INTEGER), 1) AS symbol FROM sites s JOIN documents d ON d.doc_id = s.entity WHERE substr(d.text, CAST(s.pos + 1 AS INTEGER), 1) IN ('s', 't')",
     "validate_audit": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c.c_custkey IS NULL THEN 'missing' WHEN o.o_totalprice < 1000 THEN 'out_of_range' WHEN substr(c.c_mktsegment, 1, 1) <> 'B' THEN 'mismatch' ELSE 'ok' END AS reason FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey) t GROUP BY reason",
     "dup_key_check": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "median_matched_subset": "WITH m AS (SELECT median(n_chars) AS c, median(CAST(length(text) - length(replace(text, 't', '')) AS DOUBLE)) AS t FROM documents) SELECT doc_id FROM documents CROSS JOIN m WHERE n_chars >= c AND length(text) - length(replace(text, 't', '')) >= t",
@@ -50,21 +58,21 @@ SHARED: dict[str, str] = {
     "pivot_effects": "WITH " + _FRACTIONS + " SELECT entity, round(max(CASE WHEN mark = 'purchase' THEN obs - nul END), 9) AS purchase, round(max(CASE WHEN mark = 'view' THEN obs - nul END), 9) AS viewed, round(max(CASE WHEN mark = 'click' THEN obs - nul END), 9) AS click FROM eff GROUP BY entity",
     "entity_fold_pairs": "WITH " + _FRACTIONS + " SELECT a.entity, round(a.obs / a.nul, 9) AS fold_a, round(b.obs / b.nul, 9) AS fold_b FROM eff a JOIN eff b ON a.entity = b.entity WHERE a.mark = 'purchase' AND b.mark = 'view' AND a.nul > 0 AND a.obs > 0 AND b.obs > 0",
     "rank_effects": "WITH " + _RANKED + " SELECT entity, r, total, round(effect, 9) AS effect FROM base",
-    "adversarial_curve": "WITH " + _RANKED + ", grid AS (SELECT event_id AS pct FROM events WHERE event_id BETWEEN 0 AND 80), cut AS (SELECT pct, CAST(floor((SELECT max(total) FROM base) * pct / 100e0) AS BIGINT) AS removed FROM grid), suffix AS (SELECT r, avg(obs) OVER w AS o, avg(nul) OVER w AS x, count(*) OVER w AS left_n FROM base WINDOW w AS (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT pct, removed, left_n, round(o / x, 9) AS group_fold FROM cut JOIN suffix ON r = removed + 1",
-    "single_step_curve": "WITH " + _RANKED + " SELECT r AS removed, round(avg(obs) OVER w / avg(nul) OVER w, 9) AS group_fold FROM base WINDOW w AS (ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)",
-    "first_crossing": "WITH " + _RANKED + ", curve AS (SELECT r, avg(obs) OVER w / avg(nul) OVER w AS fold FROM base WINDOW w AS (ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT min(r) FILTER (WHERE fold < 1) AS first_below, count(*) AS n FROM curve",
-    "random_envelope": "WITH " + _RANKED + ", reps AS (SELECT event_id AS rep FROM events WHERE event_id BETWEEN 1 AND 50), shuffled AS (SELECT rep, obs, nul, total, row_number() OVER (PARTITION BY rep ORDER BY md5(concat(CAST(entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)))), entity) AS k FROM base CROSS JOIN reps), folds AS (SELECT rep, avg(obs) / avg(nul) AS fold FROM shuffled WHERE k > total / 4e0 GROUP BY rep) SELECT count(*) AS n, round(min(fold), 9) AS lo, round(median(fold), 9) AS mid, round(max(fold), 9) AS hi FROM folds",
+    "adversarial_curve": "WITH " + _RANKED + ", cut AS (SELECT CAST(pct AS BIGINT) AS pct, CAST(floor(n * pct / 100e0) AS BIGINT) AS removed FROM (SELECT EACH((0, 80)) AS pct, n FROM (SELECT sum(n) AS n FROM buckets) t) g) SELECT pct, removed, total - removed AS left_n, round((o_below + obs) / (x_below + nul), 9) AS group_fold FROM cut JOIN base ON r = removed + 1",
+    "single_step_curve": "WITH " + _RANKED + " SELECT r AS removed, CASE WHEN r < total THEN round(o_below / x_below, 9) END AS group_fold FROM base",
+    "first_crossing": "WITH " + _RANKED + ", curve AS (SELECT r, CASE WHEN r < total THEN o_below / x_below END AS fold FROM base) SELECT min(r) FILTER (WHERE fold < 1) AS first_below, count(*) AS n FROM curve",
+    "random_envelope": "WITH " + _RANKED + ", cut AS (SELECT CAST(pct AS BIGINT) AS pct, CAST(floor(n * pct / 100e0) AS BIGINT) AS removed FROM (SELECT EACH((0, 80)) AS pct, n FROM (SELECT sum(n) AS n FROM buckets) t) g), shuffled AS (SELECT rep, obs, nul, row_number() OVER (PARTITION BY rep ORDER BY h, entity) AS k FROM (SELECT rep, entity, obs, nul, md5(concat(CAST(entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)))) AS h FROM base CROSS JOIN (SELECT EACH((1, 500)) AS rep) g) z), kept AS (SELECT rep, k, sum(obs) OVER w AS o, sum(nul) OVER w AS x FROM shuffled WINDOW w AS (PARTITION BY rep ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT pct, removed, count(*) AS n, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY o / x), 9) AS lo, round(median(o / x), 9) AS mid, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY o / x), 9) AS hi FROM cut JOIN kept ON k = removed + 1 GROUP BY pct, removed",
     "quantiles": "SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 9) AS q25, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 9) AS q50, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY value), 9) AS q975 FROM events GROUP BY event_type",
     "dispersion": "SELECT event_type, round(stddev_samp(value), 6) AS sd1, round(stddev_pop(value), 6) AS sd0, round(var_samp(value), 4) AS v1 FROM events GROUP BY event_type",
-    "multiscale": "WITH " + _SITES + ", d AS (SELECT entity, mark, count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) - 1 AS a, count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) - 1 AS b FROM sites) SELECT entity, mark, sum(a) AS near, sum(b) AS wide FROM d GROUP BY entity, mark HAVING sum(a) > 0 AND sum(b) > 2 * sum(a)",
+    "multiscale": "WITH " + _SCALES + f" SELECT entity, mark, bool_and(effect > 0) AS positive_at_all, round(min(effect), 9) AS least FROM scales GROUP BY entity, mark HAVING count(effect) = {len(_RADII)}",
     "pair_counts_multi": "WITH " + _SITES + ", d AS (SELECT mark, a.pos - b.pos AS gap FROM sites a JOIN sites b USING (entity, mark) WHERE a.pos > b.pos AND a.pos - b.pos <= 50) SELECT mark, count(*) FILTER (WHERE gap <= 2) AS r2, count(*) FILTER (WHERE gap <= 10) AS r10, count(*) AS r50 FROM d GROUP BY mark",
     "set_metrics": "WITH " + _SITES + ", a AS (SELECT entity, pos FROM sites WHERE mark = 'purchase'), b AS (SELECT entity, pos FROM sites WHERE mark = 'view'), j AS (SELECT a.entity AS ea, b.entity AS eb FROM a FULL OUTER JOIN b ON a.entity = b.entity AND a.pos = b.pos) SELECT round(count(*) FILTER (WHERE ea IS NOT NULL AND eb IS NOT NULL) / (1e0 * count(*)), 9) AS jaccard, round(count(*) FILTER (WHERE ea IS NOT NULL AND eb IS NOT NULL) / (1e0 * count(ea)), 9) AS recall FROM j",
     "region_table": "WITH " + _CHAIN + " SELECT entity, mark, row_number() OVER (PARTITION BY entity, mark ORDER BY s) AS region_index, s AS region_start, e AS region_end, e - s + 1 AS span, n AS valence, concat(mark, ':', CAST(entity AS VARCHAR(20)), ':', CAST(s AS VARCHAR(20)), '-', CAST(e AS VARCHAR(20))) AS region_id FROM islands",
     "interval_overlap": "WITH " + _CHAIN + " SELECT count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM islands b WHERE b.mark = 'view' AND b.entity = a.entity AND b.s <= a.e AND b.e >= a.s) THEN 1 ELSE 0 END) AS touched FROM islands a WHERE a.mark = 'purchase'",
     "tile_labels": "WITH " + _CHAIN + " SELECT p.entity, p.pos, max(CASE WHEN p.pos BETWEEN i.s - 15 AND i.e + 15 THEN 1 ELSE 0 END) AS label FROM (SELECT DISTINCT entity, pos FROM sites) p LEFT JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' GROUP BY p.entity, p.pos",
     "span_distance": "WITH " + _CHAIN + " SELECT p.entity, p.pos, min(greatest(i.s - p.pos, p.pos - i.e, 0)) AS distance FROM (SELECT DISTINCT entity, pos FROM sites) p JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' GROUP BY p.entity, p.pos",
-    "distance_profile": "WITH " + _CHAIN + ", d AS (SELECT p.entity, p.mark, min(greatest(i.s - p.pos, p.pos - i.e, 0)) AS x FROM sites p JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' WHERE p.mark IN ('view', 'click') GROUP BY p.entity, p.mark, p.pos), g AS (SELECT event_id AS radius FROM events WHERE event_id BETWEEN 0 AND 60), f AS (SELECT radius, entity, mark, avg(CASE WHEN x <= radius THEN 1e0 ELSE 0e0 END) AS share FROM d CROSS JOIN g GROUP BY radius, entity, mark) SELECT radius, mark, round(avg(share), 9) AS mean_share FROM f GROUP BY radius, mark",
-    "sensitivity_grid": "WITH " + _SITES + ", params AS (SELECT event_id AS gap FROM events WHERE event_id IN (5, 8, 10, 12, 15, 24, 48)), flagged AS (SELECT gap, entity, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY gap, entity ORDER BY pos) <= gap THEN 0 ELSE 1 END AS f FROM sites CROSS JOIN params WHERE mark = 'purchase'), numbered AS (SELECT gap, entity, sum(f) OVER (PARTITION BY gap, entity ORDER BY pos) AS k FROM flagged), isl AS (SELECT gap, entity, k, count(*) AS n FROM numbered GROUP BY gap, entity, k) SELECT gap, m AS min_sites, count(*) FILTER (WHERE n >= m) AS islands FROM isl CROSS JOIN (SELECT event_id AS m FROM events WHERE event_id IN (2, 3, 4)) q GROUP BY gap, m",
+    "distance_profile": "WITH " + _CHAIN + ", d AS (SELECT p.entity, p.mark, min(greatest(i.s - p.pos, p.pos - i.e, 0)) AS x FROM sites p JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' WHERE p.mark IN ('view', 'click') GROUP BY p.entity, p.mark, p.pos), g AS (SELECT CAST(r AS BIGINT) AS radius FROM (SELECT EACH((0, 60)) AS r) e), f AS (SELECT radius, entity, mark, avg(CASE WHEN x <= radius THEN 1e0 ELSE 0e0 END) AS share FROM d CROSS JOIN g GROUP BY radius, entity, mark) SELECT radius, mark, round(avg(share), 9) AS mean_share FROM f GROUP BY radius, mark",
+    "sensitivity_grid": "WITH " + _SITES + ", params AS (SELECT CAST(g AS BIGINT) AS gap FROM (SELECT EACH((5, 48)) AS g) e WHERE g IN (5, 8, 10, 12, 15, 24, 48)), flagged AS (SELECT gap, entity, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY gap, entity ORDER BY pos) <= gap THEN 0 ELSE 1 END AS f FROM sites CROSS JOIN params WHERE mark = 'purchase'), numbered AS (SELECT gap, entity, sum(f) OVER (PARTITION BY gap, entity ORDER BY pos) AS k FROM flagged), isl AS (SELECT gap, entity, k, count(*) AS n FROM numbered GROUP BY gap, entity, k) SELECT gap, m AS min_sites, count(*) FILTER (WHERE n >= m) AS islands FROM isl CROSS JOIN (SELECT CAST(m AS BIGINT) AS m FROM (SELECT EACH((2, 4)) AS m) e) q GROUP BY gap, m",
     "loo_survival": "WITH " + _SITES + ", proof AS (SELECT DISTINCT entity, pos, CAST(floor(value / 50) AS BIGINT) AS src FROM {hours} h WHERE mark = 'purchase'), gone AS (SELECT DISTINCT entity, src AS removed FROM proof), kept AS (SELECT DISTINCT g.entity, g.removed, p.pos FROM gone g JOIN proof p ON p.entity = g.entity AND p.src <> g.removed), flagged AS (SELECT entity, removed, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, removed ORDER BY pos) <= 24 THEN 0 ELSE 1 END AS f FROM kept), numbered AS (SELECT entity, removed, sum(f) OVER (PARTITION BY entity, removed ORDER BY pos) AS k FROM flagged), left_over AS (SELECT entity, removed, max(n) AS best FROM (SELECT entity, removed, k, count(*) AS n FROM numbered GROUP BY entity, removed, k) z GROUP BY entity, removed) SELECT g.entity, count(*) AS removals, sum(CASE WHEN l.best >= 3 THEN 1 ELSE 0 END) AS survived FROM gone g LEFT JOIN left_over l ON g.entity = l.entity AND g.removed = l.removed GROUP BY g.entity",
     "local_opportunity": "WITH " + _SITES + ", m AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal, max(CASE WHEN mark = 'view' THEN 1 ELSE 0 END) AS other FROM sites GROUP BY entity, pos), w AS (SELECT entity, pos, focal, other, sum(CASE WHEN focal = 0 THEN other ELSE 0 END) OVER v AS hit, sum(1 - focal) OVER v AS controls FROM m WINDOW v AS (PARTITION BY entity ORDER BY pos RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)) SELECT entity, pos, other AS observed, round(hit / (1e0 * nullif(controls, 0)), 9) AS expected, controls FROM w WHERE focal = 1",
     "nested_nulls": "WITH " + _SITES + ", m AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS a, max(CASE WHEN mark = 'view' THEN 1 ELSE 0 END) AS b FROM sites GROUP BY entity, pos), z AS (SELECT entity, CAST(floor(pos / 144e0) AS BIGINT) AS bin, sum(a) AS p, sum(b) AS o, count(*) AS pool, sum(a * b) AS both_n FROM m GROUP BY entity, CAST(floor(pos / 144e0) AS BIGINT)) SELECT entity, sum(both_n) AS observed, round(sum(p) * sum(o) / 720e0, 9) AS expected_length, round(sum(p) * sum(o) / (1e0 * sum(pool)), 9) AS expected_pool, round(sum(p * o / (1e0 * pool)), 9) AS expected_bins FROM z GROUP BY entity",
@@ -75,23 +83,23 @@ SHARED: dict[str, str] = {
     "label_means": "SELECT l.quality, count(*) AS n, round(avg(d.n_chars), 6) AS mean_chars, round(avg(CASE WHEN d.n_chars > 1000 THEN 1e0 ELSE 0e0 END), 9) AS long_share FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality",
     "cohort_summary": "SELECT count(*) AS n_rows, sum(l.toxic) AS positives, round(avg(l.toxic), 9) AS prevalence, count(DISTINCT d.source) AS entities FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "boolean_fraction": "SELECT user_id, round(avg(CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END), 9) AS high_share FROM events GROUP BY user_id",
-    "topk": "SELECT user_id, n, spread FROM (SELECT user_id, n, spread, row_number() OVER (ORDER BY n DESC, spread DESC, user_id) AS r FROM (SELECT user_id, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM events WHERE event_type = 'purchase' GROUP BY user_id) a) b WHERE r <= 6",
-    "sort_multi": "SELECT r, c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS r FROM customer) t WHERE r <= 1000",
+    "topk": "SELECT user_id, n, spread FROM (SELECT user_id, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM events WHERE event_type = 'purchase' GROUP BY user_id) a ORDER BY n DESC, spread DESC, user_id LIMIT 6",
+    "sort_multi": "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey",
     "shard_assign": "SELECT shard, count(*) AS n, min(user_id) AS first_key FROM (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 16 AS shard FROM (SELECT DISTINCT user_id FROM events) u) t GROUP BY shard",
     "partition_cover": "SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, count(*) - count(o_orderkey) AS n_null, max(o_orderkey) - min(o_orderkey) + 1 AS extent FROM orders",
     "union_validated": "SELECT shard, count(*) AS n, count(DISTINCT k) AS n_keys FROM (SELECT o_orderkey AS k, o_orderkey % 4 AS shard FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey AS k, o_orderkey % 4 AS shard FROM orders WHERE o_orderkey % 2 <> 0) t GROUP BY shard",
     "roc_points": "WITH " + _SCORED + ", s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n - p) OVER (ORDER BY score DESC) AS fp FROM s) SELECT score, round(tp / (1e0 * (SELECT sum(p) FROM s)), 9) AS tpr, round(fp / (1e0 * (SELECT sum(n - p) FROM s)), 9) AS fpr FROM c",
     "precision_recall": "WITH " + _SCORED + " SELECT round(sum(CASE WHEN score >= 200 THEN label ELSE 0 END) / (1e0 * greatest(sum(CASE WHEN score >= 200 THEN 1 ELSE 0 END), 1)), 9) AS precision_at, round(sum(CASE WHEN score >= 200 THEN label ELSE 0 END) / (1e0 * greatest(sum(label), 1)), 9) AS recall_at FROM scored",
-    "operating_points": "WITH " + _SCORED + ", t AS (SELECT q, CASE q WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS threshold FROM (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY score) AS a, percentile_cont(0.95) WITHIN GROUP (ORDER BY score) AS b, percentile_cont(0.99) WITHIN GROUP (ORDER BY score) AS c FROM scored WHERE label = 0) z CROSS JOIN (SELECT event_id AS q FROM events WHERE event_id IN (1, 2, 3)) g) SELECT q, round(threshold, 6) AS threshold, sum(CASE WHEN score > threshold THEN label ELSE 0 END) AS tp, sum(CASE WHEN score > threshold THEN 1 - label ELSE 0 END) AS fp FROM scored CROSS JOIN t GROUP BY q, threshold",
+    "operating_points": "WITH " + _SCORED + ", t AS (SELECT q, CASE q WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS threshold FROM (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY score) AS a, percentile_cont(0.95) WITHIN GROUP (ORDER BY score) AS b, percentile_cont(0.99) WITHIN GROUP (ORDER BY score) AS c FROM scored WHERE label = 0) z CROSS JOIN (SELECT CAST(q AS BIGINT) AS q FROM (SELECT EACH((1, 3)) AS q) e) g) SELECT q, round(threshold, 6) AS threshold, sum(CASE WHEN score > threshold THEN label ELSE 0 END) AS tp, sum(CASE WHEN score > threshold THEN 1 - label ELSE 0 END) AS fp FROM scored CROSS JOIN t GROUP BY q, threshold",
     "negative_quantile_threshold": "WITH " + _SCORED + " SELECT round(percentile_cont(0.95) WITHIN GROUP (ORDER BY score), 6) AS threshold FROM scored WHERE label = 0",
-    "composition": "WITH " + _TILES + " SELECT doc_id, round((2 * len - length(replace(text, 'd', '')) - length(replace(text, 'e', ''))) / (1e0 * len), 9) AS acidic, round((len - length(replace(text, 'a', ''))) / (1e0 * len), 9) AS alanine, round((3 * len - length(replace(text, 'f', '')) - length(replace(text, 'w', '')) - length(replace(text, 'y', ''))) / (1e0 * len), 9) AS aromatic, round((2 * len - length(replace(text, 'q', '')) - length(replace(text, 'n', ''))) / (1e0 * len), 9) AS qn FROM docs",
+    "composition": "SELECT doc_id, " + ", ".join(f"round({sequences._share(letters, 't')} / (1e0 * length(t)), 9) AS {name}" for name, letters in sequences._COMPOSITION.items()) + f", round(({sequences._share('KR', 't')} - {sequences._share('DE', 't')}) / (1e0 * length(t)), 9) AS charge FROM (SELECT doc_id, translate(text, '{sequences._SMALL}', '{sequences._LARGE}') AS t FROM documents WHERE length(text) > 0) d",
     "ols_simple": "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY l_returnflag",
     "t_summary": "WITH " + _FRACTIONS + " SELECT mark, count(*) AS n, round(avg(obs - nul), 9) AS mean_effect, round(stddev_samp(obs - nul) / sqrt(count(*)), 9) AS se, round(avg(obs - nul) / nullif(stddev_samp(obs - nul) / sqrt(count(*)), 0), 6) AS t FROM eff GROUP BY mark",
     "direct_contrasts": "WITH " + _FRACTIONS + " SELECT b.mark AS control, count(*) AS n, round(avg((a.obs - a.nul) - (b.obs - b.nul)), 9) AS mean_difference FROM eff a JOIN eff b ON a.entity = b.entity WHERE a.mark = 'purchase' AND b.mark <> 'purchase' GROUP BY b.mark",
-    "audit_check": "WITH o AS (SELECT event_type AS k, count(*) AS observed FROM events GROUP BY event_type), e AS (SELECT event_type AS k, sum(1e0) AS expected FROM events GROUP BY event_type) SELECT o.k, abs(observed - expected) <= greatest(1e-10, abs(expected) * 1e-9) AS passed FROM o JOIN e ON o.k = e.k",
+    "audit_check": "WITH o AS (SELECT 'regions' AS k, 1e0 * count(*) AS observed FROM region UNION ALL SELECT 'nations' AS k, 1e0 * count(*) AS observed FROM nation UNION ALL SELECT 'nations_a_region' AS k, (SELECT count(*) FROM nation) / (1e0 * count(*)) AS observed FROM region UNION ALL SELECT 'third' AS k, count(*) / 3e0 AS observed FROM region), e AS (SELECT 'regions' AS k, 5e0 AS expected UNION ALL SELECT 'nations' AS k, 24.9999e0 AS expected UNION ALL SELECT 'nations_a_region' AS k, 5.000000001e0 AS expected UNION ALL SELECT 'third' AS k, 1.666666666666e0 AS expected UNION ALL SELECT 'absent' AS k, 1e0 AS expected) SELECT e.k, expected, coalesce(abs(observed - expected) <= greatest(1e-10, abs(expected) * 1e-9), false) AS passed FROM e LEFT JOIN o ON o.k = e.k",
     "result_ledger": "WITH " + _FRACTIONS + " SELECT concat('fold:', mark) AS claim_id, round(avg(obs) / avg(nul), 9) AS value, 'ratio' AS unit FROM eff GROUP BY mark UNION ALL SELECT concat('n:', mark) AS claim_id, CAST(count(*) AS DOUBLE) AS value, 'entities' AS unit FROM eff GROUP BY mark",
     "evidence_restricted": "WITH ev AS (SELECT entity, mark, pos, count(DISTINCT CAST(floor(value / 50) AS BIGINT)) AS k FROM {hours} h GROUP BY entity, mark, pos), tiers AS (SELECT 'all' AS tier, entity, mark, pos FROM ev UNION ALL SELECT 'two_sources' AS tier, entity, mark, pos FROM ev WHERE k >= 2), near AS (SELECT tier, entity, mark, count(*) OVER (PARTITION BY tier, entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM tiers) SELECT tier, entity, mark, count(*) AS n, sum(d) AS twice_pairs FROM near GROUP BY tier, entity, mark",
-    "stratified_null": "WITH " + _SITES + ", seen AS (SELECT entity, pos, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites WHERE mark = 'purchase'), obs AS (SELECT entity, count(*) AS k, sum(d) AS o FROM seen GROUP BY entity HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), reps AS (SELECT event_id AS rep FROM events WHERE event_id BETWEEN 1 AND 50), drawn AS (SELECT rep, p.entity, p.pos, k, row_number() OVER (PARTITION BY rep, p.entity ORDER BY md5(concat(CAST(p.entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)), ':', CAST(p.pos AS VARCHAR(20))))) AS r FROM pool p JOIN obs ON p.entity = obs.entity CROSS JOIN reps), near AS (SELECT rep, entity, count(*) OVER (PARTITION BY rep, entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM drawn WHERE r <= k), nul AS (SELECT rep, entity, sum(d) AS e FROM near GROUP BY rep, entity) SELECT n.entity, max(o) AS observed_twice, round((1 + sum(CASE WHEN e >= o THEN 1 ELSE 0 END)) / 51e0, 9) AS p, round(avg(e), 9) AS null_mean, round(stddev_samp(e), 6) AS null_sd FROM nul n JOIN obs ON n.entity = obs.entity GROUP BY n.entity",
+    "stratified_null": "WITH " + _SITES + ", seen AS (SELECT entity, pos, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites WHERE mark = 'purchase'), obs AS (SELECT entity, count(*) AS k, sum(d) AS o FROM seen GROUP BY entity HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), reps AS (SELECT CAST(r AS BIGINT) AS rep FROM (SELECT EACH((1, 50)) AS r) e), drawn AS (SELECT rep, p.entity, p.pos, k, row_number() OVER (PARTITION BY rep, p.entity ORDER BY md5(concat(CAST(p.entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)), ':', CAST(p.pos AS VARCHAR(20))))) AS r FROM pool p JOIN obs ON p.entity = obs.entity CROSS JOIN reps), near AS (SELECT rep, entity, count(*) OVER (PARTITION BY rep, entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM drawn WHERE r <= k), nul AS (SELECT rep, entity, sum(d) AS e FROM near GROUP BY rep, entity) SELECT n.entity, max(o) AS observed_twice, round((1 + sum(CASE WHEN e >= o THEN 1 ELSE 0 END)) / 51e0, 9) AS p, round(avg(e), 9) AS null_mean, round(stddev_samp(e), 6) AS null_sd FROM nul n JOIN obs ON n.entity = obs.entity GROUP BY n.entity",
     "region_recall": "WITH " + _CHAIN + " SELECT count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM sites p WHERE p.mark = 'view' AND p.entity = a.entity AND p.pos >= a.s - 15 AND p.pos <= a.e + 15) THEN 1 ELSE 0 END) AS found FROM islands a WHERE a.mark = 'purchase'",
     "arm_ratio": "SELECT mark, round(avg(CASE WHEN pos < 360 THEN value END) / avg(CASE WHEN pos >= 360 THEN value END), 6) AS ratio FROM {hours} h GROUP BY mark",
     "local_covariates": "WITH v AS (SELECT entity, pos, avg(value) AS value FROM {hours} h GROUP BY entity, pos) SELECT entity, pos, round(avg(value) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING), 6) AS local_mean FROM v",
