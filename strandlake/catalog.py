@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, wilson
 from strandlake.operators import intervals, matching, pairs, ranking, regression, resampling
-from strandlake.plans import sql
+from strandlake.plans import files, models, sql
 from strandlake.plans.base import hours, sites, table
 
 _KEYS = ["entity", "mark"]
@@ -235,6 +235,9 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
 }
 
 
+_OWN |= files.QUERIES | models.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _OWN} | {k: sql.spark_query(v) for k, v in sql.SHARED.items()}
 
