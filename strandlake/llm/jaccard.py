@@ -85,6 +85,8 @@ def choose_matches(frequency: np.ndarray, size: int, base: int) -> int:
     return best
 
 
+#: Documents with a token from which on pairs are listed at their first common token only.
+HOT = 16
 #: Classes of shingle hashes whose sizes bound how many shingles two sets can share.
 CLASSES = 256
 
@@ -207,8 +209,12 @@ class Joined:
 def narrowed(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
     """Postings that can still bring a new link: their token's group has several components, and a partner small enough for their place."""
     groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"), F.count("*").alias("size")).where("lo < hi").drop("lo", "hi")
-    partner = f"greatest(least_n, ({percent} * n + 99) div 100)"
-    return save(spark, rows.drop("size").join(groups, "token").where(f"pos < n - {must(percent, 'n', partner)} + matches").drop("least_n"), "open")
+    return save(spark, rows.drop("size", "least_n").join(groups, "token").where(f"pos < n - {smallest(percent)} + matches"), "open")
+
+
+def smallest(percent: int) -> str:
+    """Common tokens that a posting's node needs at least: with the smallest partner that its token's group or its own size allow."""
+    return must(percent, "n", f"greatest(least_n, ({percent} * n + 99) div 100)")
 
 
 def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -264,9 +270,17 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
         if n_moved * left["comparisons"] < left["rows"] ** 2:  # a further round would read more rows than it saves comparisons
             break
     # What is left: pairs across components. With both sizes known, their first common token leaves room for `common` - 1 to follow.
-    a, b = (open_.select("token", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "component"))) for s in "ab")
-    across = a.join(b, "token").where(f"a < b AND component_a <> component_b AND pos_a <= n_a - {common} AND pos_b <= n_b - {common}").where(similar_size)
-    listed = save(spark, across.select("a", "b", "component_a", "component_b").distinct(), "listed")
+    # In large groups only the first common token lists a pair, so that a pair does not come once for each of them.
+    strict = open_.where(f"pos <= n - {smallest(percent)}").select("token", "node", "pos", "n", "component", "size")
+    hot = strict.where(F.col("size") > HOT).join(nodes.select("node", "prefix"), "node").withColumn("before", F.slice("prefix", F.lit(1), F.col("pos"))).drop("prefix")
+
+    def across(rows: DataFrame, rule: str) -> DataFrame:
+        a, b = (rows.select("token", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in ("token", "node", "size"))) for s in "ab")
+        near = f"a < b AND component_a <> component_b AND pos_a <= n_a - {common} AND pos_b <= n_b - {common} AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        return a.join(b, (a["token"] == b["token"]) & F.expr(f"{near} AND {rule}")).select("a", "b", "component_a", "component_b")
+
+    rare = across(strict.where(F.col("size") <= HOT), "true")
+    listed = save(spark, rare.distinct().union(across(hot, "NOT arrays_overlap(before_a, before_b)")).distinct(), "listed")
     prefixes = listed.join(of_a.drop("key_a", "classes_a"), "a").join(of_b.drop("key_b", "classes_b"), "b")
     sharing = prefixes.where(f"size(array_intersect(slice(prefix_a, 1, n_a - {common} + {enough}), slice(prefix_b, 1, n_b - {common} + {enough}))) >= {enough}")
     edges = links(sharing.select(listed.columns)).toDF("a", "b")
@@ -299,3 +313,12 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, percent: in
     if again.isEmpty():
         return left
     return rows_of(left, again, "left_anti").union(rows_of(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+#: The rows of the query (width 3, 90 per cent) in DuckDB: all pairs with a common shingle, then reachability.
+SQL = """WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM split),
+members AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets WHERE doc_id IS NOT NULL),
+links AS (SELECT a.r AS a, b.r AS b FROM members a JOIN members b ON a.x = b.x AND a.r <> b.r AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.r, b.r HAVING 100 * count(*) >= 90 * (max(a.n) + max(b.n) - count(*))),
+reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT x.doc_id, max(len(x.s)) AS n_shingles, min(y.doc_id) AS component_id FROM reach JOIN sets x ON x.r = reach.a JOIN sets y ON y.r = reach.b GROUP BY x.r, x.doc_id"""

@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sentence_spans": sentences.SQL, "op7_jaccard_join": jaccard.SQL}

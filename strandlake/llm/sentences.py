@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from strandlake.llm._store import save
 
-#: Sentences of a run and the words that it has at least; sentences with LONG_WORDS are a run even if they are fewer.
-RUN, MIN_WORDS, LONG_WORDS = 3, 8, 20
+#: Words of a run. A shared passage of 50 words or more holds whole sentences of about as many; shared phrases and stock lines have fewer.
+MIN_WORDS = 20
 #: Scripts without spaces between words: two characters count as a word.
 _UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Stands for a null id: such rows come last.
+_LAST = 9223372036854775807
 
 
 def with_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id and its sentences: a text is parted after . ! or ? before white space, after their full-width forms, and at line ends; blank pieces go."""
-    parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*|[\n\r]+")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "").alias("sentences"))
+    """doc_id, h (a hash of the text) and sentences: a text is parted after . ! or ? before white space, after their full-width forms, and at line ends; blank pieces go."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|(?<=[。！？])\s*|[\n\r]+")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "").alias("sentences"))
 
 
 def n_words(s):
@@ -26,57 +28,68 @@ def n_words(s):
     return (spaces + 1 + unspaced).cast("int")
 
 
-def runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, at, size, key, tag): runs of sentences by a 96-bit hash. From each sentence on, the shortest run of `run` sentences
-    or more with min_words words, and the shortest of fewer sentences with long_words.
+def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, at, size, key, tag): runs of sentences by a 96-bit hash. From each sentence on, and back from each, the shortest run with min_words words.
 
-    A document with fewer sentences is a run as a whole, if it has min_words.
+    Within a longer stretch that two documents share, the runs that begin or end inside it cover all of its sentences.
     """
 
-    def words(k):
-        return "+".join(f"get(words, i + {j})" for j in range(k))  # null beyond the end
+    def shortest(step: str) -> str:
+        def words(k: int) -> str:
+            return " + ".join(f"get(words, i {step} {j})" for j in range(k))  # null beyond the ends
 
-    # Each sentence has a word, so that a run ends after min_words sentences.
-    full = " ".join(f"WHEN {words(k)} >= {min_words} THEN {k}" for k in range(run, max(run, min_words) + 1))
-    whole = " ".join(f"WHEN i = 0 AND size(words) = {k} AND {words(k)} >= {min_words} THEN {k}" for k in range(1, run))
-    few = " ".join(f"WHEN {words(k)} >= {long_words} THEN {k}" for k in range(1, run))
-    few = f"CASE {few} END" if few else "CAST(NULL AS INT)"
-    made = with_sentences(docs).where(F.size("sentences") > 0).withColumn("words", F.transform("sentences", n_words))
-    at = made.select("doc_id", "sentences", F.expr(f"transform(sequence(0, size(words) - 1), i -> named_struct('at', i, 'full', CASE {full} {whole} END, 'few', {few}))").alias("at"))
-    each = F.expr("""transform(
-        concat(transform(filter(at, x -> x.full IS NOT NULL), x -> named_struct('at', x.at, 'size', x.full)),
-               transform(filter(at, x -> x.few IS NOT NULL AND NOT x.few <=> x.full), x -> named_struct('at', x.at, 'size', x.few))),
-        x -> named_struct('at', x.at, 'size', x.size, 'run', array_join(slice(sentences, x.at + 1, x.size), '\\n')))""")
-    rows = at.select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.at", "r.size", "r.run")
-    return rows.select("doc_id", "at", "size", F.xxhash64("run").alias("key"), F.hash("run").alias("tag"))
+        # Each sentence has a word, so that a run has at most min_words sentences.
+        return "CASE " + " ".join(f"WHEN {words(k)} >= {min_words} THEN {k}" for k in range(1, min_words + 1)) + " END"
 
+    made = with_sentences(docs).where(F.size("sentences") > 0)
+    made = made.select("doc_id", "h", F.transform("sentences", n_words).alias("words"), F.transform("sentences", lambda s: F.xxhash64(s)).alias("keys"), F.transform("sentences", lambda s: F.hash(s)).alias("tags"))
+    spans = F.expr(f"""array_distinct(filter(flatten(transform(sequence(0, size(words) - 1), i -> array(
+        named_struct('at', i, 'size', {shortest('+')}),
+        named_struct('at', i + 1 - {shortest('-')}, 'size', {shortest('-')})))), x -> x.size IS NOT NULL))""")
+    each = made.withColumn("spans", spans).select("doc_id", "h", F.explode(F.expr("transform(spans, x -> named_struct('at', x.at, 'size', x.size, 'key', xxhash64(slice(keys, x.at + 1, x.size)), 'tag', hash(slice(tags, x.at + 1, x.size))))")).alias("r"))
+    return each.select("doc_id", "h", "r.at", "r.size", "r.key", "r.tag")
 
-def repeated(spark: SparkSession, docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at, size) of each run that is not the first of its kind. First is the one with the smallest doc_id, and within it the smallest place; a null id comes last.
 
-    Counts are made by partial aggregation before the shuffle, so that a run in a third of all documents is one row for each task.
+def repeated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, at, size) of each run that is not the first of its kind. First is the one with the smallest doc_id, then hash of its text, then place; a null id comes last.
+
+    Counts are made by partial aggregation before the shuffle, so that a run in a third of all documents is one row for each
+    task; repeated runs are written before they are joined, so that Spark can split a frequent one.
     """
-    all_runs = runs(docs, run, min_words).withColumn("id", F.coalesce("doc_id", F.lit(9223372036854775807)))
-    known = all_runs.groupBy("key", "tag").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "tag", "first")
-    hits = save(spark, all_runs.join(known, ["key", "tag"]).select("doc_id", "id", "at", "size", "key", "tag", "first"), "runs")
-    own = hits.where("id = first").groupBy("key", "tag").agg(F.min("at").alias("first_at"))
-    later = hits.where("id > first").select("doc_id", "at", "size")
-    return later.union(hits.where("id = first").join(own, ["key", "tag"]).where("at > first_at").select("doc_id", "at", "size"))
+    all_runs = save(spark, runs(docs, min_words).withColumn("id", F.coalesce("doc_id", F.lit(_LAST))), "hashed")
+    known = save(spark, all_runs.groupBy("key", "tag").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "tag", "first"), "repeats")
+    hits = save(spark, all_runs.join(known, ["key", "tag"]), "runs")
+    own = hits.where("id = first").groupBy("key", "tag").agg(F.min(F.struct("h", "at")).alias("begin"))
+    later = hits.where("id > first").select("doc_id", "h", "at", "size")
+    return later.union(hits.where("id = first").join(own, ["key", "tag"]).where(F.struct("h", "at") > F.col("begin")).select("doc_id", "h", "at", "size"))
 
 
-def removed(spark: SparkSession, docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, removed): the indices, in order, of the sentences that repeated runs cover; documents that lose none have no row.
+def removed(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, removed): the indices, in order, of the sentences that repeated runs cover; documents that lose none have no row.
 
-    Null and empty texts have no sentences. Rows that repeat an id are taken together, as one document's runs.
+    Null and empty texts have no sentences. Rows that repeat both id and text are one document; with different texts they are judged apart, by h.
     """
-    covered = repeated(spark, docs, run, min_words).select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("sentence")).distinct()
-    return covered.groupBy("doc_id").agg(F.array_sort(F.collect_list("sentence")).alias("removed"))
-
-
-def dedup(spark: SparkSession, docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, removed, text) of the documents that lose sentences; text is what stays, a sentence a line."""
-    gone = removed(spark, docs, run, min_words)
-    joined = with_sentences(docs).join(gone, "doc_id")
-    gone_here = F.filter("removed", lambda i: i < F.size("sentences"))
-    left = F.filter("sentences", lambda s, i: ~F.array_contains("removed", i))
-    return joined.select("doc_id", F.size("sentences").alias("n_sentences"), F.size(gone_here).alias("n_removed"), gone_here.alias("removed"), F.array_join(left, "\n").alias("text"))
+    covered = repeated(spark, docs, min_words).select("doc_id", "h", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("sentence")).distinct()
+    return covered.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("sentence")).alias("removed"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, n_sentences, n_removed, removed, text) of the rows that lose sentences, rows with a null id too; text is what stays, a sentence a line."""
+    gone = removed(spark, docs, min_words).toDF("id_", "h_", "removed")
+    rows = with_sentences(docs)
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["id_"]) & (rows["h"] == gone["h_"]))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), "removed")
+    left = F.transform(kept, lambda i: F.get("sentences", i))
+    return joined.select("doc_id", F.size("sentences").alias("n_sentences"), F.size("removed").alias("n_removed"), "removed", F.array_join(left, "\n").alias("text"))
+
+
+#: The rows of removed() in DuckDB, with `removed` as text. Row identity is id and text, runs are compared as texts.
+SQL = f"""WITH parts AS (SELECT doc_id, text AS t, unnest(string_split_regex(regexp_replace(regexp_replace(text, '([.!?])[\\t\\n\\x0B\\f\\r ]+', '\\1' || chr(10), 'g'), '([\\x{{3002}}\\x{{ff01}}\\x{{ff1f}}])[\\t\\n\\x0B\\f\\r ]*', '\\1' || chr(10), 'g'), '[\\n\\r]+')) AS s, generate_subscripts(string_split_regex(regexp_replace(regexp_replace(text, '([.!?])[\\t\\n\\x0B\\f\\r ]+', '\\1' || chr(10), 'g'), '([\\x{{3002}}\\x{{ff01}}\\x{{ff1f}}])[\\t\\n\\x0B\\f\\r ]*', '\\1' || chr(10), 'g'), '[\\n\\r]+'), 1) AS p FROM (SELECT DISTINCT doc_id, text FROM documents) d),
+sentences AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id, t ORDER BY p) - 1 AS i, s FROM (SELECT doc_id, t, p, trim(regexp_replace(s, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), ' ') AS s FROM parts) x WHERE s <> ''),
+counted AS (SELECT *, sum(length(s) - length(replace(s, ' ', '')) + 1 + CASE WHEN strlen(s) <> length(s) THEN length(regexp_replace(s, '[^\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Lao}}\\p{{Khmer}}\\p{{Myanmar}}]', '', 'g')) // 2 ELSE 0 END) OVER (PARTITION BY doc_id, t ORDER BY i) AS upto FROM sentences),
+bounds AS (SELECT a.doc_id, a.t, a.i AS a, b.i AS b, b.upto - a.upto + (a.upto - coalesce(z.upto, 0)) AS n, b.upto - coalesce(b2.upto, 0) AS last_n, a.upto - coalesce(z.upto, 0) AS first_n FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i BETWEEN a.i AND a.i + {MIN_WORDS - 1} LEFT JOIN counted z ON z.doc_id = a.doc_id AND z.t = a.t AND z.i = a.i - 1 LEFT JOIN counted b2 ON b2.doc_id = b.doc_id AND b2.t = b.t AND b2.i = b.i - 1),
+spans AS (SELECT doc_id, t, a, b FROM bounds WHERE n >= {MIN_WORDS} AND (n - last_n < {MIN_WORDS} OR n - first_n < {MIN_WORDS})),
+texts AS (SELECT x.doc_id, x.t, x.a, x.b, string_agg(s, chr(10) ORDER BY i) AS run FROM spans x JOIN sentences s ON s.doc_id = x.doc_id AND s.t = x.t AND s.i BETWEEN x.a AND x.b GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, t, a) AS r FROM texts),
+covered AS (SELECT DISTINCT doc_id, t, unnest(generate_series(a, b)) AS i FROM placed WHERE r > 1)
+SELECT doc_id, count(*) AS n_removed, string_agg(i::VARCHAR, ',' ORDER BY i) AS removed FROM covered GROUP BY doc_id, t"""

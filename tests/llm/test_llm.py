@@ -69,23 +69,6 @@ def test_skip_chain(spark):
     assert len(pii.skip_edges(["k"] * 1 + ["z"] + ["k"] * 50)) == 1
 
 
-def test_jaccard(spark, docs):
-    for width, percent in ((3, 90), (2, 60)):
-        sets = {}
-        for k, t in TEXTS.items():
-            w = [x for x in re.split("[ \t-\r]+", (t or "").lower() if (t or "").isascii() else t) if x]
-            sets[k] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-        low = {k: k for k in sets}
-        for a, b in itertools.combinations(sorted(sets), 2):
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((low[a], low[b]))
-                low = {k: x if v == y else v for k, v in low.items()}
-        got = jaccard.components(spark, docs, width, percent).collect()
-        assert len(got) == docs.count()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == {k: (len(s), low[k]) for k, s in sets.items()}
-    assert jaccard.keep_first(spark, docs).columns == docs.columns
-
-
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "If a train travels 60 km in 2 hours, how fast does the train called Bolt go"), (2, "quick brown fox jumps over the lazy dog"), (3, None), (4, "dog")], "item_id long, text string")
     more = spark.createDataFrame([(20, "x. If a train travels 75 km in 3 hours, how fast does the train called Dash go ok"), (21, "If a boat sails 75 km in 3 hours, how far is the shore"), (None, TEXTS[0])], "doc_id long, text string")
@@ -95,24 +78,6 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(spark, docs.limit(0), items).count() == 0
 
 
-def test_sentences(spark):
-    run = "First sentence of a shared passage here. Second one follows with words. Third one ends the passage now."
-    rows = [(1, f"Own start of one. {run} Own end."), (2, f"Other start here. {run} Other end here."), (3, None), (4, ""), (5, f"{run} {run}")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in sentences.dedup(spark, df).collect()}
-    assert {k: r["removed"] for k, r in got.items()} == {2: [1, 2, 3], 5: [0, 1, 2, 3, 4, 5]}
-    assert got[2]["text"] == "Other start here.\nOther end here."
-
-
-def test_sentences_of_any_length(spark):
-    long = " ".join(f"w{i}" for i in range(30)) + "."
-    short = "\n".join("one two three four five six seven eight nine ten".split())
-    han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u3002\u4ed6\u4eec\u5728\u5bb6\u91cc\u8bfb\u4e66\u5199\u5b57\u3002\u660e\u5929\u5927\u5bb6\u4e00\u8d77\u53bb\u4e0a\u5b66\u3002"
-    rows = [(1, f"Own. {long} End one."), (2, f"Other start. {long} End two."), (3, f"{short}\nx"), (4, f"{short}\ny"), (5, han), (6, han), (7, "Too short"), (8, "Too short")]
-    got = {r["doc_id"]: r["removed"] for r in sentences.removed(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {2: [1], 4: list(range(10)), 6: [0, 1, 2]}
-
-
 def test_jpeg(spark, docs, monkeypatch):
     rng = np.random.default_rng(2)
     for n in (576, 576 * 13):
