@@ -14,12 +14,12 @@ from strandlake.llm._text import Step, mix, record_batch, steps, words
 ORDER = 5
 #: Stands before a text (as context) and ends it; UTF-8 never has this byte.
 MARK = 255
-#: Documents to a block: what one group of the scoring step holds.
-BLOCK_DOCS = 4096
+#: Bytes of text to a block, about: what one group of the scoring step holds. A longer document is a block by itself, or makes its block longer.
+BLOCK_BYTES = 1 << 24
 #: Bytes of context by whose hash counts are dealt: a longer context is in its ending's shard. Shorter ones are counted over all texts and broadcast.
 SHARED = 2
 #: Shards for each block of documents.
-SHARDS = 8
+SHARDS = 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,17 +123,48 @@ def merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bincount(inverse, count, len(key)).astype(np.int64)
 
 
+def tallied(g: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ORDER + 1 bytes, and how often each is seen; one sort, with `seen` as the lowest bit."""
+    both = np.sort((g << np.uint64(1)) | seen.astype(np.uint64))
+    k = both >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], (np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(k) else np.zeros(0, np.int64))
+
+
+class Lookup:
+    """Places of known keys among sorted ones: a table by hash answers most, the rest is searched for."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(8, (2 * max(1, len(keys))).bit_length()))
+        self.place = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.place[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _MULT) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place[self.slot(keys)].astype(np.int64)
+        if len(keys):
+            miss = np.flatnonzero(self.keys[at] != keys)
+            some, inverse = np.unique(keys[miss], return_inverse=True)
+            at[miss] = np.searchsorted(self.keys, some)[inverse]
+        return at
+
+
 def short_contexts(docs: DataFrame) -> list[dict]:
     """The levels of SHARED bytes of context and fewer, over all whole training texts (crc32 remainder by 10 is not 0)."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total = np.zeros(1 << 8 * (SHARED + 1), np.int32)
         for b in batches:
             for s in steps(b.column("text")):
-                k, c = np.unique(grams(s)[0] & Trie.mask(SHARED), return_counts=True)
-                key, count = merged(np.concatenate([key, k]), np.concatenate([count, c]))
-        yield record_batch(schema, [key.astype(np.int64), count])
+                g = np.sort((grams(s)[0] & Trie.mask(SHARED)).astype(np.uint32))
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                total[g[first]] += np.diff(np.append(first, len(g))).astype(np.int32)
+        key = np.flatnonzero(total)
+        yield record_batch(schema, [key, total[key].astype(np.int64)])
 
     seen = docs.where(remainder("doc_id", 10) != 0).select("text").mapInArrow(run, "gram long, n long")
     got = seen.groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
@@ -145,49 +176,55 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
 
 
 def known(spark: SparkSession, docs: DataFrame, parts: DataFrame, n_shards: int) -> DataFrame:
-    """(block, long, key, n, value, kind) of each block's distinct words and numbers of bytes (long), with n in its training texts.
+    """(block, long, keys, values, n, kinds): a block's distinct words, or numbers of bytes (long), that one shard has, packed as 64-bit numbers.
 
-    value: how often the word occurs in all training texts, or log10 of the number's probability in the trie of all of them.
-    kind: 1 at one row of each word that occurs there. Words go by 64-bit hashes.
+    values: how often the word occurs in all training texts, or log10 of the number's probability in the trie of all of them.
+    n: the words' occurrences in the block's training texts. kinds: words of the shard that occur in training texts, at one of its rows. Words go by 64-bit hashes.
     """
-    counts = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("long", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
-    values = pa.schema([("block", pa.int32()), ("long", pa.bool_()), ("key", pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("kind", pa.int64())])
+    counts = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("long", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+    values = pa.schema([("block", pa.int32()), ("long", pa.bool_()), ("keys", pa.binary()), ("values", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64())])
     shared = spark.sparkContext.broadcast(short_contexts(docs))
 
     def count(block, table):
         train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
-        found = {long: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for long in (False, True)}
+        found = {False: [], True: []}
         for s in steps(table.column("text")):
             w, (g, at) = words(s), grams(s)
             learn = train[s.first : s.last]
-            for long, keys, seen in ((False, w.hash, learn[w.doc]), (True, g, np.repeat(learn, np.diff(at)))):
-                k, inverse = np.unique(keys, return_inverse=True)
-                c = np.bincount(inverse, seen, len(k)).astype(np.int64)
-                found[long] = merged(np.concatenate([found[long][0], k]), np.concatenate([found[long][1], c]))
+            found[False].append(merged(w.hash, learn[w.doc]))
+            found[True].append(tallied(g, np.repeat(learn, np.diff(at))))
         made = []
-        for long, (k, c) in found.items():
+        for long, parts_ in found.items():
+            k, c = merged(*(np.concatenate(x) for x in zip(*parts_, strict=True))) if parts_ else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             end = (k >> np.uint64(8)) & np.uint64((1 << 8 * (SHARED + 1)) - 1) if long else k
-            made.append(record_batch(counts, [np.full(len(k), block[0].as_py(), np.int32), (mix(end) % np.uint64(n_shards)).astype(np.int32), np.full(len(k), long), k.view(np.int64), c]))
-        return pa.Table.from_batches(made, schema=counts)
+            shard = (mix(end) % np.uint64(n_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            some, first = np.unique(shard[order], return_index=True)
+            k, c = k[order], c[order].astype(np.int32)
+            for i, x, y in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(k)], strict=True):
+                made.append((block[0].as_py(), i, long, k[x:y].tobytes(), c[x:y].tobytes()))
+        return pa.Table.from_batches([record_batch(counts, list(zip(*made, strict=True)))] if made else [], schema=counts)
 
     def values_of(_, table):
-        block, key, n = (table.column(c).combine_chunks().to_numpy() for c in ("block", "key", "n"))
-        is_long = table.column("long").combine_chunks().to_numpy(zero_copy_only=False)
+        is_long = table.column("long").to_pylist()
+        block, keys, n = (table.column(c).to_pylist() for c in ("block", "keys", "counts"))
         made = []
         for long in (False, True):
-            here = is_long == long
-            k, first, inverse = np.unique(key[here].view(np.uint64), return_index=True, return_inverse=True)
-            c = np.bincount(inverse, n[here], len(k)).astype(np.int64)
-            kind = np.zeros(len(inverse), np.int64)
-            if long:
-                value = Trie(k[c > 0], c[c > 0], shared=shared.value).logs(k)
-            else:
-                value, kind[first] = c.astype(np.float64), c > 0
-            made.append(record_batch(values, [block[here], np.full(len(inverse), long), key[here], n[here], value[inverse], kind]))
-        return pa.Table.from_batches(made, schema=values)
+            here = [i for i, x in enumerate(is_long) if x == long]
+            if not here:
+                continue
+            own = np.frombuffer(b"".join(keys[i] for i in here), np.uint64)
+            times = np.frombuffer(b"".join(n[i] for i in here), np.int32)
+            k, inverse = np.unique(own, return_inverse=True)
+            c = np.bincount(inverse, times, len(k)).astype(np.int64)
+            value = (Trie(k[c > 0], c[c > 0], shared=shared.value).logs(k) if long else c.astype(np.float64))[inverse]
+            at = np.concatenate([[0], np.cumsum([len(keys[i]) // 8 for i in here])]).tolist()
+            for j, i in enumerate(here):
+                made.append((block[i], long, keys[i], value[at[j] : at[j + 1]].tobytes(), int(times[at[j] : at[j + 1]].sum()), int((c > 0).sum()) if j == 0 else 0))
+        return pa.Table.from_batches([record_batch(values, list(zip(*made, strict=True)))], schema=values)
 
-    per_block = parts.groupBy("block").applyInArrow(count, "block int, shard int, long boolean, key long, n long")
-    return save(spark, per_block.groupBy("shard").applyInArrow(values_of, "block int, long boolean, key long, n long, value double, kind long"), "known")
+    per_block = parts.groupBy("block").applyInArrow(count, "block int, shard int, long boolean, keys binary, counts binary")
+    return save(spark, per_block.groupBy("shard").applyInArrow(values_of, "block int, long boolean, keys binary, values binary, n long, kinds long"), "known")
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -196,31 +233,34 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A null text is empty: one token, its end, and the model's probability of ending at once. A null id counts as held out.
     Without training rows N and V are 0.
     """
-    n_blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(remainder("doc_id", 10) != 0).alias("ends")).first()
+    n_blocks, ends = max(1, -(-size["bytes"] // BLOCK_BYTES)), size["ends"]
     parts = blocks(docs, n_blocks)
     found = known(spark, docs, parts, SHARDS * n_blocks)
-    ends = docs.where(remainder("doc_id", 10) != 0).count()
-    sums = found.where("not long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("kind"), F.lit(0)).alias("kinds")).first()
+    sums = found.where("not long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
     total, kinds = sums["n"] + ends, sums["kinds"] + (ends > 0)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(_, table, dictionary):
-        key, value = dictionary.column("key").to_numpy().view(np.uint64), dictionary.column("value").to_numpy()
-        long = dictionary.column("long").combine_chunks().to_numpy(zero_copy_only=False)
-        word, c, gram, of_gram = key[~long], value[~long], key[long], value[long]
-        order = np.argsort(word)
-        word, c = word[order], c[order]
-        order = np.argsort(gram)
-        gram, of_gram = gram[order], of_gram[order]
+        is_long = dictionary.column("long").to_pylist()
+        keys, values = (dictionary.column(c).to_pylist() for c in ("keys", "values"))
+        sides = []
+        for long in (False, True):
+            here = [i for i, x in enumerate(is_long) if x == long]
+            k, v = np.frombuffer(b"".join(keys[i] for i in here), np.uint64), np.frombuffer(b"".join(values[i] for i in here))
+            order = np.argsort(k)
+            sides += [k[order], v[order]]
+        word, c, gram, of_gram = sides
         log = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
         end = float(np.log10((ends + 0.1) / (total + 0.1 * (kinds + 1))))
+        word_at, gram_at = Lookup(word), Lookup(gram)
         ids, made = table.column("doc_id").combine_chunks(), []
         for s in steps(table.column("text")):
             w, (g, first) = words(s), grams(s)
-            at = np.searchsorted(word, w.hash)
+            at = word_at(w.hash)
             n = len(s)
-            made.append(record_batch(schema, [ids.slice(s.first, n), w.per_doc + 1, np.bincount(w.doc, c[at] > 0, n).astype(np.int64) + (ends > 0), np.bincount(w.doc, log[at], n) + end, np.add.reduceat(of_gram[np.searchsorted(gram, g)], first[:-1])]))
+            made.append(record_batch(schema, [ids.slice(s.first, n), w.per_doc + 1, np.bincount(w.doc, c[at] > 0, n).astype(np.int64) + (ends > 0), np.bincount(w.doc, log[at], n) + end, np.add.reduceat(of_gram[gram_at(g)], first[:-1])]))
         return pa.Table.from_batches(made, schema=schema)
 
-    out = parts.groupBy("block").cogroup(found.select("block", "long", "key", "value").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = parts.groupBy("block").cogroup(found.select("block", "long", "keys", "values").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
