@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm._text import Step, record_batch, steps, words
+from strandlake.llm._store import save
+from strandlake.llm._text import Step, mix, record_batch, steps, words
 
 WINDOW = 2048
 END_ID = 1
 #: Documents to a shard of the index.
 SHARD_DOCS = 2048
-#: Terms of a seed that are looked up: those with the highest idf.
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 #: Distinct words, and parts of words, whose ids a Python worker remembers (some 40 and 250 bytes each).
 CACHE_WORDS, CACHE_PARTS = 3 << 19, 1 << 18
@@ -100,44 +101,106 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@dataclass
+class Statistics:
+    """Over all pieces: how many there are, their mean length, and the pieces that have each term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+    def order(self) -> np.ndarray:
+        """A place for each term, the same everywhere: at random, but the sooner the rarer the term is. A term of one piece stands last."""
+        u = (mix(np.arange(len(self.df), dtype=np.uint64), 5) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        at = np.where(self.df > 1, -np.log(u + 2.0**-60) / np.maximum(self.idf, 1e-9), np.inf)
+        place = np.empty(len(at), np.int64)
+        place[np.argsort(at, kind="stable")] = np.arange(len(at))
+        return place
+
+
+def bags(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces' distinct terms, piece by piece: (piece, term, count), and the lengths of the pieces. Terms are token ids."""
+    length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    term = np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64)
+    key, count = np.unique((np.repeat(np.arange(len(pieces)), length) << 32) | term, return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, count, length
+
+
+def statistics(cut: DataFrame) -> Statistics:
+    """The driver gets a row for each term, of which there are no more than the vocabulary has."""
+    schema = pa.schema([("term", pa.int64()), ("df", pa.int64()), ("pieces", pa.int64()), ("tokens", pa.int64())])
+
+    def run(batches):
+        df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
+        for b in batches:
+            _, term, _, length = bags(unpacked(b.column("ids").to_pylist()))
+            seen = np.bincount(term, minlength=len(df))
+            seen[: len(df)] += df
+            df, n, tokens = seen, n + len(length), tokens + int(length.sum())
+        some = np.flatnonzero(df)
+        yield record_batch(schema, [np.append(some, -1), np.append(df[some], 0), np.append(np.zeros(len(some), np.int64), n), np.append(np.zeros(len(some), np.int64), tokens)])
+
+    got = cut.select("ids").mapInArrow(run, "term long, df long, pieces long, tokens long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "pieces", "tokens"))).toArrow().to_pandas()
+    n, tokens = int(got["pieces"].sum()), int(got["tokens"].sum())
+    df = np.zeros(max(1, int(got["term"].max()) + 1 if len(got) else 1), np.int64)
+    some = got[got["term"] >= 0]
+    df[some["term"].to_numpy()] = some["df"].to_numpy()
+    return Statistics(n, tokens / max(n, 1), df)
+
+
+def unpacked(ids: list[bytes]) -> list[np.ndarray]:
+    """Ids of pieces: a first byte tells their width, 2 or 4 bytes."""
+    return [np.frombuffer(x, np.uint16 if x[:1] == b"2" else np.uint32, offset=4).astype(np.uint32) for x in ids]
+
+
+def packed(ids: np.ndarray) -> bytes:
+    return (b"2   " + ids.astype(np.uint16).tobytes()) if ids.max() < 65536 else (b"4   " + ids.astype(np.uint32).tobytes())
+
+
 class Index:
-    """BM25 over the shard's pieces; terms are token ids. Used pieces are skipped."""
-
-    def __init__(self, pieces: list[np.ndarray]) -> None:
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        doc = np.repeat(np.arange(len(pieces)), length)
-        term = np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64)
-        width = int(term.max()) + 1 if len(term) else 1
-        key, count = np.unique(doc * width + term, return_counts=True)
-        self.doc, self.term = key // width, key % width
+    """BM25 over a shard's pieces, with the statistics of all pieces. Used pieces are skipped."""
+
+    def __init__(self, pieces: list[np.ndarray], about: Statistics | None = None) -> None:
+        self.doc, self.term, count, length = bags(pieces)
+        width = int(self.term.max()) + 1 if len(self.term) else 1
+        about = about or Statistics(len(pieces), float(length.mean()) if len(length) else 1.0, np.bincount(self.term, minlength=width))
         self.begin = np.searchsorted(self.doc, np.arange(len(pieces) + 1))
-        df = np.bincount(self.term, minlength=width)
-        self.idf = np.log1p((len(pieces) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(1.0, float(length.mean() if len(length) else 1)))
-        weight = self.idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
+        norm = K1 * (1 - B + B * length / max(1.0, about.mean))
+        weight = about.idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
         order = np.argsort(self.term, kind="stable")
         self.by_doc, self.by_weight = self.doc[order], weight[order]
-        self.posting = np.searchsorted(self.term[order], np.arange(width + 1))
+        kinds, first = np.unique(self.term[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        # Postings of each piece's terms, one after the other, as ranges of by_doc.
+        at = np.searchsorted(kinds, self.term)
+        self.low, self.high = first[at], ends[at]
+
+    def scores(self, seed: int, n: int) -> np.ndarray:
+        """Each piece's score for all of the seed's terms."""
+        own = slice(self.begin[seed], self.begin[seed + 1])
+        low, size = self.low[own], (self.high - self.low)[own]
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.bincount(self.by_doc[at], self.by_weight[at], n)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a looked-up term with the seed, best first; ties by index."""
-        own = self.term[self.begin[seed] : self.begin[seed + 1]]
-        best = own[np.lexsort((own, -self.idf[own]))[:QUERY_TERMS]]
-        spans = [slice(self.posting[t], self.posting[t + 1]) for t in best.tolist()]
-        docs = np.concatenate([self.by_doc[s] for s in spans]) if spans else np.zeros(0, np.int64)
-        score = np.bincount(docs, np.concatenate([self.by_weight[s] for s in spans]), len(used)) if len(docs) else np.zeros(len(used))
+        """Unused pieces that share a term with the seed, best first; ties by index."""
+        score = self.scores(seed, len(used))
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
 
 
-def fill(pieces: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def fill(pieces: list[np.ndarray], about: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (piece, from, to). Each window starts with the first unused piece as its seed and takes its neighbours in order.
 
     The last one taken is cut where the window is full, and its rest is the next seed. Without unused neighbours the next
     unused piece is taken. What is left at the end of the shard is cut into powers of two, so that nothing is padded.
     """
-    index, used = Index(pieces), np.zeros(len(pieces), bool)
+    index, used = Index(pieces, about), np.zeros(len(pieces), bool)
     made: list[list[tuple[int, int, int]]] = []
     window: list[tuple[int, int, int]] = []
     room, cursor = WINDOW, 0
@@ -192,45 +255,72 @@ def fill(pieces: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
 def pack(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece.
 
-    Full windows of a long document are sequences of their own; its rest, shorter than a window, goes to a shard, chosen
-    by a hash of id and text, and is packed there. Null and empty texts have the end id only; a null id stays null;
-    repeated rows are packed one by one. sequence_id: even for a full window (of document and place), odd for a shard's.
+    Full windows of a long document are sequences of their own. The rests, shorter than a window, are put in the order of
+    their first and second terms in one random order of all terms that favours rare ones: pieces that share rare terms come to stand
+    together. Shards are runs of SHARD_DOCS pieces in this order; in each, an index with the statistics of all pieces finds a
+    seed's neighbours. Null and empty texts have the end id only; a null id stays null; repeated rows are packed one by
+    one. sequence_id: even for a full window, odd for a shard's.
     """
-    shards = max(1, -(-docs.count() // SHARD_DOCS))
-    cut_schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
+    cut_schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
     def tokenize(batches):
         for b in batches:
-            shard, row, doc_ids = b.column("shard").to_pylist(), b.column("row").to_pylist(), b.column("doc_id").to_pylist()
+            row, doc_ids = b.column("row").to_pylist(), b.column("doc_id").to_pylist()
             for s in steps(b.column("text")):
                 tokens, at = coder(path).ids(s)
                 made = []
                 for i, begin, n in zip(range(s.first, s.last), at.tolist(), np.diff(at).tolist(), strict=False):
                     own, rest = tokens[begin : begin + n], n % WINDOW
                     for start in range(0, n - rest, WINDOW):
-                        made.append((shard[i], doc_ids[i], row[i], start, n, zlib.crc32(own[start : start + WINDOW]), None))
+                        made.append((doc_ids[i], row[i], start, n, zlib.crc32(own[start : start + WINDOW]), None))
                     if rest:
-                        tail = own[n - rest :]
-                        made.append((shard[i], doc_ids[i], row[i], n - rest, n, None, (tail.astype(np.uint16) if tail.max() < 65536 else tail).tobytes()))
+                        made.append((doc_ids[i], row[i], n - rest, n, None, packed(own[n - rest :])))
                 yield record_batch(cut_schema, list(zip(*made, strict=True)))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
-    cut = rows.mapInArrow(tokenize, "shard int, doc_id long, row long, start long, doc_tokens long, crc long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    cut = save(spark, rows.mapInArrow(tokenize, "doc_id long, row long, start long, doc_tokens long, crc long, ids binary"), "pieces")
+    tails = cut.where("ids IS NOT NULL").select("doc_id", "row", "start", "doc_tokens", "ids")
+    about = spark.sparkContext.broadcast(statistics(tails))
+    keyed_schema = pa.schema([*(cut_schema.field(c) for c in tails.columns), ("first", pa.int64()), ("second", pa.int64())])
+
+    def key(batches):
+        place = about.value.order()
+        for b in batches:
+            doc, term, _, length = bags(unpacked(b.column("ids").to_pylist()))
+            if not len(length):
+                continue
+            at = np.searchsorted(doc, np.arange(len(length)))
+            own = place[term]
+            first = np.minimum.reduceat(own, at)
+            own[own == first[doc]] = np.iinfo(np.int64).max
+            yield record_batch(keyed_schema, [*b.columns, first, np.minimum.reduceat(own, at)])
+
+    shards = max(1, -(-about.value.n // SHARD_DOCS))
+    order = ["first", "second", "row", "start"]
+    near = tails.mapInArrow(key, ", ".join(f"{c} {t}" for c, t in tails.dtypes) + ", first long, second long").repartitionByRange(-(-shards // 4), *order).sortWithinPartitions(*order)
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
-    def shard_step(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
-        base = key[0].as_py() << 32
-        doc_id, start, total, crc, ids = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "crc", "ids"))
-        tails = [i for i, x in enumerate(ids) if x is not None]
-        made = [(doc_id[i], start[i], WINDOW, crc[i], total[i], 2 * (base + i), 0) for i, x in enumerate(ids) if x is None]
-        pieces = [np.frombuffer(ids[i], np.uint16 if len(ids[i]) == 2 * (total[i] - start[i]) else np.uint32).astype(np.uint32) for i in tails]
-        for q, sequence in enumerate(fill(pieces)):
+    def shard(columns: list[list], sequence: int) -> list[tuple]:
+        doc_id, start, total, ids = columns
+        pieces, made = unpacked(ids), []
+        for q, parts in enumerate(fill(pieces, about.value)):
             offset = 0
-            for p, a, b in sequence:
-                i = tails[p]
-                made.append((doc_id[i], start[i] + a, b - a, zlib.crc32(pieces[p][a:b]), total[i], 2 * (base + q) + 1, offset))
+            for p, a, b in parts:
+                made.append((doc_id[p], start[p] + a, b - a, zlib.crc32(pieces[p][a:b]), total[p], 2 * (sequence + q) + 1, offset))
                 offset += b - a
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], schema=schema)
+        return made
+
+    def run(batches):
+        sequence, held = TaskContext.get().partitionId() << 32, None
+        for b in batches:
+            new = [b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")]
+            held = new if held is None else [x + y for x, y in zip(held, new, strict=True)]
+            while len(held[0]) >= SHARD_DOCS:
+                made = shard([x[:SHARD_DOCS] for x in held], sequence)
+                held, sequence = [x[SHARD_DOCS:] for x in held], sequence + len(made)
+                yield record_batch(schema, list(zip(*made, strict=True)))
+        if held and held[0]:
+            yield record_batch(schema, list(zip(*shard(held, sequence), strict=True)))
 
-    return cut.groupBy("shard").applyInArrow(shard_step, ", ".join(f"{c} long" for c in schema.names))
+    full = cut.where("ids IS NULL").select("doc_id", "start", F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.union(near.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names)))
