@@ -69,15 +69,6 @@ def test_skip_chain(spark):
     assert len(pii.skip_edges(["k"] * 1 + ["z"] + ["k"] * 50)) == 1
 
 
-def test_decontamination(spark, docs):
-    items = spark.createDataFrame([(1, "If a train travels 60 km in 2 hours, how fast does the train called Bolt go"), (2, "quick brown fox jumps over the lazy dog"), (3, None), (4, "dog")], "item_id long, text string")
-    more = spark.createDataFrame([(20, "x. If a train travels 75 km in 3 hours, how fast does the train called Dash go ok"), (21, "If a boat sails 75 km in 3 hours, how far is the shore"), (None, TEXTS[0])], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(spark, docs.select("doc_id", "text").union(more), items).collect()}
-    assert set(got) == {(20, 1), (0, 2), (1, 2)}
-    assert got[20, 1]["changed"] >= 2 and got[20, 1]["conflicts"] == 0
-    assert decontam.contaminated(spark, docs.limit(0), items).count() == 0
-
-
 def test_jpeg(spark, docs, monkeypatch):
     rng = np.random.default_rng(2)
     for n in (576, 576 * 13):
