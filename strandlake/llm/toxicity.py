@@ -14,6 +14,8 @@ from strandlake.llm._store import remainder
 from strandlake.llm._text import LOWER, Hasher, Step, ranges, record_batch, steps
 
 BUCKETS = 1 << 18
+#: Standard errors by which a feature's shares have to differ.
+LEAST_Z = 4.0
 #: Features that a step of the fit looks at.
 BLOCK = 1 << 21
 #: Words are runs of letters, digits and bytes over 127.
@@ -27,8 +29,8 @@ _STOP[[10, 33, 46, 63]] = True
 PREFIXES = (4, 5)
 
 
-def bags(step: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each feature (a word or the start of one): its bucket and its sentence's index in the step; for each sentence: its document.
+def bags(step: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each feature (a word or the start of one): its bucket and its sentence's index in the step; for each sentence: its document, and the bytes where it starts and ends.
 
     A sentence ends at . ! ? or a line's end. The features of a sentence stand together.
     """
@@ -40,7 +42,9 @@ def bags(step: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(_STOP[data])])[start]
     new = np.ones(len(ends), bool)
     new[1:] = (ends[1:] != ends[:-1]) | (doc[1:] != doc[:-1])
-    return (key % np.uint64(BUCKETS)).astype(np.int64).ravel(), np.repeat(np.cumsum(new) - 1, 1 + len(PREFIXES)), doc[new]
+    at = np.flatnonzero(new)
+    bounds = np.column_stack([start[at], end[np.append(at[1:], len(end)) - 1]]) if len(at) else np.zeros((0, 2), np.int64)
+    return (key % np.uint64(BUCKETS)).astype(np.int64).ravel(), np.repeat(np.cumsum(new) - 1, 1 + len(PREFIXES)), doc[new], bounds
 
 
 @dataclass
@@ -50,23 +54,30 @@ class Model:
     bias: float
     weight: np.ndarray
 
-    def sentences(self, step: Step) -> tuple[np.ndarray, np.ndarray]:
-        """The toxicity of each sentence of the step, and its document."""
-        bucket, sentence, doc = bags(step)
+    def sentences(self, step: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The toxicity of each sentence of the step, its document, and where it starts and ends in the step's bytes."""
+        bucket, sentence, doc, bounds = bags(step)
         z = self.bias + np.bincount(sentence, self.weight[bucket], len(doc))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), doc
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), doc, bounds
+
+    def joined(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Noisy-or over each document's sentences, of what they have above a sentence without any known word: so a long clean text does not add up."""
+        none = 1 / (1 + np.exp(-np.clip(self.bias, -30, 30)))
+        clean = np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-none), 0)
+        return np.maximum(-np.expm1(np.bincount(doc, clean, n)), 0.0)
 
     def documents(self, step: Step) -> np.ndarray:
-        p, doc = self.sentences(step)
-        return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(step)))
+        p, doc, _ = self.sentences(step)
+        return self.joined(p, doc, len(step))
 
 
-def choose(seen: np.ndarray, toxic: np.ndarray, n: int, positives: int, min_docs: int = 5, max_features: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that get a weight, and the weights to begin with: of those in min_docs documents or more the max_features (65,536 at most) whose shares of toxic and other documents differ most."""
+def choose(seen: np.ndarray, toxic: np.ndarray, n: int, positives: int, least: float = LEAST_Z) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that get a weight, all whose shares of toxic and other documents differ by `least` standard errors or more, and the weights to begin with."""
     a, b = (toxic + 0.5) / (positives + 1), (seen - toxic + 0.5) / (n - positives + 1)
-    worth = np.where(seen >= min_docs, np.abs(np.log(a / b)) * np.sqrt(seen), -1)
-    kept = np.sort(np.lexsort((np.arange(BUCKETS), -worth))[:max_features])
-    kept = kept[worth[kept] > 0]
+    share = seen / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positives + 1 / (n - positives)))
+    z = np.where(seen > 0, (toxic / positives - (seen - toxic) / (n - positives)) / error, 0)
+    kept = np.flatnonzero(np.abs(z) >= least)
     return kept, np.clip(np.log(a / b)[kept], 0, 3) * 0.5
 
 
@@ -128,7 +139,7 @@ def counted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         for b in batches:
             y = b.column("label").to_numpy(zero_copy_only=False) > 0
             for s in steps(b.column("text")):
-                bucket, sentence, doc = bags(s)
+                bucket, sentence, doc, _ = bags(s)
                 of = y[s.first : s.last]
                 key = np.unique(doc[sentence] * np.int64(BUCKETS) + bucket)
                 for i, chosen in enumerate((key, key[of[key // BUCKETS]])):
@@ -146,7 +157,7 @@ def counted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Learn from at most max_rows labelled rows whose crc32 remainder by 3 is not 1.
 
-    One pass counts the documents with each bucket, which chooses the features; a second brings these, two bytes each, to the
+    One pass counts the documents with each bucket, which chooses the features; a second brings these, four bytes each, to the
     driver. With labels of one kind only, or none, every sentence has the same low score.
     """
     sample = labelled_sample(docs, labels, "toxic", 3, lambda r: r != 1, max_rows)
@@ -163,45 +174,51 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
         for b in batches:
             ids, y = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False)
             for s in steps(b.column("text")):
-                bucket, sentence, doc = bags(s)
+                bucket, sentence, doc, _ = bags(s)
                 use = place[bucket] >= 0
                 # A sentence's features count once each, however often they occur.
                 pair = np.unique(sentence[use] * np.int64(len(kept) + 1) + place[bucket[use]])
-                feature, size = (pair % (len(kept) + 1)).astype(np.uint16), np.bincount(pair // (len(kept) + 1), minlength=len(doc)).astype(np.int32)
+                feature, size = (pair % (len(kept) + 1)).astype(np.int32), np.bincount(pair // (len(kept) + 1), minlength=len(doc)).astype(np.int32)
                 at = np.searchsorted(doc, np.arange(len(s) + 1))
                 cut = np.concatenate([[0], np.cumsum(size)])[at]
                 yield record_batch(schema, [ids[s.first : s.last], y[s.first : s.last], *([x[i:j].tobytes() for i, j in zip(e[:-1], e[1:], strict=True)] for x, e in ((feature, cut), (size, at)))])
 
     got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(read, "doc_id long, label int, feature binary, size binary").toArrow().to_pandas().sort_values(["doc_id", "feature", "size"], ignore_index=True)
-    joined = Bags(np.frombuffer(b"".join(got["feature"]), np.uint16), np.frombuffer(b"".join(got["size"]), np.int32), got["size"].str.len().to_numpy() // 4, (got["label"].to_numpy() > 0).astype(float))
+    joined = Bags(np.frombuffer(b"".join(got["feature"]), np.int32), np.frombuffer(b"".join(got["size"]), np.int32), got["size"].str.len().to_numpy() // 4, (got["label"].to_numpy() > 0).astype(float))
     theta = fit(joined, start)
     weight[kept] = theta[:-1]
     return Model(float(theta[-1]), weight)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted, sentence, start, end) for each row, repeated rows included.
+def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(doc_id, held_out, score, predicted, worst_sentence, worst_score, offending) for each row, repeated rows included.
 
-    sentence is the index of the sentence with the highest score (ties: the first) among those with words, -1 if none.
+    worst_sentence is the index of the sentence with the highest score (ties: the first) among those with words, -1 if none.
+    offending: start:end of each sentence that scores `least` or more, in code points from its first word to the end of its last, comma-joined.
     A null or empty text, or one without words, scores 0. A null id stays null and is not held out.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("worst_sentence", pa.int32()), ("worst_score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("worst_sentence", pa.int32()), ("worst_score", pa.float64()), ("offending", pa.string())])
 
     def run(batches):
         for b in batches:
             for s in steps(b.column("text")):
-                p, doc = model.sentences(s)
+                p, doc, bounds = model.sentences(s)
                 n = len(s)
-                total = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+                total = model.joined(p, doc, n)
                 at, worst, top = np.searchsorted(doc, np.arange(n + 1)), np.full(n, -1), np.zeros(n)
                 order = np.lexsort((np.arange(len(p)), -p, doc))
                 some = at[1:] > at[:-1]
                 first = order[at[:-1][some]]
                 worst[some], top[some] = first - at[:-1][some], p[first]
-                yield record_batch(schema, [b.column("doc_id").slice(s.first, n), total, worst, top])
-
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, worst_sentence int, worst_score double")
-    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst_sentence", "worst_score")
+                points = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])
+                where = [""] * n
+                for i in np.flatnonzero(p >= least).tolist():
+                    x, y = (points[bounds[i]] - points[s.offsets[doc[i]]]).tolist()
+                    where[doc[i]] += f",{x}:{y}" if where[doc[i]] else f"{x}:{y}"
+                yield record_batch(schema, [b.column("doc_id").slice(s.first, n), total, worst, top, where])
+
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, worst_sentence int, worst_score double, offending string")
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst_sentence", "worst_score", "offending")
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
