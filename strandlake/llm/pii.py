@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,34 +134,31 @@ def tokens(text: str, base: list[tuple[int, int, str]]) -> Tokens:
     return Tokens([(a, b) for a, b, _ in spans], np.array([x for x, _ in made]).reshape(-1, N_FEATURES), [k for _, k in made], np.array([k for *_, k in spans], np.int64))
 
 
-def skip_edges(key: list[str]) -> np.ndarray:
-    """Each candidate with the next one of the same key: n occurrences give n - 1 edges, however often a token is repeated."""
-    last: dict[str, int] = {}
-    made = []
-    for i, k in enumerate(key):
-        if k in last and last[k] != i - 1:
-            made.append((last[k], i))
-        last[k] = i
-    return np.array(made, np.int64).reshape(-1, 2)
+def hubs(key: list[str]) -> np.ndarray:
+    """(candidate, hub) of each candidate whose key another one has too: n occurrences of a key meet in one hub, so that all are two edges apart."""
+    count = Counter(key)
+    number = {k: i for i, k in enumerate(k for k, n in count.items() if n > 1)}
+    return np.array([(i, number[k]) for i, k in enumerate(key) if k in number], np.int64).reshape(-1, 2)
 
 
 @dataclass
 class Field:
-    """Log potentials: unary[label, feature]; chain[same key or not, label, label] of neighbours; skip[label, label] of similar distant tokens."""
+    """Log potentials: unary[label, feature]; chain[same key or not, label, label] of neighbours; skip[label, label] of a token and its key's hub."""
 
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
     def edges(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of nodes and their potentials; hubs come after the candidates."""
         n = len(t.key)
         line = np.column_stack([np.arange(n - 1), np.arange(1, n)])
         same = np.fromiter((t.key[i] == t.key[i + 1] for i in range(n - 1)), np.int64, max(0, n - 1))
-        far = skip_edges(t.key)
-        return np.concatenate([line, far]), np.concatenate([self.chain[same] + np.where(same[:, None, None], self.skip, 0), np.broadcast_to(self.skip, (len(far), *self.skip.shape))])
+        far = hubs(t.key)
+        return np.concatenate([line, far + np.array([0, n])]), np.concatenate([self.chain[same], np.broadcast_to(self.skip, (len(far), *self.skip.shape))])
 
-    def marginals(self, t: Tokens, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product over the document's graph; fixed labels are certain."""
+    def marginals(self, t: Tokens, rounds: int = 500, damping: float = 0.3, settled: float = 1e-4) -> np.ndarray:
+        """Loopy sum-product over the document's graph until no message changes by `settled`, or for `rounds` where they swing; fixed labels are certain."""
         score = t.x @ self.unary.T
         some = t.fixed > 0
         score[some] = -50
@@ -168,6 +166,8 @@ class Field:
         edge, potential = self.edges(t)
         if not len(edge):
             return softmax(score)
+        n = len(score)
+        score = np.concatenate([score, np.zeros((max(0, int(edge.max()) + 1 - n), score.shape[1]))])
         source, target = np.concatenate([edge[:, 0], edge[:, 1]]), np.concatenate([edge[:, 1], edge[:, 0]])
         table = np.concatenate([potential, potential.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edge)) + len(edge), np.arange(len(edge))])
@@ -177,10 +177,14 @@ class Field:
             np.add.at(belief, target, message)
             out = log_sum((belief[source] - message[back])[:, :, None] + table)
             out -= out.max(1, keepdims=True)
-            message = damping * message + (1 - damping) * out
+            new = damping * message + (1 - damping) * out
+            moved = np.abs(new - message).max()
+            message = new
+            if moved < settled:
+                break
         belief = score.copy()
         np.add.at(belief, target, message)
-        return softmax(belief)
+        return softmax(belief[:n])
 
 
 def log_sum(x: np.ndarray) -> np.ndarray:
@@ -194,9 +198,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: list[Tokens], rounds: int = 200, rate: float = 0.3, l2: float = 1e-3) -> Field:
-    """Pseudo-likelihood by gradient ascent. The patterns give the labels; a candidate that none matches takes the label of a similar one in its document, else none."""
+    """Pseudo-likelihood by gradient ascent. The patterns give the labels; a candidate that none matches takes the label of a similar one in its document, else none; a hub has its candidates' label."""
     k = len(LABELS)
-    x, y, near = [], [], []
+    x, y, near, far = [], [], [], []
     base = 0
     for t in docs:
         label = t.fixed.copy()
@@ -208,45 +212,51 @@ def fit(docs: list[Tokens], rounds: int = 200, rate: float = 0.3, l2: float = 1e
             label[i] = label[i] or of.get(key, 0)
         n = len(t.key)
         x.append(t.x), y.append(label)
-        for i in range(n - 1):
-            near.append((base + i, base + i + 1, int(t.key[i] == t.key[i + 1])))
-        near += [(base + i, base + j, 2) for i, j in skip_edges(t.key)]
+        near += [(base + i, base + i + 1, int(t.key[i] == t.key[i + 1])) for i in range(n - 1)]
+        far += [(base + i, of.get(t.key[i], 0)) for i, _ in hubs(t.key).tolist()]
         base += n
     field = Field(np.zeros((k, N_FEATURES)), np.zeros((2, k, k)), np.zeros((k, k)))
     if not base:
         field.skip[:] = np.eye(k) * 2
         return field
     x, y = np.concatenate(x), np.concatenate(y)
-    e = np.array(near, np.int64).reshape(-1, 3)
-    similar = e[:, 2] > 0
+    e, h = np.array(near, np.int64).reshape(-1, 3), np.array(far, np.int64).reshape(-1, 2)
     one = np.eye(k)
     for _ in range(rounds):
         score = x @ field.unary.T
-        pair = np.where(similar[:, None, None], field.skip, 0) + np.where((e[:, 2] < 2)[:, None, None], field.chain[np.minimum(e[:, 2], 1)], 0)
-        rows = np.arange(len(e))
+        pair, rows = field.chain[e[:, 2]], np.arange(len(e))
         np.add.at(score, e[:, 0], pair[rows, :, y[e[:, 1]]])
         np.add.at(score, e[:, 1], pair[rows, y[e[:, 0]], :])
+        np.add.at(score, h[:, 0], field.skip[:, h[:, 1]].T)
         error = one[y] - softmax(score)
         field.unary += rate * (error.T @ x / len(y) - l2 * field.unary)
         left, right = error[e[:, 0]], error[e[:, 1]]
         grad = left[:, :, None] * one[y[e[:, 1]]][:, None, :] + one[y[e[:, 0]]][:, :, None] * right[:, None, :]
         for s in (0, 1):
             field.chain[s] += rate * (grad[e[:, 2] == s].sum(0) / len(y) - l2 * field.chain[s])
-        both = grad[similar].sum(0) / max(1, int(similar.sum()))
+        both = error[h[:, 0]].T @ one[h[:, 1]] / max(1, len(h))
         field.skip += rate * ((both + both.T) / 2 - l2 * field.skip)
     return field
 
 
-def train(docs: DataFrame, max_docs: int = 3000, max_chars: int = 20_000) -> Field:
-    """Fit on at most max_docs distinct documents with a digit or an at sign, the first in order of a hash, of each at most max_chars.
+def train(docs: DataFrame, max_docs: int = 3000) -> Field:
+    """Fit on at most max_docs distinct documents with a digit or an at sign, the first in order of a hash, with their whole texts.
 
-    Only those among the lowest hashes, about 4 * max_docs, are sorted; copies count once.
+    Only hashes among the lowest, about 4 * max_docs, are sorted; copies count once. Candidates and their features are made on the executors.
     """
-    some = docs.select("text").where(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, max_chars).alias("text"), F.xxhash64("text").alias("h"))
+    some = docs.select("text").where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
     total = max(some.count(), 1)
-    near = some.where(lowest("h", 4 * max_docs, F.lit(total))).groupBy("h").agg(F.min("text").alias("text"))
-    got = near.orderBy("h").limit(max_docs).toArrow().to_pandas()
-    made = [tokens(t, base_spans(t)) for t in got["text"]]
+    chosen = some.where(lowest("h", 4 * max_docs, F.lit(total))).select("h").distinct().orderBy("h").limit(max_docs)
+    schema = pa.schema([("h", pa.int64()), ("x", pa.binary()), ("key", pa.list_(pa.string())), ("fixed", pa.binary())])
+
+    def read(batches):
+        for b in batches:
+            made = [tokens(t, base_spans(t)) for t in b.column("text").to_pylist()]
+            yield record_batch(schema, [b.column("h"), [t.x.tobytes() for t in made], [t.key for t in made], [t.fixed.tobytes() for t in made]])
+
+    one = some.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    got = one.select("h", "text").mapInArrow(read, "h long, x binary, key array<string>, fixed binary").toArrow().sort_by("h").to_pylist()
+    made = [Tokens([], np.frombuffer(r["x"]).reshape(-1, N_FEATURES), r["key"], np.frombuffer(r["fixed"], np.int64)) for r in got]
     return fit([t for t in made if t.key])
 
 

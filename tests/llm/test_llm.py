@@ -66,7 +66,29 @@ def test_skip_chain(spark):
     t = pii.tokens(x := "call +1 (605) 555-9305 now. " + "word " * 20 + "again 605 555 9305 today", pii.base_spans(x))
     field = pii.fit([t] * 20)
     assert [s[2] for s in pii.all_spans(x, field)[1]] == ["phone", "phone"]
-    assert len(pii.skip_edges(["k"] * 1 + ["z"] + ["k"] * 50)) == 1
+    assert pii.hubs(["k", "z", "k", "y", "y"]).tolist() == [[0, 0], [2, 0], [3, 1], [4, 1]]
+    far = "call +1 (605) 555-9305 now. " + "number 99887766 and word " * 60 + "again 605 555 9305 today"
+    other = pii.tokens(n := "number 99887766 and word " * 3, pii.base_spans(n))
+    field = pii.fit([t, other] * 20)
+    assert [s[:2] for s in pii.all_spans(far, field)[1]] == [(5, 22), (far.index("605 555"), far.index("605 555") + 12)]
+
+
+def test_marginals_by_enumeration():
+    """On trees sum-product is exact: all labellings of small documents are summed up."""
+    rng = np.random.default_rng(8)
+    k = len(pii.LABELS)
+    field = pii.Field(rng.normal(size=(k, pii.N_FEATURES)), rng.normal(size=(2, k, k)), rng.normal(size=(k, k)))
+    field.skip = (field.skip + field.skip.T) / 2
+    for key, fixed in ((["a", "b", "c"], [0, 2, 0]), (["a"], [0]), (["a", "b"], [0, 0])):
+        t = pii.Tokens([], rng.normal(size=(len(key), pii.N_FEATURES)), key, np.array(fixed))
+        score = t.x @ field.unary.T
+        total = np.zeros((len(key), k))
+        for y in itertools.product(range(k), repeat=len(key)):
+            if all(f in (0, v) for f, v in zip(fixed, y)):
+                w = sum(score[i, v] for i, v in enumerate(y) if not fixed[i]) + sum(field.chain[0][a, b] for a, b in itertools.pairwise(y))
+                for i, v in enumerate(y):
+                    total[i, v] += np.exp(w)
+        assert np.allclose(field.marginals(t, settled=1e-12), total / total.sum(1, keepdims=True), atol=1e-6)
 
 
 def test_jpeg(spark, docs, monkeypatch):
