@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.stats import adjusted, wilson
+from strandlake.functions.stats import adjusted, t_summary, wilson
 from strandlake.operators import intervals, matching, pairs, ranking, regression, resampling
 from strandlake.plans import files, models, sql
 from strandlake.plans.base import hours, sites, table
@@ -188,6 +188,21 @@ def caliper_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.calliper_match(near.withColumnRenamed("k", "case_id"), ["g"], "case_id", "control", "z", "distance")
 
 
+def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mark: the mean effect, its interval, and the one-sided p with its corrections over marks."""
+    made = t_summary(per_protein(spark, sf_dir), "effect", ["mark"]).withColumn("family", F.lit(1))
+    return adjusted(made, "p", "mark", ["family"]).select("mark", "n", *(F.round(c, 6).alias(c) for c in ("mean", "se", "t", "ci_low", "ci_high")), *(F.round(F.log10(c), 5).alias(f"log10_{c}") for c in ("p", "holm", "bh")))
+
+
+def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched differences of the focal mark from each other one, with corrected one-sided p values."""
+    made = per_protein(spark, sf_dir).select("entity", "mark", "effect")
+    focal = made.where("mark = 'purchase'").select("entity", F.col("effect").alias("own"))
+    pairs_ = made.where("mark <> 'purchase'").join(focal, "entity").select(F.col("mark").alias("control"), (F.col("own") - F.col("effect")).alias("difference"))
+    tested = t_summary(pairs_, "difference", ["control"]).withColumn("family", F.lit(1))
+    return adjusted(tested, "p", "control", ["family"]).select("control", "n", F.round("mean", 6).alias("mean_difference"), F.round("p", 9).alias("p"), F.round("holm", 9).alias("holm"), F.round("bh", 9).alias("bh"))
+
+
 _CTES = {k: sql.duck_query(v) for k, v in {"sites": sql._SITES, "chain": sql._CHAIN, "eff": sql._FRACTIONS, "scored": sql._SCORED}.items()}
 _EFFECTS = f"""WITH {_CTES['sites']}, near AS (SELECT entity, mark, count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites),
 s AS (SELECT entity, mark, count(*)::DOUBLE AS k, floor(sum(d) / 2) AS edges FROM near GROUP BY ALL HAVING count(*) >= 3),
@@ -218,6 +233,8 @@ SELECT entity, mark, min(pos) AS start, max(pos) AS "end", count(*) AS valence F
     exposure_strata: f"""WITH {_CTES['chain']}, pool AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal FROM sites GROUP BY ALL), sig AS (SELECT p.entity, p.pos, any_value(focal) AS focal, coalesce(string_agg(i.mark || ':' || i.s, '|' ORDER BY i.mark || ':' || i.s), 'uncovered') AS signature FROM pool p LEFT JOIN islands i ON p.entity = i.entity AND p.pos BETWEEN i.s AND i.e GROUP BY p.entity, p.pos)
 SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observed FROM sig GROUP BY entity, signature""",
     vector_similarity: "WITH f AS (SELECT vec_id, i, x::DOUBLE AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) t), p AS (SELECT *, abs(x) / nullif(sum(abs(x)) OVER (PARTITION BY vec_id), 0) AS p FROM f), j AS (SELECT a.vec_id, a.x, b.x AS y, a.p, b.p AS q, (a.p + b.p) / 2 AS m FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.i = b.i) SELECT vec_id, round(corr(x, y), 6) AS pearson, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine, round(1 - sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2, 6) AS js FROM j GROUP BY vec_id",
+    t_interval: None,
+    contrasts: None,
     ols_cluster: None,
     logit: None,
     hypergeom: None,

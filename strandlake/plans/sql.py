@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import alignments, sequences
+from strandlake.plans import alignments, controls, sequences
 from strandlake.plans.base import ORIGIN, hours, table
 
 #: The events in DuckDB; Spark has them from base.hours.
@@ -107,7 +107,7 @@ SHARED: dict[str, str] = {
     "scaled_distance": "WITH s AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS d1, avg(quality) AS m2, stddev_pop(quality) AS d2 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT d.doc_id, round(coalesce(pow((n_chars - m1) / (d1 + 1e-9), 2), 0) + coalesce(pow((quality - m2) / (d2 + 1e-9), 2), 0), 6) AS distance FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN s",
 }
 SHARED["deletion_summary"] = f"SELECT count(*) AS points, min(CASE WHEN group_fold < 1 THEN removed END) AS first_below, {', '.join(f'max(CASE WHEN pct = {p} THEN group_fold END) AS fold_at_{p}' for p in (0, 10, 25, 50, 75, 80))} FROM ({SHARED['adversarial_curve']}) c"
-SHARED |= sequences.SHARED | alignments.SHARED
+SHARED |= sequences.SHARED | alignments.SHARED | controls.build(_CHAIN, _SITES, _FRACTIONS)
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -122,10 +122,11 @@ def spark_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
         if "{symbols}" in text:
             frames["symbols"] = sequences.symbols(table(spark, sf_dir, "documents"))
         marked = re.sub(rf"(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", text).replace("EACH((", "explode(sequence(")
-        return spark.sql(marked.replace("VARCHAR(20)", "STRING"), **frames)
+        return spark.sql(re.sub(r"HEX8\((md5\(.*?\))\) %", r"CAST(conv(substr(\1, 1, 8), 16, 10) AS BIGINT) %", marked).replace("VARCHAR(20)", "STRING"), **frames)
 
     return run
 
 
 def duck_query(text: str) -> str:
-    return text.replace("{hours} h", DUCK_HOURS + " h").replace("{symbols} s", sequences.DUCK_SYMBOLS + " s").replace("EACH((", "unnest(generate_series(")
+    made = text.replace("{hours} h", DUCK_HOURS + " h").replace("{symbols} s", sequences.DUCK_SYMBOLS + " s").replace("EACH((", "unnest(generate_series(")
+    return re.sub(r"HEX8\((md5\(.*?\))\) %", r"('0x' || substr(\1, 1, 8))::BIGINT %", made)
