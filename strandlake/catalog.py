@@ -67,6 +67,10 @@ def avg_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.average_precision(_scored(spark, sf_dir), "quality", "score")
 
 
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.roc_points(_scored(spark, sf_dir), "quality", "score")
+
+
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("k"), "c_acctbal", "c_mktsegment")
     return matching.greedy_match(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"), "g", "k", ["c_acctbal"])
@@ -228,6 +232,7 @@ SELECT entity, mark, min(pos) AS start, max(pos) AS "end", count(*) AS valence F
     auroc: _STEPS.format(key="1") + f" SELECT {_AUROC}",
     auroc_by_entity: _STEPS.format(key="lang") + f" SELECT lang, {_AUROC} GROUP BY lang HAVING sum(label) > 0 AND sum(label) < count(*)",
     avg_precision: f"WITH {_CTES['scored']}, s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen FROM s) SELECT round(sum(p * tp / seen) / sum(p), 9) AS ap FROM c",
+    roc_points: f"WITH {_CTES['scored']}, s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n - p) OVER (ORDER BY score DESC) AS fp FROM s) SELECT score, round(tp / (SELECT sum(p) FROM s), 9) AS tpr, round(fp / (SELECT sum(n - p) FROM s), 9) AS fpr FROM c",
     null_moments: _EFFECTS + " SELECT entity, mark, round(expected * n_sites * (n_sites - 1) / 2, 4) AS mean, round(sqrt(null_variance) * n_sites * (n_sites - 1) / 2, 3) AS sd FROM eff",
     list_codec: f"WITH {_CTES['sites']} SELECT entity, mark, string_agg(pos::VARCHAR, ';' ORDER BY pos) AS positions, count(*) AS n, sum(pos)::BIGINT AS total FROM sites GROUP BY entity, mark",
     exposure_strata: f"""WITH {_CTES['chain']}, pool AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal FROM sites GROUP BY ALL), sig AS (SELECT p.entity, p.pos, any_value(focal) AS focal, coalesce(string_agg(i.mark || ':' || i.s, '|' ORDER BY i.mark || ':' || i.s), 'uncovered') AS signature FROM pool p LEFT JOIN islands i ON p.entity = i.entity AND p.pos BETWEEN i.s AND i.e GROUP BY p.entity, p.pos)

@@ -16,7 +16,7 @@ def chained(sites: DataFrame, keys: Sequence[str], pos: str, gap: int, min_sites
     """
     order = W.partitionBy(*keys).orderBy(pos)
     far = F.coalesce(F.col(pos) - F.lag(pos).over(order) > gap, F.lit(True)).cast("int")
-    marked = sites.select(*keys, pos).distinct().withColumn("_far", far).withColumn("island", F.sum("_far").over(order)).drop("_far")
+    marked = sites.select(*keys, pos).repartition(*keys).distinct().withColumn("_far", far).withColumn("island", F.sum("_far").over(order)).drop("_far")
     return marked.withColumn("_n", F.count("*").over(W.partitionBy(*keys, "island"))).where(F.col("_n") >= min_sites).drop("_n")
 
 

@@ -14,7 +14,7 @@ from strandlake.functions.stats import null_moments
 def close_pairs(sites: DataFrame, keys: Sequence[str], pos: str, radius: int) -> DataFrame:
     """(keys, n, edges, adjacent): coordinates, pairs at most radius apart, and pairs of these that share one; by range frames, not a self-join."""
     near = W.partitionBy(*keys).orderBy(pos).rangeBetween(-radius, radius)
-    degree = sites.select(*keys, pos).distinct().withColumn("d", F.count("*").over(near) - 1)
+    degree = sites.select(*keys, pos).repartition(*keys).distinct().withColumn("d", F.count("*").over(near) - 1)
     half = lambda c: F.floor(F.sum(c) / 2).cast("long")
     return degree.groupBy(*keys).agg(F.count("*").alias("n"), half("d").alias("edges"), half(F.col("d") * (F.col("d") - 1)).alias("adjacent"))
 

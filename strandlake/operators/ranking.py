@@ -1,4 +1,4 @@
-"""Ranking metrics by windows over scores."""
+"""Ranking metrics over scores, by windows within ranges of scores and offsets between these."""
 
 from __future__ import annotations
 
@@ -9,20 +9,47 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores, about: what one task sorts of a key is one of these.
+RANGES = 256
+
+
+def cumulated(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (), down: bool = False) -> DataFrame:
+    """df with, for each of columns, `column_before`: its sum over the key's rows that come before in order; rows of equal order are to be one row.
+
+    Ranges come from approximate quantiles. Within one, a window adds up; the sums of the ranges before it, a few hundred
+    rows a key, are added: no key's rows have to be in one task.
+    """
+    edges = df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)
+    place = F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(edges)))), lambda e: e <= F.col(order).cast("double"))) if edges else F.lit(0)
+    rows = df.withColumn("_range", -place if down else place)
+    sums = rows.groupBy(*keys, "_range").agg(*(F.sum(c).alias(c) for c in columns))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"_{c}") for c in columns))
+    inside = W.partitionBy(*keys, "_range").orderBy(F.desc(order) if down else F.asc(order)).rowsBetween(W.unboundedPreceding, -1)
+    both = rows.join(offsets, [*keys, "_range"])
+    return both.select(*df.columns, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0))).alias(f"{c}_before") for c in columns))
+
+
 def auroc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, positives, negatives, auroc): the rank-sum form, ties averaged; groups with one class go.
 
-    Equal scores are counted before the window, so that it runs over distinct scores only.
+    Equal scores are counted first. Null keys and scores are left out.
     """
-    steps = df.groupBy(*keys, score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    won = steps.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("w").alias("w"))
+    steps = df.dropna(subset=[*keys, score]).groupBy(*keys, score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
+    won = cumulated(steps, score, ["q"], keys).withColumn("w", F.col("p") * (F.col("q_before") + F.col("q") / 2)).groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("w").alias("w"))
     return won.where("positives > 0 AND negatives > 0").select(*keys, F.col("positives").cast("long").alias("positives"), F.col("negatives").cast("long").alias("negatives"), F.round(F.col("w") / (F.col("positives") * F.col("negatives")), 9).alias("auroc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """(ap): the sum of precision times the step in recall, over distinct scores from the highest."""
-    steps = df.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    made = steps.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down)})
-    return made.agg(F.round(F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p"), 9).alias("ap"))
+    steps = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    made = cumulated(steps, score, ["p", "n"], down=True)
+    return made.agg(F.round(F.sum(F.col("p") * (F.col("p_before") + F.col("p")) / (F.col("n_before") + F.col("n"))) / F.sum("p"), 9).alias("ap"))
+
+
+def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(score, tpr, fpr) at each distinct score as threshold, from the highest."""
+    steps = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
+    total = steps.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    made = cumulated(steps, score, ["p", "q"], down=True).crossJoin(F.broadcast(total))
+    return made.select(score, *(F.round(F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(f"_{c}")), 9).alias(n) for c, n in (("p", "tpr"), ("q", "fpr"))))

@@ -35,6 +35,9 @@ _SCORED = "scored AS (SELECT d.doc_id, d.lang, l.quality AS label, length(d.text
 _RADII = (5, 10, 25)
 _SCALES = _SITES + ", near AS (SELECT entity, mark" + "".join(f", count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1 AS d{r}" for r in _RADII) + " FROM sites), seen AS (SELECT entity, mark, count(*) AS n" + "".join(f", sum(d{r}) / 2e0 AS e{r}" for r in _RADII) + " FROM near GROUP BY entity, mark HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), near_pool AS (SELECT entity" + "".join(f", count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1 AS d{r}" for r in _RADII) + " FROM pool), expected AS (SELECT entity, count(*) AS n_all" + "".join(f", sum(d{r}) / 2e0 AS x{r}" for r in _RADII) + " FROM near_pool GROUP BY entity), wide AS (SELECT s.entity, s.mark" + "".join(f", e{r} / (n * (n - 1) / 2e0) - x{r} / (n_all * (n_all - 1) / 2e0) AS f{r}" for r in _RADII) + " FROM seen s JOIN expected x ON s.entity = x.entity), scales AS (" + " UNION ALL ".join(f"SELECT entity, mark, f{r} AS effect FROM wide" for r in _RADII) + ")"
 
+# Cases (v of their group g) beside the controls next below and above: sorted once, not compared with all.
+_NEXT = """c AS (SELECT c_custkey AS k, c_nationkey AS g, {value} AS v, c_mktsegment = 'BUILDING' AS is_case FROM customer{more}), d AS (SELECT g, v, min(k) AS k, count(*) AS m FROM c WHERE NOT is_case GROUP BY g, v), u AS (SELECT g, v, k AS case_key, 0 AS m FROM c WHERE is_case UNION ALL SELECT g, v, CAST(NULL AS BIGINT) AS case_key, m FROM d), w AS (SELECT g, v, case_key, max(CASE WHEN case_key IS NULL THEN v END) OVER (PARTITION BY g ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN case_key IS NULL THEN v END) OVER (PARTITION BY g ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi{count} FROM u)"""
+
 SHARED: dict[str, str] = {
     "scan_project": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderstatus = 'F'",
     "filter_in": "SELECT mark, count(*) AS n, round(avg(value), 6) AS mean_value FROM {hours} h WHERE mark IN ('purchase', 'view') AND value >= 10 GROUP BY mark",
@@ -76,7 +79,7 @@ SHARED: dict[str, str] = {
     "loo_survival": "WITH " + _SITES + ", proof AS (SELECT DISTINCT entity, pos, CAST(floor(value / 50) AS BIGINT) AS src FROM {hours} h WHERE mark = 'purchase'), gone AS (SELECT DISTINCT entity, src AS removed FROM proof), kept AS (SELECT DISTINCT g.entity, g.removed, p.pos FROM gone g JOIN proof p ON p.entity = g.entity AND p.src <> g.removed), flagged AS (SELECT entity, removed, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, removed ORDER BY pos) <= 24 THEN 0 ELSE 1 END AS f FROM kept), numbered AS (SELECT entity, removed, sum(f) OVER (PARTITION BY entity, removed ORDER BY pos) AS k FROM flagged), left_over AS (SELECT entity, removed, max(n) AS best FROM (SELECT entity, removed, k, count(*) AS n FROM numbered GROUP BY entity, removed, k) z GROUP BY entity, removed) SELECT g.entity, count(*) AS removals, sum(CASE WHEN l.best >= 3 THEN 1 ELSE 0 END) AS survived FROM gone g LEFT JOIN left_over l ON g.entity = l.entity AND g.removed = l.removed GROUP BY g.entity",
     "local_opportunity": "WITH " + _SITES + ", m AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal, max(CASE WHEN mark = 'view' THEN 1 ELSE 0 END) AS other FROM sites GROUP BY entity, pos), w AS (SELECT entity, pos, focal, other, sum(CASE WHEN focal = 0 THEN other ELSE 0 END) OVER v AS hit, sum(1 - focal) OVER v AS controls FROM m WINDOW v AS (PARTITION BY entity ORDER BY pos RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)) SELECT entity, pos, other AS observed, round(hit / (1e0 * nullif(controls, 0)), 9) AS expected, controls FROM w WHERE focal = 1",
     "nested_nulls": "WITH " + _SITES + ", m AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS a, max(CASE WHEN mark = 'view' THEN 1 ELSE 0 END) AS b FROM sites GROUP BY entity, pos), z AS (SELECT entity, CAST(floor(pos / 144e0) AS BIGINT) AS bin, sum(a) AS p, sum(b) AS o, count(*) AS pool, sum(a * b) AS both_n FROM m GROUP BY entity, CAST(floor(pos / 144e0) AS BIGINT)) SELECT entity, sum(both_n) AS observed, round(sum(p) * sum(o) / 720e0, 9) AS expected_length, round(sum(p) * sum(o) / (1e0 * sum(pool)), 9) AS expected_pool, round(sum(p * o / (1e0 * pool)), 9) AS expected_bins FROM z GROUP BY entity",
-    "nn_match": "WITH a AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING'), p AS (SELECT a.k AS case_key, b.k AS control_key, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.v - b.v), b.k) AS r FROM a JOIN b ON a.g = b.g) SELECT case_key, control_key FROM p WHERE r = 1",
+    "nn_match": "WITH " + _NEXT.format(value="c_acctbal", more="", count="") + ", n AS (SELECT case_key, g, v, lo AS cv FROM w WHERE case_key IS NOT NULL AND lo IS NOT NULL UNION ALL SELECT case_key, g, v, hi AS cv FROM w WHERE case_key IS NOT NULL AND hi IS NOT NULL) SELECT case_key, control_key FROM (SELECT case_key, d.k AS control_key, row_number() OVER (PARTITION BY case_key ORDER BY abs(n.v - d.v), d.k) AS r FROM n JOIN d ON n.g = d.g AND n.cv = d.v) x WHERE r = 1",
     "zscore": "WITH s AS (SELECT avg(log10(n_chars + 1)) AS m, coalesce(nullif(stddev_pop(log10(n_chars + 1)), 0), 1) AS d FROM documents) SELECT doc_id, round((log10(n_chars + 1) - m) / d, 9) AS z FROM documents CROSS JOIN s",
     "quantile_bins": "WITH q AS (SELECT percentile_cont(0.2) WITHIN GROUP (ORDER BY value) AS a, percentile_cont(0.4) WITHIN GROUP (ORDER BY value) AS b, percentile_cont(0.6) WITHIN GROUP (ORDER BY value) AS c, percentile_cont(0.8) WITHIN GROUP (ORDER BY value) AS d FROM events) SELECT bin, count(*) AS n FROM (SELECT CASE WHEN value >= a THEN 1 ELSE 0 END + CASE WHEN value >= b THEN 1 ELSE 0 END + CASE WHEN value >= c THEN 1 ELSE 0 END + CASE WHEN value >= d THEN 1 ELSE 0 END AS bin FROM events CROSS JOIN q) t GROUP BY bin",
     "histogram": "SELECT least(CAST(floor(n_chars / 500e0) AS BIGINT), 24) AS bin, count(*) AS n FROM documents GROUP BY least(CAST(floor(n_chars / 500e0) AS BIGINT), 24)",
@@ -88,7 +91,6 @@ SHARED: dict[str, str] = {
     "shard_assign": "SELECT shard, count(*) AS n, min(user_id) AS first_key FROM (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 16 AS shard FROM (SELECT DISTINCT user_id FROM events) u) t GROUP BY shard",
     "partition_cover": "SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, count(*) - count(o_orderkey) AS n_null, max(o_orderkey) - min(o_orderkey) + 1 AS extent FROM orders",
     "union_validated": "SELECT shard, count(*) AS n, count(DISTINCT k) AS n_keys FROM (SELECT o_orderkey AS k, o_orderkey % 4 AS shard FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey AS k, o_orderkey % 4 AS shard FROM orders WHERE o_orderkey % 2 <> 0) t GROUP BY shard",
-    "roc_points": "WITH " + _SCORED + ", s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n - p) OVER (ORDER BY score DESC) AS fp FROM s) SELECT score, round(tp / (1e0 * (SELECT sum(p) FROM s)), 9) AS tpr, round(fp / (1e0 * (SELECT sum(n - p) FROM s)), 9) AS fpr FROM c",
     "precision_recall": "WITH " + _SCORED + " SELECT round(sum(CASE WHEN score >= 200 THEN label ELSE 0 END) / (1e0 * greatest(sum(CASE WHEN score >= 200 THEN 1 ELSE 0 END), 1)), 9) AS precision_at, round(sum(CASE WHEN score >= 200 THEN label ELSE 0 END) / (1e0 * greatest(sum(label), 1)), 9) AS recall_at FROM scored",
     "operating_points": "WITH " + _SCORED + ", t AS (SELECT q, CASE q WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS threshold FROM (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY score) AS a, percentile_cont(0.95) WITHIN GROUP (ORDER BY score) AS b, percentile_cont(0.99) WITHIN GROUP (ORDER BY score) AS c FROM scored WHERE label = 0) z CROSS JOIN (SELECT CAST(q AS BIGINT) AS q FROM (SELECT EACH((1, 3)) AS q) e) g) SELECT q, round(threshold, 6) AS threshold, sum(CASE WHEN score > threshold THEN label ELSE 0 END) AS tp, sum(CASE WHEN score > threshold THEN 1 - label ELSE 0 END) AS fp FROM scored CROSS JOIN t GROUP BY q, threshold",
     "negative_quantile_threshold": "WITH " + _SCORED + " SELECT round(percentile_cont(0.95) WITHIN GROUP (ORDER BY score), 6) AS threshold FROM scored WHERE label = 0",
@@ -103,7 +105,7 @@ SHARED: dict[str, str] = {
     "region_recall": "WITH " + _CHAIN + " SELECT count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM sites p WHERE p.mark = 'view' AND p.entity = a.entity AND p.pos >= a.s - 15 AND p.pos <= a.e + 15) THEN 1 ELSE 0 END) AS found FROM islands a WHERE a.mark = 'purchase'",
     "arm_ratio": "SELECT mark, round(avg(CASE WHEN pos < 360 THEN value END) / avg(CASE WHEN pos >= 360 THEN value END), 6) AS ratio FROM {hours} h GROUP BY mark",
     "local_covariates": "WITH v AS (SELECT entity, pos, avg(value) AS value FROM {hours} h GROUP BY entity, pos) SELECT entity, pos, round(avg(value) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING), 6) AS local_mean FROM v",
-    "caliper_candidates": "WITH s AS (SELECT avg(c_acctbal) AS m, coalesce(nullif(stddev_pop(c_acctbal), 0), 1) AS d FROM customer), z AS (SELECT c_custkey, c_nationkey, c_mktsegment, (c_acctbal - m) / d AS z FROM customer CROSS JOIN s) SELECT a.c_custkey AS case_key, count(*) AS candidates, round(min(abs(a.z - b.z)), 9) AS nearest FROM z a JOIN z b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment <> 'BUILDING' AND abs(a.z - b.z) <= 0.5e0 GROUP BY a.c_custkey",
+    "caliper_candidates": "WITH s AS (SELECT avg(c_acctbal) AS m, coalesce(nullif(stddev_pop(c_acctbal), 0), 1) AS d FROM customer), " + _NEXT.format(value="round((c_acctbal - m) / d, 9)", more=" CROSS JOIN s", count=", sum(m) OVER (PARTITION BY g ORDER BY v RANGE BETWEEN 0.5e0 PRECEDING AND 0.5e0 FOLLOWING) AS near") + " SELECT case_key, CAST(near AS BIGINT) AS candidates, round(least(v - lo, hi - v), 6) AS nearest FROM w WHERE case_key IS NOT NULL AND near > 0",
     "scaled_distance": "WITH s AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS d1, avg(quality) AS m2, stddev_pop(quality) AS d2 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT d.doc_id, round(coalesce(pow((n_chars - m1) / (d1 + 1e-9), 2), 0) + coalesce(pow((quality - m2) / (d2 + 1e-9), 2), 0), 6) AS distance FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN s",
 }
 SHARED["deletion_summary"] = f"SELECT count(*) AS points, min(CASE WHEN group_fold < 1 THEN removed END) AS first_below, {', '.join(f'max(CASE WHEN pct = {p} THEN group_fold END) AS fold_at_{p}' for p in (0, 10, 25, 50, 75, 80))} FROM ({SHARED['adversarial_curve']}) c"
