@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, t_summary, wilson
 from strandlake.operators import intervals, matching, pairs, ranking, regression, resampling
-from strandlake.plans import files, models, sql
+from strandlake.plans import files, models, oracles, sql
 from strandlake.plans.base import hours, sites, table
 
 _KEYS = ["entity", "mark"]
@@ -137,7 +137,9 @@ def exposure_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sites(spark, sf_dir)
     spans = intervals.islands(found, _KEYS, "pos", 24, 3).select("entity", F.col("mark").alias("span_mark"), "start", "end")
     pool = found.groupBy("entity", "pos").agg(F.max((F.col("mark") == "purchase").cast("int")).alias("focal"))
-    covered = pool.join(spans, "entity").where(F.col("pos").between(F.col("start"), F.col("end"))).select("entity", "pos", F.concat_ws(":", "span_mark", F.col("start").cast("string")).alias("span"))
+    # Spans and coordinates meet in buckets of 64, not by entity alone.
+    spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor(F.col("end") / 64))))
+    covered = pool.withColumn("bucket", F.floor(F.col("pos") / 64)).join(spans, ["entity", "bucket"]).where(F.col("pos").between(F.col("start"), F.col("end"))).select("entity", "pos", F.concat_ws(":", "span_mark", F.col("start").cast("string")).alias("span"))
     signature = covered.groupBy("entity", "pos").agg(F.array_join(F.array_sort(F.collect_set("span")), "|").alias("signature"))
     strata = pool.join(signature, ["entity", "pos"], "left").withColumn("signature", F.coalesce("signature", F.lit("uncovered")))
     return strata.groupBy("entity", "signature").agg(F.count("*").alias("n_eligible"), F.sum("focal").cast("long").alias("n_observed"))
@@ -181,8 +183,9 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publication_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each island's sites with evidence buckets of their own."""
     found = hours(table(spark, sf_dir, "events")).select("entity", "mark", "pos", F.floor(F.col("value") / 50).cast("long").alias("source"))
-    spans = islands(spark, sf_dir).select("entity", "mark", "start", "end")
-    return matching.maximum_matching(found.join(spans, _KEYS).where(F.col("pos").between(F.col("start"), F.col("end"))), ["entity", "mark", "start"], "pos", "source")
+    spans = islands(spark, sf_dir).select("entity", "mark", "start", "end").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor(F.col("end") / 64))))
+    inside = found.withColumn("bucket", F.floor(F.col("pos") / 64)).join(spans, [*_KEYS, "bucket"]).where(F.col("pos").between(F.col("start"), F.col("end")))
+    return matching.maximum_matching(inside, ["entity", "mark", "start"], "pos", "source")
 
 
 def caliper_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,4 +268,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: v for f, v in _OWN.items() if v} | {k: sql.duck_query(v) for k, v in sql.SHARED.items()}
+    return {f.__name__: v for f, v in _OWN.items() if v} | {k: sql.duck_query(oracles.PLAIN.get(k, v)) for k, v in sql.SHARED.items()}

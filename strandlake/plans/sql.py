@@ -35,6 +35,11 @@ _SCORED = "scored AS (SELECT d.doc_id, d.lang, l.quality AS label, length(d.text
 _RADII = (5, 10, 25)
 _SCALES = _SITES + ", near AS (SELECT entity, mark" + "".join(f", count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1 AS d{r}" for r in _RADII) + " FROM sites), seen AS (SELECT entity, mark, count(*) AS n" + "".join(f", sum(d{r}) / 2e0 AS e{r}" for r in _RADII) + " FROM near GROUP BY entity, mark HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), near_pool AS (SELECT entity" + "".join(f", count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1 AS d{r}" for r in _RADII) + " FROM pool), expected AS (SELECT entity, count(*) AS n_all" + "".join(f", sum(d{r}) / 2e0 AS x{r}" for r in _RADII) + " FROM near_pool GROUP BY entity), wide AS (SELECT s.entity, s.mark" + "".join(f", e{r} / (n * (n - 1) / 2e0) - x{r} / (n_all * (n_all - 1) / 2e0) AS f{r}" for r in _RADII) + " FROM seen s JOIN expected x ON s.entity = x.entity), scales AS (" + " UNION ALL ".join(f"SELECT entity, mark, f{r} AS effect FROM wide" for r in _RADII) + ")"
 
+_UP, _BACK = (f"OVER (PARTITION BY entity ORDER BY place{d} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for d in ("", " DESC"))
+# Sites of some marks and, as an entity's islands lie apart in order, the end of the last focal island that begins up to the site and the start of the next one.
+_NEAREST = f"""points AS (SELECT DISTINCT entity, mark, pos FROM sites), along AS (SELECT entity, mark, pos, pos AS place, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM points UNION ALL SELECT entity, CAST(NULL AS VARCHAR(20)) AS mark, CAST(NULL AS BIGINT) AS pos, s AS place, s, e FROM islands WHERE mark = 'purchase'),
+sides AS (SELECT entity, mark, pos, max(e) {_UP} AS e_before, min(s) {_BACK} AS s_after FROM along),
+nearest AS (SELECT entity, mark, pos, CASE WHEN e_before IS NOT NULL OR s_after IS NOT NULL THEN greatest(least(coalesce(pos - e_before, s_after - pos), coalesce(s_after - pos, pos - e_before)), 0) END AS x FROM sides WHERE pos IS NOT NULL)"""
 # Cases (v of their group g) beside the controls next below and above: sorted once, not compared with all.
 _NEXT = """c AS (SELECT c_custkey AS k, c_nationkey AS g, {value} AS v, c_mktsegment = 'BUILDING' AS is_case FROM customer{more}), d AS (SELECT g, v, min(k) AS k, count(*) AS m FROM c WHERE NOT is_case GROUP BY g, v), u AS (SELECT g, v, k AS case_key, 0 AS m FROM c WHERE is_case UNION ALL SELECT g, v, CAST(NULL AS BIGINT) AS case_key, m FROM d), w AS (SELECT g, v, case_key, max(CASE WHEN case_key IS NULL THEN v END) OVER (PARTITION BY g ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN case_key IS NULL THEN v END) OVER (PARTITION BY g ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi{count} FROM u)"""
 
@@ -68,13 +73,13 @@ SHARED: dict[str, str] = {
     "quantiles": "SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 9) AS q25, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 9) AS q50, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY value), 9) AS q975 FROM events GROUP BY event_type",
     "dispersion": "SELECT event_type, round(stddev_samp(value), 6) AS sd1, round(stddev_pop(value), 6) AS sd0, round(var_samp(value), 4) AS v1 FROM events GROUP BY event_type",
     "multiscale": "WITH " + _SCALES + f" SELECT entity, mark, bool_and(effect > 0) AS positive_at_all, round(min(effect), 9) AS least FROM scales GROUP BY entity, mark HAVING count(effect) = {len(_RADII)}",
-    "pair_counts_multi": "WITH " + _SITES + ", d AS (SELECT mark, a.pos - b.pos AS gap FROM sites a JOIN sites b USING (entity, mark) WHERE a.pos > b.pos AND a.pos - b.pos <= 50) SELECT mark, count(*) FILTER (WHERE gap <= 2) AS r2, count(*) FILTER (WHERE gap <= 10) AS r10, count(*) AS r50 FROM d GROUP BY mark",
+    "pair_counts_multi": "WITH " + _SITES + ", d AS (SELECT mark" + "".join(f", count(*) OVER (PARTITION BY entity, mark ORDER BY pos RANGE BETWEEN {r} PRECEDING AND CURRENT ROW) - 1 AS d{r}" for r in (2, 10, 50)) + " FROM sites) SELECT mark, CAST(sum(d2) AS BIGINT) AS r2, CAST(sum(d10) AS BIGINT) AS r10, CAST(sum(d50) AS BIGINT) AS r50 FROM d GROUP BY mark HAVING sum(d50) > 0",
     "set_metrics": "WITH " + _SITES + ", a AS (SELECT entity, pos FROM sites WHERE mark = 'purchase'), b AS (SELECT entity, pos FROM sites WHERE mark = 'view'), j AS (SELECT a.entity AS ea, b.entity AS eb FROM a FULL OUTER JOIN b ON a.entity = b.entity AND a.pos = b.pos) SELECT round(count(*) FILTER (WHERE ea IS NOT NULL AND eb IS NOT NULL) / (1e0 * count(*)), 9) AS jaccard, round(count(*) FILTER (WHERE ea IS NOT NULL AND eb IS NOT NULL) / (1e0 * count(ea)), 9) AS recall FROM j",
     "region_table": "WITH " + _CHAIN + " SELECT entity, mark, row_number() OVER (PARTITION BY entity, mark ORDER BY s) AS region_index, s AS region_start, e AS region_end, e - s + 1 AS span, n AS valence, concat(mark, ':', CAST(entity AS VARCHAR(20)), ':', CAST(s AS VARCHAR(20)), '-', CAST(e AS VARCHAR(20))) AS region_id FROM islands",
-    "interval_overlap": "WITH " + _CHAIN + " SELECT count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM islands b WHERE b.mark = 'view' AND b.entity = a.entity AND b.s <= a.e AND b.e >= a.s) THEN 1 ELSE 0 END) AS touched FROM islands a WHERE a.mark = 'purchase'",
-    "tile_labels": "WITH " + _CHAIN + " SELECT p.entity, p.pos, max(CASE WHEN p.pos BETWEEN i.s - 15 AND i.e + 15 THEN 1 ELSE 0 END) AS label FROM (SELECT DISTINCT entity, pos FROM sites) p LEFT JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' GROUP BY p.entity, p.pos",
-    "span_distance": "WITH " + _CHAIN + " SELECT p.entity, p.pos, min(greatest(i.s - p.pos, p.pos - i.e, 0)) AS distance FROM (SELECT DISTINCT entity, pos FROM sites) p JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' GROUP BY p.entity, p.pos",
-    "distance_profile": "WITH " + _CHAIN + ", d AS (SELECT p.entity, p.mark, min(greatest(i.s - p.pos, p.pos - i.e, 0)) AS x FROM sites p JOIN islands i ON p.entity = i.entity AND i.mark = 'purchase' WHERE p.mark IN ('view', 'click') GROUP BY p.entity, p.mark, p.pos), g AS (SELECT CAST(r AS BIGINT) AS radius FROM (SELECT EACH((0, 60)) AS r) e), f AS (SELECT radius, entity, mark, avg(CASE WHEN x <= radius THEN 1e0 ELSE 0e0 END) AS share FROM d CROSS JOIN g GROUP BY radius, entity, mark) SELECT radius, mark, round(avg(share), 9) AS mean_share FROM f GROUP BY radius, mark",
+    "interval_overlap": "WITH " + _CHAIN + f", along AS (SELECT entity, e AS place, s, CAST(NULL AS BIGINT) AS other FROM islands WHERE mark = 'purchase' UNION ALL SELECT entity, s AS place, CAST(NULL AS BIGINT) AS s, e AS other FROM islands WHERE mark = 'view'), seen AS (SELECT s, max(other) {_UP} AS reached FROM along) SELECT count(*) AS n, sum(CASE WHEN reached >= s THEN 1 ELSE 0 END) AS touched FROM seen WHERE s IS NOT NULL",
+    "tile_labels": "WITH " + _CHAIN + ", " + _NEAREST + " SELECT DISTINCT entity, pos, CASE WHEN x <= 15 THEN 1 ELSE 0 END AS label FROM nearest",
+    "span_distance": "WITH " + _CHAIN + ", " + _NEAREST + " SELECT DISTINCT entity, pos, x AS distance FROM nearest WHERE x IS NOT NULL",
+    "distance_profile": "WITH " + _CHAIN + ", " + _NEAREST + ", g AS (SELECT CAST(r AS BIGINT) AS radius FROM (SELECT EACH((0, 60)) AS r) e), f AS (SELECT radius, entity, mark, avg(CASE WHEN x <= radius THEN 1e0 ELSE 0e0 END) AS share FROM nearest CROSS JOIN g WHERE x IS NOT NULL AND mark IN ('view', 'click') GROUP BY radius, entity, mark) SELECT radius, mark, round(avg(share), 9) AS mean_share FROM f GROUP BY radius, mark",
     "sensitivity_grid": "WITH " + _SITES + ", params AS (SELECT CAST(g AS BIGINT) AS gap FROM (SELECT EACH((5, 48)) AS g) e WHERE g IN (5, 8, 10, 12, 15, 24, 48)), flagged AS (SELECT gap, entity, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY gap, entity ORDER BY pos) <= gap THEN 0 ELSE 1 END AS f FROM sites CROSS JOIN params WHERE mark = 'purchase'), numbered AS (SELECT gap, entity, sum(f) OVER (PARTITION BY gap, entity ORDER BY pos) AS k FROM flagged), isl AS (SELECT gap, entity, k, count(*) AS n FROM numbered GROUP BY gap, entity, k) SELECT gap, m AS min_sites, count(*) FILTER (WHERE n >= m) AS islands FROM isl CROSS JOIN (SELECT CAST(m AS BIGINT) AS m FROM (SELECT EACH((2, 4)) AS m) e) q GROUP BY gap, m",
     "loo_survival": "WITH " + _SITES + ", proof AS (SELECT DISTINCT entity, pos, CAST(floor(value / 50) AS BIGINT) AS src FROM {hours} h WHERE mark = 'purchase'), gone AS (SELECT DISTINCT entity, src AS removed FROM proof), kept AS (SELECT DISTINCT g.entity, g.removed, p.pos FROM gone g JOIN proof p ON p.entity = g.entity AND p.src <> g.removed), flagged AS (SELECT entity, removed, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, removed ORDER BY pos) <= 24 THEN 0 ELSE 1 END AS f FROM kept), numbered AS (SELECT entity, removed, sum(f) OVER (PARTITION BY entity, removed ORDER BY pos) AS k FROM flagged), left_over AS (SELECT entity, removed, max(n) AS best FROM (SELECT entity, removed, k, count(*) AS n FROM numbered GROUP BY entity, removed, k) z GROUP BY entity, removed) SELECT g.entity, count(*) AS removals, sum(CASE WHEN l.best >= 3 THEN 1 ELSE 0 END) AS survived FROM gone g LEFT JOIN left_over l ON g.entity = l.entity AND g.removed = l.removed GROUP BY g.entity",
     "local_opportunity": "WITH " + _SITES + ", m AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal, max(CASE WHEN mark = 'view' THEN 1 ELSE 0 END) AS other FROM sites GROUP BY entity, pos), w AS (SELECT entity, pos, focal, other, sum(CASE WHEN focal = 0 THEN other ELSE 0 END) OVER v AS hit, sum(1 - focal) OVER v AS controls FROM m WINDOW v AS (PARTITION BY entity ORDER BY pos RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)) SELECT entity, pos, other AS observed, round(hit / (1e0 * nullif(controls, 0)), 9) AS expected, controls FROM w WHERE focal = 1",
@@ -102,7 +107,7 @@ SHARED: dict[str, str] = {
     "result_ledger": "WITH " + _FRACTIONS + " SELECT concat('fold:', mark) AS claim_id, round(avg(obs) / avg(nul), 9) AS value, 'ratio' AS unit FROM eff GROUP BY mark UNION ALL SELECT concat('n:', mark) AS claim_id, CAST(count(*) AS DOUBLE) AS value, 'entities' AS unit FROM eff GROUP BY mark",
     "evidence_restricted": "WITH ev AS (SELECT entity, mark, pos, count(DISTINCT CAST(floor(value / 50) AS BIGINT)) AS k FROM {hours} h GROUP BY entity, mark, pos), tiers AS (SELECT 'all' AS tier, entity, mark, pos FROM ev UNION ALL SELECT 'two_sources' AS tier, entity, mark, pos FROM ev WHERE k >= 2), near AS (SELECT tier, entity, mark, count(*) OVER (PARTITION BY tier, entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM tiers) SELECT tier, entity, mark, count(*) AS n, sum(d) AS twice_pairs FROM near GROUP BY tier, entity, mark",
     "stratified_null": "WITH " + _SITES + ", seen AS (SELECT entity, pos, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites WHERE mark = 'purchase'), obs AS (SELECT entity, count(*) AS k, sum(d) AS o FROM seen GROUP BY entity HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), reps AS (SELECT CAST(r AS BIGINT) AS rep FROM (SELECT EACH((1, 50)) AS r) e), drawn AS (SELECT rep, p.entity, p.pos, k, row_number() OVER (PARTITION BY rep, p.entity ORDER BY md5(concat(CAST(p.entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)), ':', CAST(p.pos AS VARCHAR(20))))) AS r FROM pool p JOIN obs ON p.entity = obs.entity CROSS JOIN reps), near AS (SELECT rep, entity, count(*) OVER (PARTITION BY rep, entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM drawn WHERE r <= k), nul AS (SELECT rep, entity, sum(d) AS e FROM near GROUP BY rep, entity) SELECT n.entity, max(o) AS observed_twice, round((1 + sum(CASE WHEN e >= o THEN 1 ELSE 0 END)) / 51e0, 9) AS p, round(avg(e), 9) AS null_mean, round(stddev_samp(e), 6) AS null_sd FROM nul n JOIN obs ON n.entity = obs.entity GROUP BY n.entity",
-    "region_recall": "WITH " + _CHAIN + " SELECT count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM sites p WHERE p.mark = 'view' AND p.entity = a.entity AND p.pos >= a.s - 15 AND p.pos <= a.e + 15) THEN 1 ELSE 0 END) AS found FROM islands a WHERE a.mark = 'purchase'",
+    "region_recall": "WITH " + _CHAIN + f", along AS (SELECT entity, e + 15 AS place, s, CAST(NULL AS BIGINT) AS other FROM islands WHERE mark = 'purchase' UNION ALL SELECT entity, pos AS place, CAST(NULL AS BIGINT) AS s, pos AS other FROM sites WHERE mark = 'view'), seen AS (SELECT s, max(other) {_UP} AS reached FROM along) SELECT count(*) AS n, sum(CASE WHEN reached >= s - 15 THEN 1 ELSE 0 END) AS found FROM seen WHERE s IS NOT NULL",
     "arm_ratio": "SELECT mark, round(avg(CASE WHEN pos < 360 THEN value END) / avg(CASE WHEN pos >= 360 THEN value END), 6) AS ratio FROM {hours} h GROUP BY mark",
     "local_covariates": "WITH v AS (SELECT entity, pos, avg(value) AS value FROM {hours} h GROUP BY entity, pos) SELECT entity, pos, round(avg(value) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING), 6) AS local_mean FROM v",
     "caliper_candidates": "WITH s AS (SELECT avg(c_acctbal) AS m, coalesce(nullif(stddev_pop(c_acctbal), 0), 1) AS d FROM customer), " + _NEXT.format(value="round((c_acctbal - m) / d, 9)", more=" CROSS JOIN s", count=", sum(m) OVER (PARTITION BY g ORDER BY v RANGE BETWEEN 0.5e0 PRECEDING AND 0.5e0 FOLLOWING) AS near") + " SELECT case_key, CAST(near AS BIGINT) AS candidates, round(least(v - lo, hi - v), 6) AS nearest FROM w WHERE case_key IS NOT NULL AND near > 0",
