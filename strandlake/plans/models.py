@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import modelling
+from strandlake.operators import modelling, structures
 from strandlake.operators.modelling import Boosting
 from strandlake.plans.base import table
 from strandlake.plans.sequences import _COMPOSITION, _LARGE, _SMALL
@@ -52,4 +52,28 @@ def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", "quality", F.round("score", 6).alias("score"))
 
 
-QUERIES = {group_folds: None, gbt_oof: None, ablation: None, nested_cv: None, transfer: None}
+def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three components of vectors as atoms: labels are chains, a vector is a residue of one carbon."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.lit("embeddings").alias("file"), F.col("label").cast("string").alias("chain"), F.col("vec_id").alias("residue"), F.lit("A").alias("code"), F.lit("C").alias("element"), *((F.col("embedding")[i].cast("double") * 60).alias(c) for i, c in enumerate("xyz")))
+
+
+def sasa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structures.surface(_atoms(spark, sf_dir)).select("chain", "residue", F.round("area", 6).alias("area"), "is_surface")
+
+
+def structure_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residues of one chain near another's atoms."""
+    atoms = _atoms(spark, sf_dir)
+    return structures.contacts(atoms.where("chain = '0'"), atoms.where("chain = '1'"), 2.0).select("residue")
+
+
+def nw_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name beside that of the next part."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    pairs = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+    made = structures.align(pairs, "p_partkey", "p_name", "other", lambda x, y: 5.0 if x == y else -4.0)
+    return made.select("p_partkey", F.size("places").alias("n_pairs"), F.transform("places", lambda p: F.concat_ws(":", p["a"], p["b"])).cast("string").alias("places"))
+
+
+QUERIES = {group_folds: None, gbt_oof: None, ablation: None, nested_cv: None, transfer: None, sasa: None, nw_align: None, structure_contacts: "WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE * 60 AS x, embedding[2]::DOUBLE * 60 AS y, embedding[3]::DOUBLE * 60 AS z FROM embeddings) SELECT DISTINCT a.vec_id AS residue FROM p a JOIN p b ON a.label = 0 AND b.label = 1 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 4"}
