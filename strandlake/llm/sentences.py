@@ -34,19 +34,18 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Within a longer stretch that two documents share, the runs that begin or end inside it cover all of its sentences.
     """
 
-    def shortest(step: str) -> str:
-        def words(k: int) -> str:
-            return " + ".join(f"get(words, i {step} {j})" for j in range(k))  # null beyond the ends
-
-        # Each sentence has a word, so that a run has at most min_words sentences.
-        return "CASE " + " ".join(f"WHEN {words(k)} >= {min_words} THEN {k}" for k in range(1, min_words + 1)) + " END"
-
+    # Words up to each sentence: sums within pieces of 64 sentences, and of the pieces before. Each sentence has a word, so that a run has at most min_words sentences.
     made = with_sentences(docs).where(F.size("sentences") > 0)
     made = made.select("doc_id", "h", F.transform("sentences", n_words).alias("words"), F.transform("sentences", lambda s: F.xxhash64(s)).alias("keys"), F.transform("sentences", lambda s: F.hash(s)).alias("tags"))
-    spans = F.expr(f"""array_distinct(filter(flatten(transform(sequence(0, size(words) - 1), i -> array(
-        named_struct('at', i, 'size', {shortest('+')}),
-        named_struct('at', i + 1 - {shortest('-')}, 'size', {shortest('-')})))), x -> x.size IS NOT NULL))""")
-    each = made.withColumn("spans", spans).select("doc_id", "h", F.explode(F.expr("transform(spans, x -> named_struct('at', x.at, 'size', x.size, 'key', xxhash64(slice(keys, x.at + 1, x.size)), 'tag', hash(slice(tags, x.at + 1, x.size))))")).alias("r"))
+    made = made.withColumn("pieces", F.expr("transform(sequence(0, (size(words) - 1) div 64), c -> aggregate(slice(words, CAST(c * 64 + 1 AS int), 64), CAST(array() AS array<int>), (done, x) -> concat(done, array(coalesce(get(done, size(done) - 1), 0) + x))))"))
+    made = made.withColumn("before", F.expr("aggregate(pieces, array(0), (done, p) -> concat(done, array(get(done, size(done) - 1) + get(p, size(p) - 1))))"))
+    made = made.select("doc_id", "h", "keys", "tags", F.expr("concat(array(0), flatten(transform(pieces, (p, j) -> transform(p, x -> x + get(before, j)))))").alias("upto"))
+    on = " ".join(f"WHEN get(upto, i + {k}) - get(upto, i) >= {min_words} THEN {k}" for k in range(1, min_words + 1))
+    back = " ".join(f"WHEN get(upto, i + 1) - get(upto, i + 1 - {k}) >= {min_words} THEN {k}" for k in range(1, min_words + 1))
+    lengths = made.withColumn("lengths", F.expr(f"transform(sequence(0, size(keys) - 1), i -> named_struct('on', CASE {on} END, 'back', CASE {back} END))"))
+    spans = F.expr("""array_distinct(filter(flatten(transform(lengths, (x, i) -> array(
+        named_struct('at', i, 'size', x.on), named_struct('at', i + 1 - x.back, 'size', x.back)))), x -> x.size IS NOT NULL))""")
+    each = lengths.withColumn("spans", spans).select("doc_id", "h", F.explode(F.expr("transform(spans, x -> named_struct('at', x.at, 'size', x.size, 'key', xxhash64(slice(keys, x.at + 1, x.size)), 'tag', hash(slice(tags, x.at + 1, x.size))))")).alias("r"))
     return each.select("doc_id", "h", "r.at", "r.size", "r.key", "r.tag")
 
 
