@@ -92,4 +92,11 @@ SELECT entity, s AS region_start, n AS n_columns, round({_cosine('own', 'same')}
         "species_conservation": f"WITH {sites}, c AS (SELECT a.mark, a.entity, a.pos, max(CASE WHEN b.pos = a.pos THEN 1e0 ELSE 0e0 END) AS exact, max(CASE WHEN b.pos IS NOT NULL THEN 1e0 ELSE 0e0 END) AS regional FROM sites a LEFT JOIN sites b ON b.entity = a.entity + 1 AND b.mark = a.mark AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 GROUP BY a.mark, a.entity, a.pos) SELECT mark, round(avg(exact), 9) AS exact, round(avg(regional), 9) AS regional, round(avg(regional - exact), 9) AS gap, count(*) AS n_sites, count(DISTINCT entity) AS n_entities FROM c GROUP BY mark",
         # Spans of chains on several gaps, for each mark as a species of its own.
         "species_spans": f"WITH {sites}, f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, mark ORDER BY pos) <= 5 THEN 0 ELSE 1 END AS f FROM sites WHERE mark <> 'purchase'), k AS (SELECT *, sum(f) OVER (PARTITION BY entity, mark ORDER BY pos) AS k FROM f), core AS (SELECT entity, mark, pos FROM (SELECT *, count(*) OVER (PARTITION BY entity, mark, k) AS n FROM k) t WHERE n >= 3), f2 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, mark ORDER BY pos) <= 10 THEN 0 ELSE 1 END AS f FROM core), k2 AS (SELECT *, sum(f) OVER (PARTITION BY entity, mark ORDER BY pos) AS k FROM f2) SELECT mark, entity, min(pos) AS span_start, max(pos) AS span_end FROM k2 GROUP BY mark, entity, k HAVING count(*) >= 3",
+        # Tiles of texts that are not English, with the source as gene; labelled where the centre is in a span of the document's user.
+        "species_tiles": f"WITH {chain}, spans AS (SELECT entity, s + 1 AS s, e + 1 AS e, EACH((CAST(floor((s + 1) / {_BUCKET}e0) AS BIGINT), CAST(floor((e + 1) / {_BUCKET}e0) AS BIGINT))) AS b FROM islands WHERE mark = 'view'), t AS (SELECT lang, doc_id, source, CAST(c AS BIGINT) AS center, CAST(floor(c / {_BUCKET}e0) AS BIGINT) AS b FROM (SELECT lang, doc_id, source, EACH((26, length(text) - 25, 10)) AS c FROM documents WHERE lang <> 'en' AND length(text) >= 51) x) SELECT t.lang AS species, t.source AS gene, t.doc_id, t.center, max(CASE WHEN p.s IS NULL THEN 0 ELSE 1 END) AS label FROM t LEFT JOIN spans p ON p.entity = t.doc_id AND p.b = t.b AND t.center BETWEEN p.s AND p.e GROUP BY t.lang, t.source, t.doc_id, t.center",
+        # Boxes: quartiles, and the outermost values within one and a half of their distance.
+        "box_summary": "WITH q AS (SELECT event_type, percentile_cont(0.25) WITHIN GROUP (ORDER BY value) AS a, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS b, percentile_cont(0.75) WITHIN GROUP (ORDER BY value) AS c FROM events GROUP BY event_type) SELECT q.event_type, round(a, 6) AS q1, round(b, 6) AS middle, round(c, 6) AS q3, min(CASE WHEN value >= a - 1.5e0 * (c - a) THEN value END) AS low, max(CASE WHEN value <= c + 1.5e0 * (c - a) THEN value END) AS high, count(CASE WHEN value < a - 1.5e0 * (c - a) OR value > c + 1.5e0 * (c - a) THEN 1 END) AS outside FROM events v JOIN q ON q.event_type = v.event_type GROUP BY q.event_type, a, b, c",
+        # Only numbers count: neither null nor NaN nor infinite.
+        "finite_values": "SELECT event_type, count(*) AS n, round(sum(x), 6) AS total FROM (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 7 = 1 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 7 = 2 THEN NULL ELSE value END AS x FROM events) t WHERE x IS NOT NULL AND NOT isnan(x) AND abs(x) < CAST('Infinity' AS DOUBLE) GROUP BY event_type",
+        "group_by_all": "SELECT mark, entity % 4 AS shard, count(*) AS n FROM {hours} h GROUP BY ALL",
     }
