@@ -17,10 +17,12 @@ def vocabulary() -> str:
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks of documents: pairs of document and item, with matched windows and slots. No row for null texts, ids or items."""
     return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans, their digest, and all spans, for each row; a null text has none."""
     docs = table(spark, sf_dir, "documents")
     return pii.find(spark, docs, pii.train(docs))
 
@@ -31,30 +33,37 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row, 0 for a text without words, and the offending sentences."""
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for each row; und for a text that is null or has no letter."""
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
 def op6_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each row; a null text is its end only."""
     return lmscore.score(spark, table(spark, sf_dir, "documents"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each row, repeated rows included; a text without words is by itself."""
     return jaccard.components(spark, table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each row's payload and stream; a null text is padding only."""
     return jpeg.store_texts(spark, table(spark, sf_dir, "documents"))
 
 
 def op9_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row; a null text is judged as an empty one."""
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each row's tokens; a null text is its end token only."""
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
