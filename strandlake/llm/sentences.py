@@ -10,7 +10,7 @@ from strandlake.llm._store import save
 #: Words of a run. A shared passage of 50 words or more holds whole sentences of about as many; shared phrases and stock lines have fewer.
 MIN_WORDS = 20
 #: Scripts without spaces between words: two characters count as a word.
-_UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
 #: Stands for a null id: such rows come last.
 _LAST = 9223372036854775807
 
@@ -34,19 +34,23 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Within a longer stretch that two documents share, the runs that begin or end inside it cover all of its sentences.
     """
 
+    # Each step is bound to a name by a transform of one element: a plain column would be worked out anew for each element of the next step.
+    let = "flatten(transform(array({value}), {name} -> {body}))"
     # Words up to each sentence: sums within pieces of 64 sentences, and of the pieces before. Each sentence has a word, so that a run has at most min_words sentences.
-    made = with_sentences(docs).where(F.size("sentences") > 0)
-    made = made.select("doc_id", "h", F.transform("sentences", n_words).alias("words"), F.transform("sentences", lambda s: F.xxhash64(s)).alias("keys"), F.transform("sentences", lambda s: F.hash(s)).alias("tags"))
-    made = made.withColumn("pieces", F.expr("transform(sequence(0, (size(words) - 1) div 64), c -> aggregate(slice(words, CAST(c * 64 + 1 AS int), 64), CAST(array() AS array<int>), (done, x) -> concat(done, array(coalesce(get(done, size(done) - 1), 0) + x))))"))
-    made = made.withColumn("before", F.expr("aggregate(pieces, array(0), (done, p) -> concat(done, array(get(done, size(done) - 1) + get(p, size(p) - 1))))"))
-    made = made.select("doc_id", "h", "keys", "tags", F.expr("concat(array(0), flatten(transform(pieces, (p, j) -> transform(p, x -> x + get(before, j)))))").alias("upto"))
-    on = " ".join(f"WHEN get(upto, i + {k}) - get(upto, i) >= {min_words} THEN {k}" for k in range(1, min_words + 1))
-    back = " ".join(f"WHEN get(upto, i + 1) - get(upto, i + 1 - {k}) >= {min_words} THEN {k}" for k in range(1, min_words + 1))
-    lengths = made.withColumn("lengths", F.expr(f"transform(sequence(0, size(keys) - 1), i -> named_struct('on', CASE {on} END, 'back', CASE {back} END))"))
-    spans = F.expr("""array_distinct(filter(flatten(transform(lengths, (x, i) -> array(
-        named_struct('at', i, 'size', x.on), named_struct('at', i + 1 - x.back, 'size', x.back)))), x -> x.size IS NOT NULL))""")
-    each = lengths.withColumn("spans", spans).select("doc_id", "h", F.explode(F.expr("transform(spans, x -> named_struct('at', x.at, 'size', x.size, 'key', xxhash64(slice(keys, x.at + 1, x.size)), 'tag', hash(slice(tags, x.at + 1, x.size))))")).alias("r"))
-    return each.select("doc_id", "h", "r.at", "r.size", "r.key", "r.tag")
+    pieces = "transform(sequence(0, (size(r) - 1) div 64), c -> aggregate(slice(r, CAST(c * 64 + 1 AS int), 64), CAST(array() AS array<int>), (done, x) -> concat(done, array(coalesce(get(done, size(done) - 1), 0) + x.n))))"
+    before = "aggregate(p, array(0), (done, q) -> concat(done, array(get(done, size(done) - 1) + get(q, size(q) - 1))))"
+    upto = "concat(array(0), flatten(transform(p, (q, j) -> transform(q, x -> x + get(b, j)))))"
+    on = " ".join(f"WHEN get(u, i + {k}) - get(u, i) >= {min_words} THEN {k}" for k in range(1, min_words + 1))
+    back = " ".join(f"WHEN get(u, i + 1) - get(u, i + 1 - {k}) >= {min_words} THEN {k}" for k in range(1, min_words + 1))
+    # A run back is left out where it is the run on from its first sentence.
+    both = f"flatten(transform(r, (x, i) -> array(named_struct('at', i, 'size', CASE {on} END), transform(array(CASE {back} END), k -> named_struct('at', i + 1 - k, 'size', CASE WHEN get(u, i) - get(u, i + 1 - k) >= {min_words} THEN k END))[0])))"
+    spans = f"filter({both}, x -> x.size IS NOT NULL)"
+    found = f"transform({spans}, x -> named_struct('at', x.at, 'size', x.size, 'key', xxhash64(slice(r, x.at + 1, x.size).key), 'tag', hash(slice(r, x.at + 1, x.size).tag)))"
+    for name, value in (("u", upto), ("b", before), ("p", pieces), ("r", "rows")):
+        found = let.format(value=value, name=name, body=found)
+    rows = F.transform("sentences", lambda s: F.struct(n_words(s).alias("n"), F.xxhash64(s).alias("key"), F.hash(s).alias("tag")))
+    made = with_sentences(docs).where(F.size("sentences") > 0).select("doc_id", "h", rows.alias("rows"))
+    return made.select("doc_id", "h", F.explode(F.expr(found)).alias("r")).select("doc_id", "h", "r.at", "r.size", "r.key", "r.tag")
 
 
 def repeated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
