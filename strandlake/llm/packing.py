@@ -21,6 +21,8 @@ END_ID = 1
 #: Documents to a shard of the index.
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
+#: Postings from which on a term of a shard has a row of weights for all of its pieces: at most a 128th as many rows as postings.
+DENSE = 128
 #: Distinct words, and parts of words, whose ids a Python worker remembers (some 40 and 250 bytes each).
 CACHE_WORDS, CACHE_PARTS = 3 << 19, 1 << 18
 #: Words of these characters only are split here as the vocabulary's own rules do; any other word goes to the tokenizer whole.
@@ -175,23 +177,31 @@ class Index:
         self.by_doc, self.by_weight = self.doc[order], weight[order]
         kinds, first = np.unique(self.term[order], return_index=True)
         ends = np.append(first[1:], len(order))
-        # Postings of each piece's terms, one after the other, as ranges of by_doc.
         at = np.searchsorted(kinds, self.term)
-        self.low, self.high = first[at], ends[at]
+        # Frequent terms have a row each; of others, each piece's postings are ranges of by_doc.
+        many = np.flatnonzero(ends - first >= DENSE)
+        row = np.full(len(kinds), -1)
+        row[many] = np.arange(len(many))
+        self.row, self.low, self.high = row[at], first[at], ends[at]
+        self.dense = np.zeros((len(many), len(pieces)))
+        some = self.row >= 0
+        self.dense[self.row[some], self.doc[some]] = weight[some]
 
     def scores(self, seed: int, n: int) -> np.ndarray:
         """Each piece's score for all of the seed's terms."""
         own = slice(self.begin[seed], self.begin[seed + 1])
-        low, size = self.low[own], (self.high - self.low)[own]
+        row, low, high = self.row[own], self.low[own], self.high[own]
+        rare = row < 0
+        low, size = low[rare], (high - low)[rare]
         at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        return np.bincount(self.by_doc[at], self.by_weight[at], n)
+        return np.bincount(self.by_doc[at], self.by_weight[at], n) + self.dense[row[~rare]].sum(0)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused pieces that share a term with the seed, best first; ties by index."""
         score = self.scores(seed, len(used))
         score[used] = 0
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(pieces: list[np.ndarray], about: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
