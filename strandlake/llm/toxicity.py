@@ -14,7 +14,7 @@ from strandlake.llm._store import remainder
 from strandlake.llm._text import LOWER, Hasher, Step, ranges, record_batch, steps
 
 BUCKETS = 1 << 18
-#: Standard errors by which a feature's shares have to differ.
+#: Standard errors by which a feature's shares have to differ; of 2 to 5 the best on a part of the training rows.
 LEAST_Z = 4.0
 #: Features that a step of the fit looks at.
 BLOCK = 1 << 21
