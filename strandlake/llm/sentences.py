@@ -16,9 +16,9 @@ _LAST = 9223372036854775807
 
 
 def with_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text) and sentences: a text is parted after . ! or ? before white space, after their full-width forms, and at line ends; blank pieces go."""
+    """doc_id, h (a hash of the text in 32 bits, by which rows with one id are told apart) and sentences: a text is parted after . ! or ? before white space, after their full-width forms, and at line ends; blank pieces go."""
     parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|(?<=[。！？])\s*|[\n\r]+")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "").alias("sentences"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "").alias("sentences"))
 
 
 def n_words(s):
@@ -59,12 +59,13 @@ def repeated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -
     Counts are made by partial aggregation before the shuffle, so that a run in a third of all documents is one row for each
     task; repeated runs are written before they are joined, so that Spark can split a frequent one.
     """
-    all_runs = save(spark, runs(docs, min_words).withColumn("id", F.coalesce("doc_id", F.lit(_LAST))), "hashed")
-    known = save(spark, all_runs.groupBy("key", "tag").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "tag", "first"), "repeats")
+    place = F.coalesce("doc_id", F.lit(_LAST))
+    all_runs = save(spark, runs(docs, min_words), "hashed")
+    known = save(spark, all_runs.groupBy("key", "tag").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "tag", "first"), "repeats")
     hits = save(spark, all_runs.join(known, ["key", "tag"]), "runs")
-    own = hits.where("id = first").groupBy("key", "tag").agg(F.min(F.struct("h", "at")).alias("begin"))
-    later = hits.where("id > first").select("doc_id", "h", "at", "size")
-    return later.union(hits.where("id = first").join(own, ["key", "tag"]).where(F.struct("h", "at") > F.col("begin")).select("doc_id", "h", "at", "size"))
+    own = hits.where(place == F.col("first")).groupBy("key", "tag").agg(F.min(F.struct("h", "at")).alias("begin"))
+    later = hits.where(place > F.col("first")).select("doc_id", "h", "at", "size")
+    return later.union(hits.where(place == F.col("first")).join(own, ["key", "tag"]).where(F.struct("h", "at") > F.col("begin")).select("doc_id", "h", "at", "size"))
 
 
 def removed(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -72,8 +73,8 @@ def removed(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) ->
 
     Null and empty texts have no sentences. Rows that repeat both id and text are one document; with different texts they are judged apart, by h.
     """
-    covered = repeated(spark, docs, min_words).select("doc_id", "h", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("sentence")).distinct()
-    return covered.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("sentence")).alias("removed"))
+    covered = repeated(spark, docs, min_words).groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
+    return covered.select("doc_id", "h", F.expr("array_sort(array_distinct(flatten(transform(runs, r -> sequence(r.at, r.at + r.size - 1)))))").alias("removed"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
