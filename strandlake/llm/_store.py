@@ -34,6 +34,13 @@ def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table that save() wrote and nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontam, jaccard, jpeg, langid, lmscore, packing, pii, quality, sentences, toxicity
+from strandlake.llm import decontam, jaccard, jpeg, langid, lmscore, merkle, packing, pii, quality, sentences, toxicity
 from strandlake.llm._store import table
 
 
@@ -67,10 +67,15 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op13_slot_pivot_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each row, and what a tampered row's proof leads to; any column may be null."""
+    return merkle.audit(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sentence_spans": sentences.SQL, "op7_jaccard_join": jaccard.SQL}
+    return {"op3_sentence_spans": sentences.SQL, "op7_jaccard_join": jaccard.SQL, "op13_slot_pivot_merkle": merkle.SQL}
