@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontam, jaccard, jpeg, langid, lmscore, merkle, packing, pii, quality, sentences, toxicity
+from strandlake.llm import centroids, decontam, jaccard, jpeg, langid, lmscore, merkle, packing, pii, quality, sentences, toxicity
 from strandlake.llm._store import table
 
 
@@ -67,6 +67,11 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_geometric_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of each kept vector; vectors with null or non-finite components, or not 64 of them, have no row."""
+    return centroids.assigned(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_slot_pivot_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of each row, and what a tampered row's proof leads to; any column may be null."""
     return merkle.audit(spark, table(spark, sf_dir, "documents"))
@@ -78,4 +83,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sentence_spans": sentences.SQL, "op7_jaccard_join": jaccard.SQL, "op13_slot_pivot_merkle": merkle.SQL}
+    return {"op3_sentence_spans": sentences.SQL, "op7_jaccard_join": jaccard.SQL, "op11_geometric_kmeans": centroids.SQL, "op13_slot_pivot_merkle": merkle.SQL}
