@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import centroids, decontam, jaccard, jpeg, langid, lmscore, merkle, packing, pii, quality, sentences, toxicity
+from strandlake.llm import centroids, decontam, jaccard, jpeg, langid, lmscore, merkle, packing, pages, pii, quality, sentences, toxicity
 from strandlake.llm._store import table
 
 
@@ -72,6 +72,11 @@ def op11_geometric_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.assigned(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page; a null html has an empty one."""
+    return pages.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op13_slot_pivot_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of each row, and what a tampered row's proof leads to; any column may be null."""
     return merkle.audit(spark, table(spark, sf_dir, "documents"))
