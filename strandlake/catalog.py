@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, t_summary, wilson
-from strandlake.operators import intervals, matching, pairs, ranking, regression, resampling
+from strandlake.operators import draws, intervals, matching, pairs, ranking, regression, resampling
 from strandlake.plans import files, models, oracles, sql
 from strandlake.plans.base import hours, sites, table
 
@@ -76,8 +76,39 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_match(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"), "g", "k", ["c_acctbal"])
 
 
+def _rounded(made: DataFrame) -> DataFrame:
+    return made.withColumns({"estimate": F.round("estimate", 9), "ci_low": F.round("ci_low", 6), "ci_high": F.round("ci_high", 6)})
+
+
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.bootstrap_mean(table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("v")), "v")
+    """The mean over users of their mean value, users redrawn."""
+    return _rounded(draws.mean(table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("v")), "user_id", "v"))
+
+
+def fold_ratio_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The focal mark's ratio of observed to expected close pairs over each other mark's, entities with both redrawn together."""
+    made = per_protein(spark, sf_dir).select("entity", "mark", "observed", "expected")
+    focal = made.where("mark = 'purchase'").select("entity", F.col("observed").alias("own"), F.col("expected").alias("own_null"))
+    both = made.where("mark <> 'purchase'").withColumnRenamed("mark", "control").join(focal, "entity")
+    return _rounded(draws.double_ratio(both, "entity", ("own", "own_null"), ("observed", "expected"), by="control"))
+
+
+def fold_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mark's ratio of observed to expected close pairs, entities redrawn."""
+    return _rounded(draws.ratio(per_protein(spark, sf_dir), "entity", "observed", "expected", by="mark"))
+
+
+def auroc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area under the ROC curve, sources of documents redrawn whole."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("score"), F.floor(F.col("doc_id") / 8).alias("cluster"))
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return _rounded(draws.auroc(rows, "cluster", "quality", "score"))
+
+
+def stratified_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close pairs of the focal mark against 2000 draws that keep how many of its sites are under each set of islands."""
+    made = draws.stratified_null(_strata(spark, sf_dir), "entity", "pos", "signature", "focal")
+    return made.withColumns({c: F.round(c, 9) for c in ("observed", "null_mean", "effect", "p")} | {"null_sd": F.round("null_sd", 7), "fold": F.round("fold", 7)})
 
 
 def stable_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +163,8 @@ def list_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(*_KEYS, "positions", F.size(numbers).cast("long").alias("n"), F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-def exposure_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates of an entity by the islands that cover them: how many are eligible, and how many have the focal mark."""
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, pos, focal, signature): coordinates with any mark, whether the focal one is there, and the islands that cover them."""
     found = sites(spark, sf_dir)
     spans = intervals.islands(found, _KEYS, "pos", 24, 3).select("entity", F.col("mark").alias("span_mark"), "start", "end")
     pool = found.groupBy("entity", "pos").agg(F.max((F.col("mark") == "purchase").cast("int")).alias("focal"))
@@ -141,8 +172,12 @@ def exposure_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor(F.col("end") / 64))))
     covered = pool.withColumn("bucket", F.floor(F.col("pos") / 64)).join(spans, ["entity", "bucket"]).where(F.col("pos").between(F.col("start"), F.col("end"))).select("entity", "pos", F.concat_ws(":", "span_mark", F.col("start").cast("string")).alias("span"))
     signature = covered.groupBy("entity", "pos").agg(F.array_join(F.array_sort(F.collect_set("span")), "|").alias("signature"))
-    strata = pool.join(signature, ["entity", "pos"], "left").withColumn("signature", F.coalesce("signature", F.lit("uncovered")))
-    return strata.groupBy("entity", "signature").agg(F.count("*").alias("n_eligible"), F.sum("focal").cast("long").alias("n_observed"))
+    return pool.join(signature, ["entity", "pos"], "left").withColumn("signature", F.coalesce("signature", F.lit("uncovered")))
+
+
+def exposure_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of an entity by the islands that cover them: how many are eligible, and how many have the focal mark."""
+    return _strata(spark, sf_dir).groupBy("entity", "signature").agg(F.count("*").alias("n_eligible"), F.sum("focal").cast("long").alias("n_observed"))
 
 
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +208,14 @@ def hypergeom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.sign_flip(per_protein(spark, sf_dir).where("mark = 'purchase'"), "entity", "effect")
+    """Whether the focal mark's effects are apart from 0, entities' signs flipped."""
+    made = draws.sign_flip(per_protein(spark, sf_dir).where("mark = 'purchase'"), "entity", "effect")
+    return made.select("n", F.round("mean", 9).alias("mean"), F.round("p", 9).alias("p"))
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", "value")
+    """The mean over events, users redrawn with all of theirs."""
+    return _rounded(draws.mean(table(spark, sf_dir, "events"), "user_id", "value"))
 
 
 def publication_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +259,42 @@ round(greatest(e * p2 + 2 * adj * p3 + 2 * (e * (e - 1) / 2 - adj) * p4 - e * p2
 _STEPS = f"WITH {_CTES['scored']}, ranked AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY lang_key, score) - 1) / 2.0 AS r FROM (SELECT *, {{key}} AS lang_key FROM scored) t WINDOW w AS (PARTITION BY lang_key ORDER BY score))"
 _AUROC = "sum(label)::BIGINT AS positives, (count(*) - sum(label))::BIGINT AS negatives, round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 9) AS auroc FROM ranked"
 
+_DRAWN = "(SELECT k.*, draw, {base} AS start FROM k CROSS JOIN (SELECT unnest(range(1, {draws} + 1)) AS draw))"
+_REDRAWN = draws.numbers_sql(_DRAWN.format(base=draws.base_sql(42, "key"), draws=1000), "start", "draw") + " w"
+
+
+def _interval_sql(keys: str, estimate: str, values: tuple[str, ...], by: str | None = None) -> str:
+    """keys: (key, g, values). Every key is drawn anew in each of 1000 draws, as often as its stream says."""
+    times = draws.poisson_sql("u")
+    of = ", ".join
+    return (
+        f"WITH k AS ({keys}), e AS (SELECT g, {estimate} AS e FROM (SELECT g, draw, {of(f'sum({v} * ({times})) AS {v}' for v in values)} FROM {_REDRAWN} GROUP BY g, draw)), "
+        f"o AS (SELECT g, n, {estimate} AS estimate FROM (SELECT g, count(DISTINCT key) AS n, {of(f'sum({v}) AS {v}' for v in values)} FROM k GROUP BY g)), "
+        "b AS (SELECT g, quantile_cont(e, 0.025) AS l, quantile_cont(e, 0.975) AS h FROM e WHERE e IS NOT NULL GROUP BY g) "
+        f"SELECT {f'o.g AS {by}, ' if by else ''}n, round(estimate, 9) AS estimate, round(l, 6) AS ci_low, round(h, 6) AS ci_high FROM o LEFT JOIN b USING (g)"
+    )
+
+
+_AUROC_CI = (
+    f"WITH k AS (SELECT (d.doc_id // 8)::VARCHAR AS key, quality AS y, length(text) AS s FROM documents d JOIN labels l USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL), w AS (SELECT draw, y, s, {draws.poisson_sql('u')} AS w FROM {_REDRAWN} UNION ALL SELECT 0, y, s, 1 FROM k), "
+    "t AS (SELECT draw, s, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM w GROUP BY draw, s), c AS (SELECT draw, p, n, sum(n) OVER (PARTITION BY draw ORDER BY s) - n / 2.0 AS below FROM t), e AS (SELECT draw, sum(p * below) / nullif(sum(p) * sum(n), 0) AS e FROM c GROUP BY draw) "
+    "SELECT (SELECT count(DISTINCT key) FROM k) AS n, round(max(e) FILTER (WHERE draw = 0), 9) AS estimate, round(quantile_cont(e, 0.025) FILTER (WHERE draw > 0), 6) AS ci_low, round(quantile_cont(e, 0.975) FILTER (WHERE draw > 0), 6) AS ci_high FROM e"
+)
+_SIGNED = f"""WITH {_CTES['chain']}, pool AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal FROM sites GROUP BY ALL), sig AS (SELECT p.entity, p.pos, any_value(focal) AS focal, coalesce(string_agg(i.mark || ':' || i.s, '|' ORDER BY i.mark || ':' || i.s), 'uncovered') AS signature FROM pool p LEFT JOIN islands i ON p.entity = i.entity AND p.pos BETWEEN i.s AND i.e GROUP BY p.entity, p.pos)"""
+_RADII = (5, 10, 15, 20, 25, 30)
+_NEAR = ", ".join(f"sum(n{r}) AS n{r}" for r in _RADII)
+_COUNT = ", ".join(f"count(*) OVER (o RANGE BETWEEN CURRENT ROW AND {r} FOLLOWING) - 1 AS n{r}" for r in _RADII)
+# Draws by ranks within each stratum; the rows as they are make draw 0.
+_STRATIFIED = _SIGNED + f""", k AS (SELECT *, sum(focal) OVER s AS k, count(*) OVER s AS size FROM sig WINDOW s AS (PARTITION BY entity, signature)),
+n AS (SELECT entity, sum(focal)::BIGINT AS n_sites, count(DISTINCT signature) FILTER (WHERE k > 0) AS n_strata, (sum(focal) FILTER (WHERE k < size))::BIGINT AS n_variable FROM k GROUP BY entity HAVING sum(focal) >= 2),
+r AS (SELECT entity, pos, draw, k, row_number() OVER (PARTITION BY entity, signature, draw ORDER BY number) AS r FROM {draws.numbers_sql(_DRAWN.format(base=draws.base_sql(42, "entity || ':' || pos"), draws=2000), "start", "draw")} x WHERE k > 0 AND entity IN (SELECT entity FROM n)),
+p AS (SELECT entity, draw, pos FROM r WHERE r <= k UNION ALL SELECT entity, 0, pos FROM sig WHERE focal = 1 AND entity IN (SELECT entity FROM n)),
+c AS (SELECT entity, draw, {_NEAR} FROM (SELECT entity, draw, {_COUNT} FROM p WINDOW o AS (PARTITION BY entity, draw ORDER BY pos)) GROUP BY entity, draw),
+u AS (SELECT entity, draw, radius, pairs FROM (SELECT entity, draw, unnest([{', '.join(map(str, _RADII))}]) AS radius, unnest([{', '.join(f'n{r}' for r in _RADII)}]) AS pairs FROM c)),
+f AS (SELECT u.entity, u.radius, any_value(o.pairs)::BIGINT AS observed_pairs, avg(u.pairs) AS m, stddev_samp(u.pairs) AS sd, count(*) FILTER (WHERE u.pairs >= o.pairs) AS as_many FROM u JOIN u o ON o.entity = u.entity AND o.radius = u.radius AND o.draw = 0 WHERE u.draw > 0 GROUP BY u.entity, u.radius),
+g AS (SELECT *, n_sites * (n_sites - 1) // 2 AS possible_pairs, observed_pairs / (n_sites * (n_sites - 1) / 2) AS observed, m / (n_sites * (n_sites - 1) / 2) AS null_mean FROM f JOIN n USING (entity))
+SELECT entity, radius, n_sites, n_strata, coalesce(n_variable, 0) AS n_variable, observed_pairs, possible_pairs, round(observed, 9) AS observed, round(null_mean, 9) AS null_mean, round(sd / possible_pairs, 7) AS null_sd, round(CASE WHEN abs(observed - null_mean) < 1e-12 THEN 0 ELSE observed - null_mean END, 9) AS effect, round(observed / nullif(null_mean, 0), 7) AS fold, round((as_many + 1) / 2001.0, 9) AS p FROM g"""
+
 #: Operators written with DataFrames, each with SQL of its own.
 _OWN: dict[Callable, str | None] = {
     islands: f"WITH {_CTES['chain']} SELECT entity, mark, s AS start, e AS \"end\", n AS valence FROM islands",
@@ -238,7 +312,7 @@ SELECT entity, mark, min(pos) AS start, max(pos) AS "end", count(*) AS valence F
     roc_points: f"WITH {_CTES['scored']}, s AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n - p) OVER (ORDER BY score DESC) AS fp FROM s) SELECT score, round(tp / (SELECT sum(p) FROM s), 9) AS tpr, round(fp / (SELECT sum(n - p) FROM s), 9) AS fpr FROM c",
     null_moments: _EFFECTS + " SELECT entity, mark, round(expected * n_sites * (n_sites - 1) / 2, 4) AS mean, round(sqrt(null_variance) * n_sites * (n_sites - 1) / 2, 3) AS sd FROM eff",
     list_codec: f"WITH {_CTES['sites']} SELECT entity, mark, string_agg(pos::VARCHAR, ';' ORDER BY pos) AS positions, count(*) AS n, sum(pos)::BIGINT AS total FROM sites GROUP BY entity, mark",
-    exposure_strata: f"""WITH {_CTES['chain']}, pool AS (SELECT entity, pos, max(CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END) AS focal FROM sites GROUP BY ALL), sig AS (SELECT p.entity, p.pos, any_value(focal) AS focal, coalesce(string_agg(i.mark || ':' || i.s, '|' ORDER BY i.mark || ':' || i.s), 'uncovered') AS signature FROM pool p LEFT JOIN islands i ON p.entity = i.entity AND p.pos BETWEEN i.s AND i.e GROUP BY p.entity, p.pos)
+    exposure_strata: _SIGNED + """
 SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observed FROM sig GROUP BY entity, signature""",
     vector_similarity: "WITH f AS (SELECT vec_id, i, x::DOUBLE AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) t), p AS (SELECT *, abs(x) / nullif(sum(abs(x)) OVER (PARTITION BY vec_id), 0) AS p FROM f), j AS (SELECT a.vec_id, a.x, b.x AS y, a.p, b.p AS q, (a.p + b.p) / 2 AS m FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.i = b.i) SELECT vec_id, round(corr(x, y), 6) AS pearson, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine, round(1 - sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2, 6) AS js FROM j GROUP BY vec_id",
     t_interval: None,
@@ -246,12 +320,16 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
     ols_cluster: None,
     logit: None,
     hypergeom: None,
-    sign_flip: None,
-    cluster_bootstrap: None,
+    sign_flip: _EFFECTS + f", k AS (SELECT entity::VARCHAR AS key, effect AS v FROM eff WHERE mark = 'purchase'), m AS (SELECT draw, sum(CASE WHEN u < 0.5 THEN -v ELSE v END) AS t FROM {_REDRAWN} GROUP BY draw), o AS (SELECT count(*) AS n, sum(v) AS t FROM k) SELECT any_value(n) AS n, round(any_value(o.t) / any_value(n), 9) AS mean, round((1 + count(*) FILTER (WHERE abs(m.t) >= abs(o.t) - 1e-9)) / 1001.0, 9) AS p FROM m CROSS JOIN o",
+    cluster_bootstrap: _interval_sql("SELECT user_id::VARCHAR AS key, '' AS g, sum(value) AS a, count(*) AS b FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id", "a / nullif(b, 0)", ("a", "b")),
+    fold_ci: _EFFECTS + ", " + _interval_sql("SELECT entity::VARCHAR AS key, mark AS g, observed AS a, expected AS b FROM eff", "a / nullif(b, 0)", ("a", "b"), "mark").removeprefix("WITH "),
+    fold_ratio_ci: _EFFECTS + ", " + _interval_sql("SELECT f.entity::VARCHAR AS key, c.mark AS g, f.observed AS a, f.expected AS b, c.observed AS c, c.expected AS d FROM eff f JOIN eff c ON f.entity = c.entity WHERE f.mark = 'purchase' AND c.mark <> 'purchase'", "(a / nullif(b, 0)) / nullif(c / nullif(d, 0), 0)", ("a", "b", "c", "d"), "control").removeprefix("WITH "),
+    auroc_ci: _AUROC_CI,
+    stratified_null: _STRATIFIED,
     publication_matching: None,
     caliper_match: None,
     greedy_match: None,
-    bootstrap_ci: None,
+    bootstrap_ci: _interval_sql("SELECT user_id::VARCHAR AS key, '' AS g, avg(value) AS a, 1 AS b FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING avg(value) IS NOT NULL", "a / nullif(b, 0)", ("a", "b")),
     spatial_contacts: "WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT a.label, count(*) AS n FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0004 GROUP BY a.label",
     stable_seed: "SELECT c_custkey, (('0x' || substr(sha256('analysis|' || c_name), 1, 8))::BIGINT + 42) % 4294967296 AS seed FROM customer",
     md5_folds: "SELECT DISTINCT user_id, ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 5 AS fold FROM events",

@@ -41,23 +41,6 @@ def greedy_match(cases: DataFrame, controls: DataFrame, key: str, order: str, co
     return cases.groupBy(key).cogroup(controls.groupBy(key)).applyInPandas(one, schema)
 
 
-def bootstrap_mean(df: DataFrame, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(mean, ci_low, ci_high) of value over entities, whole entities redrawn by Poisson weights, so that no draw needs the rows in one place.
-
-    The weights come from a hash of row and draw: the result does not depend on partitions.
-    """
-    rows = df.select(F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
-    u = F.pmod(F.xxhash64("h", "draw", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    cut, p, weight = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(10):
-        cut += p
-        weight = weight + (u >= cut).cast("int")
-        p /= k + 1
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high")).crossJoin(rows.agg(F.round(F.avg("v"), 9).alias("mean")))
-
-
 def maximum_matching(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """(keys, matched): for each group, the most left items that can have a right item of their own, by augmenting paths.
 

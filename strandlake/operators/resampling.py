@@ -1,12 +1,9 @@
-"""Tests by redrawing, whose draws come from hashes of entity and draw: results don't depend on partitions."""
+"""Exact sampling tests."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 
 def hypergeometric_tail(k: int, population: int, marked: int, drawn: int) -> float:
     """P(X >= k) for the marked among those drawn without replacement, by log-gamma terms; the sum ends where terms no longer count."""
@@ -33,37 +30,3 @@ def _falling(term, places):
         if now < most * 1e-18:
             return
         yield now
-
-
-def _uniform(seed: int, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-
-
-def _poisson(u: Column) -> Column:
-    cut, p, weight = 0.0, math.exp(-1), F.lit(0)
-    for k in range(10):
-        cut += p
-        weight = weight + (u >= cut).cast("int")
-        p /= k + 1
-    return weight
-
-
-def sign_flip(df: DataFrame, key: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(n, mean, p): two-sided p = (draws at least as far from 0 + 1) / (draws + 1), each entity's sign flipped by itself. Nulls go; no rows: p is 1."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    flipped = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("s", F.when(_uniform(seed, "k", "draw") < 0.5, -F.col("v")).otherwise(F.col("v")))
-    means = flipped.groupBy("draw").agg(F.avg("s").alias("m"))
-    seen = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    # Sums in another order may differ in their last bits.
-    far = means.join(F.broadcast(seen), F.abs("m") >= F.abs("mean") - 1e-12).agg(F.count("*").alias("extreme"))
-    p = F.when(F.col("n") == 0, 1.0).otherwise((F.col("extreme") + 1) / (draws + 1.0))
-    return seen.crossJoin(F.broadcast(far)).select("n", F.round("mean", 9).alias("mean"), F.round(p, 9).alias("p"))
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(n_clusters, mean, ci_low, ci_high) of the mean over rows, whole clusters redrawn: larger clusters weigh more. Each cluster is summed before it is redrawn."""
-    sums = df.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("k")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", _poisson(_uniform(seed, "k", "draw")))
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    whole = sums.agg(F.count("*").alias("n_clusters"), F.round(F.try_divide(F.sum("s"), F.sum("n")), 9).alias("mean"))
-    return whole.crossJoin(F.broadcast(means.agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high"))))

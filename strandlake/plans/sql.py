@@ -106,7 +106,6 @@ SHARED: dict[str, str] = {
     "audit_check": "WITH o AS (SELECT 'regions' AS k, 1e0 * count(*) AS observed FROM region UNION ALL SELECT 'nations' AS k, 1e0 * count(*) AS observed FROM nation UNION ALL SELECT 'nations_a_region' AS k, (SELECT count(*) FROM nation) / (1e0 * count(*)) AS observed FROM region UNION ALL SELECT 'third' AS k, count(*) / 3e0 AS observed FROM region), e AS (SELECT 'regions' AS k, 5e0 AS expected UNION ALL SELECT 'nations' AS k, 24.9999e0 AS expected UNION ALL SELECT 'nations_a_region' AS k, 5.000000001e0 AS expected UNION ALL SELECT 'third' AS k, 1.666666666666e0 AS expected UNION ALL SELECT 'absent' AS k, 1e0 AS expected) SELECT e.k, expected, coalesce(abs(observed - expected) <= greatest(1e-10, abs(expected) * 1e-9), false) AS passed FROM e LEFT JOIN o ON o.k = e.k",
     "result_ledger": "WITH " + _FRACTIONS + " SELECT concat('fold:', mark) AS claim_id, round(avg(obs) / avg(nul), 9) AS value, 'ratio' AS unit FROM eff GROUP BY mark UNION ALL SELECT concat('n:', mark) AS claim_id, CAST(count(*) AS DOUBLE) AS value, 'entities' AS unit FROM eff GROUP BY mark",
     "evidence_restricted": "WITH ev AS (SELECT entity, mark, pos, count(DISTINCT CAST(floor(value / 50) AS BIGINT)) AS k FROM {hours} h GROUP BY entity, mark, pos), tiers AS (SELECT 'all' AS tier, entity, mark, pos FROM ev UNION ALL SELECT 'two_sources' AS tier, entity, mark, pos FROM ev WHERE k >= 2), near AS (SELECT tier, entity, mark, count(*) OVER (PARTITION BY tier, entity, mark ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM tiers) SELECT tier, entity, mark, count(*) AS n, sum(d) AS twice_pairs FROM near GROUP BY tier, entity, mark",
-    "stratified_null": "WITH " + _SITES + ", seen AS (SELECT entity, pos, count(*) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM sites WHERE mark = 'purchase'), obs AS (SELECT entity, count(*) AS k, sum(d) AS o FROM seen GROUP BY entity HAVING count(*) >= 3), pool AS (SELECT DISTINCT entity, pos FROM sites), reps AS (SELECT CAST(r AS BIGINT) AS rep FROM (SELECT EACH((1, 50)) AS r) e), drawn AS (SELECT rep, p.entity, p.pos, k, row_number() OVER (PARTITION BY rep, p.entity ORDER BY md5(concat(CAST(p.entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)), ':', CAST(p.pos AS VARCHAR(20))))) AS r FROM pool p JOIN obs ON p.entity = obs.entity CROSS JOIN reps), near AS (SELECT rep, entity, count(*) OVER (PARTITION BY rep, entity ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - 1 AS d FROM drawn WHERE r <= k), nul AS (SELECT rep, entity, sum(d) AS e FROM near GROUP BY rep, entity) SELECT n.entity, max(o) AS observed_twice, round((1 + sum(CASE WHEN e >= o THEN 1 ELSE 0 END)) / 51e0, 9) AS p, round(avg(e), 9) AS null_mean, round(stddev_samp(e), 6) AS null_sd FROM nul n JOIN obs ON n.entity = obs.entity GROUP BY n.entity",
     "region_recall": "WITH " + _CHAIN + f", along AS (SELECT entity, e + 15 AS place, s, CAST(NULL AS BIGINT) AS other FROM islands WHERE mark = 'purchase' UNION ALL SELECT entity, pos AS place, CAST(NULL AS BIGINT) AS s, pos AS other FROM sites WHERE mark = 'view'), seen AS (SELECT s, max(other) {_UP} AS reached FROM along) SELECT count(*) AS n, sum(CASE WHEN reached >= s - 15 THEN 1 ELSE 0 END) AS found FROM seen WHERE s IS NOT NULL",
     "arm_ratio": "SELECT mark, round(avg(CASE WHEN pos < 360 THEN value END) / avg(CASE WHEN pos >= 360 THEN value END), 6) AS ratio FROM {hours} h GROUP BY mark",
     "local_covariates": "WITH v AS (SELECT entity, pos, avg(value) AS value FROM {hours} h GROUP BY entity, pos) SELECT entity, pos, round(avg(value) OVER (PARTITION BY entity ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING), 6) AS local_mean FROM v",

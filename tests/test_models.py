@@ -49,20 +49,6 @@ def test_logit(spark):
     assert regression.logit(df.where("y = 1"), "y", ["a"]).count() == 0
 
 
-def test_sign_flip(spark):
-    far = spark.createDataFrame([(i, 1.0 + i / 100) for i in range(20)], "k long, v double")
-    assert resampling.sign_flip(far, "k", "v", 200).first()["p"] < 0.01
-    even = spark.createDataFrame([(i, float((-1) ** i)) for i in range(20)], "k long, v double")
-    assert resampling.sign_flip(even, "k", "v", 200).first()["p"] == 1
-    assert resampling.sign_flip(even.limit(0), "k", "v", 20).first()["p"] == 1
-
-
-def test_cluster_bootstrap(spark):
-    df = spark.createDataFrame([(i % 30, float(i % 7)) for i in range(600)] + [(1, None)], "k long, v double")
-    r = resampling.cluster_bootstrap(df, "k", "v", 200).first()
-    assert r["n_clusters"] == 30 and r["ci_low"] <= r["mean"] <= r["ci_high"]
-
-
 def test_maximum_matching(spark):
     r = np.random.default_rng(5)
     edges = [(g, int(a), int(b)) for g in range(12) for a, b in r.integers(0, 5, (7, 2))]
