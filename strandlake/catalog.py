@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, t_summary, wilson
 from strandlake.operators import draws, intervals, matching, pairs, ranking, regression, resampling
-from strandlake.plans import files, models, oracles, sql
+from strandlake.plans import evolution, files, models, oracles, sql
 from strandlake.plans.base import hours, sites, table
 
 _KEYS = ["entity", "mark"]
@@ -338,7 +338,7 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
 }
 
 
-_OWN |= files.QUERIES | models.QUERIES
+_OWN |= evolution.QUERIES | files.QUERIES | models.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,19 +1,13 @@
-"""Aligned sequences, substring spans and position scores in SQL that Spark and DuckDB share.
-
-A document and the one with the next id stand for two rows of an alignment: a column is a position, a space is a gap.
-"""
+"""Substring spans, position scores and composition in SQL that Spark and DuckDB share."""
 
 from __future__ import annotations
 
 from strandlake.plans.sequences import _CENTERS, _LARGE, _SMALL, _W, _share, _window
 
-#: Letters that bind, overlapping categories, letters other than S and T, and their hydropathy by Kyte and Doolittle.
-_STICKY = "'D', 'E', 'F', 'W', 'Y'"
-_CATEGORIES = {"acidic": "DE", "basic": "KRH", "aromatic": "FWY", "polar": "STNQ", "phospho": "STY", "aliphatic": "AVILM"}
+#: Letters other than S and T, and their hydropathy by Kyte and Doolittle.
 _OTHERS = "ACDEFGHIKLMNPQRVWY"
 _HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "V": 4.2, "W": -0.9, "Y": -1.3}
 
-_ROWS = f"sy AS (SELECT doc_id, pos, c, CASE WHEN c = ' ' THEN 1 ELSE 0 END AS gap, CASE WHEN c IN ('S', 'T') THEN 1 ELSE 0 END AS st FROM {{symbols}} s), o AS (SELECT doc_id - 1 AS doc_id, pos, c AS oc, gap AS ogap, max(st) {_W[:-1]} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_st, max(gap) {_W[:-1]} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near_gap FROM sy)"
 _WEIGHT = " + ".join(f"coalesce((({k + 3} * 7 + ascii({'c' if not k else f'{'lead' if k > 0 else 'lag'}(c, {abs(k)}) {_W}'}) * 13) % 17 - 8) / 4e0, 0e0)" for k in range(-3, 4))
 _COUNTS = ", ".join([_share(_OTHERS, "w") + " AS size", *(f"length(w) - length(replace(w, '{x}', '')) AS n_{x}" for x in _OTHERS)])
 # Hydropathy is summed in tenths: whole numbers have the same sum in any order.
@@ -22,11 +16,6 @@ _SEGMENTS = " UNION ALL ".join(f"SELECT doc_id, CAST(center AS BIGINT) AS center
 
 
 SHARED: dict[str, str] = {
-    # Residues of one row that keep their letter, or meet S or T within five columns, in the other.
-    "align_conservation": f"WITH {_ROWS} SELECT sy.doc_id, count(*) AS n_sites, CAST(sum(CASE WHEN oc IN ('S', 'T') THEN 1 ELSE 0 END) AS BIGINT) AS n_exact, CAST(sum(coalesce(near_st, 0)) AS BIGINT) AS n_near FROM sy JOIN o ON sy.doc_id = o.doc_id AND sy.pos = o.pos WHERE sy.st = 1 AND ogap = 0 GROUP BY sy.doc_id",
-    # Changes away from letters that don't bind, no gap within three columns: gain where the new letter binds.
-    "substitutions": f"WITH {_ROWS} SELECT sy.doc_id, count(*) AS n_changes, CAST(sum(CASE WHEN oc IN ({_STICKY}) THEN 1 ELSE 0 END) AS BIGINT) AS n_gain FROM sy JOIN o ON sy.doc_id = o.doc_id AND sy.pos = o.pos WHERE gap = 0 AND near_gap = 0 AND c <> oc AND c NOT IN ({_STICKY}) GROUP BY sy.doc_id",
-    "category_identity": f"WITH {_ROWS} SELECT sy.doc_id, " + ", ".join(f"round(avg(CASE WHEN c IN ({', '.join(repr(x) for x in letters)}) THEN CASE WHEN c = oc THEN 1e0 ELSE 0e0 END END), 9) AS {name}" for name, letters in _CATEGORIES.items()) + " FROM sy JOIN o ON sy.doc_id = o.doc_id AND sy.pos = o.pos WHERE gap = 0 AND ogap = 0 GROUP BY sy.doc_id",
     # Occurrences, overlapping ones too, of a peptide (three symbols of its own entity's text) that contain a site: a start is at most two symbols before it.
     "substring_spans": f"SELECT entity, site, CAST(site - k AS BIGINT) AS span_start, CAST(site - k + 2 AS BIGINT) AS span_end FROM (SELECT DISTINCT h.entity, h.pos + 1 AS site, translate(d.text, '{_SMALL}', '{_LARGE}') AS t FROM {{hours}} h JOIN documents d ON d.doc_id = h.entity WHERE length(d.text) > h.pos) s CROSS JOIN (SELECT EACH((0, 2)) AS k) g WHERE site > k AND substr(t, CAST(site - k AS INTEGER), 3) = substr(t, 11, 3) AND length(t) >= 13",
     # A matrix by rule scores the seven symbols around each S or T; percentiles come from the few distinct scores.

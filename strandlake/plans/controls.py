@@ -1,4 +1,4 @@
-"""Control windows beside regions, draws of null windows, and windowed features of sites, in SQL that Spark and DuckDB share.
+"""Control windows beside regions, and windowed features of sites, in SQL that Spark and DuckDB share.
 
 A user's islands are regions of the document with the same number; the event values, over 100, stand for disorder.
 """
@@ -13,8 +13,6 @@ _TENTHS = {"A": 18, "R": -45, "N": -35, "D": -35, "C": 25, "Q": -35, "E": -35, "
 _CLASSES = {"H": "AVLIM", "R": "FWY", "P": "P", "G": "G", "O": "ST", "+": "KRH", "-": "DE", "N": "NQC"}
 #: Bytes of positions to a bucket, by which windows meet the values in them.
 _BUCKET = 64
-#: Tries for a null window, and positions that it keeps away from the region.
-_TRIES, _AWAY = 40, 10
 
 _REGIONS = f"""seqs AS (SELECT doc_id AS entity, translate(text, '{_SMALL}', '{_LARGE}') AS t, CAST(length(text) AS BIGINT) AS len FROM documents),
 regions AS (SELECT i.entity, i.s + 1 AS s, i.e + 1 AS e, i.e - i.s + 1 AS n, q.t, q.len FROM islands i JOIN seqs q ON q.entity = i.entity WHERE i.mark = 'purchase' AND i.e + 1 <= q.len)"""
@@ -28,20 +26,8 @@ def _part(start: str, size: str = "n") -> str:
     return f"substr(t, CAST({start} AS INTEGER), CAST({size} AS INTEGER))"
 
 
-def _cosine(a: str, b: str) -> str:
-    pairs = [(f"({_share(x, a)})", f"({_share(x, b)})") for x in _LETTERS]
-    dot, left, right = (" + ".join(f"{p} * {q}" for p, q in some) for some in (pairs, [(p, p) for p, _ in pairs], [(q, q) for _, q in pairs]))
-    return f"coalesce(({dot}) / nullif(sqrt(1e0 * ({left}) * ({right})), 0), 0e0)"
-
-
-def number(text: str) -> str:
-    """A whole number below 2^32 from the hash of a text: its first eight hexadecimal digits."""
-    return f"HEX8(md5({text}))"
-
-
 def build(chain: str, sites: str, fractions: str) -> dict[str, str]:
     """The queries over the views that the arguments make."""
-    words = "concat(CAST(entity AS VARCHAR(20)), ':', CAST(s AS VARCHAR(20)), ':', CAST(trial AS VARCHAR(20)))"
     segments = ", ".join(f"substr(t, CAST(greatest(1, pos - {r}) AS INTEGER), CAST(pos + {r} - greatest(1, pos - {r}) + 1 AS INTEGER)) AS w{r}" for r in (10, 20, 40))
     legacy = []
     for r in (10, 20, 40):
@@ -63,18 +49,6 @@ cover AS (SELECT entity, s, n, c, EACH((CAST(floor(c / {_BUCKET}e0) AS BIGINT),
 means AS (SELECT w.entity, w.s, w.c, avg(v.value) AS disorder FROM cover w JOIN v ON v.entity = w.entity AND v.b = w.b WHERE v.pos BETWEEN w.c AND w.c + w.n - 1 GROUP BY w.entity, w.s, w.c),
 judged AS (SELECT f.entity, f.s, f.e, f.c, f.n, row_number() OVER (PARTITION BY f.entity, f.s ORDER BY f.c) AS k, count(*) OVER (PARTITION BY f.entity, f.s) AS m FROM free f JOIN means a ON a.entity = f.entity AND a.s = f.s AND a.c = f.c JOIN means r ON r.entity = f.entity AND r.s = f.s AND r.c = f.s WHERE abs(a.disorder - r.disorder) <= 0.15e0 AND abs({_st(_part('f.c', 'f.n').replace('substr(t', 'substr(f.t'))} - {_st(_part('f.s', 'f.n').replace('substr(t', 'substr(f.t'))}) <= 0.10e0)
 SELECT entity, s AS region_start, e AS region_end, CAST(c AS BIGINT) AS control_start, CAST(c + n - 1 AS BIGINT) AS control_end, m AS controls FROM judged WHERE k = CAST(floor(m / 2e0) AS BIGINT) + 1""",
-        # The region's composition beside that of the same columns in the next document, of a window elsewhere in it, and of one in another document.
-        "window_null": f"""WITH {chain}, {_REGIONS},
-pairs AS (SELECT r.entity, r.s, r.n, {_part('r.s', 'r.n').replace('substr(t', 'substr(r.t')} AS own, o.t, o.len FROM regions r JOIN seqs o ON o.entity = r.entity + 1 WHERE r.e <= o.len AND r.n >= 8),
-drawn AS (SELECT entity, s, n, len, trial, 1 + {number(words)} % (len - n + 1) AS c FROM (SELECT entity, s, n, len, EACH((1, {_TRIES})) AS trial FROM pairs WHERE len > n + 20) d),
-placed AS (SELECT entity, s, n, min(trial) AS trial FROM drawn WHERE c + n - 1 < s - {_AWAY} OR c > s + n - 1 + {_AWAY} GROUP BY entity, s, n),
-near AS (SELECT d.entity, d.s, d.c FROM drawn d JOIN placed p ON p.entity = d.entity AND p.s = d.s AND p.trial = d.trial),
-span AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents),
-other AS (SELECT x.entity, x.s, x.n, x.trial, lo + {number("concat('other:', " + words[7:])} % (hi - lo + 1) AS o FROM (SELECT entity, s, n, EACH((1, 20)) AS trial FROM pairs) x CROSS JOIN span),
-found AS (SELECT a.entity, a.s, min(a.trial) AS trial FROM other a JOIN seqs q ON q.entity = a.o WHERE q.len > a.n + 5 AND a.o <> a.entity AND a.o <> a.entity + 1 GROUP BY a.entity, a.s),
-far AS (SELECT a.entity, a.s, substr(q.t, CAST(1 + {number("concat('start:', " + words[7:].replace('entity', 'a.entity').replace('(s ', '(a.s ').replace('(trial', '(a.trial'))} % (q.len - a.n + 1) AS INTEGER), CAST(a.n AS INTEGER)) AS w FROM other a JOIN found f ON f.entity = a.entity AND f.s = a.s AND f.trial = a.trial JOIN seqs q ON q.entity = a.o),
-three AS (SELECT p.entity, p.s, p.n, p.own, {_part('p.s', 'p.n').replace('substr(t', 'substr(p.t')} AS same, {_part('a.c', 'p.n').replace('substr(t', 'substr(p.t')} AS near, b.w AS far FROM pairs p LEFT JOIN near a ON a.entity = p.entity AND a.s = p.s LEFT JOIN far b ON b.entity = p.entity AND b.s = p.s)
-SELECT entity, s AS region_start, n AS n_columns, round({_cosine('own', 'same')}, 9) AS true_cosine, CASE WHEN near IS NOT NULL THEN round({_cosine('own', 'near')}, 9) END AS null_a_cosine, CASE WHEN far IS NOT NULL THEN round({_cosine('own', 'far')}, 9) END AS null_b_cosine FROM three""",
         # Shares in three windows around each site; sites of texts under 10 symbols have none.
         "legacy_features": f"WITH {spots} SELECT entity, pos, {', '.join(legacy)} FROM (SELECT entity, pos, {segments} FROM spots) w",
         # Charge decoration of 25 symbols on each side, as pairs of charged symbols of one window.
@@ -88,8 +62,6 @@ SELECT entity, s AS region_start, n AS n_columns, round({_cosine('own', 'same')}
         "snapped_effects": f"WITH {fractions} SELECT entity, mark, round(CASE WHEN abs(obs - nul) < 1e-12 THEN 0e0 ELSE obs - nul END, 9) AS effect FROM eff",
         # A sum in global order of keys, so that shards don't change it: values are summed as whole thousandths.
         "ordered_sums": "SELECT o_custkey % 16 AS shard, CAST(sum(CAST(round(o_totalprice * 1000) AS BIGINT)) AS BIGINT) AS thousandths FROM orders GROUP BY o_custkey % 16",
-        # Sites of the same position (exact) or within 5 (regional) in the next user's events, by mark.
-        "species_conservation": f"WITH {sites}, c AS (SELECT a.mark, a.entity, a.pos, max(CASE WHEN b.pos = a.pos THEN 1e0 ELSE 0e0 END) AS exact, max(CASE WHEN b.pos IS NOT NULL THEN 1e0 ELSE 0e0 END) AS regional FROM sites a LEFT JOIN sites b ON b.entity = a.entity + 1 AND b.mark = a.mark AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 GROUP BY a.mark, a.entity, a.pos) SELECT mark, round(avg(exact), 9) AS exact, round(avg(regional), 9) AS regional, round(avg(regional - exact), 9) AS gap, count(*) AS n_sites, count(DISTINCT entity) AS n_entities FROM c GROUP BY mark",
         # Spans of chains on several gaps, for each mark as a species of its own.
         "species_spans": f"WITH {sites}, f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, mark ORDER BY pos) <= 5 THEN 0 ELSE 1 END AS f FROM sites WHERE mark <> 'purchase'), k AS (SELECT *, sum(f) OVER (PARTITION BY entity, mark ORDER BY pos) AS k FROM f), core AS (SELECT entity, mark, pos FROM (SELECT *, count(*) OVER (PARTITION BY entity, mark, k) AS n FROM k) t WHERE n >= 3), f2 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, mark ORDER BY pos) <= 10 THEN 0 ELSE 1 END AS f FROM core), k2 AS (SELECT *, sum(f) OVER (PARTITION BY entity, mark ORDER BY pos) AS k FROM f2) SELECT mark, entity, min(pos) AS span_start, max(pos) AS span_end FROM k2 GROUP BY mark, entity, k HAVING count(*) >= 3",
         # Tiles of texts that are not English, with the source as gene; labelled where the centre is in a span of the document's user.

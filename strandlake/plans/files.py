@@ -49,24 +49,13 @@ def fasta_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignment_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with a main row and rows of taxa, known ones only; a nation is a file, its suppliers are rows."""
     path = files.new_path(spark, "aligned")
-    rows = table(spark, sf_dir, "supplier").where("s_nationkey < 12").select(F.col("s_nationkey").alias("k"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "mouse").otherwise("yeast"), F.lit("_S"), F.col("s_suppkey")).alias("id"), F.translate("s_name", "#0", "--").alias("s"))
-    main = table(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").alias("k"), F.lit("human").alias("id"), F.col("n_name").alias("s"))
-    record = F.concat(F.lit(">"), "id", F.lit("\n"), "s")
-    for r in rows.union(main).groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("value")).collect():  # twelve files of a few rows, as a fixture
-        spark.createDataFrame([(r["value"],)], "value string").coalesce(1).write.text(f"{path}/part-{r['k']}")
-        _rename(spark, f"{path}/part-{r['k']}", f"{path}/N{r['k']}.afa")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "mouse").otherwise("yeast"), F.lit("_S"), F.col("s_suppkey")).alias("id"), F.translate("s_name", "#0", "--").alias("s"))
+    main = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.lit("human").alias("id"), F.col("n_name").alias("s"))
+    records = rows.union(main).select(F.concat(F.lit("N"), "k", F.lit(".afa")).alias("afa"), F.concat(F.lit(">"), "id", F.lit("\n"), "s").alias("value"))
+    records.repartition("afa").write.partitionBy("afa").text(path)
     return files.read_alignments(spark, path, ["mouse"]).select("accession", "member", "sequence", "main_sequence")
 
 
-def _rename(spark: SparkSession, folder: str, target: str) -> None:
-    """The one part file of a folder under another name."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
-    fs.rename(part, jvm.org.apache.hadoop.fs.Path(target))
-
-
 def temp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that two parts of a query use, made once."""
     files.materialised(spark, table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), "spending")
@@ -99,7 +88,7 @@ QUERIES = {
     copy_parquet: "SELECT s_suppkey, s_name FROM supplier",
     json_scan: "SELECT r_name, count(*) AS n, string_agg(n_name, '|' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     fasta_parse: "SELECT 'd' || doc_id AS id, length(s) AS length, md5(s) AS md5 FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS s FROM documents WHERE text IS NOT NULL) t",
-    alignment_load: "SELECT 'N' || s_nationkey AS accession, 'S' || s_suppkey AS member, translate(s_name, '#0', '--') AS sequence, n_name AS main_sequence FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey < 12 AND s_suppkey % 2 = 0",
+    alignment_load: "SELECT 'N' || s_nationkey AS accession, 'S' || s_suppkey AS member, translate(s_name, '#0', '--') AS sequence, n_name AS main_sequence FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0",
     temp_table: "WITH spending AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT o_custkey, n, round(total / (SELECT avg(total) FROM spending), 6) AS share FROM spending WHERE total > (SELECT avg(total) FROM spending)",
     parquet_cache: "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic",
     input_manifest: None,

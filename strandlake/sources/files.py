@@ -111,14 +111,20 @@ def write_fasta(df: DataFrame, path: str, id_col: str, sequence_col: str, width:
     df.where(F.col(id_col).isNotNull() & F.col(sequence_col).isNotNull()).select(F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), lines).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_alignments(spark: SparkSession, folder: str, taxa: Sequence[str], main: str = "human") -> DataFrame:
+def read_alignments(spark: SparkSession, folder: str, taxa: Sequence[str], main: str = "human", packed: bool = False) -> DataFrame:
     """(accession, taxon, member, sequence, main_sequence) of the aligned files accession.afa of a folder, one row for each known taxon.
 
     A header is taxon_member. The main row is named `main` or by the file's accession; files without one are left out, as are
-    names with anything but letters, digits and hyphens before .afa (hashed variants).
+    names with anything but letters, digits and hyphens before .afa (hashed variants). A folder as `write.partitionBy("afa")` makes them (afa=accession.afa) is
+    a file, too. packed: files of any name hold many accessions, with headers accession|taxon_member, as tables of many small alignments need.
     """
-    rows = read_fasta(spark, f"{folder}/*.afa")
-    rows = rows.withColumn("accession", F.regexp_extract("file", r"/([A-Za-z0-9-]+)\.afa$", 1)).where("accession <> ''")
+    if packed:
+        rows = read_fasta(spark, folder)
+        parts = F.split("id", r"\|", 2)
+        rows = rows.where(F.size(parts) == 2).select(parts[0].alias("accession"), parts[1].alias("id"), "sequence").where("accession <> ''")
+    else:
+        rows = read_fasta(spark, f"{folder}/*.afa")
+        rows = rows.withColumn("accession", F.regexp_extract("file", r"/(?:afa=)?([A-Za-z0-9-]+)\.afa(?:/[^/]*)?$", 1)).where("accession <> ''")
     own = rows.where(((F.col("id") == main) | (F.col("id") == F.col("accession"))) & (F.col("sequence") != "")).groupBy("accession").agg(F.max_by("sequence", F.col("id") == main).alias("main_sequence"))
     parts = rows.select("accession", F.split("id", "_", 2).alias("p"), "sequence").where(F.size("p") == 2)
     return parts.where(F.col("p")[0].isin(*taxa)).select("accession", F.col("p")[0].alias("taxon"), F.col("p")[1].alias("member"), "sequence").join(own, "accession")
