@@ -71,9 +71,34 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.roc_points(_scored(spark, sf_dir), "quality", "score")
 
 
+_COVARIATES = ["balance", "closed", "orders", "spent"]
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers of one segment as cases (highest balance first) and all others as donors, with four covariates in deviations, rounded so that any engine has the same."""
+    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("spent"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("closed"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").cast("double").alias("balance"), (F.col("c_mktsegment") == "BUILDING").alias("is_case")).join(spent, "id", "left").fillna(0, ["orders", "spent", "closed"])
+    made = matching.standardised(rows, _COVARIATES, ["orders", "spent"]).withColumns({c: F.round(c, 6) for c in _COVARIATES})
+    return made.where("is_case").withColumn("rank", F.struct((-F.col("balance")).alias("low"), "id")), made.where("NOT is_case")
+
+
+def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case's donors within half a deviation in all four covariates."""
+    made = matching.in_reach(*_customers(spark, sf_dir), _COVARIATES, 0.5)
+    return made.groupBy(F.col("case").alias("case_id")).agg(F.count("*").alias("candidates"), F.round(F.min("distance"), 9).alias("nearest"))
+
+
+def caliper_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case's three nearest donors within half a deviation in all four covariates that cases before it have left."""
+    cases, donors = _customers(spark, sf_dir)
+    made = matching.serve(spark, matching.in_reach(cases, donors, _COVARIATES, 0.5), cases.select(F.col("id").alias("case"), "rank"), 3)
+    return made.select(F.col("case").alias("case_id"), F.col("donor").alias("control"), F.round("distance", 9).alias("distance"))
+
+
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("k"), "c_acctbal", "c_mktsegment")
-    return matching.greedy_match(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"), "g", "k", ["c_acctbal"])
+    """Each case's nearest free donor, however far, by balance and orders."""
+    made = matching.greedy_match(spark, *_customers(spark, sf_dir), ["balance", "orders"])
+    return made.select(F.col("case").alias("case_id"), F.col("donor").alias("control"), F.round("distance", 9).alias("distance"))
 
 
 def _rounded(made: DataFrame) -> DataFrame:
@@ -226,13 +251,6 @@ def publication_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.maximum_matching(inside, ["entity", "mark", "start"], "pos", "source")
 
 
-def caliper_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 3000).alias("z"), (F.col("c_mktsegment") == "BUILDING").alias("is_case"))
-    other = c.where("NOT is_case").select("g", F.col("k").alias("control"), F.col("z").alias("z2"))
-    near = c.where("is_case").join(other, "g").where(F.abs(F.col("z") - F.col("z2")) <= 0.5).withColumn("distance", (F.col("z") - F.col("z2")) ** 2)
-    return matching.calliper_match(near.withColumnRenamed("k", "case_id"), ["g"], "case_id", "control", "z", "distance")
-
-
 def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per mark: the mean effect, its interval, and the one-sided p with its corrections over marks."""
     made = t_summary(per_protein(spark, sf_dir), "effect", ["mark"]).withColumn("family", F.lit(1))
@@ -275,6 +293,24 @@ def _interval_sql(keys: str, estimate: str, values: tuple[str, ...], by: str | N
     )
 
 
+_PEOPLE = (
+    "WITH RECURSIVE spent AS (SELECT o_custkey AS id, count(*) AS orders, sum(o_totalprice::DECIMAL(20, 2))::DOUBLE AS spent, avg((o_orderstatus = 'F')::INTEGER) AS closed FROM orders GROUP BY o_custkey), "
+    "raw AS (SELECT c_custkey::BIGINT AS id, c_acctbal::DOUBLE AS balance, c_mktsegment = 'BUILDING' AS is_case, log10(coalesce(orders, 0)::DOUBLE + 1) AS orders, log10(coalesce(spent, 0) + 1) AS spent, coalesce(closed, 0) AS closed FROM customer LEFT JOIN spent ON spent.id = c_custkey), "
+    f"z AS (SELECT id, is_case, {', '.join(f'round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}' for c in _COVARIATES)} FROM raw)"
+)
+_SQUARES = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _COVARIATES)
+_BOX = " AND ".join(f"abs(a.{c} - b.{c}) <= 0.5" for c in _COVARIATES)
+
+
+def _served(on: str, squares: str, most: int) -> str:
+    """Cases one by one: a round of the recursion serves one and carries the donors that are taken."""
+    return (
+        f"{_PEOPLE}, pair AS MATERIALIZED (SELECT a.i, a.id AS case_id, b.id AS donor, {squares} AS d, {draws.base_sql(42, 'b.id')} AS tie FROM (SELECT *, row_number() OVER (ORDER BY -balance, id) AS i FROM z WHERE is_case) a JOIN z b ON {on}), "
+        f"step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS got, []::BIGINT[] AS used UNION ALL SELECT i + 1, got, list_concat(used, got) FROM (SELECT s.i, s.used, coalesce((SELECT list(p.donor ORDER BY p.d, p.tie, p.donor) FROM pair p WHERE p.i = s.i + 1 AND NOT list_contains(s.used, p.donor)), [])[1:{most}] AS got FROM step s WHERE s.i < (SELECT count(*) FROM z WHERE is_case))) "
+        "SELECT p.case_id, p.donor AS control, round(p.d, 9) AS distance FROM (SELECT i, unnest(got) AS donor FROM step) g JOIN pair p ON p.i = g.i AND p.donor = g.donor"
+    )
+
+
 _AUROC_CI = (
     f"WITH k AS (SELECT (d.doc_id // 8)::VARCHAR AS key, quality AS y, length(text) AS s FROM documents d JOIN labels l USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL), w AS (SELECT draw, y, s, {draws.poisson_sql('u')} AS w FROM {_REDRAWN} UNION ALL SELECT 0, y, s, 1 FROM k), "
     "t AS (SELECT draw, s, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM w GROUP BY draw, s), c AS (SELECT draw, p, n, sum(n) OVER (PARTITION BY draw ORDER BY s) - n / 2.0 AS below FROM t), e AS (SELECT draw, sum(p * below) / nullif(sum(p) * sum(n), 0) AS e FROM c GROUP BY draw) "
@@ -327,8 +363,9 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
     auroc_ci: _AUROC_CI,
     stratified_null: _STRATIFIED,
     publication_matching: None,
-    caliper_match: None,
-    greedy_match: None,
+    match_candidates: _PEOPLE + f" SELECT a.id AS case_id, count(*) AS candidates, round(min({_SQUARES}), 9) AS nearest FROM z a JOIN z b ON a.is_case AND NOT b.is_case AND {_BOX} GROUP BY a.id",
+    caliper_match: _served(f"a.is_case AND NOT b.is_case AND {_BOX}", _SQUARES, 3),
+    greedy_match: _served("a.is_case AND NOT b.is_case", "(a.balance - b.balance) * (a.balance - b.balance) + (a.orders - b.orders) * (a.orders - b.orders)", 1),
     bootstrap_ci: _interval_sql("SELECT user_id::VARCHAR AS key, '' AS g, avg(value) AS a, 1 AS b FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING avg(value) IS NOT NULL", "a / nullif(b, 0)", ("a", "b")),
     spatial_contacts: "WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT a.label, count(*) AS n FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0004 GROUP BY a.label",
     stable_seed: "SELECT c_custkey, (('0x' || substr(sha256('analysis|' || c_name), 1, 8))::BIGINT + 42) % 4294967296 AS seed FROM customer",

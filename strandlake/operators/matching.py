@@ -1,44 +1,109 @@
-"""Matched controls and resampling that built-in operators cannot express; each group is handled by itself."""
+"""Matched controls over whole tables, and maximum matchings within small groups."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators.draws import base
+from strandlake.sources import files
+
 
 def stable_seed(base: int, *parts: object) -> int:
     """A seed from a base and tokens, the same in every partitioning."""
     return (base + int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)) % (1 << 32)
 
 
-def greedy_match(cases: DataFrame, controls: DataFrame, key: str, order: str, covariates: list[str]) -> DataFrame:
-    """(key, order, control): each case, in order, takes the nearest control of its group that is still free.
+def standardised(rows: DataFrame, covariates: Sequence[str], logs: Sequence[str] = ()) -> DataFrame:
+    """rows with each covariate as its distance from the mean in deviations (of the population; 1 where none varies); log10(x + 1) first for those in `logs`. One row of means is joined to all."""
+    value = lambda c: F.log10(F.col(c).cast("double") + 1) if c in logs else F.col(c).cast("double")
+    about = rows.agg(*(F.avg(value(c)).alias(f"m_{c}") for c in covariates), *(F.coalesce(F.nullif(F.stddev_pop(value(c)), F.lit(0.0)), F.lit(1.0)).alias(f"d_{c}") for c in covariates))
+    made = rows.crossJoin(F.broadcast(about)).withColumns({c: (value(c) - F.col(f"m_{c}")) / F.col(f"d_{c}") for c in covariates})
+    return made.drop(*(f"{k}_{c}" for k in "md" for c in covariates))
+
 
-    Distances are sums of squared differences over the controls' deviations; ties go to the lowest control, missing
-    covariates add nothing. Cases without a free control go.
+def in_reach(cases: DataFrame, donors: DataFrame, grid: Sequence[str], reach: float, more: Sequence[str] = (), box: bool = True, seed: int = 42) -> DataFrame:
+    """(case, donor, distance, tie) of the pairs in reach: differences of at most `reach` in every covariate (box), or a summed square of at most its square.
+
+    cases and donors have id, the covariates of `grid` and those of `more`. Both meet in cells as wide as the reach over `grid`, a case in the cells around its own too, so that work grows
+    with near pairs. Rows without an id or a covariate of `grid` go; a missing one of `more` adds nothing. tie is a hash of seed and donor, which orders equal distances.
+    """
+    cell = lambda c: F.floor(F.col(c) / (reach * (1 + 1e-9))).cast("long")  # noqa: E731  a little wider, since quotients are rounded
+    named = lambda rows, p: rows.select(F.col("id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in (*grid, *more)), *(cell(c).alias(f"_{i}") for i, c in enumerate(grid))).dropna(subset=[f"{p}_id", *(f"{p}_{c}" for c in grid)])
+    a, b = named(cases, "a"), named(donors, "b")
+    for i in range(len(grid)):
+        a = a.withColumn("_s", F.explode(F.array(*(F.lit(s) for s in (-1, 0, 1))))).withColumn(f"_{i}", F.col(f"_{i}") + F.col("_s")).drop("_s")
+    far = {c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in (*grid, *more)}
+    distance = sum((F.coalesce(far[c] * far[c], F.lit(0.0)) for c in (*grid, *more)), F.lit(0.0))
+    pairs = a.join(b, [f"_{i}" for i in range(len(grid))]).withColumn("distance", distance)
+    near = functools.reduce(lambda x, y: x & y, (F.coalesce(far[c] <= reach, F.lit(True)) for c in far)) if box else F.col("distance") <= reach * reach
+    return pairs.where(near).select(F.col("a_id").alias("case"), F.col("b_id").alias("donor"), "distance", base(seed, "b_id").alias("tie"))
+
+
+def _settle(spark: SparkSession, live: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """live (case, donor, distance, tie, rank) without the pairs that a better case's claim rules out, and each donor's claim (donor, held), when no claim moves any more.
+
+    Each case claims its `most` nearest donors, each donor keeps the case of least rank, and pairs of a donor with cases of greater rank than the kept one
+    go: they could never hold it, as claims only improve. This is deferred acceptance; as all donors rank cases alike its outcome is that of serving
+    cases one by one. A round is two shuffles of the pairs left.
     """
-    schema = f"{key} long, {order} long, control long"
-
-    def one(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(order), b.sort_values(order)
-        free, pool = np.ones(len(b), bool), b[covariates].to_numpy(float)
-        scale = np.nanstd(pool, 0) + 1e-9 if len(pool) else 1.0
-        made = []
-        for position, case in zip(a[order], a[covariates].to_numpy(float), strict=True):
-            if not free.any():
-                break
-            d = np.nansum(((pool - case) / scale) ** 2, 1)
-            d[~free] = np.inf
-            j = int(d.argmin())
-            free[j] = False
-            made.append((k[0], position, b[order].iloc[j]))
-        return pd.DataFrame(made, columns=[key, order, "control"])
-
-    return cases.groupBy(key).cogroup(controls.groupBy(key)).applyInPandas(one, schema)
+    nearest = W.partitionBy("case").orderBy("distance", "tie", "donor")
+    now = files.saved(spark, live, "claims")
+    while True:
+        claims = now.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= most)
+        held = claims.groupBy("donor").agg(F.min("rank").alias("held"), F.count("*").alias("claims"))
+        held = files.saved(spark, held, "held")
+        if held.where("claims > 1").isEmpty():
+            return now, held.drop("claims")
+        new = files.saved(spark, now.join(held, "donor", "left").where("held IS NULL OR rank <= held").drop("held", "claims"), "claims")
+        files.drop(spark, now)
+        files.drop(spark, held)
+        now = new
+
+
+def serve(spark: SparkSession, candidates: DataFrame, ranks: DataFrame, most: int = 1) -> DataFrame:
+    """(case, donor, distance): cases in the order of `ranks` (case, rank) each take their `most` nearest candidates that are still free.
+
+    The result is exactly that of going through the cases one by one, with ties in distance by tie and then by donor; ranks must differ. No task holds
+    more than the pairs of a case or of a donor.
+    """
+    live, _ = _settle(spark, candidates.join(ranks.select("case", "rank"), "case"), most)
+    n = F.row_number().over(W.partitionBy("case").orderBy("distance", "tie", "donor"))
+    return live.withColumn("_n", n).where(F.col("_n") <= most).select("case", "donor", "distance")
+
+
+def greedy_match(spark: SparkSession, cases: DataFrame, donors: DataFrame, grid: Sequence[str], more: Sequence[str] = (), reach: float = 0.25, seed: int = 42) -> DataFrame:
+    """(case, donor, distance): cases (id, rank, covariates) in order of rank each take the nearest donor (id, covariates) that is still free, however far. Ranks are numbers or structs, and differ.
+
+    As serve(), over pairs within a reach that doubles for the cases left without a donor while any donor may still be theirs. Distances are summed squares; ties go by a hash of seed and
+    donor. Cases that find no free donor have no row; nor do rows with null ids or null covariates of `grid`.
+    """
+    known = lambda x: x.dropna(subset=["id", *grid])
+    cases, donors = files.saved(spark, known(cases), "cases"), files.saved(spark, known(donors), "donors")
+    ranks = cases.select(F.col("id").alias("case"), "rank")
+    span = cases.select(*grid).union(donors.select(*grid)).agg(*(F.max(c) - F.min(c) for c in grid)).first()
+    # Covariates of `more` add to distances, so that the reach that holds all pairs is known only from the largest sum.
+    wide = sum(x * x for x in span if x is not None) + sum((r[0] or 0.0) ** 2 for c in more for r in [cases.select(c).union(donors.select(c)).agg(F.max(c) - F.min(c)).first()])
+    live, held = _settle(spark, in_reach(cases, donors, grid, reach, more, False, seed).join(ranks, "case"), 1)
+    while reach * reach < wide:
+        left = files.saved(spark, ranks.join(live.select("case").distinct(), "case", "left_anti"), "left")
+        # A donor may still be a left case's unless one of lesser rank than all of these has it.
+        first = left.agg(F.min("rank").alias("first")).where("first IS NOT NULL")
+        open_ = donors.join(held.withColumnRenamed("donor", "id"), "id", "left").crossJoin(F.broadcast(first)).where("held IS NULL OR held > first").drop("first")
+        open_ = files.saved(spark, open_, "open")
+        if open_.isEmpty():
+            break
+        reach *= 2
+        found = in_reach(cases.join(left.select(F.col("case").alias("id")), "id"), open_.drop("held"), grid, reach, more, False, seed).join(ranks, "case")
+        found = found.join(open_.select(F.col("id").alias("donor"), "held"), "donor").where("held IS NULL OR rank <= held").drop("held")
+        live, held = _settle(spark, live.unionByName(found), 1)
+    return live.withColumn("_n", F.row_number().over(W.partitionBy("case").orderBy("distance", "tie", "donor"))).where("_n = 1").select("case", "donor", "distance")
 
 
 def maximum_matching(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -75,22 +140,3 @@ def maximum_matching(edges: DataFrame, keys: list[str], left: str, right: str) -
         return pd.DataFrame([(*k, matched)], columns=[*keys, "matched"])
 
     return edges.select(*keys, left, right).dropna().distinct().groupBy(*keys).applyInPandas(one, schema)
-
-
-def calliper_match(candidates: DataFrame, keys: list[str], case: str, control: str, order: str, distance: str, most: int = 3) -> DataFrame:
-    """(keys, case, control): each case, by order descending, takes up to `most` nearest controls still free; ties go to the lower id.
-
-    Within each group of keys only; candidates are the pairs within the calliper.
-    """
-    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in [*keys, case, control])
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        made = []
-        for _, mine in rows.sort_values([order, case, distance, control], ascending=[False, True, True, True]).groupby(case, sort=False):
-            free = mine[~mine[control].isin(used)].head(most)
-            used.update(free[control])
-            made.append(free)
-        return pd.concat(made)[[*keys, case, control]] if made else rows.head(0)[[*keys, case, control]]
-
-    return candidates.groupBy(*keys).applyInPandas(one, schema)

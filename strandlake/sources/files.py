@@ -130,11 +130,23 @@ def read_alignments(spark: SparkSession, folder: str, taxa: Sequence[str], main:
     return parts.where(F.col("p")[0].isin(*taxa)).select("accession", F.col("p")[0].alias("taxon"), F.col("p")[1].alias("member"), "sequence").join(own, "accession")
 
 
-def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A temporary table: df is written once to the shared folder and read under this name, however often it is used."""
+def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: what made it is not run again, whatever executors are lost."""
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Delete what saved() wrote and nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A temporary table: df is written once to the shared folder and read under this name, however often it is used."""
+    found = saved(spark, df, name)
     found.createOrReplaceTempView(name)
     return found
 

@@ -57,9 +57,3 @@ def test_maximum_matching(spark):
         mine = {(a, b) for k, a, b in edges if k == g}
         best = max(n for n in range(6) for c in itertools.combinations(mine, n) if len({a for a, _ in c}) == n == len({b for _, b in c}))
         assert got[g] == best
-
-
-def test_calliper_match(spark):
-    pairs = [(1, 10, 1, 5.0, 0.1), (1, 10, 2, 5.0, 0.2), (1, 10, 3, 5.0, 0.2), (1, 10, 4, 5.0, 0.3), (1, 20, 1, 4.0, 0.0), (1, 20, 4, 4.0, 0.4)]
-    got = matching.calliper_match(spark.createDataFrame(pairs, "g long, c long, k long, z double, d double"), ["g"], "c", "k", "z", "d")
-    assert sorted((r["c"], r["k"]) for r in got.collect()) == [(10, 1), (10, 2), (10, 3), (20, 4)]
