@@ -11,8 +11,8 @@ from strandlake.llm._store import save
 WINDOW, SHORTEST = 5, 3
 #: Share of an item's windows that a document has, and of its slots that are filled consistently.
 LEAST = 0.8
-#: Slots that may differ by chance whatever the share: an item's values can coincide ("2 apples and 2 pears") where a copy's don't.
-CHANCE = 2
+#: Slots that may differ by chance whatever the share: two of an item's values can coincide ("2 apples and 2 pears") where a copy's don't; a third equal one that differs is no chance.
+CHANCE = 1
 #: Rows of benchmark windows up to which they are broadcast (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Units of measure that may follow a number.
@@ -125,7 +125,8 @@ def slot_checks(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, slots, conflicts, changed) of each leak: enough windows, and slots filled consistently.
 
-    changed: slots whose values differ from the item's, that is, a re-parameterised question. Items without slots have 0.
+    changed: slots whose values differ from the item's, that is, a re-parameterised question. Items without slots have 0. Up to CHANCE slots, or a share of 1 - LEAST of them, may be in conflict;
+    a copy whose values are all unchanged has none.
     Null texts match nothing; rows that repeat an id count as one document; rows with a null id are not judged.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")

@@ -97,6 +97,17 @@ def test_slots(spark):
     assert found[1, 1][3] == 1 and found[2, 2][3] == 0 and found[3, 3][3:] == (0, 0) and found[10, 7][4] == 12
 
 
+def test_items_of_few_slots(spark):
+    """A value that an item repeats has one value in a copy; of two equal ones, one may differ by chance."""
+    frame = "the {} red boxes and the {} green boxes and the {} blue boxes are all in the shed"
+    items = [(1, frame.format(7, 7, 7)), (2, "a farmer who owns {} sheep has to build one fence around them".format(7)), (3, "a baker sells {} loaves before noon and {} rolls after it".format(4, 4)), (4, "a pilot flies {} miles to the north and {} miles to the east".format(3, 9))]
+    docs = [(i, frame.format(*v)) for i, v in enumerate([(7, 7, 7), (5, 5, 5), (7, 7, 8), (7, 8, 9), (1, 2, 3)])]
+    docs += [(10, items[1][1]), (11, items[1][1].replace("7", "31")), (20, items[2][1].replace("4", "6")), (21, "a baker sells 4 loaves before noon and 8 rolls after it"), (30, items[3][1].replace("3", "8")), (31, items[3][1].replace("3", "9"))]
+    found = got(spark, docs, items)
+    assert set(found) == {(0, 1), (1, 1), (2, 1), (10, 2), (11, 2), (20, 3), (21, 3), (30, 4), (31, 4)}
+    assert [found[k][2:] for k in ((0, 1), (1, 1), (2, 1), (11, 2), (21, 3))] == [(3, 0, 0), (3, 0, 3), (3, 1, 1), (1, 0, 1), (2, 1, 1)]
+
+
 def test_empty_and_repeated(spark):
     item = [(1, "There are 3 cats and 5 dogs in the garden")]
     doc = (1, "There are 3 cats and 5 dogs in the garden")
