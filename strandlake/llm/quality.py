@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label: str
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row, repeated rows included.
 
-    A null text counts as empty; empty texts get the score of all-zero statistics; a null id stays null and is not held out.
+    A null text counts as empty; empty texts get the score of all-zero statistics; a null id stays null and counts as held out (remainder 0).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -47,6 +47,15 @@ def bags(step: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return (key % np.uint64(BUCKETS)).astype(np.int64).ravel(), np.repeat(np.cumsum(new) - 1, 1 + len(PREFIXES)), doc[new], bounds
 
 
+def logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def excess(p: np.ndarray, none: float) -> np.ndarray:
+    """How much less likely to be clean (in logs) a sentence of toxicity p is than one without any known word; never below 0."""
+    return np.maximum(np.log1p(-none) - np.log1p(-np.minimum(p, 1 - 1e-12)), 0)
+
+
 @dataclass
 class Model:
     """A sentence is toxic with the logistic of bias + the sum of its words' weights."""
@@ -58,13 +67,11 @@ class Model:
         """The toxicity of each sentence of the step, its document, and where it starts and ends in the step's bytes."""
         bucket, sentence, doc, bounds = bags(step)
         z = self.bias + np.bincount(sentence, self.weight[bucket], len(doc))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), doc, bounds
+        return logistic(z), doc, bounds
 
     def joined(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Noisy-or over each document's sentences, of what they have above a sentence without any known word: so a long clean text does not add up."""
-        none = 1 / (1 + np.exp(-np.clip(self.bias, -30, 30)))
-        clean = np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-none), 0)
-        return np.maximum(-np.expm1(np.bincount(doc, clean, n)), 0.0)
+        return np.maximum(-np.expm1(-np.bincount(doc, excess(p, logistic(self.bias)), n)), 0.0)
 
     def documents(self, step: Step) -> np.ndarray:
         p, doc, _ = self.sentences(step)
@@ -102,28 +109,32 @@ class Bags:
         return made
 
 
+def likelihood(theta: np.ndarray, feature: np.ndarray, size: np.ndarray, per_doc: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log-likelihood of documents' labels under what joined() scores, and its gradient by the weights and the bias (the last of theta)."""
+    z = np.zeros(len(size))
+    some = size > 0
+    if some.any():
+        z[some] = np.add.reduceat(theta[feature], (np.cumsum(size) - size)[some])
+    p, none = logistic(z + theta[-1]), logistic(theta[-1])
+    doc = np.repeat(np.arange(len(per_doc)), per_doc)
+    clean = np.bincount(doc, excess(p, none), len(per_doc))
+    toxic = np.maximum(-np.expm1(-clean), 1e-9)
+    # By a document's excess: -1 for a clean document, (1 - P) / P for a toxic one. A sentence's excess grows by p with its weights, by p - none with the bias.
+    pull = np.where(y > 0, (1 - toxic) / toxic, -1.0)[doc] * (z >= 0)
+    grad = np.zeros_like(theta)
+    grad[:-1] = np.bincount(feature, np.repeat(pull * p, size), len(theta) - 1)
+    grad[-1] = (pull * (p - none)).sum()
+    return float(np.where(y > 0, np.log(toxic), -clean).sum()), grad
+
+
 def fit(bags: Bags, start: np.ndarray, rounds: int = 150, rate: float = 0.15, l2: float = 2e-6) -> np.ndarray:
-    """The weights and the bias, by Adam on the noisy-or log-likelihood."""
-    y, k = bags.y, len(start)
-    theta = np.append(start, np.log(np.clip(y.mean(), 1e-3, 0.5) / 20))
+    """The weights and the bias, by Adam on the noisy-or log-likelihood of the very scores that joined() gives."""
+    theta = np.append(start, np.log(np.clip(bags.y.mean(), 1e-3, 0.5) / 20))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     blocks = bags.blocks()
     for t in range(1, rounds + 1):
-        grad = np.zeros_like(theta)
-        for docs, sentences, features in blocks:
-            f, size, per_doc = bags.feature[features].astype(np.intp), bags.size[sentences], bags.per_doc[docs]
-            z = np.zeros(len(size))
-            some = size > 0
-            if some.any():
-                z[some] = np.add.reduceat(theta[f], (np.cumsum(size) - size)[some])
-            p = 1 / (1 + np.exp(-np.clip(z + theta[-1], -30, 30)))
-            doc = np.repeat(np.arange(len(per_doc)), per_doc)
-            any_toxic = np.maximum(-np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(per_doc))), 1e-9)
-            # d log-likelihood / dz: -p for a clean document, p (1 - P) / P for a toxic one.
-            pull = np.where(y[docs] > 0, (1 - any_toxic) / any_toxic, -1.0)[doc] * p
-            grad[:-1] += np.bincount(f, np.repeat(pull, size), k)
-            grad[-1] += pull.sum()
-        grad /= len(y)
+        grad = sum(likelihood(theta, bags.feature[features].astype(np.intp), bags.size[sentences], bags.per_doc[docs], bags.y[docs])[1] for docs, sentences, features in blocks)
+        grad = grad / len(bags.y)
         grad[:-1] -= l2 * np.sign(theta[:-1]) + l2 * theta[:-1]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)

@@ -54,6 +54,7 @@ def test_quality_held_out(tables):
     scored = quality.classify(None, docs, labels).collect()
     assert len(scored) == docs.count()
     got = {r["doc_id"]: r for r in scored}
+    assert got[None]["held_out"] and got[5001]["held_out"] == (zlib.crc32(b"5001") % 5 == 0)
     held = [(i, q) for i, *_, q in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == q for i, q in held]) > 0.97
     assert got[5000]["score"] == got[5001]["score"]
@@ -98,6 +99,26 @@ def test_noisy_or_by_hand():
     assert model.documents(step) == pytest.approx(want)
 
 
+def test_the_fit_is_of_what_is_scored():
+    """The likelihood that is raised is that of joined(), and its gradient is right."""
+    r = np.random.default_rng(4)
+    size, per_doc, y = r.integers(0, 4, 40), np.array([5, 0, 10, 20, 5]), np.array([1.0, 0, 0, 1, 1])
+    feature = r.integers(0, 6, size.sum())
+    theta = np.append(r.uniform(0.1, 1, 6), -2.0)
+    value, grad = toxicity.likelihood(theta, feature, size, per_doc, y)
+    z = [theta[f].sum() for f in np.split(feature, np.cumsum(size)[:-1])]
+    doc = np.repeat(np.arange(5), per_doc)
+    p = toxicity.Model(-2.0, np.zeros(toxicity.BUCKETS)).joined(toxicity.logistic(np.array(z) - 2), doc, 5)
+    p = np.maximum(p, 1e-9)
+    assert value == pytest.approx(np.log(p[y > 0]).sum() + np.log1p(-p[y == 0]).sum(), abs=1e-6)
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert grad[k] == pytest.approx((toxicity.likelihood(theta + step, feature, size, per_doc, y)[0] - toxicity.likelihood(theta - step, feature, size, per_doc, y)[0]) / 2e-6, rel=1e-4, abs=1e-6)
+    # Sentences without known words add nothing to either.
+    empty = toxicity.likelihood(theta, np.zeros(0, int), np.zeros(20, int), np.array([20]), np.zeros(1))
+    assert empty[0] == 0 and not empty[1].any()
+
+
 def parsed(data, phrase_text):
     """Phrases of data in a plain greedy cross-parsing against a text."""
     n, i = 0, 0
