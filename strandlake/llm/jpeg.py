@@ -35,6 +35,10 @@ def _inverse_transform() -> np.ndarray:
 IDCT = _inverse_transform()
 
 
+#: Pixels of the largest foreign image that is read: a header of a few bytes can ask for any size, and a pixel takes some 20 bytes while it is read.
+MOST_PIXELS = 1 << 26
+
+
 @dataclass
 class Component:
     number: int
@@ -68,19 +72,20 @@ class Huffman:
 
 
 class Bits:
-    """Bits of one restart interval, stuffing removed; reading beyond the end gives zeros."""
+    """Bits of one restart interval, stuffing removed; reading beyond the end raises an error."""
 
     def __init__(self, data: bytes) -> None:
         self.bit = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
         self.at = 0
 
     def take(self, n: int) -> int:
+        if self.at + n > len(self.bit):
+            raise ValueError("the stream ends within a scan")
         out = 0
         for b in self.bit[self.at : self.at + n]:
             out = out * 2 + b
-        short = max(0, self.at + n - len(self.bit))
         self.at += n
-        return out << min(n, short)
+        return out
 
     def decode(self, table: Huffman) -> int:
         code = 0
@@ -107,9 +112,13 @@ def stuffed(data: np.ndarray) -> np.ndarray:
 
 
 class Progressive:
-    """A progressive image (SOF2, 8 bits, Huffman) as it is read: each scan adds to the components' coefficients."""
+    """A progressive image (SOF2, 8 bits, Huffman) as it is read: each scan adds to the components' coefficients.
 
-    def __init__(self, data: bytes) -> None:
+    A stream that ends early, has no end marker, or says that it has more than `most` pixels raises an error.
+    """
+
+    def __init__(self, data: bytes, most: int = MOST_PIXELS) -> None:
+        self.most, ended = most, False
         self.quant: dict[int, np.ndarray] = {}
         self.tables: dict[tuple[int, int], Huffman] = {}
         self.components: list[Component] = []
@@ -117,7 +126,7 @@ class Progressive:
         at = 2
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG stream")
-        while at + 4 <= len(data):
+        while at + 2 <= len(data):
             if data[at] != 255:
                 raise ValueError("no marker where one is due")
             marker = data[at + 1]
@@ -125,9 +134,12 @@ class Progressive:
                 at += 1
                 continue
             if marker == 0xD9:
+                ended = True
                 break
             size = struct.unpack(">H", data[at + 2 : at + 4])[0]
             body = data[at + 4 : at + 2 + size]
+            if len(body) != size - 2:
+                raise ValueError("the stream ends within a segment")
             at += 2 + size
             if marker == 0xDB:
                 self.read_quant(body)
@@ -145,6 +157,8 @@ class Progressive:
                 at = self.read_scan(body, data, at)
         if not self.components:
             raise ValueError("no frame")
+        if not ended:
+            raise ValueError("no end marker")
 
     def read_quant(self, body: bytes) -> None:
         while body:
@@ -164,7 +178,11 @@ class Progressive:
         bits, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
         if bits != 8 or n not in (1, 3) or not self.height or not self.width:
             raise ValueError("only 8-bit images of 1 or 3 components")
+        if self.height * self.width > self.most or 3 * n != len(body) - 6 or self.components:
+            raise ValueError("the frame is too large, or no single one")
         self.components = [Component(c, s >> 4, s & 15, q) for c, s, q in struct.iter_unpack("BBB", body[6 : 6 + 3 * n])]
+        if any(not 1 <= x <= 4 for c in self.components for x in (c.h, c.v)):
+            raise ValueError("no such sampling")
         self.h, self.v = max(c.h for c in self.components), max(c.v for c in self.components)
         self.across, self.down = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
         for c in self.components:
@@ -211,7 +229,10 @@ class Progressive:
         if first == 0:
             tables = [self.tables.get((0, d)) for d, _ in ids]
             # With differences of size 0 only, all first values are 0.
-            return high == 0 and all(t and t.only and t.only[0] == 0 for t in tables)
+            if high or not all(t and t.only and t.only[0] == 0 for t in tables):
+                return False
+            blocks = chosen[0].width * chosen[0].height if len(chosen) == 1 else self.across * self.down * sum(c.h * c.v for c in chosen)
+            return 8 * len(data) >= min(t.only[1] for t in tables) * blocks
         table, c = self.tables.get((1, ids[0][1])), chosen[0]
         if not table or not table.only or (c.width, c.height) != (c.full_width, c.full_height):
             return False
@@ -380,10 +401,10 @@ def payload_of(image: Progressive) -> bytes:
     return np.where(coef > 0, coef, coef + 255).astype(np.uint8).tobytes()[: int(image.comment.split()[1])]
 
 
-def decode(df: DataFrame, column: str, key: str) -> DataFrame:
+def decode(df: DataFrame, column: str, key: str, most: int = MOST_PIXELS) -> DataFrame:
     """(key, height, width, rgb, error) of each row of a column of progressive JPEG streams; rgb: row by row, 3 bytes a pixel.
 
-    Null, broken and other streams have null tensors and the reason in error; rows are kept as they are repeated.
+    Null, cut, broken and other streams, and those of more than `most` pixels, have null tensors and the reason in error; rows are kept as they are repeated.
     """
     kind = dict(df.dtypes)[key]
 
@@ -394,7 +415,7 @@ def decode(df: DataFrame, column: str, key: str) -> DataFrame:
                 try:
                     if x is None:
                         raise ValueError("null")
-                    made = Progressive(bytes(x)).rgb()
+                    made = Progressive(bytes(x), most).rgb()
                     height.append(made.shape[0]), width.append(made.shape[1]), rgb.append(made.tobytes()), error.append(None)
                 except (ValueError, KeyError, IndexError, struct.error) as e:
                     height.append(None), width.append(None), rgb.append(None), error.append(str(e) or type(e).__name__)
@@ -418,7 +439,7 @@ def store_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def one(text: np.ndarray) -> tuple:
         payload = text.tobytes() + b"\xff" * (UNIT * max(1, -(-len(text) // UNIT)) - len(text))
         media = store(payload)
-        image = Progressive(media)
+        image = Progressive(media, 65535 * 65535)
         back = payload_of(image)
         rgb = image.rgb().reshape(-1, 3)
         mean, spread = rgb.mean(0), rgb.std(0)

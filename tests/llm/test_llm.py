@@ -3,11 +3,13 @@
 import hashlib
 import itertools
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import decontam, jaccard, jpeg, langid, lmscore, packing, pii, quality, sentences, toxicity
 from strandlake.llm._text import steps
@@ -113,6 +115,22 @@ def test_jpeg(spark, docs, monkeypatch):
     assert [(r["k"], r["rgb"] is not None) for r in jpeg.decode(broken, "b", "k").orderBy("k").collect()] == [(1, False), (2, False), (3, True)]
 
 
+def test_jpeg_of_broken_streams(spark):
+    rng = np.random.default_rng(5)
+    whole = jpeg.store(rng.integers(0, 256, 576 * 3, dtype=np.uint8).tobytes())
+    cuts = [*range(0, 400, 7), len(whole) // 2, len(whole) - 200, len(whole) - 3, len(whole) - 2, len(whole) - 1]
+    for n in cuts:
+        with pytest.raises((ValueError, IndexError, KeyError, struct.error)):
+            jpeg.Progressive(whole[:n])
+    at = whole.index(b"\xff\xc2") + 5
+    huge = whole[:at] + b"\xff\xff\xff\xff" + whole[at + 4 :]
+    rows = [(i, x) for i, x in enumerate([whole, whole[: len(whole) // 2], whole[:-200], whole[:-2], huge, whole + b"more", b"\xff\xd8\xff\xd9", whole])]
+    got = jpeg.decode(spark.createDataFrame(rows, "k long, b binary").withColumn("rgb", F.lit(1)), "b", "k").orderBy("k").collect()
+    assert [r["rgb"] is not None for r in got] == [True, False, False, False, False, True, False, True]
+    assert got[0]["rgb"] == got[5]["rgb"] == got[7]["rgb"] and "large" in got[4]["error"] and "end" in got[1]["error"]
+    assert jpeg.decode(spark.createDataFrame(rows[:1], "k long, b binary"), "b", "k", 100).first()["rgb"] is None
+
+
 def test_lm(spark, docs):
     step = next(steps(pa.array(["abc abc abcd", "hello", None, "abd"])))
     g, at = lmscore.grams(step)
