@@ -16,8 +16,6 @@ _SEGMENTS = " UNION ALL ".join(f"SELECT doc_id, CAST(center AS BIGINT) AS center
 
 
 SHARED: dict[str, str] = {
-    # Occurrences, overlapping ones too, of a peptide (three symbols of its own entity's text) that contain a site: a start is at most two symbols before it.
-    "substring_spans": f"SELECT entity, site, CAST(site - k AS BIGINT) AS span_start, CAST(site - k + 2 AS BIGINT) AS span_end FROM (SELECT DISTINCT h.entity, h.pos + 1 AS site, translate(d.text, '{_SMALL}', '{_LARGE}') AS t FROM {{hours}} h JOIN documents d ON d.doc_id = h.entity WHERE length(d.text) > h.pos) s CROSS JOIN (SELECT EACH((0, 2)) AS k) g WHERE site > k AND substr(t, CAST(site - k AS INTEGER), 3) = substr(t, 11, 3) AND length(t) >= 13",
     # A matrix by rule scores the seven symbols around each S or T; percentiles come from the few distinct scores.
     "pssm_score": f"WITH w AS (SELECT doc_id, c, {_WEIGHT} AS score FROM {{symbols}} s), k AS (SELECT doc_id, score FROM w WHERE c IN ('S', 'T')), n AS (SELECT score, count(*) AS n FROM k GROUP BY score), p AS (SELECT score, 100e0 * sum(n) OVER (ORDER BY score) / sum(n) OVER () AS percentile FROM n) SELECT doc_id, count(*) AS n_sites, CAST(sum(CASE WHEN percentile > 90 THEN 1 ELSE 0 END) AS BIGINT) AS n_high, round(max(percentile), 6) AS best FROM k JOIN p ON k.score = p.score GROUP BY doc_id",
     "nonst_composition": f"SELECT doc_id, center, radius, {_PROFILE} FROM (SELECT doc_id, center, radius, {_COUNTS} FROM ({_SEGMENTS}) w) k",

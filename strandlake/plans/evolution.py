@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import alignments, intervals
+from strandlake.operators import alignments, intervals, search
 from strandlake.operators.alignments import BUCKETS, CATEGORIES, LEAST, LETTERS, MEASURES, STICKY
-from strandlake.plans.base import sites, table
+from strandlake.plans.base import hours, sites, table
 from strandlake.sources import files
 
 _CAPITALS, _TURNED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "EFGHIJKLMNOPQRSTUVWXYZABCD"
@@ -94,6 +94,28 @@ def window_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("accession", "taxon", "start", "n_columns", *(F.round(m, 9).alias(m) for m in MEASURES))
 
 
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents' letters, and for each event a peptide of 3 to 12 letters of the user's document that begins up to six letters before the event's position."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity"), F.regexp_replace(F.translate("text", _CAPITALS.lower(), _CAPITALS), "[^A-Z]", "").alias("s"))
+    found = hours(table(spark, sf_dir, "events")).select("entity", (F.col("pos") + 1).alias("site"), "event_id").join(docs, "entity").where("site <= length(s)")
+    start = F.greatest(F.col("site") - F.col("event_id") % 7, F.lit(1))
+    return docs, found.select("entity", "site", F.substr("s", start.cast("int"), (3 + F.col("event_id") % 10).cast("int")).alias("peptide"))
+
+
+def substring_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of each site's peptides, overlapping ones too, that contain the site."""
+    docs, evidence = _evidence(spark, sf_dir)
+    made = search.spans_of_sites(docs, evidence, "entity", "s", "site", "peptide")
+    return made.select("entity", "site", F.col("pattern").alias("peptide"), "span_start", "span_end")
+
+
+def peptide_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each peptide stands in any document, and in how many."""
+    docs, evidence = _evidence(spark, sf_dir)
+    made = search.occurrences(spark, docs, evidence, "entity", "s", "peptide")
+    return made.groupBy(F.col("pattern").alias("peptide")).agg(F.count("*").alias("n_places"), F.count_distinct("entity").alias("n_documents"), F.sum("start").alias("total"))
+
+
 _SEQS = f"seqs AS (SELECT doc_id, regexp_replace(translate(text, '{_CAPITALS.lower()}', '{_CAPITALS}'), '[^A-Z]', '', 'g') AS s FROM documents), chars AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS c FROM (SELECT doc_id, regexp_extract_all(s, '.') AS l FROM seqs WHERE s <> '') q)"
 # A row for each position of a pair, with its column; and cells, with the columns between.
 _OTHER = (
@@ -150,10 +172,14 @@ m AS (SELECT t.doc_id, t.taxon, t.s, t.n, a.pearson AS true_pearson, a.cosine AS
 clean AS (SELECT * REPLACE ({', '.join(f'CASE WHEN isnan({x}) THEN NULL ELSE {x} END AS {x}' for x in [*(f'true_{k}' for k in _FOUR), *(f'null_a_{k}' for k in _FOUR), *(f'null_b_{k}' for k in _FOUR[:3])])}) FROM m)
 SELECT doc_id::VARCHAR AS accession, taxon, s AS start, n AS n_columns, {', '.join(f'round({x}, 9) AS {x}' for x in [*(f'true_{k}' for k in _FOUR), *(f'null_a_{k}' for k in _FOUR), *(f'null_b_{k}' for k in _FOUR[:3])])}, {', '.join(f'round(true_{k} - null_a_{k}, 9) AS excess_a_{k}' for k in _FOUR)}, {', '.join(f'round(true_{k} - null_b_{k}, 9) AS excess_b_{k}' for k in _FOUR[:3])} FROM clean"""
 
+_PEPTIDES = f"WITH {_SEQS}, pep AS (SELECT entity, site, substr(s, greatest(site - event_id % 7, 1), 3 + event_id % 10) AS peptide FROM (SELECT user_id AS entity, event_id, CAST(floor((floor(epoch(ts)) - 1704067200) / 3600) AS BIGINT) + 1 AS site FROM events) e JOIN seqs ON doc_id = entity WHERE site <= length(s))"
+
 QUERIES = {
     align_conservation: _KEPT + " SELECT doc_id::VARCHAR AS accession, taxon, count(*) AS n_sites, count(*) FILTER (WHERE exact) AS n_exact, sum(near)::BIGINT AS n_near FROM k GROUP BY doc_id, taxon",
     species_conservation: _KEPT + " SELECT taxon, round(avg(exact::INTEGER), 9) AS exact, round(avg(near), 9) AS regional, round(avg(near) - avg(exact::INTEGER), 9) AS gap, count(*) AS n_sites, count(DISTINCT doc_id) AS n_entities FROM k GROUP BY taxon",
     substitutions: _SUBSTITUTIONS,
     category_identity: f"WITH {_SEQS}, {_OTHER} SELECT doc_id::VARCHAR AS accession, taxon, count(*) FILTER (WHERE o <> '-') AS n_columns, " + ", ".join(f"round(avg((c = o)::INTEGER) FILTER (WHERE o <> '-' AND c IN {_IN(letters)}), 9) AS {name}" for name, letters in CATEGORIES.items()) + " FROM other GROUP BY doc_id, taxon",
     window_null: _WINDOW_NULL,
+    substring_spans: _PEPTIDES + " SELECT DISTINCT p.entity, site, peptide, c.p::BIGINT AS span_start, (c.p + length(peptide) - 1)::BIGINT AS span_end FROM pep p JOIN chars c ON c.doc_id = p.entity AND c.p BETWEEN site - length(peptide) + 1 AND site JOIN seqs q ON q.doc_id = p.entity WHERE substr(q.s, c.p, length(peptide)) = peptide",
+    peptide_search: _PEPTIDES + ", lead AS (SELECT doc_id, p, c || coalesce(lead(c, 1) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') || coalesce(lead(c, 4) OVER w, '') || coalesce(lead(c, 5) OVER w, '') AS six FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY p)), t AS (SELECT DISTINCT peptide, least(length(peptide), 6) AS k, left(peptide, 6) AS seed FROM pep), found AS (SELECT l.doc_id, l.p, t.peptide FROM (SELECT doc_id, p, k, left(six, k) AS seed FROM lead CROSS JOIN (SELECT unnest(range(1, 7)) AS k) WHERE length(six) >= k) l JOIN t ON t.k = l.k AND t.seed = l.seed) SELECT peptide, count(*) AS n_places, count(DISTINCT f.doc_id) AS n_documents, sum(p)::BIGINT AS total FROM found f JOIN seqs q ON q.doc_id = f.doc_id WHERE length(peptide) <= 6 OR substr(q.s, p, length(peptide)) = peptide GROUP BY peptide",
 }
