@@ -181,5 +181,5 @@ QUERIES = {
     category_identity: f"WITH {_SEQS}, {_OTHER} SELECT doc_id::VARCHAR AS accession, taxon, count(*) FILTER (WHERE o <> '-') AS n_columns, " + ", ".join(f"round(avg((c = o)::INTEGER) FILTER (WHERE o <> '-' AND c IN {_IN(letters)}), 9) AS {name}" for name, letters in CATEGORIES.items()) + " FROM other GROUP BY doc_id, taxon",
     window_null: _WINDOW_NULL,
     substring_spans: _PEPTIDES + " SELECT DISTINCT p.entity, site, peptide, c.p::BIGINT AS span_start, (c.p + length(peptide) - 1)::BIGINT AS span_end FROM pep p JOIN chars c ON c.doc_id = p.entity AND c.p BETWEEN site - length(peptide) + 1 AND site JOIN seqs q ON q.doc_id = p.entity WHERE substr(q.s, c.p, length(peptide)) = peptide",
-    peptide_search: _PEPTIDES + ", lead AS (SELECT doc_id, p, c || coalesce(lead(c, 1) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') || coalesce(lead(c, 4) OVER w, '') || coalesce(lead(c, 5) OVER w, '') AS six FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY p)), t AS (SELECT DISTINCT peptide, least(length(peptide), 6) AS k, left(peptide, 6) AS seed FROM pep), found AS (SELECT l.doc_id, l.p, t.peptide FROM (SELECT doc_id, p, k, left(six, k) AS seed FROM lead CROSS JOIN (SELECT unnest(range(1, 7)) AS k) WHERE length(six) >= k) l JOIN t ON t.k = l.k AND t.seed = l.seed) SELECT peptide, count(*) AS n_places, count(DISTINCT f.doc_id) AS n_documents, sum(p)::BIGINT AS total FROM found f JOIN seqs q ON q.doc_id = f.doc_id WHERE length(peptide) <= 6 OR substr(q.s, p, length(peptide)) = peptide GROUP BY peptide",
+    peptide_search: _PEPTIDES + ", lead AS (SELECT doc_id, p, " + " || ".join(["c", *(f"coalesce(lead(c, {k}) OVER w, '')" for k in range(1, 12))]) + " AS twelve FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY p)), t AS (SELECT DISTINCT peptide FROM pep) SELECT peptide, count(*) AS n_places, count(DISTINCT doc_id) AS n_documents, sum(p)::BIGINT AS total FROM (SELECT doc_id, p, left(twelve, k) AS peptide FROM lead CROSS JOIN (SELECT unnest(range(1, 13)) AS k) WHERE length(twelve) >= k) l JOIN t USING (peptide) GROUP BY peptide",
 }
