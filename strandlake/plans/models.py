@@ -1,26 +1,27 @@
-"""Queries of the modelling operators over documents: features are shares of letters, labels are `quality`, groups are sources."""
+"""Queries of the modelling operators over documents: features are shares of letters, labels are `quality`, groups are bundles of documents."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import modelling, structures
-from strandlake.operators.modelling import Boosting
+from strandlake.operators.boosting import Boosting
 from strandlake.plans.base import table
 from strandlake.plans.sequences import _COMPOSITION, _LARGE, _SMALL
 
 _GEOMETRY = ("log_length", "words", "lines")
-#: Few trees: the queries show the operators, and each tree takes jobs of its own.
-_FULL = Boosting((*_COMPOSITION, *_GEOMETRY), trees=8, rate=0.3)
+_FULL = Boosting((*_COMPOSITION, *_GEOMETRY), trees=16, depth=3, rate=0.25, patience=5)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, quality, features) of documents with a label."""
+    """(doc_id, lang, bundle, quality, features) of documents with a label; eight documents with neighbouring ids are a bundle, which stands for a gene."""
     t = F.translate("text", _SMALL, _LARGE)
     share = lambda letters: (F.length(t) - F.length(F.translate(t, letters, ""))) / F.greatest(F.length(t), F.lit(1))
     marks = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", *(share(x).alias(k) for k, x in _COMPOSITION.items()), F.log10(F.length("text") + 1).alias("log_length"), marks(" ").alias("words"), marks("\n").alias("lines"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 8).alias("bundle"), *(share(x).alias(k) for k, x in _COMPOSITION.items()), F.log10(F.length("text") + 1).alias("log_length"), marks(" ").alias("words"), marks("\n").alias("lines"))
     return docs.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
 
 
@@ -31,25 +32,30 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = modelling.out_of_fold(labelled(spark, sf_dir), "quality", "source", _FULL)
+    made = modelling.out_of_fold(labelled(spark, sf_dir), "doc_id", "quality", "bundle", _FULL)
     return made.select("doc_id", "fold", "quality", F.round("score", 6).alias("score"))
 
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds for each family of features."""
     families = {"composition": tuple(_COMPOSITION), "geometry": _GEOMETRY, "length_only": ("log_length",)}
-    return modelling.ablation(labelled(spark, sf_dir), "quality", "source", {k: Boosting(f, trees=3, rate=0.3) for k, f in families.items()}, 2)
+    made = modelling.ablation(labelled(spark, sf_dir), "doc_id", "quality", "bundle", {k: replace(_FULL, features=f) for k, f in families.items()})
+    return made.select("family", "positives", "negatives", F.round("auroc", 9).alias("auroc"), F.round("ap", 9).alias("ap"))
 
 
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = {"legacy": Boosting(tuple(_COMPOSITION), trees=2, rate=0.3), "enhanced_balanced": Boosting((*_COMPOSITION, *_GEOMETRY), trees=2, rate=0.3, balanced=True)}
-    return modelling.nested(labelled(spark, sf_dir), "quality", "source", candidates, 2, 2)
+    """Five outer and three inner folds, three candidates."""
+    small = replace(_FULL, trees=8, patience=3)
+    candidates = {"letters": replace(small, features=tuple(_COMPOSITION)), "all": small, "all_balanced": replace(small, balanced=True)}
+    made = modelling.nested(labelled(spark, sf_dir), "doc_id", "quality", "bundle", candidates)
+    return made.withColumns({c: F.round(c, 9) for c in ("inner_ap", "threshold")})
 
 
 def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of English documents scores the others; documents of one bucket of ids are one group, and no group is on both sides."""
-    rows = labelled(spark, sf_dir).withColumn("family", F.floor(F.col("doc_id") / 3))
-    scored = modelling.transfer(rows.where("lang = 'en'"), rows.where("lang <> 'en'"), "quality", "family", _FULL)
-    return scored.select("doc_id", "lang", "quality", F.round("score", 6).alias("score"))
+    """A model of English documents scores the others; no bundle of documents is on both sides."""
+    rows = labelled(spark, sf_dir)
+    scored = modelling.transfer(rows.where("lang = 'en'"), rows.where("lang <> 'en'"), "doc_id", "quality", "bundle", _FULL)
+    return scored.select("doc_id", "quality", F.round("score", 6).alias("score"))
 
 
 def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
