@@ -8,24 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Ranges of scores, about: what one task sorts of a key is one of these.
-RANGES = 256
+from strandlake.sources import files
 
 
 def cumulated(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (), down: bool = False) -> DataFrame:
     """df with, for each of columns, `column_before`: its sum over the key's rows that come before in order; rows of equal order are to be one row.
 
-    Ranges come from approximate quantiles. Within one, a window adds up; the sums of the ranges before it, a few hundred
-    rows a key, are added: no key's rows have to be in one task.
+    Rows are dealt by ranges of key and order and written once. Within a range a window adds up; the sums of the ranges before it, one row a range and key, are added:
+    no key's rows have to be in one task.
     """
-    edges = df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)
-    place = F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(edges)))), lambda e: e <= F.col(order).cast("double"))) if edges else F.lit(0)
-    rows = df.withColumn("_range", -place if down else place)
+    by = F.desc(order) if down else F.asc(order)
+    part = F.shiftright(F.monotonically_increasing_id(), 33)
+    rows = files.saved(df.sparkSession, df.repartitionByRange(*keys, by).sortWithinPartitions(*keys, by).withColumn("_range", part), "ranges")
     sums = rows.groupBy(*keys, "_range").agg(*(F.sum(c).alias(c) for c in columns))
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"_{c}") for c in columns))
-    inside = W.partitionBy(*keys, "_range").orderBy(F.desc(order) if down else F.asc(order)).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, "_range").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
     both = rows.join(offsets, [*keys, "_range"])
     return both.select(*df.columns, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0))).alias(f"{c}_before") for c in columns))
 
