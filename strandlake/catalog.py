@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, t_summary, wilson
 from strandlake.operators import draws, intervals, matching, pairs, ranking, regression, resampling
-from strandlake.plans import evolution, files, models, oracles, quantiles, sql, windows
+from strandlake.plans import evolution, files, matrices, models, oracles, quantiles, sql, windows
 from strandlake.plans.base import hours, sites, table
 
 _KEYS = ["entity", "mark"]
@@ -375,7 +375,7 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
 }
 
 
-_OWN |= evolution.QUERIES | files.QUERIES | models.QUERIES | windows.BY_LIST
+_OWN |= evolution.QUERIES | files.QUERIES | matrices.QUERIES | models.QUERIES | windows.BY_LIST
 _OWN |= {f: sql.duck_query(sql.SHARED.pop(f.__name__)) for f in (*windows.BY_CHARACTER, *quantiles.BY_BUFFER)}
 
 

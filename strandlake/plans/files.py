@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.plans.base import table
-from strandlake.sources import files
+from strandlake.sources import files, guards
+from strandlake.sources.guards import Guard
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,27 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.receipts_hold(stored, now)
 
 
+def shard_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in six shards, of which some lose a key, repeat rows, have blanks or lack a column: why each is refused, and how many rows are kept."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice").withColumn("shard", (F.col("o_orderkey") % 6).cast("int"))
+    guard = Guard({"o_orderkey": "bigint", "o_orderpriority": "string", "o_totalprice": ""}, ["o_orderkey"], ["o_orderpriority"], 1)
+    odd = F.col("o_custkey") % 10 == 0
+    spoilt = {
+        1: lambda d: d.withColumn("o_orderkey", F.when(~odd, F.col("o_orderkey"))),
+        2: lambda d: d.union(d.where(odd)),
+        3: lambda d: d.withColumn("o_orderpriority", F.when(odd, "  ").otherwise(F.col("o_orderpriority"))),
+        4: lambda d: d.drop("o_totalprice").withColumn("o_orderkey", F.col("o_orderkey").cast("string")),
+        5: lambda d: d.where("false"),
+    }
+    made = []
+    for k in range(6):
+        shard = orders.where(F.col("shard") == k)
+        path = files.new_path(spark, f"shard{k}")
+        reasons = guards.write(spark, spoilt[k](shard) if k in spoilt else shard, path, guard)
+        made.append((k, "; ".join(reasons) or "ok", 0 if reasons else spark.read.parquet(path).count()))
+    return spark.createDataFrame(made, "shard int, reason string, kept long")
+
+
 QUERIES = {
     csv_scan: """SELECT c_custkey, c_acctbal, 'a "quoted", ' || c_name AS note FROM customer""",
     csv_auto_scan: "SELECT p_size, count(*) AS n, round(sum(p_retailprice), 4) AS total, max(p_name) AS last_name FROM part GROUP BY p_size",
@@ -92,5 +114,6 @@ QUERIES = {
     temp_table: "WITH spending AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT o_custkey, n, round(total / (SELECT avg(total) FROM spending), 6) AS share FROM spending WHERE total > (SELECT avg(total) FROM spending)",
     parquet_cache: "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic",
     input_manifest: None,
+    shard_guards: "WITH o AS (SELECT o_orderkey % 6 AS k, count(*) AS n, count(*) FILTER (WHERE o_custkey % 10 = 0) AS odd FROM orders GROUP BY 1) SELECT s.k::INTEGER AS shard, CASE WHEN s.k = 4 THEN 'no column o_totalprice; column o_orderkey is string, not bigint' WHEN s.k = 5 OR coalesce(n, 0) = 0 THEN '0 rows, not 1' WHEN s.k = 0 OR odd = 0 THEN 'ok' WHEN s.k = 1 THEN odd || ' blank o_orderkey' WHEN s.k = 2 THEN odd || ' repeated o_orderkey' ELSE odd || ' blank o_orderpriority' END AS reason, CASE WHEN s.k = 0 OR s.k < 4 AND odd = 0 THEN n ELSE 0 END::BIGINT AS kept FROM (SELECT unnest(range(6)) AS k) s LEFT JOIN o USING (k)",
     receipts: "SELECT * FROM (VALUES ('region.parquet', 'ok'), ('nation.parquet', 'hash'), ('supplier.parquet', 'unexpected'), ('gone.parquet', 'missing')) t(file, reason)",
 }
