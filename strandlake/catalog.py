@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted, t_summary, wilson
-from strandlake.operators import draws, intervals, matching, pairs, ranking, regression, resampling
+from strandlake.operators import draws, intervals, matching, pairs, ranking, regions, regression, resampling
 from strandlake.plans import evolution, files, matrices, models, oracles, quantiles, sql, windows
 from strandlake.plans.base import hours, sites, table
 
@@ -251,6 +251,23 @@ def publication_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.maximum_matching(inside, ["entity", "mark", "start"], "pos", "source")
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of the focal mark, whose sources are ranges of event values."""
+    found = hours(table(spark, sf_dir, "events")).where("mark = 'purchase'").select("entity", "pos", F.floor(F.col("value") / 50).cast("long").alias("source"))
+    return regions.materialised(found, ["entity"], "pos", "source", 24, 3)
+
+
+def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's positions and sources, and whether it stands without any one source."""
+    return _regions(spark, sf_dir).select("entity", "start", "end", "span", "valence", "positions", "n_sources", "sources", "survives", F.concat_ws(":", F.lit("v1"), "entity", F.concat_ws("-", "start", "end")).alias("region_id"))
+
+
+def region_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's sites with their sources."""
+    made = _regions(spark, sf_dir).select("entity", "start", F.explode("members").alias("m"))
+    return made.select("entity", "start", F.col("m.pos").alias("pos"), F.size("m.sources").cast("long").alias("n_sources"), F.array_join("m.sources", ";").alias("sources"))
+
+
 def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per mark: the mean effect, its interval, and the one-sided p with its corrections over marks."""
     made = t_summary(per_protein(spark, sf_dir), "effect", ["mark"]).withColumn("family", F.lit(1))
@@ -293,6 +310,8 @@ def _interval_sql(keys: str, estimate: str, values: tuple[str, ...], by: str | N
     )
 
 
+_MEMBERS = f"""WITH {_CTES['sites']}, fl AS (SELECT entity, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity ORDER BY pos) <= 24 THEN 0 ELSE 1 END AS f FROM sites WHERE mark = 'purchase'), nu AS (SELECT entity, pos, sum(f) OVER (PARTITION BY entity ORDER BY pos) AS k FROM fl), big AS (SELECT entity, k FROM nu GROUP BY entity, k HAVING count(*) >= 3),
+member AS (SELECT DISTINCT n.entity, n.k, n.pos, CAST(floor(h.value / 50) AS BIGINT) AS src FROM nu n JOIN big USING (entity, k) JOIN {sql.DUCK_HOURS} h ON h.entity = n.entity AND h.pos = n.pos AND h.mark = 'purchase')"""
 _PEOPLE = (
     "WITH RECURSIVE spent AS (SELECT o_custkey AS id, count(*) AS orders, sum(o_totalprice::DECIMAL(20, 2))::DOUBLE AS spent, avg((o_orderstatus = 'F')::INTEGER) AS closed FROM orders GROUP BY o_custkey), "
     "raw AS (SELECT c_custkey::BIGINT AS id, c_acctbal::DOUBLE AS balance, c_mktsegment = 'BUILDING' AS is_case, log10(coalesce(orders, 0)::DOUBLE + 1) AS orders, log10(coalesce(spent, 0) + 1) AS spent, coalesce(closed, 0) AS closed FROM customer LEFT JOIN spent ON spent.id = c_custkey), "
@@ -363,6 +382,11 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
     auroc_ci: _AUROC_CI,
     stratified_null: _STRATIFIED,
     publication_matching: None,
+    region_members: _MEMBERS + """, gone AS (SELECT DISTINCT entity, k, src FROM member), kept AS (SELECT DISTINCT g.entity, g.k, g.src AS removed, m.pos FROM gone g JOIN member m ON m.entity = g.entity AND m.k = g.k AND m.src <> g.src),
+kf AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity, k, removed ORDER BY pos) <= 24 THEN 0 ELSE 1 END AS f FROM kept), kn AS (SELECT *, sum(f) OVER (PARTITION BY entity, k, removed ORDER BY pos) AS c FROM kf), kl AS (SELECT entity, k, removed FROM kn GROUP BY entity, k, removed, c HAVING count(*) >= 3),
+s AS (SELECT g.entity, g.k, count(DISTINCT g.src) = count(DISTINCT l.removed) AS survives FROM gone g LEFT JOIN kl l ON l.entity = g.entity AND l.k = g.k AND l.removed = g.src GROUP BY g.entity, g.k)
+SELECT m.entity, min(pos) AS start, max(pos) AS "end", max(pos) - min(pos) + 1 AS span, count(DISTINCT pos) AS valence, array_to_string(list_sort(list(DISTINCT pos)), ';') AS positions, count(DISTINCT src) AS n_sources, string_agg(DISTINCT src::VARCHAR, ';' ORDER BY src::VARCHAR) AS sources, coalesce(any_value(s.survives), false) AS survives, 'v1:' || m.entity || ':' || min(pos) || '-' || max(pos) AS region_id FROM member m LEFT JOIN s ON s.entity = m.entity AND s.k = m.k GROUP BY m.entity, m.k""",
+    region_sites: _MEMBERS + """ SELECT entity, start, pos, count(src) AS n_sources, coalesce(string_agg(src::VARCHAR, ';' ORDER BY src::VARCHAR), '') AS sources FROM (SELECT *, min(pos) OVER (PARTITION BY entity, k) AS start FROM member) t GROUP BY entity, start, pos""",
     match_candidates: _PEOPLE + f" SELECT a.id AS case_id, count(*) AS candidates, round(min({_SQUARES}), 9) AS nearest FROM z a JOIN z b ON a.is_case AND NOT b.is_case AND {_BOX} GROUP BY a.id",
     caliper_match: _served(f"a.is_case AND NOT b.is_case AND {_BOX}", _SQUARES, 3),
     greedy_match: _served("a.is_case AND NOT b.is_case", "(a.balance - b.balance) * (a.balance - b.balance) + (a.orders - b.orders) * (a.orders - b.orders)", 1),

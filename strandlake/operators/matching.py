@@ -106,37 +106,40 @@ def greedy_match(spark: SparkSession, cases: DataFrame, donors: DataFrame, grid:
     return live.withColumn("_n", F.row_number().over(W.partitionBy("case").orderBy("distance", "tie", "donor"))).where("_n = 1").select("case", "donor", "distance")
 
 
+def matched(near: dict) -> int:
+    """The most left items that can have a right item of their own (near: left to right items), by augmenting paths, breadth first, so that long ones need no deep recursion."""
+    owner: dict = {}
+    n = 0
+    for start in near:
+        came, queue, end = {}, [start], None
+        for a in queue:
+            for b in near[a]:
+                if b not in came:
+                    came[b] = a
+                    if b not in owner:
+                        end = b
+                        break
+                    queue.append(owner[b])
+            if end is not None:
+                break
+        if end is None:
+            continue
+        n += 1
+        mine = {a: b for b, a in owner.items()}
+        while end is not None:
+            a = came[end]
+            owner[end], end = a, mine.get(a)
+    return n
+
+
 def maximum_matching(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """(keys, matched): for each group, the most left items that can have a right item of their own, by augmenting paths.
+    """(keys, matched): for each group, the most left items that can have a right item of their own.
 
     A group is one island of sites, which a chain of gaps bounds; its distinct edges go to one task.
     """
     schema = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys) + ", matched long"
 
     def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        near = {a: list(g) for a, g in rows.groupby(left)[right]}
-        owner: dict = {}
-        matched = 0
-        for start in near:
-            # Breadth first, so that long alternating paths need no deep recursion.
-            came, queue, end = {}, [start], None
-            for a in queue:
-                for b in near[a]:
-                    if b not in came:
-                        came[b] = a
-                        if b not in owner:
-                            end = b
-                            break
-                        queue.append(owner[b])
-                if end is not None:
-                    break
-            if end is None:
-                continue
-            matched += 1
-            mine = {a: b for b, a in owner.items()}
-            while end is not None:
-                a = came[end]
-                owner[end], end = a, mine.get(a)
-        return pd.DataFrame([(*k, matched)], columns=[*keys, "matched"])
+        return pd.DataFrame([(*k, matched({a: list(g) for a, g in rows.groupby(left)[right]}))], columns=[*keys, "matched"])
 
     return edges.select(*keys, left, right).dropna().distinct().groupBy(*keys).applyInPandas(one, schema)
