@@ -229,7 +229,7 @@ def hypergeom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper tail for labels of both kinds together; four counts go to the driver."""
     both = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
     r = both.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("toxic") == 1).alias("b"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("k")).first()
-    return spark.createDataFrame([(r["k"], r["n"], r["a"], r["b"], resampling.hypergeometric_tail(r["k"], r["n"], r["a"], r["b"]))], "k long, population long, marked long, drawn long, p double")
+    return spark.createDataFrame([(r["k"], r["n"], r["a"], r["b"], round(resampling.hypergeometric_tail(r["k"], r["n"], r["a"], r["b"]), 9))], "k long, population long, marked long, drawn long, p double")
 
 
 def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +374,7 @@ SELECT entity, signature, count(*) AS n_eligible, sum(focal)::BIGINT AS n_observ
     contrasts: None,
     ols_cluster: None,
     logit: None,
-    hypergeom: None,
+    hypergeom: "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS a, count(*) FILTER (WHERE toxic = 1) AS b, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS k FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT *, unnest(range(greatest(k, a + b - n), least(a, b) + 1)) AS i FROM c), choose AS (SELECT i, lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(n - a + 1) - lgamma(b - i + 1) - lgamma(n - a - b + i + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1) AS l FROM t) SELECT k, n AS population, a AS marked, b AS drawn, round(least(1, (SELECT sum(exp(l)) FROM choose)), 9) AS p FROM c",
     sign_flip: _EFFECTS + f", k AS (SELECT entity::VARCHAR AS key, effect AS v FROM eff WHERE mark = 'purchase'), m AS (SELECT draw, sum(CASE WHEN u < 0.5 THEN -v ELSE v END) AS t FROM {_REDRAWN} GROUP BY draw), o AS (SELECT count(*) AS n, sum(v) AS t FROM k) SELECT any_value(n) AS n, round(any_value(o.t) / any_value(n), 9) AS mean, round((1 + count(*) FILTER (WHERE abs(m.t) >= abs(o.t) - 1e-9)) / 1001.0, 9) AS p FROM m CROSS JOIN o",
     cluster_bootstrap: _interval_sql("SELECT user_id::VARCHAR AS key, '' AS g, sum(value) AS a, count(*) AS b FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id", "a / nullif(b, 0)", ("a", "b")),
     fold_ci: _EFFECTS + ", " + _interval_sql("SELECT entity::VARCHAR AS key, mark AS g, observed AS a, expected AS b FROM eff", "a / nullif(b, 0)", ("a", "b"), "mark").removeprefix("WITH "),
