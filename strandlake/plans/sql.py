@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.plans import alignments, controls, sequences
 from strandlake.plans.base import ORIGIN, hours, table
+from strandlake.sources import files
 
 #: The events in DuckDB; Spark has them from base.hours.
 DUCK_HOURS = f"(SELECT user_id AS entity, event_type AS mark, CAST(floor((floor(epoch(ts)) - {ORIGIN}) / 3600) AS BIGINT) AS pos, value, event_id FROM events)"
@@ -119,10 +120,18 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 
 def spark_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    # Spark works a common table out anew wherever it is named: effects that are named twice are written once.
+    head = "WITH " + _FRACTIONS
+    once = text.startswith(head) and len(re.findall(r"\b(?:FROM|JOIN) eff\b", text[len(head) :])) + 2 * ("bucketed AS" in text) > 1
+    effects = spark_query(head + " SELECT * FROM eff") if once else None
+    if once:
+        text = "WITH eff AS (SELECT * FROM {effects})" + text[len(head) :]
     used = [t for t in _TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {t: table(spark, sf_dir, t) for t in used}
+        if effects:
+            frames["effects"] = files.saved(spark, effects(spark, sf_dir), "effects")
         if "{hours}" in text:
             frames["hours"] = hours(table(spark, sf_dir, "events"))
         if "{symbols}" in text:
