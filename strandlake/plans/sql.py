@@ -70,7 +70,7 @@ SHARED: dict[str, str] = {
     "adversarial_curve": "WITH " + _RANKED + ", cut AS (SELECT CAST(pct AS BIGINT) AS pct, CAST(floor(n * pct / 100e0) AS BIGINT) AS removed FROM (SELECT EACH((0, 80)) AS pct, n FROM (SELECT sum(n) AS n FROM buckets) t) g) SELECT pct, removed, total - removed AS left_n, round((o_below + obs) / (x_below + nul), 9) AS group_fold FROM cut JOIN base ON r = removed + 1",
     "single_step_curve": "WITH " + _RANKED + " SELECT r AS removed, CASE WHEN r < total THEN round(o_below / x_below, 9) END AS group_fold FROM base",
     "first_crossing": "WITH " + _RANKED + ", curve AS (SELECT r, CASE WHEN r < total THEN o_below / x_below END AS fold FROM base) SELECT min(r) FILTER (WHERE fold < 1) AS first_below, count(*) AS n FROM curve",
-    "random_envelope": "WITH " + _RANKED + ", cut AS (SELECT CAST(pct AS BIGINT) AS pct, CAST(floor(n * pct / 100e0) AS BIGINT) AS removed FROM (SELECT EACH((0, 80)) AS pct, n FROM (SELECT sum(n) AS n FROM buckets) t) g), shuffled AS (SELECT rep, obs, nul, row_number() OVER (PARTITION BY rep ORDER BY h, entity) AS k FROM (SELECT rep, entity, obs, nul, md5(concat(CAST(entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)))) AS h FROM base CROSS JOIN (SELECT EACH((1, 500)) AS rep) g) z), kept AS (SELECT rep, k, sum(obs) OVER w AS o, sum(nul) OVER w AS x FROM shuffled WINDOW w AS (PARTITION BY rep ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT pct, removed, count(*) AS n, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY o / x), 9) AS lo, round(median(o / x), 9) AS mid, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY o / x), 9) AS hi FROM cut JOIN kept ON k = removed + 1 GROUP BY pct, removed",
+    "random_envelope": "WITH " + _RANKED + ", cut AS (SELECT CAST(pct AS BIGINT) AS pct, CAST(floor(n * pct / 100e0) AS BIGINT) AS removed FROM (SELECT EACH((0, 80)) AS pct, n FROM (SELECT sum(n) AS n FROM buckets) t) g), hashed AS (SELECT rep, entity, obs, nul, md5(concat(CAST(entity AS VARCHAR(20)), ':', CAST(rep AS VARCHAR(20)))) AS h FROM base CROSS JOIN (SELECT EACH((1, 500)) AS rep) g), shuffled AS (SELECT rep, entity, obs, nul, h, substr(h, 1, 2) AS b FROM hashed), parts AS (SELECT rep, b, count(*) AS n, sum(obs) AS o, sum(nul) AS x FROM shuffled GROUP BY rep, b), shifts AS (SELECT rep, b, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, coalesce(sum(o) OVER (PARTITION BY rep ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS o_after, coalesce(sum(x) OVER (PARTITION BY rep ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS x_after FROM parts), kept AS (SELECT s.rep, below + row_number() OVER (PARTITION BY s.rep, s.b ORDER BY h, entity) AS k, o_after + sum(obs) OVER w AS o, x_after + sum(nul) OVER w AS x FROM shuffled s JOIN shifts t ON t.rep = s.rep AND t.b = s.b WINDOW w AS (PARTITION BY s.rep, s.b ORDER BY h DESC, entity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT pct, removed, count(*) AS n, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY o / x), 9) AS lo, round(median(o / x), 9) AS mid, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY o / x), 9) AS hi FROM cut JOIN kept ON k = removed + 1 GROUP BY pct, removed",
     "quantiles": "SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 9) AS q25, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 9) AS q50, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY value), 9) AS q975 FROM events GROUP BY event_type",
     "dispersion": "SELECT event_type, round(stddev_samp(value), 6) AS sd1, round(stddev_pop(value), 6) AS sd0, round(var_samp(value), 4) AS v1 FROM events GROUP BY event_type",
     "multiscale": "WITH " + _SCALES + f" SELECT entity, mark, bool_and(effect > 0) AS positive_at_all, round(min(effect), 9) AS least FROM scales GROUP BY entity, mark HAVING count(effect) = {len(_RADII)}",
