@@ -57,9 +57,9 @@ def test_wilson(spark):
 
 def test_auroc_by_entity(spark):
     rows = [("P1", 1, 0.9, 0.1), ("P1", 0, 0.2, 0.8), ("P2", 1, 0.5, 0.5), ("P2", 1, 0.4, 0.4)]
-    df = spark.createDataFrame(rows, "accession string, label int, full_score double, composition double")
-    for score, want in (("full_score", 1.0), ("composition", 0.0)):
-        assert [(r["accession"], r["auroc"]) for r in ranking.auroc(df, "label", score, ["accession"]).collect()] == [("P1", want)]
+    df = spark.createDataFrame(rows, "entity string, label int, up double, down double")
+    for score, want in (("up", 1.0), ("down", 0.0)):
+        assert [(r["entity"], r["auroc"]) for r in ranking.auroc(df, "label", score, ["entity"]).collect()] == [("P1", want)]
 
 
 def test_t():
