@@ -404,7 +404,7 @@ _OWN |= {f: sql.duck_query(sql.SHARED.pop(f.__name__)) for f in (*windows.BY_CHA
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _OWN} | {k: sql.spark_query(v) for k, v in sql.SHARED.items()}
+    return {f.__name__: f for f in _OWN} | {k: sql.spark_query(sql.SPARK.get(k, v)) for k, v in sql.SHARED.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -116,6 +116,16 @@ SHARED: dict[str, str] = {
 SHARED["deletion_summary"] = f"SELECT count(*) AS points, min(CASE WHEN group_fold < 1 THEN removed END) AS first_below, {', '.join(f'max(CASE WHEN pct = {p} THEN group_fold END) AS fold_at_{p}' for p in (0, 10, 25, 50, 75, 80))} FROM ({SHARED['adversarial_curve']}) c"
 SHARED |= sequences.SHARED | alignments.SHARED | controls.build(_CHAIN, _SITES, _FRACTIONS)
 
+
+def _exact_mean(x: str) -> str:
+    """avg(x) whose sum is exact and thus the same in any order; values that no decimal holds are summed as they come."""
+    x_ = f"try_cast({x} AS DECIMAL(38, 18))"
+    return f"coalesce(CAST(CASE WHEN count({x}) = count({x_}) THEN try_sum({x_}) END AS DOUBLE) / count({x}), avg({x}))"
+
+
+#: What Spark runs in place of a shared text: means that a limit is held against.
+SPARK = {"control_windows": SHARED["control_windows"].replace("avg(value)", _exact_mean("value")).replace("avg(v.value)", _exact_mean("v.value"))}
+
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

@@ -41,3 +41,11 @@ def test_equal(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_controls_at_the_limit(spark, tmp_path):
+    """control_windows: disorder of 0.25 beside ten times 0.1 is 0.15 apart; sums of doubles put the ten at 0.9999999999999999."""
+    at = [(h, "purchase", 10.0) for h in range(10)] + [(24, "view", 25.0)]
+    spark.createDataFrame([(i, 1, k, v, h * 3600 + 1704067200) for i, (h, k, v) in enumerate(at)], "event_id long, user_id long, event_type string, value double, t long").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "a" * 40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert list(map(tuple, catalog.queries()["control_windows"](spark, str(tmp_path)).collect())) == [(1, 1, 10, 21, 30, 1)]
