@@ -109,12 +109,37 @@ def offset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *(F.round(F.avg(f"o{k + 5}"), 9).alias(f"offset_{k + 5}") for k in _OFFSETS))
 
 
+def _centers(s: Symbols) -> np.ndarray:
+    return np.arange(_STEP + 1, len(s) - _STEP + 1, _STEP)
+
+
 def _centred(s: Symbols):
     """(radius, windows) around each tenth symbol that has ten on both sides."""
-    center = np.arange(_STEP + 1, len(s) - _STEP + 1, _STEP)
+    center = _centers(s)
     return [(r, s.centred(center, r)) for r in _RADII] if len(center) else []
 
 
+def _shares(total: np.ndarray, w: windows.Windows, n: np.ndarray) -> np.ndarray:
+    """Counts of windows over n, to nine places. Windows have 81 symbols at most, so that no quotient lies halfway and any engine rounds alike."""
+    return np.round((total[w[1]] - total[w[0]]) / n, 9)
+
+
+def transfer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of groups of letters and the net charge around each tenth symbol, a row for each centre."""
+    names = [f"{n}_{r}" for r in _RADII for n in sequences._FEATURES] + [f"charge_{r}" for r in _RADII]
+
+    def made(s: Symbols):
+        around = _centred(s)
+        if not around:
+            return [[]] * (1 + len(names))
+        totals = [windows.running(s.isin(x)) for x in sequences._FEATURES.values()]
+        charge = windows.running(s.charge().astype(np.int64))
+        shares = [_shares(t, w, w[1] - w[0]) for _, w in around for t in totals]
+        return [_centers(s), *shares, *(_shares(charge, w, w[1] - w[0]) for _, w in around)]
+
+    return _each(spark, sf_dir, "center long, " + ", ".join(f"{n} double" for n in names), made)
+
+
 def _means(spark: SparkSession, sf_dir: str, names: list[str], features, coarse: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, radius, n_windows, names): means over a document's windows of each radius."""
 
@@ -180,8 +205,8 @@ _CHARGE_SQL = {
 _REDUCED = _parts(f", translate(w, '{''.join(windows.CLASSES.values())}', '{''.join(k * len(v) for k, v in zip('abcdefgh', windows.CLASSES.values(), strict=True))}') AS k") + ", p AS (SELECT doc_id, radius, list_filter(list_transform(range(1, n - 2), lambda i: k[i] || k[i + 3]), lambda x: regexp_full_match(x, '[a-h]{2}')) AS p FROM f)"
 _PAIR_SQL = {n: f"coalesce(len(list_filter(p, lambda x: x = '{a}{b}')) / nullif(len(p), 0), 0)" for n, (a, b) in zip(_PAIR_NAMES, [(a, b) for a in "abcdefgh" for b in "abcdefgh"], strict=True)}
 
-#: Queries with SQL of single characters that was once shared, and windows with SQL of lists.
-BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile)
+#: Queries with SQL of single characters or of substrings that was once shared, and windows with SQL of lists.
+BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features)
 BY_LIST = {
     window_composition: _parts("") + _averages({k: f"{_size(x)} / n" for k, x in windows.COMPOSITION.items()} | {"charge": f"({_size('KR')} - {_size('DE')}) / n"}).replace("SELECT", " SELECT", 1) + " FROM f GROUP BY doc_id, radius",
     window_geometry: _GAPPED + " " + _averages(_GEOMETRY_SQL, {"gap_sd": 7, "gap_cv": 7}) + " FROM g GROUP BY doc_id, radius",

@@ -3,9 +3,11 @@
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
+from strandlake import catalog
 from strandlake.operators import windows as win
 from strandlake.operators.windows import Symbols
 
@@ -79,3 +81,21 @@ def test_rows(spark):
     got = win.by_sequence(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "n long", lambda s: [np.array([len(s)])])
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, 4), (1, 4), (4, 300_000), (None, 2)]
     assert win.by_sequence(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", "n long", lambda s: [[1]]).collect() == []
+
+
+#: Queries over windows of text that pass over a sequence once; substrings of each window would walk it from its start.
+ONCE = ["transfer_features"]
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_one_pass(spark, tmp_path, name):
+    text = "aSTK\u00e9 DEp\u1e9e" * 40
+    rows = [(1, text), (2, "s" * 20), (3, None), (4, "t" * 21), (5, "\U0001f600" * 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.queries()[name](spark, str(tmp_path))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(catalog.oracle_sql()[name])
+    assert [d[0] for d in want.description] == made.columns
+    assert sorted(map(tuple, made.collect())) == sorted(want.fetchall())
