@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import windows
 from strandlake.operators.windows import LAGS, PAIRS, Symbols
-from strandlake.plans import sequences
+from strandlake.plans import alignments, sequences
 from strandlake.plans.base import table
 
 _RADII, _STEP = (10, 20, 40), 10
@@ -140,6 +140,25 @@ def transfer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, "center long, " + ", ".join(f"{n} double" for n in names), made)
 
 
+def nonst_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of each letter but S and T among such letters, and their mean hydropathy, around each tenth symbol."""
+    letters = alignments._OTHERS
+    tenths = np.zeros(128, np.int64)
+    tenths[list(letters.encode())] = [round(10 * alignments._HYDROPATHY[x]) for x in letters]
+
+    def made(s: Symbols):
+        around = _centred(s)
+        if not around:
+            return [[]] * (3 + len(letters))
+        w = tuple(np.concatenate([x[k] for _, x in around]) for k in (0, 1))
+        size = np.maximum(windows.counted(s.isin(letters), w), 1)
+        total = windows.running(tenths[s.code])
+        center = _centers(s)
+        return [np.tile(center, len(_RADII)), np.repeat(_RADII, len(center)), *(_shares(windows.running(s.isin(x)), w, size) for x in letters), _shares(total, w, 10 * size)]
+
+    return _each(spark, sf_dir, "center long, radius long, " + ", ".join(f"{x.lower()} double" for x in letters) + ", hydropathy double", made)
+
+
 def _means(spark: SparkSession, sf_dir: str, names: list[str], features, coarse: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, radius, n_windows, names): means over a document's windows of each radius."""
 
@@ -206,7 +225,7 @@ _REDUCED = _parts(f", translate(w, '{''.join(windows.CLASSES.values())}', '{''.j
 _PAIR_SQL = {n: f"coalesce(len(list_filter(p, lambda x: x = '{a}{b}')) / nullif(len(p), 0), 0)" for n, (a, b) in zip(_PAIR_NAMES, [(a, b) for a in "abcdefgh" for b in "abcdefgh"], strict=True)}
 
 #: Queries with SQL of single characters or of substrings that was once shared, and windows with SQL of lists.
-BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features)
+BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features, nonst_composition)
 BY_LIST = {
     window_composition: _parts("") + _averages({k: f"{_size(x)} / n" for k, x in windows.COMPOSITION.items()} | {"charge": f"({_size('KR')} - {_size('DE')}) / n"}).replace("SELECT", " SELECT", 1) + " FROM f GROUP BY doc_id, radius",
     window_geometry: _GAPPED + " " + _averages(_GEOMETRY_SQL, {"gap_sd": 7, "gap_cv": 7}) + " FROM g GROUP BY doc_id, radius",
