@@ -119,6 +119,9 @@ def _centred(s: Symbols):
     return [(r, s.centred(center, r)) for r in _RADII] if len(center) else []
 
 
+_UPPER = str.maketrans(sequences._SMALL, sequences._LARGE)
+
+
 def _shares(total: np.ndarray, w: windows.Windows, n: np.ndarray) -> np.ndarray:
     """Counts of windows over n, to nine places. Windows have 81 symbols at most, so that no quotient lies halfway and any engine rounds alike."""
     return np.round((total[w[1]] - total[w[0]]) / n, 9)
@@ -159,6 +162,17 @@ def nonst_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, "center long, radius long, " + ", ".join(f"{x.lower()} double" for x in letters) + ", hydropathy double", made)
 
 
+def window_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols around each tenth symbol."""
+
+    def made(s: Symbols):
+        start, end = s.centred(_centers(s), 10)
+        text = s.text.translate(_UPPER)
+        return _centers(s), [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+    return _each(spark, sf_dir, "center long, seg string", made)
+
+
 def _means(spark: SparkSession, sf_dir: str, names: list[str], features, coarse: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, radius, n_windows, names): means over a document's windows of each radius."""
 
@@ -225,7 +239,7 @@ _REDUCED = _parts(f", translate(w, '{''.join(windows.CLASSES.values())}', '{''.j
 _PAIR_SQL = {n: f"coalesce(len(list_filter(p, lambda x: x = '{a}{b}')) / nullif(len(p), 0), 0)" for n, (a, b) in zip(_PAIR_NAMES, [(a, b) for a in "abcdefgh" for b in "abcdefgh"], strict=True)}
 
 #: Queries with SQL of single characters or of substrings that was once shared, and windows with SQL of lists.
-BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features, nonst_composition)
+BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features, nonst_composition, window_substr)
 BY_LIST = {
     window_composition: _parts("") + _averages({k: f"{_size(x)} / n" for k, x in windows.COMPOSITION.items()} | {"charge": f"({_size('KR')} - {_size('DE')}) / n"}).replace("SELECT", " SELECT", 1) + " FROM f GROUP BY doc_id, radius",
     window_geometry: _GAPPED + " " + _averages(_GEOMETRY_SQL, {"gap_sd": 7, "gap_cv": 7}) + " FROM g GROUP BY doc_id, radius",
