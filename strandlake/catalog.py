@@ -151,15 +151,6 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """51 symbols around each centre 26, 36 ... of texts of at least 51."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 51")
-    made = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(26), F.length("text") - 25, F.lit(10))).alias("center"))
-    window = F.substr("text", F.col("center") - 25, F.lit(51))
-    share = (2 * F.length(window) - F.length(F.translate(window, "s", "")) - F.length(F.translate(window, "t", ""))) / F.lit(51.0)
-    return made.groupBy("doc_id").agg(F.count("*").alias("tiles"), F.round(F.sum(share), 6).alias("st_sum"))
-
-
 def spatial_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one label whose first three coordinates are near: cells of the radius's width, each joined with the 27 around it."""
     radius = 0.02
@@ -395,7 +386,7 @@ SELECT m.entity, min(pos) AS start, max(pos) AS "end", max(pos) - min(pos) + 1 A
     stable_seed: "SELECT c_custkey, (('0x' || substr(sha256('analysis|' || c_name), 1, 8))::BIGINT + 42) % 4294967296 AS seed FROM customer",
     md5_folds: "SELECT DISTINCT user_id, ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 5 AS fold FROM events",
     content_digest: "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents",
-    tiles: "WITH t AS (SELECT doc_id, substr(text, c - 25, 51) AS w FROM (SELECT doc_id, text, unnest(range(26, length(text) - 24, 10)) AS c FROM documents WHERE length(text) >= 51) z) SELECT doc_id, count(*) AS tiles, round(sum((102 - length(replace(w, 's', '')) - length(replace(w, 't', ''))) / 51e0), 6) AS st_sum FROM t GROUP BY doc_id",
+    windows.tiles: "WITH t AS (SELECT doc_id, substr(text, c - 25, 51) AS w FROM (SELECT doc_id, text, unnest(range(26, length(text) - 24, 10)) AS c FROM documents WHERE length(text) >= 51) z) SELECT doc_id, count(*) AS tiles, round(sum((102 - length(replace(w, 's', '')) - length(replace(w, 't', ''))) / 51e0), 6) AS st_sum FROM t GROUP BY doc_id",
 }
 
 

@@ -173,6 +173,19 @@ def window_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, "center long, seg string", made)
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows of 51 symbols around the centres 26, 36 ... of texts of at least 51, and the sum of their shares of small s and t."""
+
+    def made(s: Symbols):
+        start = np.arange(0, len(s) - 50, 10)
+        code = np.frombuffer(s.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        total = windows.running((code == ord("s")) | (code == ord("t")))
+        n = int((total[start + 51] - total[start]).sum()) if len(start) else 0
+        return [[len(start)], [n]] if len(start) else [[], []]
+
+    return _each(spark, sf_dir, "tiles long, n long", made).groupBy("doc_id").agg(F.sum("tiles").alias("tiles"), F.round(F.sum("n") / F.lit(51.0), 6).alias("st_sum"))
+
+
 def _means(spark: SparkSession, sf_dir: str, names: list[str], features, coarse: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, radius, n_windows, names): means over a document's windows of each radius."""
 
