@@ -7,6 +7,8 @@ those of the one after it the fly row's.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from strandlake.operators.alignments import BUCKETS, CATEGORIES, LEAST, LETTERS,
 from strandlake.plans.base import hours, sites, table
 from strandlake.sources import files
 
+_RECORD = pa.schema([(c, pa.string()) for c in ("accession", "id", "sequence")])
 _CAPITALS, _TURNED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "EFGHIJKLMNOPQRSTUVWXYZABCD"
 #: A gap of two columns follows each run of so many main letters; the mouse row has SG there.
 _RUN = 37
@@ -24,26 +27,44 @@ _TAXA = {"mouse": (29, 11, 1, "SG"), "fly": (17, 5, 2, "--")}
 _RUNGS = {"near": ("mouse",), "all": ("mouse", "fly")}
 
 
+def rows_of(own: np.ndarray, doc_id: int) -> list[str]:
+    """The main, mouse and fly rows of a sequence of capitals."""
+    at = np.arange(1, len(own) + 1)
+    column = at - 1 + 2 * ((at - 1) // _RUN)
+    width = len(own) + 2 * (len(own) // _RUN)
+    between = [_RUN + (_RUN + 2) * np.arange(len(own) // _RUN) + k for k in (0, 1)]
+
+    def spread(letters: np.ndarray, put: str) -> str:
+        row = np.empty(width, np.uint8)
+        row[column] = letters
+        for k in (0, 1):
+            row[between[k]] = ord(put[k])
+        return row.tobytes().decode("ascii")
+
+    out = [spread(own, "--")]
+    for missing, turned, _, put in _TAXA.values():
+        letters = np.where((at * 7 + doc_id) % turned == 0, (own - 65 + 4) % 26 + 65, own)
+        out.append(spread(np.where(at % missing < 2, ord("-"), letters), put))
+    return out
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(accession, taxon, member, sequence, main_sequence), written as FASTA and read again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.translate("text", _CAPITALS.lower(), _CAPITALS), "[^A-Z]", "").alias("s")).where("s <> ''")
-    letters = F.split("s", "(?!^)")
-    between = lambda text, put: F.regexp_replace(text, f"(.{{{_RUN}}})", f"$1{put}")
-    rows = [("human", between(F.col("s"), "--"))]
-    for taxon, (missing, turned, on, put) in _TAXA.items():
-        changed = _changed(letters, missing, turned)
-        rows.append((F.concat(F.lit(f"{taxon}_"), (F.col("doc_id") + on).cast("string")), between(F.array_join(changed, ""), put)))
-    records = [docs.select(F.col("doc_id").cast("string").alias("accession"), (F.lit(i) if isinstance(i, str) else i).alias("id"), s.alias("sequence")) for i, s in rows]
-    path = files.new_path(spark, "aligned")
-    alignments.write_aligned(records[0].union(records[1]).union(records[2]), path)
-    return files.read_alignments(spark, path, list(_TAXA), packed=True)
-
 
-def _changed(letters, missing: int, turned: int):
-    def one(c, i):
-        return F.when((i + 1) % missing < 2, "-").when(((i + 1) * 7 + F.col("doc_id")) % turned == 0, F.translate(c, _CAPITALS, _TURNED)).otherwise(c)
+    def made(batches):
+        for b in batches:
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                code = np.frombuffer(text.encode("ascii", "ignore"), np.uint8)
+                code = np.where((code >= 97) & (code <= 122), code - 32, code).astype(np.uint8)
+                s = code[(code >= 65) & (code <= 90)]
+                if not len(s):
+                    continue
+                ids = ["human", *(f"{taxon}_{i + on}" for taxon, (_, _, on, _) in _TAXA.items())]
+                yield pa.RecordBatch.from_pydict({"accession": [str(i)] * len(ids), "id": ids, "sequence": rows_of(s, i)}, schema=_RECORD)
 
-    return F.transform(letters, one)
+    path = files.new_path(spark, "aligned")
+    alignments.write_aligned(table(spark, sf_dir, "documents").select("doc_id", "text").dropna().mapInArrow(made, "accession string, id string, sequence string"), path)
+    return files.read_alignments(spark, path, list(_TAXA), packed=True)
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,8 +100,10 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     rows = raw.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("_metadata.file_block_start").alias("block"), "value")
     rows = rows.where((F.col("block") > 0) | F.col("value").startswith(">") | (F.col("at.row").bitwiseAND((1 << 33) - 1) > 0))
-    lines = F.split(F.regexp_replace("value", "^>", ""), r"\r\n|\n|\r")
-    made = rows.select("file", "at", F.regexp_extract(F.trim(F.element_at(lines, 1)), r"^(\S+)", 1).alias("id"), F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "").alias("sequence"))
+    # The first line, and the rest without white space around its line ends.
+    head = F.regexp_extract("value", r"^>?([^\r\n]*)", 1)
+    body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s*[\r\n]\s*|^\s+|\s+$", "")
+    made = rows.select("file", "at", F.regexp_extract(F.trim(head), r"^(\S+)", 1).alias("id"), body.alias("sequence"))
     return made.where("id <> ''").groupBy("file", "id").agg(F.max_by("sequence", "at").alias("sequence"))
 
 
