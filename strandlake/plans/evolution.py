@@ -133,8 +133,8 @@ def substring_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def peptide_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each peptide stands in any document, and in how many."""
     docs, evidence = _evidence(spark, sf_dir)
-    made = search.occurrences(spark, docs, evidence, "entity", "s", "peptide")
-    return made.groupBy(F.col("pattern").alias("peptide")).agg(F.count("*").alias("n_places"), F.count_distinct("entity").alias("n_documents"), F.sum("start").alias("total"))
+    made = search.counts(spark, docs, evidence, "entity", "s", "peptide")
+    return made.select(F.col("pattern").alias("peptide"), "n_places", F.col("n_sequences").alias("n_documents"), "total")
 
 
 _SEQS = f"seqs AS (SELECT doc_id, regexp_replace(translate(text, '{_CAPITALS.lower()}', '{_CAPITALS}'), '[^A-Z]', '', 'g') AS s FROM documents), chars AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS c FROM (SELECT doc_id, regexp_extract_all(s, '.') AS l FROM seqs WHERE s <> '') q)"
