@@ -6,10 +6,11 @@ A file, a chain and a pair of sequences are small; Spark deals them out, and num
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ LARGEST = {"A": 129, "R": 274, "N": 195, "D": 193, "C": 167, "Q": 225, "E": 223,
 #: Van der Waals radii of elements, in angstroms; others have OTHER_RADIUS.
 RADII, OTHER_RADIUS = {"C": 1.70, "N": 1.55, "O": 1.52, "S": 1.80, "P": 1.80}, 1.80
 PROBE = 1.4
+#: Cells of the tables of the pairs that are aligned together, a byte each.
+CELLS = 8_000_000
 ATOMS = "file string, chain string, residue long, code string, element string, x double, y double, z double"
 _FIELD = re.compile(r"'(?:[^']|'(?=\S))*'|\"(?:[^\"]|\"(?=\S))*\"|\S+")
 
@@ -101,43 +104,97 @@ def contacts(a: DataFrame, b: DataFrame, reach: float = 5.0) -> DataFrame:
     return left.join(right, ["file", "cx", "cy", "cz"]).where(apart <= reach * reach).select("file", "chain", "residue").distinct()
 
 
-def aligned(a: str, b: str, score: Callable[[str, str], float], opening: float = -10.0, longer: float = -0.5) -> list[tuple[int, int]]:
-    """Pairs of places, from 0, that a best global alignment puts together; a gap costs `opening` and `longer` for each symbol after its first.
+def _scored(a: Sequence[str], b: Sequence[str], score: Callable[[str, str], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the symbols of all texts of a and of b (rows filled with 0), and the scores of each symbol of a with each of b."""
+    made, kinds = [], []
+    for texts in (a, b):
+        known = {x: i for i, x in enumerate(sorted(set("".join(texts))))}
+        codes = np.zeros((len(texts), max(map(len, texts))), np.int64)
+        for row, t in zip(codes, texts, strict=True):
+            row[: len(t)] = [known[x] for x in t]
+        made.append(codes)
+        kinds.append(known)
+    return *made, np.array([[score(x, y) for y in kinds[1]] for x in kinds[0]]).reshape(len(kinds[0]), len(kinds[1]))
+
+
+def aligned_all(a: Sequence[str], b: Sequence[str], score: Callable[[str, str], float], opening: float = -10.0, longer: float = -0.5) -> list[list[tuple[int, int]]]:
+    """For each pair of texts, the pairs of places, from 0, that a best global alignment puts together; a gap costs `opening` and `longer` for each symbol after its first.
 
-    Ties go to a pair, then to a gap in b.
+    Ties go to a pair, then to a gap in b. Cells of one diagonal, of all pairs of texts, are one step; what came before a cell is one byte.
     """
-    n, m = len(a), len(b)
-    best = np.full((3, n + 1, m + 1), -np.inf)  # ends with a pair, with a symbol of a beside a gap, of b beside a gap
-    came = np.zeros((3, n + 1, m + 1), np.int8)
-    best[0, 0, 0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i and j:
-                before = best[:, i - 1, j - 1]
-                came[0, i, j] = k = int(before.argmax())
-                best[0, i, j] = before[k] + score(a[i - 1], b[j - 1])
-            if i:
-                before = best[:, i - 1, j] + np.array([opening, longer, opening])
-                came[1, i, j] = k = int(before.argmax())
-                best[1, i, j] = before[k]
-            if j:
-                before = best[:, i, j - 1] + np.array([opening, opening, longer])
-                came[2, i, j] = k = int(before.argmax())
-                best[2, i, j] = before[k]
-    k, i, j, made = int(best[:, n, m].argmax()), n, m, []
-    while i or j:
-        before = int(came[k, i, j])
-        if k == 0:
-            made.append((i - 1, j - 1))
-        i, j, k = i - (k != 2), j - (k != 1), before
-    return made[::-1]
+    if not len(a):
+        return []
+    x, y, table = _scored(a, b, score)
+    (n, m), count = (x.shape[1], y.shape[1]), len(a)
+    ends_a, ends_b = (np.array([len(t) for t in texts]) for texts in (a, b))
+    none = np.full((3, count, n + 1), -np.inf)  # ends with a pair, with a symbol of a beside a gap, of b beside a gap
+    before, last = none.copy(), none.copy()  # the diagonals two back and one back, by place in a
+    came = np.zeros((n + m + 1, count, n + 1), np.int8)
+    final = np.zeros(count, np.int64)
+    gaps = [np.array(g)[:, None, None] for g in ((opening, longer, opening), (opening, opening, longer))]
+    for d in range(n + m + 1):
+        now = none.copy()
+        if d == 0:
+            now[0, :, 0] = 0
+        lo, hi = max(0, d - m), min(n, d)
+        for k, (first, end, source, shift) in enumerate(((max(1, lo), min(n, d - 1), before, 1), (max(1, lo), hi, last, 1), (lo, min(n, d - 1), last, 0))):
+            if first > end:
+                continue
+            # Places in a of the diagonal's cells; for a pair and a gap in b the cell before is one place less in a.
+            i = np.arange(first, end + 1)
+            values = source[:, :, first - shift : end + 1 - shift] + (gaps[k - 1] if k else 0.0)
+            best = values.argmax(0)
+            now[k, :, first : end + 1] = np.take_along_axis(values, best[None], 0)[0] + (table[x[:, i - 1], y[:, d - i - 1]] if not k else 0.0)
+            came[d, :, first : end + 1] += (best * 3**k).astype(np.int8)
+        over = np.flatnonzero(ends_a + ends_b == d)
+        final[over] = now[:, over, ends_a[over]].argmax(0)
+        before, last = last, now
+    i, j, k = ends_a.copy(), ends_b.copy(), final
+    steps = []
+    row = np.flatnonzero((i > 0) | (j > 0))
+    while len(row):
+        own = k[row]
+        paired = row[own == 0]
+        steps.append((paired, i[paired] - 1, j[paired] - 1))
+        k[row] = came[i[row] + j[row], row, i[row]] // 3**own % 3
+        i[row] -= own != 2
+        j[row] -= own != 1
+        row = row[(i[row] > 0) | (j[row] > 0)]
+    made: list[list[tuple[int, int]]] = [[] for _ in range(count)]
+    for rows, p, q in reversed(steps):
+        for r, u, v in zip(rows.tolist(), p.tolist(), q.tolist(), strict=True):
+            made[r].append((u, v))
+    return made
+
+
+def aligned(a: str, b: str, score: Callable[[str, str], float], opening: float = -10.0, longer: float = -0.5) -> list[tuple[int, int]]:
+    """The alignment of two texts, as aligned_all()."""
+    return aligned_all([a], [b], score, opening, longer)[0]
 
 
 def align(pairs: DataFrame, key: str, a: str, b: str, score: Callable[[str, str], float]) -> DataFrame:
-    """(key, places) for each row: places are the aligned pairs, from 0. score: any matrix of substitutions. Null sequences are empty."""
+    """(key, places) for each row: places are the aligned pairs, from 0. score: any matrix of substitutions. Null sequences are empty.
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "places": [[{"a": i, "b": j} for i, j in aligned(x or "", y or "", score)] for x, y in zip(f[a], f[b], strict=True)]})
+    Pairs of like lengths are aligned together, as many as have CELLS cells.
+    """
 
-    return pairs.select(key, a, b).mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, places array<struct<a: int, b: int>>")
+    def run(batches):
+        for batch in batches:
+            x, y = ([t or "" for t in batch.column(c).to_pylist()] for c in (a, b))
+            size = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)]).reshape(-1, 2)
+            order = np.lexsort((size[:, 1], size[:, 0]))
+            start = 0
+            while start < len(order):
+                # The largest block of the next pairs whose padded tables have CELLS cells at most, one pair at least.
+                part = size[order[start : start + 4096]]
+                cells = np.arange(1, len(part) + 1) * (np.maximum.accumulate(part.sum(1)) + 1) * (np.maximum.accumulate(part[:, 0]) + 1)
+                rows = order[start : start + max(1, int((cells <= CELLS).sum()))]
+                start += len(rows)
+                made = aligned_all([x[r] for r in rows], [y[r] for r in rows], score)
+                flat = np.array([p for places in made for p in places], np.int32).reshape(-1, 2)
+                places = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+                offsets = pa.array(np.append(0, np.cumsum([len(p) for p in made])), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.ListArray.from_arrays(offsets, places)], names=[key, "places"])
+
+    dealt = pairs.select(key, a, b).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, f"{key} {pairs.schema[key].dataType.simpleString()}, places array<struct<a: int, b: int>>")

@@ -80,3 +80,17 @@ def test_alignment(spark):
     df = spark.createDataFrame([(1, "ACDE", "ACE"), (2, None, "A")], "k long, a string, b string")
     got = {r["k"]: [(p["a"], p["b"]) for p in r["places"]] for r in S.align(df, "k", "a", "b", lambda x, y: 15.0 if x == y else -15.0).collect()}
     assert got == {1: [(0, 0), (1, 1), (3, 2)], 2: []}
+
+
+def test_alignments_together(monkeypatch, spark):
+    """Pairs of many lengths in one step give what each gives alone, however they are blocked; one step a diagonal, not one a cell."""
+    r = np.random.default_rng(5)
+    texts = [tuple("".join(r.choice(list("ACDé"), int(n))) for n in r.integers(0, 12, 2)) for _ in range(60)]
+    score = lambda x, y: 5.0 if x == y else -4.0
+    a, b = zip(*texts, strict=True)
+    alone = [S.aligned(x, y, score) for x, y in texts]
+    assert S.aligned_all(a, b, score) == alone and S.aligned_all([], [], score) == []
+    monkeypatch.setattr(S, "CELLS", 500)
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "k long, a string, b string").repartition(2)
+    got = {x["k"]: [(p["a"], p["b"]) for p in x["places"]] for x in S.align(df, "k", "a", "b", score).collect()}
+    assert got == dict(enumerate(alone))
