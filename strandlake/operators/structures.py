@@ -67,30 +67,82 @@ def sphere(points: int) -> np.ndarray:
     return np.column_stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)])
 
 
-def exposed(xyz: np.ndarray, radius: np.ndarray, points: int) -> np.ndarray:
-    """Accessible area of each atom: the share of points on its sphere that are in no other's; radii include the probe."""
-    unit, made = sphere(points), np.zeros(len(xyz))
-    for i, (c, r) in enumerate(zip(xyz, radius, strict=True)):
-        apart = ((xyz - c) ** 2).sum(1)
-        near = np.flatnonzero((apart < (radius + r) ** 2) & (np.arange(len(xyz)) != i))
-        inside = (((c + r * unit)[:, None, :] - xyz[None, near]) ** 2).sum(2) < radius[near] ** 2
-        made[i] = 4 * np.pi * r * r * (~inside.any(1)).mean()
+def _taken(xyz: np.ndarray, width: float) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of whether points lie in a cell of this width that holds one of xyz."""
+    known = xyz[np.isfinite(xyz).all(1)]
+    if not len(known) or not width > 0:
+        return lambda p: np.zeros(p.shape[:-1], bool)
+    low = known.min(0)
+    size = np.floor((known.max(0) - low) / width) + 1
+    if np.prod(size) > 2**62:
+        return lambda p: np.zeros(p.shape[:-1], bool)
+    number = lambda c: ((c[..., 0] * size[1] + c[..., 1]).astype(np.int64) * int(size[2])) + c[..., 2].astype(np.int64)
+    cells = np.unique(number(np.floor((known - low) / width)))
+
+    def test(p: np.ndarray) -> np.ndarray:
+        c = np.floor((p - low) / width)
+        inside = ((c >= 0) & (c < size)).all(-1)
+        n = number(np.where(inside[..., None], c, 0))
+        return inside & (cells[np.minimum(np.searchsorted(cells, n), len(cells) - 1)] == n)
+
+    return test
+
+
+def exposed(xyz: np.ndarray, radius: np.ndarray, points: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Accessible area of each atom (or of those numbered in own): the share of points on its sphere that are in no other's; radii include the probe.
+
+    A point in a cell with an atom, whose diagonal is below every radius, is inside that atom's sphere; only the points of other cells are held against atoms near. Where atoms lie close, few
+    points are left.
+    """
+    own = np.arange(len(xyz)) if own is None else own
+    unit, made = sphere(points), np.zeros(len(own))
+    taken = _taken(xyz, radius.min() / 2 if len(radius) else 0.0)
+    for start in range(0, len(own), 500):
+        some = own[start : start + 500]
+        at = xyz[some][:, None, :] + radius[some][:, None, None] * unit
+        free = ~taken(at)
+        for k in np.flatnonzero(free.any(1)):
+            i, left = some[k], np.flatnonzero(free[k])
+            apart = ((xyz - xyz[i]) ** 2).sum(1)
+            near = np.flatnonzero((apart < (radius + radius[i]) ** 2) & (np.arange(len(xyz)) != i))
+            # The nearest atoms first: most points are inside one of them.
+            near = near[np.argsort(apart[near], kind="stable")]
+            for first in range(0, len(near), 64):
+                n = near[first : first + 64]
+                left = left[~((((at[k, left])[:, None, :] - xyz[None, n]) ** 2).sum(2) < radius[n] ** 2).any(1)]
+                if not len(left):
+                    break
+            made[start + k] = 4 * np.pi * radius[i] * radius[i] * (len(left) / points)
     return made
 
 
 def surface(atoms: DataFrame, points: int = 200, least: float = 0.20) -> DataFrame:
-    """(file, chain, residue, code, area, relative, is_surface) of each residue: rolled over by a probe, alone in its chain, against the largest area of its kind."""
+    """(file, chain, residue, code, area, relative, is_surface) of each residue: rolled over by a probe, alone in its chain, against the largest area of its kind.
+
+    A chain is cut into cells as wide as two atoms reach; a task has a cell's atoms and those of the cells around, so that a large chain is many tasks' work.
+    """
+    reach = 2 * (max(*RADII.values(), OTHER_RADIUS) + PROBE)
+    near = F.array(*(F.lit(s) for s in (-1, 0, 1)))
+    rows = atoms.select("file", "chain", "residue", "code", "element", "x", "y", "z", F.lit(True).alias("own"))
+    for c in "xyz":
+        # A little wider than the reach, since quotients are rounded; atoms without a place touch nothing.
+        rows = rows.withColumn("_s", F.explode(near)).withColumn("own", F.col("own") & (F.col("_s") == 0)).withColumn(f"c{c}", F.coalesce(F.floor(F.col(c) / (reach * (1 + 1e-9))).cast("long"), F.lit(0)) + F.col("_s")).drop("_s")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["residue", "element", "x", "y", "z"], ignore_index=True)
+        own = np.flatnonzero(rows["own"].to_numpy())
+        if not len(own):  # a cell beside others, without atoms of its own
+            return pd.DataFrame(columns=[c.split()[0] for c in f"{ATOMS}, area double".split(", ")])
         radius = rows["element"].map(RADII).fillna(OTHER_RADIUS).to_numpy() + PROBE
-        rows["area"] = exposed(rows[["x", "y", "z"]].to_numpy(), radius, points)
-        found = rows.groupby(["file", "chain", "residue", "code"], as_index=False)["area"].sum()
-        found["relative"] = found["area"] / found["code"].map(LARGEST)
-        found["is_surface"] = found["relative"] >= least
-        return found
-
-    return atoms.groupBy("file", "chain").applyInPandas(one, "file string, chain string, residue long, code string, area double, relative double, is_surface boolean")
+        made = rows.iloc[own][["file", "chain", "residue", "code", "element", "x", "y", "z"]].copy()
+        made["area"] = exposed(rows[["x", "y", "z"]].to_numpy(float), radius, points, own)
+        return made
+
+    areas = rows.groupBy("file", "chain", "cx", "cy", "cz").applyInPandas(one, f"{ATOMS}, area double")
+    # Summed in one order, so that partitions don't change the last bits.
+    listed = F.array_sort(F.collect_list(F.struct("element", "x", "y", "z", "area")))
+    found = areas.dropna(subset=["file", "chain", "residue", "code"]).groupBy("file", "chain", "residue", "code").agg(F.aggregate(listed, F.lit(0.0), lambda total, a: total + a["area"]).alias("area"))
+    largest = F.create_map(*(F.lit(x) for kind in LARGEST.items() for x in kind))[F.col("code")]
+    return found.withColumn("relative", F.col("area") / largest).withColumn("is_surface", F.coalesce(F.col("relative") >= least, F.lit(False)))
 
 
 def contacts(a: DataFrame, b: DataFrame, reach: float = 5.0) -> DataFrame:

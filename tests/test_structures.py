@@ -94,3 +94,32 @@ def test_alignments_together(monkeypatch, spark):
     df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "k long, a string, b string").repartition(2)
     got = {x["k"]: [(p["a"], p["b"]) for p in x["places"]] for x in S.align(df, "k", "a", "b", score).collect()}
     assert got == dict(enumerate(alone))
+
+
+def test_surface_is_dealt_out(spark):
+    """A chain's atoms are grouped by cells, not as one group."""
+    atoms = spark.createDataFrame([("f", "A", 1, "A", "C", 0.0, 0.0, 0.0)], S.ATOMS)
+    assert "FlatMapGroupsInPandas [file" in (plan := S.surface(atoms)._jdf.queryExecution().analyzed().toString()) and "cx" in plan
+
+
+def plain(xyz, radius, points):
+    unit, made = S.sphere(points), []
+    for i, (c, r) in enumerate(zip(xyz, radius, strict=True)):
+        others = np.arange(len(xyz)) != i
+        inside = (((c + r * unit)[:, None, :] - xyz[None, others]) ** 2).sum(2) < radius[others] ** 2
+        made.append(4 * np.pi * r * r * (~inside.any(1)).mean())
+    return np.array(made)
+
+
+@pytest.mark.parametrize(("n", "spread"), [(300, 4.0), (200, 15.0), (60, 60.0)])
+def test_surface_by_cells(spark, n, spread):
+    """Crowded and loose chains against all points and all atoms."""
+    r = np.random.default_rng(n)
+    xyz, kinds = r.normal(0, spread, (n, 3)), r.choice(list("CNOSX"), n)
+    radius = np.array([S.RADII.get(k, S.OTHER_RADIUS) + S.PROBE for k in kinds])
+    want = plain(xyz, radius, 200)
+    assert S.exposed(xyz, radius, 200) == pytest.approx(want, rel=1e-12)
+    atoms = spark.createDataFrame([("f", "A", i // 2, "A", str(k), *map(float, p)) for i, (k, p) in enumerate(zip(kinds, xyz, strict=True))], S.ATOMS)
+    got = {x["residue"]: (x["area"], x["is_surface"]) for x in S.surface(atoms).collect()}
+    both = want.reshape(-1, 2).sum(1)
+    assert got == {i: (pytest.approx(v), v / 129 >= 0.2) for i, v in enumerate(both)}
