@@ -190,8 +190,13 @@ def _means(spark: SparkSession, sf_dir: str, names: list[str], features, coarse:
     """(doc_id, radius, n_windows, names): means over a document's windows of each radius."""
 
     def made(s: Symbols):
-        rows = [(r, len(w[0]), *(x.mean() for x in features(s, w))) for r, w in _centred(s)]
-        return list(zip(*rows, strict=True)) if rows else [[]] * (2 + len(names))
+        around = _centred(s)
+        if not around:
+            return [[]] * (2 + len(names))
+        # All radii at once, so that running counts of the text are made once for all.
+        n = len(around[0][1][0])
+        values = features(s, tuple(np.concatenate([w[k] for _, w in around]) for k in (0, 1)))
+        return [[r for r, _ in around], [n] * len(around), *([x[i * n : (i + 1) * n].mean() for i in range(len(around))] for x in values)]
 
     rows = _each(spark, sf_dir, "radius int, n_windows long, " + ", ".join(f"{n} double" for n in names), made)
     return _rounded(_rounded(rows, 9, *(n for n in names if n not in coarse)), 7, *coarse)

@@ -99,3 +99,18 @@ def test_one_pass(spark, tmp_path, name):
     want = duck.execute(catalog.oracle_sql()[name])
     assert [d[0] for d in want.description] == made.columns
     assert sorted(map(tuple, made.collect())) == sorted(want.fetchall())
+
+
+def test_radii_share_a_pass(spark, tmp_path, monkeypatch):
+    """Windows of all radii are one call of a feature, with the means of a call for each."""
+    from strandlake.plans import windows as plan
+
+    text = "".join(np.random.default_rng(6).choice(list("ACDEFGHIKLMNPQRSTVWYx "), 500))
+    calls, s = [], plan.windows.Symbols(text)
+    monkeypatch.setattr(plan, "_each", lambda spark, sf_dir, fields, made: made)
+    monkeypatch.setattr(plan, "_rounded", lambda df, places, *columns: df)
+    made = plan._means(None, "", ["a", "b"], lambda s, w: (calls.append(len(w[0])), (plan.windows.decoration(s, w), plan.windows.blockiness(s, w)))[1])(s)
+    around = plan._centred(s)
+    assert calls == [3 * len(around[0][1][0])]
+    assert list(made[2]) == [plan.windows.decoration(s, w).mean() for _, w in around]
+    assert list(made[3]) == [plan.windows.blockiness(s, w).mean() for _, w in around]
