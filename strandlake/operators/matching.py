@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -78,32 +80,284 @@ def serve(spark: SparkSession, candidates: DataFrame, ranks: DataFrame, most: in
     return live.withColumn("_n", n).where(F.col("_n") <= most).select("case", "donor", "distance")
 
 
-def greedy_match(spark: SparkSession, cases: DataFrame, donors: DataFrame, grid: Sequence[str], more: Sequence[str] = (), reach: float = 0.25, seed: int = 42) -> DataFrame:
-    """(case, donor, distance): cases (id, rank, covariates) in order of rank each take the nearest donor (id, covariates) that is still free, however far. Ranks are numbers or structs, and differ.
+#: Donors of a part of space, about; a task holds one part's at a time. Beyond PARTS parts they grow instead, since every task gets all parts' bounds.
+PART, PARTS = 8000, 4096
+#: Rows that a turn across leaves asks for beyond those wanted.
+ANSWERS = 4_000_000
+_FREE = 1 << 62  # over every place in the order: what a free donor is held by
+
+
+def _parts(sample: np.ndarray, most: int, at: float) -> list[tuple[int, float, int, int]]:
+    """A tree of splits (covariate, value, node below, node from it on; covariate -1: a leaf) that halves the sample along its widest covariate, `at` of its rows below."""
+    tree: list = [None]
+    todo = [(0, sample, most)]
+    while todo:
+        node, x, n = todo.pop()
+        width = x.max(0) - x.min(0) if len(x) else np.zeros(1)
+        if n < 2 or len(x) < 2 or width.max() == 0:
+            tree[node] = (-1, 0.0, node, node)
+            continue
+        d = int(width.argmax())
+        value = np.sort(x[:, d])[int(len(x) * at)]
+        if value == x[:, d].min():
+            value = x[x[:, d] > value, d].min()
+        below = x[:, d] < value
+        tree[node] = (d, float(value), len(tree), len(tree) + 1)
+        todo += [(len(tree), x[below], n // 2), (len(tree) + 1, x[~below], n - n // 2)]
+        tree += [None, None]
+    return tree
+
+
+def _leaf(tree: list, x: np.ndarray) -> np.ndarray:
+    d, value, low, high = (np.array(c) for c in zip(*tree, strict=True))
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    while (d[node] >= 0).any():
+        node = np.where(x[rows, np.maximum(d[node], 0)] < value[node], low[node], high[node])
+    return node
+
+
+class _Space:
+    """Where donors are: of each leaf the bounds of its donors, the greatest place that holds one, and how many are free."""
+
+    def __init__(self, found: list, n_grid: int, reach: float | None):
+        self.leaf = np.array([f["leaf"] for f in found], dtype=np.int64)
+        self.held, self.free = (np.array([f[k] for f in found], dtype=np.int64) for k in ("held", "free"))
+        n = (len(found[0]) - 3) // 2 if found else 0
+        self.low, self.high = (np.array([[np.nan if (v := f[f"{k}{i}"]) is None else v for i in range(n)] for f in found]).reshape(len(found), n) for k in ("l", "h"))
+        self.n_grid, self.reach = n_grid, reach
+
+    def near(self, c: np.ndarray, place: int) -> np.ndarray:
+        """Of each leaf the least summed square of c to its donors; infinite where none may be had by that place. Rounding is monotone, so no donor is nearer."""
+        at, g = c[: self.n_grid], self.n_grid
+        off = np.maximum(np.maximum(self.low[:, :g] - at, at - self.high[:, :g]), 0.0)
+        out = _summed(off)
+        out[self.held <= place] = np.inf
+        if self.reach is not None:
+            out[(off > self.reach).any(1)] = np.inf
+        return out
+
+    def visits(self, c: np.ndarray, place: int, most: int) -> np.ndarray:
+        """The leaves that may have one of the `most` nearest donors that the place may have."""
+        near = self.near(c, place)
+        off = np.fmax(np.abs(self.low - c), np.abs(self.high - c))
+        far, free = _summed(off), self.free
+        if self.reach is not None:
+            free = np.where((np.nan_to_num(off) <= self.reach).all(1), free, 0)
+        order = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(free[order]), most)
+        limit = far[order[enough]] if enough < len(order) else np.inf
+        return self.leaf[(near <= limit) & (near < np.inf)]
+
 
-    As serve(), over pairs within a reach that doubles for the cases left without a donor while any donor may still be theirs. Distances are summed squares; ties go by a hash of seed and
-    donor. Cases that find no free donor have no row; nor do rows with null ids or null covariates of `grid`.
+def _summed(off: np.ndarray) -> np.ndarray:
+    """Squares summed from the first covariate to the last, as in_reach() does; missing ones add nothing."""
+    out = np.zeros(len(off))
+    for i in range(off.shape[1]):
+        out += np.nan_to_num(off[:, i]) ** 2
+    return out
+
+
+def _distances(x: np.ndarray, c: np.ndarray, reach: float | None) -> np.ndarray:
+    off = np.abs(x - c)
+    out = _summed(off)
+    if reach is not None:
+        out[(off > reach).any(1)] = np.inf
+    return out
+
+
+def _serve_leaf(held: np.ndarray, x: np.ndarray, hx: np.ndarray, wanting: list, leaf: int, space: _Space) -> list:
+    """Lets the wanting (place, n, covariates) take the leaf's donors (sorted by tie and id), as long as no other leaf can have a nearer one, and those who lose one take others; gives back who still wants.
+
+    held and hx, the places that hold donors and their covariates, are brought up to date.
     """
-    known = lambda x: x.dropna(subset=["id", *grid])
-    cases, donors = files.saved(spark, known(cases), "cases"), files.saved(spark, known(donors), "donors")
-    ranks = cases.select(F.col("id").alias("case"), "rank")
-    span = cases.select(*grid).union(donors.select(*grid)).agg(*(F.max(c) - F.min(c) for c in grid)).first()
-    # Covariates of `more` add to distances, so that the reach that holds all pairs is known only from the largest sum.
-    wide = sum(x * x for x in span if x is not None) + sum((r[0] or 0.0) ** 2 for c in more for r in [cases.select(c).union(donors.select(c)).agg(F.max(c) - F.min(c)).first()])
-    live, held = _settle(spark, in_reach(cases, donors, grid, reach, more, False, seed).join(ranks, "case"), 1)
-    while reach * reach < wide:
-        left = files.saved(spark, ranks.join(live.select("case").distinct(), "case", "left_anti"), "left")
-        # A donor may still be a left case's unless one of lesser rank than all of these has it.
-        first = left.agg(F.min("rank").alias("first")).where("first IS NOT NULL")
-        open_ = donors.join(held.withColumnRenamed("donor", "id"), "id", "left").crossJoin(F.broadcast(first)).where("held IS NULL OR held > first").drop("first")
-        open_ = files.saved(spark, open_, "open")
-        if open_.isEmpty():
+    elsewhere = space.leaf != leaf
+    heap = [(int(p), i, int(n), c) for i, (p, n, c) in enumerate(wanting)]
+    heapq.heapify(heap)
+    count, left = len(heap), []
+    while heap:
+        place, _, n, c = heapq.heappop(heap)
+        limit = space.near(c, place)[elsewhere].min(initial=np.inf)
+        d = _distances(x, c, space.reach)
+        d[held <= place] = np.inf
+        while n:
+            j = int(d.argmin())
+            if d[j] == np.inf or d[j] >= limit:
+                break
+            if held[j] < _FREE:
+                heapq.heappush(heap, (int(held[j]), count, 1, hx[j].copy()))
+                count += 1
+            held[j], hx[j], d[j] = place, c, np.inf
+            n -= 1
+        if n and (limit < np.inf or d.min() < np.inf):
+            left.append((place, n, c))
+    return left
+
+
+def serve_near(spark: SparkSession, cases: DataFrame, donors: DataFrame, grid: Sequence[str], more: Sequence[str] = (), most: int = 1, reach: float | None = None, seed: int = 42) -> DataFrame:
+    """(case, donor, distance): cases (id, rank, covariates) in order of rank each take their `most` nearest donors (id, covariates) that are still free, within `reach` in every covariate if given.
+
+    As serve() over all pairs in reach, but no pairs are made. Donors are dealt to leaves of a tree over `grid`, fitted on a sample. In a leaf's task cases claim their nearest donor while no other
+    leaf can have a nearer one, a donor keeps the claim of least rank, and who lost goes on; claims may come in any order, since all donors rank cases alike (deferred acceptance). Two trees with
+    other borders take turns. Those near borders of both, or with little left around them, ask all leaves that may have their donors; cases of equal covariates ask once and share the answer in
+    their order. Distances are summed squares, ties go by a hash of seed and donor. Rows with null ids or null covariates of `grid` go; a missing one of `more` adds nothing.
+    """
+    names, g = [*grid, *more], len(grid)
+    xs, hs = [f"x{i}" for i in range(len(names))], [f"h{i}" for i in range(len(names))]
+    row = lambda rows, *keep: rows.dropna(subset=["id", *grid]).select("id", *keep, *(F.col(c).cast("double").alias(x) for c, x in zip(names, xs, strict=True)))
+    people = files.saved(spark, row(cases, "rank").orderBy("rank").withColumn("place", F.monotonically_increasing_id()).drop("rank"), "cases")
+    known = row(donors)
+    n = known.count()
+    leaves = min(PARTS, max(1, round(n / PART)))
+    sample = known.select(*xs[:g]).sample(min(1.0, 64 * leaves / n) if n else 1.0, 1).toPandas().to_numpy(dtype=float)
+    trees = [_parts(sample, leaves, at) for at in (0.5, 0.37)]
+    kinds = ", ".join(f"{x} double" for x in xs)
+
+    def dealt(batches):
+        for b in batches:
+            yield b.assign(**{f"leaf{k}": _leaf(t, b[xs[:g]].to_numpy(dtype=float)) for k, t in enumerate(trees)})
+
+    state = f"id long, tie long, {kinds}, leaf0 long, leaf1 long, held long, {', '.join(f'{h} double' for h in hs)}"
+    now = known.withColumn("id", F.col("id").cast("long")).withColumn("tie", base(seed, "id")).mapInPandas(dealt, f"id long, {kinds}, tie long, leaf0 long, leaf1 long")
+    now = now.select("*", F.lit(_FREE).alias("held"), *(F.lit(None).cast("double").alias(h) for h in hs)).select(*[c.split()[0] for c in state.split(", ")])
+    now = files.saved(spark, now, "donors")
+    wanting = people.select("place", F.lit(most).cast("long").alias("n"), *xs)
+    turn, before = 0, None
+    while n:
+        key = f"leaf{turn % 2}"
+        bounds = [a for i, x in enumerate(xs) for a in (F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"))]
+        space = _Space(now.groupBy(F.col(key).alias("leaf")).agg(F.max("held").alias("held"), F.count_if(F.col("held") == _FREE).alias("free"), *bounds).collect(), g, reach)
+        if turn % 3 == 2:
+            new, left = _claim_near(spark, now, wanting, key, space, xs, hs, state, most)
+        else:
+            new, left = _claim_leaf(spark, now, wanting, key, trees[turn % 2], space, xs, hs, state)
+        old, now = now, new
+        left = files.saved(spark, left.groupBy("place").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in xs)), "wanting")
+        files.drop(spark, old)
+        if before is not None:
+            files.drop(spark, before)
+        wanting = before = left
+        if left.isEmpty():
             break
-        reach *= 2
-        found = in_reach(cases.join(left.select(F.col("case").alias("id")), "id"), open_.drop("held"), grid, reach, more, False, seed).join(ranks, "case")
-        found = found.join(open_.select(F.col("id").alias("donor"), "held"), "donor").where("held IS NULL OR rank <= held").drop("held")
-        live, held = _settle(spark, live.unionByName(found), 1)
-    return live.withColumn("_n", F.row_number().over(W.partitionBy("case").orderBy("distance", "tie", "donor"))).where("_n = 1").select("case", "donor", "distance")
+        turn += 1
+    off = [F.abs(F.col(h) - F.col(x)) for h, x in zip(hs, xs, strict=True)]
+    distance = sum((F.coalesce(o * o, F.lit(0.0)) for o in off), F.lit(0.0))
+    got = now.where(F.col("held") < _FREE).select(F.col("id").alias("donor"), F.col("held").alias("place"), distance.alias("distance"))
+    return got.join(people.select(F.col("id").alias("case"), "place"), "place").select("case", "donor", "distance")
+
+
+def _claim_leaf(spark: SparkSession, now: DataFrame, wanting: DataFrame, key: str, tree: list, space: _Space, xs: list, hs: list, state: str) -> tuple[DataFrame, DataFrame]:
+    """A turn within leaves: donors as they are held then, and who still wants (place, n, covariates)."""
+    g, columns = space.n_grid, [c.split()[0] for c in state.split(", ")]
+
+    def dealt(batches):
+        for b in batches:
+            yield b.assign(leaf=_leaf(tree, b[xs[:g]].to_numpy(dtype=float)))
+
+    def one(k: tuple, d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["tie", "id"], ignore_index=True)
+        x, hx = d[xs].to_numpy(dtype=float, copy=True), d[hs].to_numpy(dtype=float, copy=True)
+        held = d["held"].to_numpy(dtype=np.int64, copy=True)
+        rows = list(zip(w["place"], w["n"], w[xs].to_numpy(dtype=float), strict=True))
+        left = _serve_leaf(held, x, hx, rows, k[0], space) if len(d) else rows
+        d["held"], d[hs] = held, hx
+        d["place"], d["n"] = pd.array([None] * len(d), dtype="Int64"), pd.array([None] * len(d), dtype="Int64")
+        lost = pd.DataFrame([(p, n, *c) for p, n, c in left], columns=["place", "n", *xs])
+        return pd.concat([d[[*columns, "place", "n"]], lost.reindex(columns=[*columns, "place", "n"])]) if len(lost) else d[[*columns, "place", "n"]]
+
+    kinds = ", ".join(f"{x} double" for x in xs)
+    asked = wanting.select("place", "n", *xs).mapInPandas(dealt, f"place long, n long, {kinds}, leaf long")
+    made = now.groupBy(key).cogroup(asked.groupBy("leaf")).applyInPandas(one, f"{state}, place long, n long")
+    made = files.saved(spark, made, "turn")
+    return made.where("place IS NULL").select(*columns), made.where("place IS NOT NULL").select("place", "n", *xs)
+
+
+def _chase(c: np.ndarray, them: list, d: pd.DataFrame, whole: bool, chase: bool, xs: list, hs: list, reach: float | None) -> list[tuple]:
+    """Claims (place, donor, covariates) among d, the donors nearest to c in order (whole: all of them), of those at c and, as far as surely nobody beyond d is nearer, of those they put out; and, without a donor, who took part and may want more."""
+    held, ids, x, hx = d["held"].to_numpy(dtype=np.int64, copy=True), d["id"].to_numpy(), d[xs].to_numpy(dtype=float), d[hs].to_numpy(dtype=float, copy=True)
+    far, first = d["far"].to_numpy(dtype=float), np.empty(len(d), dtype=np.int64)
+    first[np.lexsort((ids, d["tie"].to_numpy()))] = np.arange(len(d))
+    ball = min(np.inf if whole else far[-1], np.inf if reach is None else reach * reach)
+    heap, moved, part = [(one["place"], i, one["n"], c) for i, one in enumerate(them)], set(), {}
+    heapq.heapify(heap)
+    count = len(heap)
+    while heap:
+        place, i, n, at = heapq.heappop(heap)
+        here = i < len(them)
+        if not here and not chase:
+            part[place] = at
+            continue
+        mine = far.copy() if here else _distances(x, at, reach)
+        mine[held <= place] = np.inf
+        limit = np.inf if here else max(0.0, ball**0.5 - float(_summed((at - c)[None])[0]) ** 0.5) ** 2 * (1 - 1e-9)
+        while n and len(mine) and (least := mine.min()) < limit:
+            same = np.flatnonzero(mine == least)
+            j = same[first[same].argmin()]
+            if held[j] < _FREE:
+                heapq.heappush(heap, (int(held[j]), count, 1, hx[j].copy()))
+                count += 1
+            held[j], hx[j], mine[j] = place, at, np.inf
+            moved.add(int(j))
+            n -= 1
+        if not (n and here and whole):  # nothing is left for those for whom d has all
+            part[place] = at
+    return [(int(held[j]), int(ids[j]), *hx[j]) for j in moved] + [(place, None, *at) for place, at in part.items()]
+
+
+def _claim_near(spark: SparkSession, now: DataFrame, wanting: DataFrame, key: str, space: _Space, xs: list, hs: list, state: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """A turn across leaves: those who want, one row for all of equal covariates, ask the leaves that may have their donors, and some ANSWERS / (rows) more, among which those they put out find others.
+
+    Each donor keeps the claim of least place. Every claim is due whatever other tasks find meanwhile, since those who refused it were of lesser place; how many a case lacks is counted afterwards.
+    """
+    kinds, columns, reach = ", ".join(f"{x} double" for x in xs), [c.split()[0] for c in state.split(", ")], space.reach
+    chase = space.n_grid == len(xs)  # covariates that may be missing make no metric
+    alike = files.saved(spark, wanting.groupBy(*xs).agg(F.min("place").alias("first"), F.sum("n").alias("most"), F.sort_array(F.collect_list(F.struct("place", "n"))).alias("them")), "alike")
+    more = min(4000, ANSWERS // max(1, alike.count()))
+    rows = alike.withColumn("most", F.col("most") + more)
+
+    def ask(batches):
+        for b in batches:
+            at = [space.visits(c, p, m) for c, p, m in zip(b[xs].to_numpy(dtype=float), b["first"], b["most"], strict=True)]
+            yield b.loc[b.index.repeat([len(a) for a in at])].assign(leaf=np.concatenate([*at, np.zeros(0, dtype=np.int64)]).astype(np.int64))
+
+    given = ["first", "id", "tie", "held", "far", *xs, *hs]
+
+    def answer(k: tuple, d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["tie", "id"], ignore_index=True)
+        x, held, out = d[xs].to_numpy(dtype=float), d["held"].to_numpy(), []
+        for c, first, n in zip(w[xs].to_numpy(dtype=float), w["first"], w["most"], strict=True):
+            far = _distances(x, c, reach)
+            far[held <= first] = np.inf
+            near = np.flatnonzero(far < np.inf)
+            if len(near) > n:
+                near = near[far[near] <= np.partition(far[near], n - 1)[n - 1]]
+            near = near[np.argsort(far[near], kind="stable")[:n]]
+            out.append(d.iloc[near].assign(first=first, far=far[near])[given])
+        return pd.concat(out) if out else pd.DataFrame(columns=given)
+
+    def share(k: tuple, a: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        n = int(w["most"].iloc[0])
+        a = a.sort_values(["far", "tie", "id"], ignore_index=True)[:n]
+        out = _chase(w[xs].to_numpy(dtype=float)[0], list(w["them"].iloc[0]), a, len(a) < n, chase, xs, hs, reach)
+        return pd.DataFrame(out, columns=["place", "donor", *xs]).astype({"donor": "Int64"})
+
+    asked = rows.select("first", "most", *xs).mapInPandas(ask, f"first long, most long, {kinds}, leaf long")
+    busy = now.join(F.broadcast(asked.select(F.col("leaf").alias(key)).distinct()), key, "left_semi").select("id", "tie", "held", key, *xs, *hs)
+    found = busy.groupBy(key).cogroup(asked.groupBy("leaf")).applyInPandas(answer, f"first long, id long, tie long, held long, far double, {kinds}, {', '.join(f'{h} double' for h in hs)}")
+    claims = files.saved(spark, found.groupBy("first").cogroup(rows.groupBy("first")).applyInPandas(share, f"place long, donor long, {kinds}"), "claims")
+    best = claims.where("donor IS NOT NULL").groupBy(F.col("donor").alias("id")).agg(F.min("place").alias("won"), *(F.min_by(x, "place").alias(f"w{x}") for x in xs))
+    made = now.join(best, "id", "left").select(*[F.coalesce("won", "held").alias("held") if c == "held" else F.when(F.col("won").isNotNull(), F.col(f"wx{c[1:]}")).otherwise(F.col(c)).alias(c) if c in hs else F.col(c) for c in columns])
+    new = files.saved(spark, made, "turn")
+    part = claims.where("donor IS NULL").groupBy("place").agg(*(F.first(x).alias(x) for x in xs))
+    has = new.join(F.broadcast(part.select(F.col("place").alias("held"))), "held", "left_semi").groupBy(F.col("held").alias("place")).agg(F.count("*").alias("has"))
+    return new, part.join(has, "place", "left").select("place", (most - F.coalesce("has", F.lit(0))).alias("n"), *xs).where("n > 0")
+
+
+def greedy_match(spark: SparkSession, cases: DataFrame, donors: DataFrame, grid: Sequence[str], more: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """(case, donor, distance): cases (id, rank, covariates) in order of rank each take the nearest donor (id, covariates) that is still free, however far. Ranks are numbers or structs, and differ.
+
+    Cases that find no free donor have no row; nor do rows with null ids or null covariates of `grid`.
+    """
+    return serve_near(spark, cases, donors, grid, more, seed=seed)
 
 
 def matched(near: dict) -> int:

@@ -62,6 +62,30 @@ def test_greedy(spark, n, whole, flip):
     assert got.count() == min(len(cases), len(donors))
 
 
+@pytest.mark.parametrize(("n", "most", "whole", "copies"), [(200, 3, True, 1), (40, 2, False, 6)])
+def test_serve_near(spark, monkeypatch, n, most, whole, copies):
+    """Leaves of 60 donors; copies share their covariates and follow each other."""
+    monkeypatch.setattr(matching, "PART", 60)
+    cases, donors = people(n, n + most, whole)
+    cases, donors = ([(c[0] * copies + k, c[1] * copies + k, *c[2:]) for c in x for k in range(copies)] for x in (cases, donors))
+    cases = [(*c[:4], None if c[0] % 9 == 0 else c[4]) for c in cases]
+    reach = 1.0 if whole else 0.5
+    a, b = (spark.createDataFrame(x + [(None, -1, 0.0, 0.0, 0.0), (90001, -2, None, 0.0, 0.0)], KIND).repartition(3) for x in (cases, donors))
+    got = matching.serve_near(spark, a, b, ["x", "y"], ["w"], most, reach)
+    box = lambda c, d: all(p is None or abs(p - q) <= reach for p, q in zip(c[2:], d[2:], strict=True))
+    want = one_by_one(cases, donors, most, box, squares)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 5
+
+
+def test_makes_no_pairs(spark, monkeypatch):
+    """Hundreds of donors in reach of every case; no table of pairs is made."""
+    cases, donors = people(2000, 1)
+    monkeypatch.setattr(matching, "in_reach", None)
+    a, b = (spark.createDataFrame(x, KIND) for x in (cases, donors))
+    got = [r["case"] for r in matching.greedy_match(spark, a, b, ["x", "y"]).collect()]
+    assert sorted(got) == sorted(c[0] for c in cases)
+
+
 def test_empty(spark):
     none, some = spark.createDataFrame([], KIND), spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0)], KIND)
     for a, b in ((none, none), (some, none), (none, some)):
