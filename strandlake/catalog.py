@@ -91,7 +91,7 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caliper_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case's three nearest donors within half a deviation in all four covariates that cases before it have left."""
     cases, donors = _customers(spark, sf_dir)
-    made = matching.serve(spark, matching.in_reach(cases, donors, _COVARIATES, 0.5), cases.select(F.col("id").alias("case"), "rank"), 3)
+    made = matching.serve_near(spark, cases, donors, _COVARIATES, most=3, reach=0.5)
     return made.select(F.col("case").alias("case_id"), F.col("donor").alias("control"), F.round("distance", 9).alias("distance"))
 
 
