@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.operators import windows
@@ -162,6 +163,30 @@ def nonst_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, "center long, radius long, " + ", ".join(f"{x.lower()} double" for x in letters) + ", hydropathy double", made)
 
 
+def pssm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its S and T, those whose seven symbols score over the 90th percentile of all, and the largest percentile.
+
+    Scores are 113 quarters, so that a document has a row for each score, not for each symbol, and the scores of all documents rank in one small table.
+    """
+
+    def made(s: Symbols):
+        code = np.frombuffer(s.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code, at = np.where(s.code > 0, s.code, code), np.flatnonzero(s.isin("ST"))
+        quarters = np.zeros(len(at), np.int64)
+        for k in range(-3, 4):
+            inside = (at + k >= 0) & (at + k < len(code))
+            quarters[inside] += ((k + 3) * 7 + code[at[inside] + k] * 13) % 17 - 8
+        n = np.bincount(quarters + 56, minlength=113)
+        some = np.flatnonzero(n)
+        return (some - 56) / 4, n[some]
+
+    rows = _each(spark, sf_dir, "score double, n long", made)
+    scores, below = rows.groupBy("score").agg(F.sum("n").alias("n")), W.orderBy("score")
+    ranked = scores.select("score", (F.lit(100.0) * F.sum("n").over(below) / F.sum("n").over(W.partitionBy())).alias("percentile"))
+    found = rows.join(F.broadcast(ranked), "score").groupBy("doc_id")
+    return found.agg(F.sum("n").alias("n_sites"), F.sum(F.when(F.col("percentile") > 90, F.col("n")).otherwise(0)).alias("n_high"), F.round(F.max("percentile"), 6).alias("best"))
+
+
 def window_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols around each tenth symbol."""
 
@@ -257,7 +282,7 @@ _REDUCED = _parts(f", translate(w, '{''.join(windows.CLASSES.values())}', '{''.j
 _PAIR_SQL = {n: f"coalesce(len(list_filter(p, lambda x: x = '{a}{b}')) / nullif(len(p), 0), 0)" for n, (a, b) in zip(_PAIR_NAMES, [(a, b) for a in "abcdefgh" for b in "abcdefgh"], strict=True)}
 
 #: Queries with SQL of single characters or of substrings that was once shared, and windows with SQL of lists.
-BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features, nonst_composition, window_substr)
+BY_CHARACTER = (geometry, st_geometry, scd, charge_blockiness, reduced_pairs, digest_intervals, padded_window, offset_profile, transfer_features, nonst_composition, pssm_score, window_substr)
 BY_LIST = {
     window_composition: _parts("") + _averages({k: f"{_size(x)} / n" for k, x in windows.COMPOSITION.items()} | {"charge": f"({_size('KR')} - {_size('DE')}) / n"}).replace("SELECT", " SELECT", 1) + " FROM f GROUP BY doc_id, radius",
     window_geometry: _GAPPED + " " + _averages(_GEOMETRY_SQL, {"gap_sd": 7, "gap_cv": 7}) + " FROM g GROUP BY doc_id, radius",

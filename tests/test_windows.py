@@ -84,7 +84,7 @@ def test_rows(spark):
 
 
 #: Queries over windows of text that pass over a sequence once; substrings of each window would walk it from its start.
-ONCE = ["transfer_features", "nonst_composition", "window_substr", "tiles"]
+ONCE = ["transfer_features", "nonst_composition", "window_substr", "tiles", "pssm_score"]
 
 
 @pytest.mark.parametrize("name", ONCE)
