@@ -27,6 +27,27 @@ _TAXA = {"mouse": (29, 11, 1, "SG"), "fly": (17, 5, 2, "--")}
 _RUNGS = {"near": ("mouse",), "all": ("mouse", "fly")}
 
 
+#: Small letters become capitals; all that is no letter of ASCII goes.
+_TO_CAPITALS = bytes(range(256)).upper()
+_NO_LETTERS = bytes(i for i in range(256) if not (i < 128 and chr(i).isalpha()))
+
+
+def capitals(text: str) -> bytes:
+    """The letters of ASCII in a text, as capitals."""
+    return text.encode("utf-8").translate(_TO_CAPITALS, _NO_LETTERS)
+
+
+def letters(docs: DataFrame) -> DataFrame:
+    """(entity, s): the documents' letters; null texts stay."""
+
+    def run(batches):
+        for b in batches:
+            made = [None if t is None else capitals(t).decode("ascii") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.string())], names=["entity", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"entity {docs.schema['doc_id'].dataType.simpleString()}, s string")
+
+
 def rows_of(own: np.ndarray, doc_id: int) -> list[str]:
     """The main, mouse and fly rows of a sequence of capitals."""
     at = np.arange(1, len(own) + 1)
@@ -54,9 +75,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def made(batches):
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                code = np.frombuffer(text.encode("ascii", "ignore"), np.uint8)
-                code = np.where((code >= 97) & (code <= 122), code - 32, code).astype(np.uint8)
-                s = code[(code >= 65) & (code <= 90)]
+                s = np.frombuffer(capitals(text), np.uint8)
                 if not len(s):
                     continue
                 ids = ["human", *(f"{taxon}_{i + on}" for taxon, (_, _, on, _) in _TAXA.items())]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import matrices
 from strandlake.plans import evolution
 from strandlake.plans.base import hours, table
+from strandlake.sources import files
 
 _REACH, _ON = 5, 40
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,25 +22,23 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("matrix", "family", "offset", F.substr(F.lit(_LETTERS), (F.col("k") + 1).cast("int"), F.lit(1)).alias("letter"), weight.alias("weight"))
 
 
-def _percentiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Percentiles of focal sites and of their controls, among all events' sites."""
-    found, letters = table(spark, sf_dir, "documents"), F.regexp_replace(F.translate("text", _LETTERS.lower(), _LETTERS), "[^A-Z]", "")
-    seqs = found.select(F.col("doc_id").alias("entity"), letters.alias("s"))
-    spots = hours(table(spark, sf_dir, "events")).select("entity", (F.col("pos") + 1).alias("pos"), (F.col("mark") == "purchase").alias("focal")).groupBy("entity", "pos").agg(F.max("focal").alias("focal")).join(seqs, "entity")
-    sides = [matrices.scores(matrices.windows(spots.withColumn("at", F.col("pos") + on), "s", "at", _REACH), ["entity", "pos", "focal"], _table(spark, sf_dir), _REACH) for on in (0, _ON)]
-    case, control = (matrices.percentiles(s.where("focal"), sides[0]) for s in sides)
-    return case, control
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peptides of events' sites and of their controls."""
+    spots = hours(table(spark, sf_dir, "events")).select("entity", (F.col("pos") + 1).alias("pos"), (F.col("mark") == "purchase").alias("focal")).groupBy("entity", "pos").agg(F.max("focal").alias("focal"))
+    return matrices.cut(evolution.letters(table(spark, sf_dir, "documents")), spots, _REACH, _ON)
 
 
 def matrix_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each site and its control: matrices over the 90th percentile, and the largest percentile."""
-    made, _ = matrices.pairs(*_percentiles(spark, sf_dir), ["entity", "pos"])
+    found, weights = files.saved(spark, _cut(spark, sf_dir), "peptides"), _table(spark, sf_dir)
+    made = matrices.by_pair(found, matrices.ranked(found, weights, _REACH), weights, _REACH)
     return made.withColumns({c: F.round(c, 9) for c in ("case_max", "control_max")})
 
 
 def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made = matrices.pairs(*_percentiles(spark, sf_dir), ["entity", "pos"])
-    return made.join(_table(spark, sf_dir).select("matrix", "family").distinct(), "matrix")
+    weights = _table(spark, sf_dir)
+    made = matrices.by_matrix(matrices.ranked(_cut(spark, sf_dir), weights, _REACH))
+    return made.join(weights.select("matrix", "family").distinct(), "matrix")
 
 
 def matrix_means(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,24 @@ def test_pairs_and_empty(spark):
     weights = spark.createDataFrame([], "matrix string, offset int, letter string, weight double")
     assert matrices.scores(none, ["k"], weights, 2).collect() == []
     assert matrices.scores(spark.createDataFrame([(1, "ABCAB")], "k long, peptide string"), ["k"], weights, 2).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_one_row_a_text(spark, most):
+    """cut(), ranked(), by_pair() and by_matrix() give what rows for each site and matrix give."""
+    r = np.random.default_rng(5)
+    texts = [(e, "".join(r.choice(list("ABCé"), 30 + e))) for e in range(12)] + [(50, None), (51, ""), (None, "ABCABC")]
+    spots = [(e, int(p), bool(r.integers(0, 2))) for e in [*range(12), 50, 51, 60] for p in r.choice(45, 20, replace=False)] + [(None, 1, True)]
+    weights = spark.createDataFrame([(m, o, c, float(r.integers(-8, 9)) / 4) for m in ("m1", "m2") for o in (-2, -1, 0, 1) for c in "ABC_"], "matrix string, offset int, letter string, weight double")
+    of_text, sites = spark.createDataFrame(texts, "entity long, s string"), spark.createDataFrame(spots, "entity long, pos long, focal boolean")
+    found = matrices.cut(of_text, sites.repartition(3), 2, 6)
+    steps = matrices.ranked(found, weights, 2)
+    joined = sites.join(of_text, "entity")
+    sides = [matrices.scores(matrices.windows(joined.withColumn("at", F.col("pos") + on), "s", "at", 2), ["entity", "pos", "focal"], weights, 2) for on in (0, 6)]
+    want_pair, want_matrix = matrices.pairs(*(matrices.percentiles(s.where("focal"), sides[0]) for s in sides), ["entity", "pos"])
+    want = sorted(map(tuple, want_pair.collect()))
+    assert sorted(map(tuple, matrices.by_pair(found, steps, weights, 2, most=most).collect())) == want and len(want) > 50
+    assert [pytest.approx(tuple(x)[1:]) for x in want_matrix.orderBy("matrix").collect()] == [tuple(x)[1:] for x in matrices.by_matrix(steps).orderBy("matrix").collect()]
+    # One row a text reaches the join, not one a site.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and matrices.cut(of_text.limit(0), sites, 2, 6).collect() == []
