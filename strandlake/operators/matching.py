@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -389,11 +390,19 @@ def matched(near: dict) -> int:
 def maximum_matching(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """(keys, matched): for each group, the most left items that can have a right item of their own.
 
-    A group is one island of sites, which a chain of gaps bounds; its distinct edges go to one task.
+    A group is one island of sites, which a chain of gaps bounds; its distinct edges are one row, and a call of Python takes a batch of groups.
     """
-    schema = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys) + ", matched long"
+    kinds = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
+    groups = edges.select(*keys, left, right).dropna().groupBy(*keys).agg(F.collect_set(F.struct(F.col(left).alias("a"), F.col(right).alias("b"))).alias("_edges"))
 
-    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*k, matched({a: list(g) for a, g in rows.groupby(left)[right]}))], columns=[*keys, "matched"])
-
-    return edges.select(*keys, left, right).dropna().distinct().groupBy(*keys).applyInPandas(one, schema)
+    def run(batches):
+        for b in batches:
+            made = []
+            for own, other in zip(b.column("_left").to_pylist(), b.column("_right").to_pylist(), strict=True):
+                near: dict = {}
+                for x, y in zip(own, other, strict=True):
+                    near.setdefault(x, []).append(y)
+                made.append(matched(near))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(made, pa.int64())], names=[*keys, "matched"])
+
+    return groups.select(*keys, F.col("_edges.a").alias("_left"), F.col("_edges.b").alias("_right")).mapInArrow(run, f"{kinds}, matched long")

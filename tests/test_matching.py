@@ -97,3 +97,15 @@ def test_standardised(spark):
     rows = spark.createDataFrame([(1, 9.0, 3.0), (2, 99.0, 3.0), (3, None, 3.0)], "id long, a double, b double")
     got = {r["id"]: (r["a"], r["b"]) for r in matching.standardised(rows, ["a", "b"], ["a"]).collect()}
     assert got == {1: (-1.0, 0.0), 2: (1.0, 0.0), 3: (None, 0.0)}
+
+
+def test_groups_share_a_call(spark):
+    """Many small groups are rows of a batch: none is a call of Python of its own."""
+    r = np.random.default_rng(6)
+    rows = [(int(g), int(a), int(b)) for g, a, b in zip(r.integers(0, 300, 3000), r.integers(0, 6, 3000), r.integers(0, 5, 3000), strict=True)] + [(None, 1, 1), (1, None, 1), (1, 1, None)]
+    made = matching.maximum_matching(spark.createDataFrame(rows, "g long, a long, b long"), ["g"], "a", "b")
+    near = {}
+    for g, a, b in rows[:3000]:
+        near.setdefault(g, {}).setdefault(a, set()).add(b)
+    assert {x["g"]: x["matched"] for x in made.collect()} == {g: matching.matched({a: list(b) for a, b in own.items()}) for g, own in near.items()}
+    assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
