@@ -202,16 +202,33 @@ def chosen(start: np.ndarray, stratum: np.ndarray, marked: np.ndarray, draws: np
         if k == len(at):
             out[at] = True
         elif k:
-            smallest = np.argpartition(stream(start[at], draws), k - 1, axis=0)[:k]
-            out[at[smallest], np.arange(len(draws))[None, :]] = True
+            numbers = stream(start[at], draws)
+            if k == 1:
+                out[at[numbers.argmin(0)], np.arange(len(draws))] = True
+            elif k == len(at) - 1:
+                out[at] = True
+                out[at[numbers.argmax(0)], np.arange(len(draws))] = False
+            else:
+                smallest = np.argpartition(np.ascontiguousarray(numbers.T), k - 1, axis=1)[:, :k]
+                out[at[smallest], np.arange(len(draws))[:, None]] = True
     return out
 
 
 def close(positions: np.ndarray, there: np.ndarray, radii: Sequence[int]) -> np.ndarray:
     """(radii, draws): pairs of places, both there, at most each radius apart; positions ascend."""
-    seen = np.concatenate([np.zeros((1, there.shape[1]), np.int64), np.cumsum(there, 0, dtype=np.int64)])
-    ends = [np.searchsorted(positions, positions + r, "right") for r in radii]
-    return np.stack([(there * (seen[e] - seen[1:])).sum(0) for e in ends])
+    # Pairs are fewer than half the square of the places, so that small sums do for most.
+    kind = np.int32 if len(there) < 40_000 else np.int64
+    seen = np.concatenate([np.zeros((1, there.shape[1]), kind), np.cumsum(there, 0, dtype=kind)])
+    mine = there.astype(kind)
+    # A place's own number and those before it: 1 + 2 + ... over all that are there.
+    before = seen[-1].astype(np.int64) * (seen[-1].astype(np.int64) + 1) // 2
+    return np.stack([np.einsum("ij,ij->j", mine, seen[np.searchsorted(positions, positions + r, "right")], dtype=np.int64, casting="safe") - before for r in radii])
+
+
+def dealt(rows: DataFrame, draws: int, per_task: int) -> DataFrame:
+    """Entities' places with blocks of their draws, `width` draws from the one after `first`: few places have more draws a block, up to CELLS numbers."""
+    size = F.least(F.greatest(F.lit(per_task), F.floor(F.lit(CELLS) / F.size("p"))), F.lit(draws)).cast("int")
+    return rows.select("entity", *(F.col("p").getField(c).alias(c) for c in ("pos", "base", "stratum", "marked")), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), size)).alias("first"), size.alias("width")).repartition("entity", "first")
 
 
 def stratified_null(pool: DataFrame, entity: str, pos: str, stratum: str, marked: str, radii: Sequence[int] = (5, 10, 15, 20, 25, 30), draws: int = 2000, seed: int = 42, per_task: int = 100) -> DataFrame:
@@ -220,12 +237,12 @@ def stratified_null(pool: DataFrame, entity: str, pos: str, stratum: str, marked
     (entity, radius, n_sites, n_strata, n_variable, observed_pairs, possible_pairs, observed, null_mean, null_sd, effect, fold, p): of entities with two marked places or more.
     pool has a row for each place (distinct positions; repeats go), marked is true or false. A stratum whose places are all marked never varies; n_variable counts
     the marked places of the others. effect: differences below 1e-12 are 0; fold is null where the null is 0; p = (draws with as many pairs + 1) / (draws + 1).
-    An entity's places are one row, which its coordinates bound, and its draws are dealt to tasks of `per_task`; rows with nulls go.
+    An entity's places are one row, which its coordinates bound, and its draws are dealt to tasks of `per_task`, or of as many more as make CELLS numbers; rows with nulls go.
     """
     places = pool.select(F.col(entity).alias("entity"), F.col(pos).cast("long").alias("pos"), F.xxhash64(F.col(stratum)).alias("stratum"), F.col(marked).cast("boolean").alias("marked")).dropna().groupBy("entity", "pos").agg(F.min("stratum").alias("stratum"), F.max("marked").alias("marked"))
     places = places.withColumn("base", base(seed, "entity", "pos"))
     rows = places.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("pos", "base", "stratum", "marked"))).alias("p")).where(F.size(F.filter("p", lambda x: x["marked"])) >= 2)
-    blocks = rows.select("entity", *(F.col("p").getField(c).alias(c) for c in ("pos", "base", "stratum", "marked")), F.explode(F.sequence(F.lit(0), F.lit(-(-draws // per_task) - 1))).alias("block")).repartition("entity", "block")
+    blocks = dealt(rows, draws, per_task)
     kind = rows.schema["entity"].dataType.simpleString()
     fields = "radius int, n_sites long, n_strata long, n_variable long, observed_pairs long, block int, total double, squares double, as_many long"
     names = [f.split()[0] for f in fields.split(", ")]
@@ -233,15 +250,15 @@ def stratified_null(pool: DataFrame, entity: str, pos: str, stratum: str, marked
     def run(batches):
         for b in batches:
             made = []
-            for e, *arrays, block in zip(b.column("entity").to_pylist(), *(b.column(c).to_pylist() for c in ("pos", "base", "stratum", "marked", "block")), strict=True):
+            for e, *arrays, many, first in zip(b.column("entity").to_pylist(), *(b.column(c).to_pylist() for c in ("pos", "base", "stratum", "marked", "width", "first")), strict=True):
                 positions, start, strata, own = (np.array(x) for x in arrays)
-                numbers = np.arange(block * per_task + 1, min(draws, (block + 1) * per_task) + 1)
+                numbers = np.arange(first + 1, min(draws, first + many) + 1)
                 _, codes, size = np.unique(strata, return_inverse=True, return_counts=True)
                 k = np.bincount(codes, own)
                 seen = close(positions, own[:, None], radii)[:, 0]
                 null = close(positions, chosen(start, codes, own, numbers), radii).astype(float)
                 for r, o, x in zip(radii, seen.tolist(), null, strict=True):
-                    made.append((e, r, int(own.sum()), int((k > 0).sum()), int(k[k < size].sum()), o, block, x.sum(), (x * x).sum(), int((x >= o).sum())))
+                    made.append((e, r, int(own.sum()), int((k > 0).sum()), int(k[k < size].sum()), o, first, x.sum(), (x * x).sum(), int((x >= o).sum())))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=b.schema.field("entity").type if not i else None) for i, c in enumerate(zip(*made, strict=True))], names=["entity", *names]).cast(pa.schema([("entity", b.schema.field("entity").type), *((n, pa.float64() if n in ("total", "squares") else pa.int32() if n in ("radius", "block") else pa.int64()) for n in names)]))
 
     parts = blocks.mapInArrow(run, f"entity {kind}, {fields}")

@@ -142,3 +142,24 @@ def test_stratified_null(spark, per_task):
             assert x["n_variable"] == sum(k for s, k in count.items() if k < size[s])
             assert x["null_mean"] == pytest.approx(null.mean() / x["possible_pairs"]) and x["null_sd"] == pytest.approx(null.std(ddof=1) / x["possible_pairs"], abs=1e-9)
             assert x["p"] == pytest.approx((1 + (null >= o).sum()) / 151)
+
+
+@pytest.mark.parametrize("k", [1, 3, 29])
+def test_chosen_have_the_smallest_numbers(k):
+    start, numbers = np.arange(30) * 7919, np.arange(1, 301)
+    want = draws.stream(start, numbers).argsort(0).argsort(0) < k
+    assert (draws.chosen(start, np.zeros(30, int), np.arange(30) < k, numbers) == want).all()
+    positions = np.cumsum(np.arange(30) % 4)
+    assert draws.close(positions, want, (3, 9)).tolist() == [[sum(abs(positions[i] - positions[j]) <= r for i in np.flatnonzero(x) for j in np.flatnonzero(x) if i < j) for x in want.T] for r in (3, 9)]
+
+
+def test_few_places_are_one_block(spark, monkeypatch):
+    """All draws of an entity of few places are one block; where CELLS is small they are dealt by per_task, with the same result."""
+    rows = spark.sql("SELECT e, transform(sequence(1, 9), x -> struct(x AS pos, x AS base, x AS stratum, true AS marked)) AS p FROM VALUES (1), (2) AS t(e)").withColumnRenamed("e", "entity")
+    assert sorted(map(tuple, draws.dealt(rows, 150, 7).select("entity", "first", "width").collect())) == [(1, 0, 150), (2, 0, 150)]
+    given = spark.createDataFrame([(e, p * p % 90, "AB"[p % 2], p % 3 == 0) for e in range(4) for p in range(9)], "e long, p long, s string, m boolean")
+    made = [sorted(map(tuple, draws.stratified_null(given, "e", "p", "s", "m", (4, 15), 150, per_task=7).collect()))]
+    monkeypatch.setattr(draws, "CELLS", 1)
+    assert draws.dealt(rows, 150, 7).count() == 2 * 22
+    made.append(sorted(map(tuple, draws.stratified_null(given, "e", "p", "s", "m", (4, 15), 150, per_task=7).collect())))
+    assert made[0] == made[1] and len(made[0]) == 8
