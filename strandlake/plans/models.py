@@ -4,25 +4,44 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import modelling, structures
 from strandlake.operators.boosting import Boosting
 from strandlake.plans.base import table
-from strandlake.plans.sequences import _COMPOSITION, _LARGE, _SMALL
+from strandlake.plans.sequences import _COMPOSITION
+from strandlake.sources import files
 
 _GEOMETRY = ("log_length", "words", "lines")
 _FULL = Boosting((*_COMPOSITION, *_GEOMETRY), trees=16, depth=3, rate=0.25, patience=5)
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, shares of letters, length, words, lines): each text is counted once, by a table of its bytes. Only ASCII letters are put into capitals; null texts have nulls."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    both = {k: list((x + x.lower()).encode()) for k, x in _COMPOSITION.items()}
+    columns = [*both, "length", "words", "lines"]
+
+    def run(batches):
+        for b in batches:
+            made: dict = {c: [] for c in columns}
+            for text in b.column("text").to_pylist():
+                n = None if text is None else np.bincount(np.frombuffer(text.encode("utf-8"), np.uint8), minlength=256)
+                values = [None] * len(columns) if n is None else [*(int(n[x].sum()) / max(len(text), 1) for x in both.values()), len(text), float(n[32]), float(n[10])]
+                for c, v in zip(columns, values, strict=True):
+                    made[c].append(v)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array(x, pa.int32() if c == "length" else pa.float64()) for c, x in made.items())], names=["doc_id", "lang", *columns])
+
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, " + ", ".join(f"{c} {'int' if c == 'length' else 'double'}" for c in columns))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, bundle, quality, features) of documents with a label; eight documents with neighbouring ids are a bundle, which stands for a gene."""
-    t = F.translate("text", _SMALL, _LARGE)
-    share = lambda letters: (F.length(t) - F.length(F.translate(t, letters, ""))) / F.greatest(F.length(t), F.lit(1))
-    marks = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 8).alias("bundle"), *(share(x).alias(k) for k, x in _COMPOSITION.items()), F.log10(F.length("text") + 1).alias("log_length"), marks(" ").alias("words"), marks("\n").alias("lines"))
-    return docs.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    """(doc_id, lang, bundle, quality, features) of documents with a label, written once; eight documents with neighbouring ids are a bundle, which stands for a gene."""
+    docs = measured(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.floor(F.col("doc_id") / 8).alias("bundle"), *_COMPOSITION, F.log10(F.col("length") + 1).alias("log_length"), "words", "lines")
+    return files.saved(spark, docs.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id"), "labelled")
 
 
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:

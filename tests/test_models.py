@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from strandlake.operators import matching, regression, resampling
+from strandlake.plans import models
 
 
 def test_hypergeometric_golden():
@@ -57,3 +58,18 @@ def test_maximum_matching(spark):
         mine = {(a, b) for k, a, b in edges if k == g}
         best = max(n for n in range(6) for c in itertools.combinations(mine, n) if len({a for a, _ in c}) == n == len({b for _, b in c}))
         assert got[g] == best
+
+
+def test_texts_are_counted_once(spark, tmp_path):
+    """Features of odd texts are those of the plain definition, and what is made of texts is written, not made again for each pass."""
+    texts = ["Ab cé\nDe W", "", None, "ÄÖ ß 日本\n\n", "aaaa QN fwy", "\x00 \t|P"]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(5)] + [(5, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = models.labelled(spark, str(tmp_path))
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and "documents.parquet" not in "".join(made.inputFiles())
+    for i, r in got.items():
+        t = texts[i]
+        assert {k: r[k] for k in models._COMPOSITION} == {k: None if t is None else sum(c.isascii() and c.upper() in x for c in t) / max(len(t), 1) for k, x in models._COMPOSITION.items()}
+        assert (r["words"], r["lines"]) == ((None, None) if t is None else (t.count(" "), t.count("\n")))
+        assert r["log_length"] == (None if t is None else pytest.approx(np.log10(len(t) + 1))) and r["bundle"] == i // 8
