@@ -89,22 +89,34 @@ def write_json(df: DataFrame, path: str) -> None:
     rows.select(checked.cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(file, id, sequence): a header's first word, and the lines below it joined. Of records with the same id in a file the last wins.
+#: White space of Java's patterns.
+_BLANK = " \t\n\x0b\f\r"
 
-    Files are split at line ends followed by >, so that a large one is read by many tasks. Text before the first header is dropped.
-    """
+
+def _records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, at, id, sequence) of FASTA records as they stand; `at` rises within a file."""
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.option("lineSep", "\n>").text(paths)
     # Records of one block have rising numbers, and blocks rise within a file.
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     rows = raw.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("_metadata.file_block_start").alias("block"), "value")
     rows = rows.where((F.col("block") > 0) | F.col("value").startswith(">") | (F.col("at.row").bitwiseAND((1 << 33) - 1) > 0))
-    # The first line, and the rest without white space around its line ends.
-    head = F.regexp_extract("value", r"^>?([^\r\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s*[\r\n]\s*|^\s+|\s+$", "")
-    made = rows.select("file", "at", F.regexp_extract(F.trim(head), r"^(\S+)", 1).alias("id"), body.alias("sequence"))
-    return made.where("id <> ''").groupBy("file", "id").agg(F.max_by("sequence", "at").alias("sequence"))
+    # The first line, and the rest without white space around its line ends. A sequence in one line is not searched for patterns, which takes longer than all else.
+    end = F.locate("\n", F.col("value"))
+    plain = (end > 0) & ~F.contains(F.col("value"), F.lit("\r")) & (F.substring_index("value", "\n", 2) == F.col("value"))
+    line = F.when(plain, F.substring_index("value", "\n", 1)).otherwise(F.col("value"))
+    head = F.regexp_extract(line, r"^>?([^\r\n]*)", 1)
+    lines = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s*[\r\n]\s*|^\s+|\s+$", "")
+    body = F.when(plain, F.btrim(F.substring_index("value", "\n", -1), F.lit(_BLANK))).otherwise(lines)
+    return rows.select("file", "at", F.regexp_extract(F.trim(head), r"^(\S+)", 1).alias("id"), body.alias("sequence")).where("id <> ''")
+
+
+def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, id, sequence): a header's first word, and the lines below it joined. Of records with the same id in a file the last wins.
+
+    Files are split at line ends followed by >, so that a large one is read by many tasks. Text before the first header is dropped.
+    """
+    return _records(spark, path).groupBy("file", "id").agg(F.max_by("sequence", "at").alias("sequence"))
 
 
 def write_fasta(df: DataFrame, path: str, id_col: str, sequence_col: str, width: int = 60) -> None:
@@ -121,12 +133,16 @@ def read_alignments(spark: SparkSession, folder: str, taxa: Sequence[str], main:
     a file, too. packed: files of any name hold many accessions, with headers accession|taxon_member, as tables of many small alignments need.
     """
     if packed:
-        rows = read_fasta(spark, folder)
         parts = F.split("id", r"\|", 2)
-        rows = rows.where(F.size(parts) == 2).select(parts[0].alias("accession"), parts[1].alias("id"), "sequence").where("accession <> ''")
-    else:
-        rows = read_fasta(spark, f"{folder}/*.afa")
-        rows = rows.withColumn("accession", F.regexp_extract("file", r"/(?:afa=)?([A-Za-z0-9-]+)\.afa(?:/[^/]*)?$", 1)).where("accession <> ''")
+        rows = _records(spark, folder).where(F.size(parts) == 2).select(parts[0].alias("accession"), "file", parts[1].alias("id"), "at", "sequence").where("accession <> ''")
+        rows = rows.repartition("accession").groupBy("accession", "file", "id").agg(F.max_by("sequence", "at").alias("sequence"))
+        own = ((F.col("id") == main) | (F.col("id") == F.col("accession"))) & (F.col("sequence") != "")
+        p = F.split("id", "_", 2)
+        other = F.when((F.size(p) == 2) & p[0].isin(*taxa), F.struct(p[0].alias("taxon"), p[1].alias("member"), "sequence"))
+        packs = rows.groupBy("accession").agg(F.max_by(F.when(own, F.col("sequence")), F.when(own, F.col("id") == main)).alias("main_sequence"), F.collect_list(other).alias("others"))
+        return packs.where("main_sequence IS NOT NULL").select("accession", "main_sequence", F.explode("others").alias("o")).select("accession", "o.taxon", "o.member", "o.sequence", "main_sequence")
+    rows = read_fasta(spark, f"{folder}/*.afa")
+    rows = rows.withColumn("accession", F.regexp_extract("file", r"/(?:afa=)?([A-Za-z0-9-]+)\.afa(?:/[^/]*)?$", 1)).where("accession <> ''")
     own = rows.where(((F.col("id") == main) | (F.col("id") == F.col("accession"))) & (F.col("sequence") != "")).groupBy("accession").agg(F.max_by("sequence", F.col("id") == main).alias("main_sequence"))
     parts = rows.select("accession", F.split("id", "_", 2).alias("p"), "sequence").where(F.size("p") == 2)
     return parts.where(F.col("p")[0].isin(*taxa)).select("accession", F.col("p")[0].alias("taxon"), F.col("p")[1].alias("member"), "sequence").join(own, "accession")
