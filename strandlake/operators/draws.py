@@ -227,8 +227,10 @@ def close(positions: np.ndarray, there: np.ndarray, radii: Sequence[int]) -> np.
 
 def dealt(rows: DataFrame, draws: int, per_task: int) -> DataFrame:
     """Entities' places with blocks of their draws, `width` draws from the one after `first`: few places have more draws a block, up to CELLS numbers."""
+    # A given number of tasks: the rows are small and their work is not, so that tasks must not be joined by size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.least(F.greatest(F.lit(per_task), F.floor(F.lit(CELLS) / F.size("p"))), F.lit(draws)).cast("int")
-    return rows.select("entity", *(F.col("p").getField(c).alias(c) for c in ("pos", "base", "stratum", "marked")), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), size)).alias("first"), size.alias("width")).repartition("entity", "first")
+    return rows.select("entity", *(F.col("p").getField(c).alias(c) for c in ("pos", "base", "stratum", "marked")), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), size)).alias("first"), size.alias("width")).repartition(tasks, "entity", "first")
 
 
 def stratified_null(pool: DataFrame, entity: str, pos: str, stratum: str, marked: str, radii: Sequence[int] = (5, 10, 15, 20, 25, 30), draws: int = 2000, seed: int = 42, per_task: int = 100) -> DataFrame:
