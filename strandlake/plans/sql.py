@@ -118,9 +118,9 @@ SHARED |= sequences.SHARED | alignments.SHARED | controls.build(_CHAIN, _SITES,
 
 
 def _exact_mean(x: str) -> str:
-    """avg(x) whose sum is exact and thus the same in any order; values that no decimal holds are summed as they come."""
+    """avg(x) that is the same in any order: as it is for one or two values, by an exact sum for more; values that no decimal holds are summed as they come."""
     x_ = f"try_cast({x} AS DECIMAL(38, 18))"
-    return f"coalesce(CAST(CASE WHEN count({x}) = count({x_}) THEN try_sum({x_}) END AS DOUBLE) / count({x}), avg({x}))"
+    return f"coalesce(CAST(CASE WHEN count({x}) > 2 AND count({x}) = count({x_}) THEN try_sum({x_}) END AS DOUBLE) / count({x}), avg({x}))"
 
 
 #: What Spark runs in place of a shared text: means that a limit is held against.

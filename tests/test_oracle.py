@@ -49,3 +49,15 @@ def test_controls_at_the_limit(spark, tmp_path):
     spark.createDataFrame([(i, 1, k, v, h * 3600 + 1704067200) for i, (h, k, v) in enumerate(at)], "event_id long, user_id long, event_type string, value double, t long").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(1, "a" * 40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert list(map(tuple, catalog.queries()["control_windows"](spark, str(tmp_path)).collect())) == [(1, 1, 10, 21, 30, 1)]
+
+
+def test_means_of_two(spark, tmp_path):
+    """control_windows: the mean of 0.039 and 0.366 is a double just below 0.2025 in any order, and 0.15 from the region's, as in SQL; the exact one is further."""
+    at = [(h, "purchase", 5.25) for h in range(3)] + [(9, "view", 3.9), (10, "view", 36.6)]
+    spark.createDataFrame([(i, 1, k, v, h * 3600 + 1704067200) for i, (h, k, v) in enumerate(at)], "event_id long, user_id long, event_type string, value double, t long").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "a" * 12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("events", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES["control_windows"]).fetchall()
+    assert list(map(tuple, catalog.queries()["control_windows"](spark, str(tmp_path)).collect())) == want and want[0][-1] == 3
