@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import alignments, intervals, search
-from strandlake.operators.alignments import BUCKETS, CATEGORIES, LEAST, LETTERS, MEASURES, STICKY
+from strandlake.operators.alignments import CATEGORIES, LEAST, LETTERS, MEASURES, STICKY
 from strandlake.plans.base import hours, sites, table
 from strandlake.sources import files
 
@@ -130,7 +130,7 @@ def window_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region and pair: how alike they are, and by how much more than windows elsewhere."""
     own = _sites(spark, sf_dir)
     other = own.withColumnRenamed("accession", "member")
-    made = alignments.window_nulls(pairs(spark, sf_dir), _regions(spark, sf_dir), own, other)
+    made = alignments.window_nulls(pairs(spark, sf_dir), _regions(spark, sf_dir), own, other, buckets=None)
     return made.select("accession", "taxon", "start", "n_columns", *(F.round(m, 9).alias(m) for m in MEASURES))
 
 
@@ -176,6 +176,7 @@ rungs(rung, taxon) AS (VALUES {', '.join(f"('{r}', '{t}')" for r, ts in _RUNGS.i
 counted AS (SELECT w.doc_id, w.arm, w.a, t.taxon, count(c.p) AS n, coalesce(sum(gain), 0) AS g FROM wins w CROSS JOIN taxa t LEFT JOIN changes c ON c.doc_id = w.doc_id AND c.taxon = t.taxon AND c.p BETWEEN w.a AND w.z GROUP BY ALL)
 SELECT rung, arm, count(*) AS n_windows, sum(n)::BIGINT AS n_changes, sum(g)::BIGINT AS n_gain, round(sum(g) / nullif(sum(n), 0), 9) AS rate FROM counted JOIN rungs USING (taxon) GROUP BY rung, arm""".replace("r.doc_id, s, e, 1 + (s - 1", "r.doc_id, r.s AS s, e, 1 + (r.s - 1")
 _HEX8 = lambda text: f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+_HEX15 = lambda text: f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
 _FOUR = ("pearson", "cosine", "js", "position")
 
 
@@ -202,8 +203,8 @@ cut AS (SELECT r.doc_id, x.taxon, r.s, r.e, count(*) AS n, min(place) AS a, max(
 cut2 AS (SELECT c.*, substr(q.s, c.s, c.e - c.s + 1) AS own, w.t FROM cut c JOIN seqs q ON q.doc_id = c.doc_id JOIN whole w ON w.doc_id = c.doc_id AND w.taxon = c.taxon),
 tries AS (SELECT doc_id, taxon, s, n, a, z, trial, 1 + {_HEX8("doc_id || ':' || taxon || ':' || s || ':' || trial")} % (length(t) - n) AS b FROM cut2 CROSS JOIN (SELECT unnest(range(1, 41)) AS trial) WHERE length(t) > n + 20),
 near AS (SELECT doc_id, taxon, s, arg_min(b, trial) AS b FROM tries WHERE b + n - 1 < a - 10 OR b > z + 10 GROUP BY doc_id, taxon, s),
-pool AS (SELECT taxon, {_HEX8('doc_id::VARCHAR')} % {BUCKETS} AS bucket, arg_min(t, md5(doc_id::VARCHAR)) AS u FROM whole WHERE length(t) >= {LEAST} GROUP BY ALL),
-far AS (SELECT doc_id, taxon, s, arg_min(substr(u, 1 + {_HEX8("'begin:' || doc_id || ':' || taxon || ':' || s || ':' || trial")} % (length(u) - n), n), trial) AS far FROM (SELECT c.doc_id, c.taxon, c.s, c.n, trial, {_HEX8("'far:' || c.doc_id || ':' || c.taxon || ':' || c.s || ':' || trial")} % {BUCKETS} AS bucket FROM cut2 c CROSS JOIN (SELECT unnest(range(1, 21)) AS trial)) d JOIN pool USING (taxon, bucket) WHERE length(u) > n + 5 GROUP BY ALL),
+pool AS (SELECT taxon, row_number() OVER (PARTITION BY taxon ORDER BY md5(doc_id::VARCHAR), doc_id::VARCHAR) - 1 AS number, count(*) OVER (PARTITION BY taxon) AS total, t AS u FROM whole WHERE length(t) >= {LEAST}),
+far AS (SELECT d.doc_id, d.taxon, d.s, arg_min(substr(u, 1 + {_HEX8("'begin:' || d.doc_id || ':' || d.taxon || ':' || d.s || ':' || trial")} % (length(u) - n), n), trial) AS far FROM (SELECT c.doc_id, c.taxon, c.s, c.n, trial, {_HEX15("'far:' || c.doc_id || ':' || c.taxon || ':' || c.s || ':' || trial")} % total AS number FROM cut2 c JOIN (SELECT DISTINCT taxon, total FROM pool) USING (taxon) CROSS JOIN (SELECT unnest(range(1, 21)) AS trial)) d JOIN pool p ON p.taxon = d.taxon AND p.number = d.number WHERE length(u) > n + 5 GROUP BY ALL),
 three AS (SELECT c.doc_id, c.taxon, c.s, c.n, c.own, c.same, c.own_sites, c.same_sites, f.far, substr(c.t, x.b, c.n) AS near, array_to_string(list_transform(range(x.b, x.b + c.n), lambda i: CASE WHEN list_contains(h.found, i) THEN '1' ELSE '0' END), '') AS near_sites
   FROM cut2 c JOIN has h ON h.doc_id = c.doc_id AND h.taxon = c.taxon LEFT JOIN near x ON x.doc_id = c.doc_id AND x.taxon = c.taxon AND x.s = c.s LEFT JOIN far f ON f.doc_id = c.doc_id AND f.taxon = c.taxon AND f.s = c.s),
 m AS (SELECT t.doc_id, t.taxon, t.s, t.n, a.pearson AS true_pearson, a.cosine AS true_cosine, a.js AS true_js, {_position('own_sites', 'same_sites')} AS true_position,
