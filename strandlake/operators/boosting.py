@@ -2,6 +2,7 @@
 
 Each partition sums gradients by node, feature and bin; sums are whole numbers (gradients in 2**-30), so that they are the same in any order and any
 partitioning, and a fit in one process gives the same bits. The driver holds trees, bin edges and the sums of one level: models x nodes x features x bins.
+Rows are packed into blocks with their margins, which are written anew after every few trees, so that a pass goes down those few only.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators.quantiles import exact
+from strandlake.sources import files
 
 #: The bin of missing values; others are below.
 MISSING = 255
@@ -24,6 +27,8 @@ UNIT = float(1 << 30)
 LEVELS = 1024
 #: Roles of a row for a model.
 OUT, TRAIN, WATCH = 0, 1, 2
+#: Rows of a block, and trees after which margins are written.
+BLOCK, KEPT = 10_000, 10
 
 
 @dataclass(frozen=True)
@@ -58,25 +63,33 @@ class Model:
 
     def down(self, bins: np.ndarray, tree: int, depth: int) -> np.ndarray:
         """The place of each row on a level of a tree."""
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        flat, first, node = np.ascontiguousarray(bins).reshape(-1), np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
+        column = self.columns[self.feature[tree]]
+        right = np.arange(256) > self.cut[tree][:, None]
+        right[:, MISSING] = ~self.left[tree]
+        right = right.reshape(-1).astype(np.int64)
         for d in range(depth):
-            at = (1 << d) - 1 + node
-            b = bins[rows, self.columns[self.feature[tree][at]]]
-            node = 2 * node + ~np.where(b == MISSING, self.left[tree][at], b <= self.cut[tree][at])
+            at = node + ((1 << d) - 1)
+            node = 2 * node + right.take((at << 8) + flat.take(first + column.take(at)))
         return node
 
-    def margins(self, bins: np.ndarray, trees: int | None = None) -> np.ndarray:
-        out = np.full(len(bins), self.start)
+    def margins(self, bins: np.ndarray, trees: int | None = None, held: np.ndarray | None = None) -> np.ndarray:
+        """The sums of trees' values, on top of what is held of trees before."""
+        out = np.full(len(bins), self.start) if held is None else held.copy()
         for t in range(len(self.value) if trees is None else trees):
             out += self.value[t][self.down(bins, t, self.how.depth)]
         return out
 
+    def since(self, tree: int) -> Model:
+        """The model with its trees from this one on."""
+        return Model(self.how, self.columns, self.start, self.weight, *(x[tree:] for x in (self.feature, self.cut, self.left, self.value)))
+
     def scores(self, bins: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(-self.margins(bins)))
 
-    def gradients(self, bins: np.ndarray, y: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
-        p, w = 1 / (1 + np.exp(-self.margins(bins, trees))), np.where(y > 0, self.weight[1], self.weight[0])
+    def gradients(self, margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, w = 1 / (1 + np.exp(-margins)), np.where(y > 0, self.weight[1], self.weight[0])
         return np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT)
 
 
@@ -156,47 +169,94 @@ def precision(pos: np.ndarray, neg: np.ndarray) -> float:
     return float((pos[::-1] * tp / np.maximum(seen, 1)).sum() / max(pos.sum(), 1))
 
 
-def _passed(rows: DataFrame, models: list[Model], open_: list[int], level: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each open model the sums (nodes, features, 256) of a level of the tree that grows, and at level 0 counts of watched rows by score."""
-    schema = pa.schema([("model", pa.int32()), ("cell", pa.int32()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
-    size = {m: (1 << level) * len(models[m].columns) * 256 for m in open_}
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """(y, bins, roles, margins) of many rows in one, as bytes; there are no margins yet."""
 
     def run(batches):
-        total = {m: np.zeros((3, size[m] + 2 * LEVELS), np.int64) for m in open_}
         for b in batches:
-            if not len(b):
-                continue
-            bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(len(b), -1)
-            y = b.column("y").to_numpy(zero_copy_only=False)
-            roles = np.stack(b.column("roles").to_pylist())
-            for m in open_:
-                model = models[m]
-                t = len(model.feature) - 1
-                mine = np.flatnonzero(roles[:, m] == TRAIN)
+            for k in range(0, len(b), BLOCK):
+                some = b.slice(k, BLOCK)
+                y = some.column("y").to_numpy(zero_copy_only=False).astype(np.int32)
+                roles = np.stack(some.column("roles").to_pylist()).astype(np.int8)
+                yield pa.RecordBatch.from_pydict({"y": [y.tobytes()], "bins": [b"".join(some.column("bins").to_pylist())], "roles": [roles.T.tobytes()], "margins": [None]}, schema=_BLOCKS)
+
+    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK))
+    return rows.select("y", "bins", "roles").repartition(max(parts, 1)).mapInArrow(run, "y binary, bins binary, roles binary, margins binary")
+
+
+_BLOCKS = pa.schema([(c, pa.binary()) for c in ("y", "bins", "roles", "margins")])
+
+
+def _unpacked(y: bytes, bins: bytes, roles: bytes, margins: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(y, bins, roles, margins) of a block, the last two with a row for each model."""
+    y_ = np.frombuffer(y, np.int32)
+    return y_, np.frombuffer(bins, np.uint8).reshape(len(y_), -1), np.frombuffer(roles, np.uint8).reshape(-1, len(y_)), None if margins is None else np.frombuffer(margins).reshape(-1, len(y_))
+
+
+def _kept(blocks: DataFrame) -> RDD:
+    """The blocks in memory: a pass is then one small job, without a plan of its own."""
+    return blocks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _advanced(blocks: DataFrame, models: dict[int, Model], n: int) -> DataFrame:
+    """The blocks with the margins of n models after the trees that are given of some, for rows that these see."""
+
+    def run(batches):
+        for r in (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _BLOCKS.names), strict=True)):
+            y, bins, roles, held = _unpacked(*r)
+            margins = np.zeros((n, len(y)))
+            for m, model in models.items():
+                mine = np.flatnonzero(roles[m] != OUT)
+                margins[m, mine] = model.margins(bins[mine], held=None if held is None else held[m, mine])
+            yield pa.RecordBatch.from_pydict({"y": [y.tobytes()], "bins": [bins.tobytes()], "roles": [roles.tobytes()], "margins": [margins.tobytes()]}, schema=_BLOCKS)
+
+    return blocks.mapInArrow(run, "y binary, bins binary, roles binary, margins binary")
+
+
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of two partitions' sums, each as the cells that it has and their values."""
+    cells = np.union1d(a[0], b[0])
+    out = np.zeros((3, len(cells)), np.int64)
+    for some, x in (a, b):
+        out[:, np.searchsorted(cells, some)] += x
+    return cells, out
+
+
+def _passed(rows: RDD, models: dict[int, Model], level: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each model, of which the trees since the blocks' margins are given, the sums (nodes, features, 256) of a level of the tree that grows, and at level 0 counts of watched rows by score."""
+    size = {m: (1 << level) * len(model.columns) * 256 for m, model in models.items()}
+    ends = np.cumsum([n + 2 * LEVELS for n in size.values()])
+    place = {m: slice(int(end) - size[m] - 2 * LEVELS, int(end)) for m, end in zip(size, ends, strict=True)}
+
+    def run(blocks):
+        whole = np.zeros((3, int(ends[-1])), np.int64)
+        for block in blocks:
+            y, bins, roles, held = _unpacked(*block)
+            for m, model in models.items():
+                total, t = whole[:, place[m]], len(model.feature) - 1
+                margins = lambda own: model.margins(bins[own], t, None if held is None else held[m, own])  # noqa: B023, E731
+                mine = np.flatnonzero(roles[m] == TRAIN)
                 if len(mine):
-                    g, h = model.gradients(bins[mine], y[mine], t)
-                    node = model.down(bins[mine], t, level)
+                    own = bins[mine]
+                    g, h = model.gradients(margins(mine), y[mine])
+                    node = model.down(own, t, level) * (len(model.columns) * 256)
                     for f, c in enumerate(model.columns):
-                        cell = (node * len(model.columns) + f) * 256 + bins[mine, c]
+                        cell = node + (own[:, c] + np.int64(f * 256))
                         for i, w in enumerate((g, h, None)):
-                            total[m][i, : size[m]] += np.bincount(cell, w, size[m]).astype(np.int64)
-                watched = np.flatnonzero(roles[:, m] == WATCH)
+                            total[i, : size[m]] += np.bincount(cell, w, size[m]).astype(np.int64)
+                watched = np.flatnonzero(roles[m] == WATCH)
                 if level == 0 and len(watched):
-                    p = 1 / (1 + np.exp(-model.margins(bins[watched], t)))
-                    total[m][2, size[m] :] += np.bincount(np.minimum((p * LEVELS).astype(np.int64), LEVELS - 1) * 2 + (y[watched] > 0), minlength=2 * LEVELS)
-        for m, x in total.items():
-            some = np.flatnonzero(x[2])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), m), pa.int32()), pa.array(some, pa.int32()), *(pa.array(x[i, some]) for i in range(3))], schema=schema)
-
-    got = rows.select("y", "bins", "roles").mapInArrow(run, "model int, cell int, g long, h long, n long").groupBy("model", "cell").agg(*(F.sum(c).alias(c) for c in "ghn")).toArrow()
-    model, cell, *sums = (got.column(c).to_numpy() for c in ("model", "cell", "g", "h", "n"))
+                    p = 1 / (1 + np.exp(-margins(watched)))
+                    total[2, size[m] :] += np.bincount(np.minimum((p * LEVELS).astype(np.int64), LEVELS - 1) * 2 + (y[watched] > 0), minlength=2 * LEVELS)
+        some = np.flatnonzero(whole[2])
+        yield some, whole[:, some]
+
+    cells, sums = rows.mapPartitions(run).treeReduce(_added, 1 if rows.getNumPartitions() <= 16 else 2)
+    whole = np.zeros((3, int(ends[-1])))
+    whole[:, cells] = sums / np.array([UNIT, UNIT, 1.0])[:, None]
     out = {}
-    for m in open_:
-        x = np.zeros((3, size[m] + 2 * LEVELS))
-        mine = model == m
-        for i, s in enumerate(sums):
-            x[i, cell[mine]] = s[mine] if i == 2 else s[mine] / UNIT
-        shape = (1 << level, len(models[m].columns), 256)
+    for m in models:
+        x, shape = whole[:, place[m]], (1 << level, len(models[m].columns), 256)
         out[m] = (*(x[i, : size[m]].reshape(shape) for i in range(3)), x[2, size[m] :].reshape(LEVELS, 2))
     return out
 
@@ -220,7 +280,14 @@ def fit(spark: SparkSession, rows: DataFrame, hows: Sequence[Boosting], features
         else:
             model.start = math.log(p / (n - p))
         models.append(model)
-    for _ in range(max((h.trees for h in hows), default=0) + 1):
+    blocks = files.saved(spark, _packed(given, max((n for n, _ in seen.values()), default=0)), "blocks")
+    kept, held = _kept(blocks), 0
+    for grown in range(max((h.trees for h in hows), default=0) + 1):
+        if grown - held == KEPT and not all(x.done for x in models):
+            made = files.saved(spark, _advanced(blocks, {i: x.since(held) for i, x in enumerate(models) if not x.done}, len(models)), "blocks")
+            kept.unpersist()
+            files.drop(spark, blocks)
+            blocks, kept, held = made, _kept(made), grown
         for model in models:
             if not model.done:
                 k = 1 << model.how.depth
@@ -229,7 +296,7 @@ def fit(spark: SparkSession, rows: DataFrame, hows: Sequence[Boosting], features
             open_ = [i for i, x in enumerate(models) if not x.done and level < x.how.depth]
             if not open_:
                 break
-            for m, (g, h, n, watched) in _passed(given, models, open_, level).items():
+            for m, (g, h, n, watched) in _passed(kept, {i: models[i].since(held) for i in open_}, level).items():
                 model, t = models[m], len(models[m].value) - 1
                 if level == 0:
                     ap = precision(watched[:, 1], watched[:, 0])
@@ -242,6 +309,8 @@ def fit(spark: SparkSession, rows: DataFrame, hows: Sequence[Boosting], features
                         model.done = True
                         continue
                 grow(model, level, g, h, n)
+    kept.unpersist()
+    files.drop(spark, blocks)
     return models
 
 

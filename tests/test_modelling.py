@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import boosting, modelling
 from strandlake.operators.boosting import Boosting
+from strandlake.plans import models
 
 
 @pytest.fixture(scope="module")
@@ -155,3 +156,29 @@ def test_models_do_not_depend_on_partitions(spark, table):
     how = Boosting(("a", "b"), trees=3, depth=2, rate=0.3, patience=2)
     one, other = (sorted(map(tuple, modelling.out_of_fold(t, "id", "y", "g", how, 3).collect())) for t in (table.repartition(1), table.repartition(9)))
     assert one == other
+
+
+def test_margins_are_carried_on(spark, monkeypatch):
+    """Margins that are written after each tree, in many blocks, give the trees of a pass down all of them."""
+    monkeypatch.setattr(boosting, "KEPT", 1)
+    monkeypatch.setattr(boosting, "BLOCK", 25)
+    r = np.random.default_rng(11)
+    bins = r.integers(0, 9, (120, 2)).astype(np.uint8)
+    bins[r.random((120, 2)) < 0.2] = 255
+    y = ((bins[:, 0] > 4) ^ (r.random(120) < 0.2)).astype(int)
+    how = Boosting(("a", "b"), trees=4, depth=2, rate=0.3)
+    rows = [(i, int(y[i]), bytearray(bins[i].tobytes()), [boosting.TRAIN, boosting.OUT if i % 3 else boosting.TRAIN]) for i in range(120)]
+    given = spark.createDataFrame(rows, "id long, y int, bins binary, roles array<tinyint>")
+    whole, third = boosting.fit(spark, given, [how, how], ["a", "b"])
+    assert whole.margins(bins) == pytest.approx(plain(bins, y, how), abs=1e-12)
+    assert third.margins(bins[::3]) == pytest.approx(plain(bins[::3], y[::3], how), abs=1e-12)
+
+
+def test_the_query_grows_all_trees(monkeypatch):
+    """gbt_oof: 300 trees of depth 3 in steps of 0.04 over all training rows, as in the reference."""
+    seen = []
+    monkeypatch.setattr(models, "labelled", lambda *_: None)
+    monkeypatch.setattr(modelling, "out_of_fold", lambda *a: seen.append(a[4]) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        models.gbt_oof(None, "")
+    assert (seen[0].trees, seen[0].depth, seen[0].rate, seen[0].l2, seen[0].patience) == (300, 3, 0.04, 1.0, 0)
