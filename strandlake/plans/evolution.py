@@ -136,7 +136,7 @@ def window_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents' letters, and for each event a peptide of 3 to 12 letters of the user's document that begins up to six letters before the event's position."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity"), F.regexp_replace(F.translate("text", _CAPITALS.lower(), _CAPITALS), "[^A-Z]", "").alias("s"))
+    docs = letters(table(spark, sf_dir, "documents"))
     found = hours(table(spark, sf_dir, "events")).select("entity", (F.col("pos") + 1).alias("site"), "event_id").join(docs, "entity").where("site <= length(s)")
     start = F.greatest(F.col("site") - F.col("event_id") % 7, F.lit(1))
     return docs, found.select("entity", "site", F.substr("s", start.cast("int"), (3 + F.col("event_id") % 10).cast("int")).alias("peptide"))
